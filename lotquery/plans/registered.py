@@ -86,3 +86,179 @@ def _slot_grid(t):
 def _dashboard_document(t):
     """One JSON row (no SQL oracle: checked field by field in tests)."""
     return dash.dashboard_document(t.ticket, t.vehicle, t.parking_slot, t.payment, PAY_DAY)
+
+
+# ---------------------------------------------------------------- audits and integrity
+
+from lotquery.operators import audit  # noqa: E402
+from lotquery.sources.derive import AS_OF  # noqa: E402
+
+_JTRIM = r"regexp_replace({c}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+
+
+@query("plate_audit", r"""
+SELECT vehicle_id, license_plate,
+       COALESCE(upper(""" + _JTRIM.format(c="license_plate") + r""") <> ''
+                AND regexp_matches(upper(""" + _JTRIM.format(c="license_plate") + r"""), '^[0-9]{2}[A-Z]-[0-9]{3}\.[0-9]{2}$'),
+                false) AS is_valid
+FROM pk_vehicle
+""")
+def _plate_audit(t):
+    return audit.plate_audit(t.vehicle)
+
+
+@query("unsafe_text_audit", r"""
+SELECT request_id, full_name AS value,
+  CASE WHEN full_name IS NULL THEN 'null'
+       WHEN """ + _JTRIM.format(c="full_name") + r""" = '' THEN 'blank'
+       WHEN length(""" + _JTRIM.format(c="full_name") + r""") > 100 THEN 'too_long'
+       WHEN contains(""" + _JTRIM.format(c="full_name") + r""", '''') OR contains(""" + _JTRIM.format(c="full_name") + r""", '"')
+         OR contains(""" + _JTRIM.format(c="full_name") + r""", ';') OR contains(""" + _JTRIM.format(c="full_name") + r""", '--') THEN 'unsafe_char'
+  END AS reason
+FROM pk_registration_requests
+WHERE reason IS NOT NULL
+""")
+def _unsafe_text_audit(t):
+    """P3 on the registration form's name field (limit 100)."""
+    return audit.unsafe_text_audit(t.registration_requests, "request_id", "full_name", 100)
+
+
+@query("staff_eligibility", r"""
+WITH s AS (
+  SELECT staff_id, name, lower(""" + _JTRIM.format(c="role") + r""") AS folded,
+         COALESCE(lower(""" + _JTRIM.format(c="status") + r""") = 'active', false) AS is_active
+  FROM pk_staff)
+SELECT staff_id, name, CASE WHEN folded IN ('admin', 'manager', 'attendant') THEN folded END AS role, is_active,
+       CASE WHEN NOT is_active OR folded NOT IN ('admin', 'manager', 'attendant') OR folded IS NULL THEN 'denied'
+            WHEN folded = 'admin' THEN 'full' ELSE 'staff' END AS access
+FROM s
+""")
+def _staff_eligibility(t):
+    return audit.staff_eligibility(t.staff)
+
+
+@query("domain_audit", """
+SELECT 'staff' AS table_name, 'name' AS column_name, CAST(count_if(NOT COALESCE(name IS NOT NULL AND length(name) <= 100, false)) AS BIGINT) AS bad_rows FROM pk_staff
+UNION ALL SELECT 'staff', 'role', CAST(count_if(NOT COALESCE(role IN ('admin', 'manager', 'attendant'), false)) AS BIGINT) FROM pk_staff
+UNION ALL SELECT 'staff', 'status', CAST(count_if(NOT COALESCE(status IN ('active', 'inactive'), false)) AS BIGINT) FROM pk_staff
+UNION ALL SELECT 'vehicle', 'license_plate', CAST(count_if(NOT COALESCE(license_plate IS NOT NULL AND length(license_plate) <= 20, false)) AS BIGINT) FROM pk_vehicle
+UNION ALL SELECT 'parking_slot', 'slot_code', CAST(count_if(NOT COALESCE(slot_code IS NOT NULL AND length(slot_code) <= 10, false)) AS BIGINT) FROM pk_parking_slot
+UNION ALL SELECT 'parking_slot', 'status', CAST(count_if(NOT COALESCE(status IN ('Empty', 'Reserved', 'Occupied', 'Maintenance', 'Locked'), false)) AS BIGINT) FROM pk_parking_slot
+UNION ALL SELECT 'pricing_rules', 'day_type', CAST(count_if(NOT COALESCE(day_type IN ('Weekday', 'Weekend', 'Holiday'), false)) AS BIGINT) FROM pk_pricing_rules
+UNION ALL SELECT 'ticket', 'status', CAST(count_if(NOT COALESCE(status IN ('active', 'completed', 'lost', 'canceled'), false)) AS BIGINT) FROM pk_ticket
+UNION ALL SELECT 'ticket', 'qr_code', CAST(count_if(NOT COALESCE(qr_code IS NOT NULL AND length(qr_code) <= 255, false)) AS BIGINT) FROM pk_ticket
+UNION ALL SELECT 'parking_log', 'action', CAST(count_if(NOT COALESCE(action IN ('entry', 'exit'), false)) AS BIGINT) FROM pk_parking_log
+UNION ALL SELECT 'payment', 'status', CAST(count_if(NOT COALESCE(status IN ('paid', 'unpaid', 'refunded'), false)) AS BIGINT) FROM pk_payment
+""")
+def _domain_audit(t):
+    return audit.domain_audit(t)
+
+
+SEARCH_TERM = "A-00"
+
+
+@query("search", f"""
+SELECT 'vehicle' AS kind, vehicle_id AS id, license_plate AS label FROM pk_vehicle WHERE contains(lower(license_plate), lower('{SEARCH_TERM}'))
+UNION ALL
+SELECT 'slot', slot_id, slot_code FROM pk_parking_slot WHERE contains(lower(slot_code), lower('{SEARCH_TERM}'))
+""")
+def _search(t):
+    return audit.search(t.vehicle, t.parking_slot, SEARCH_TERM)
+
+
+RETENTION_DAYS = 1825
+
+
+@query("retention_filter", f"""
+SELECT log_id, ticket_id, action, action_time FROM pk_parking_log
+WHERE action_time < TIMESTAMP '{AS_OF}' - INTERVAL {RETENTION_DAYS} DAY
+""")
+def _retention_filter(t):
+    """The expired part of the parking log (what a purge would remove)."""
+    _, expired = audit.retention_filter(t.parking_log, "action_time", RETENTION_DAYS, AS_OF)
+    return expired.select("log_id", "ticket_id", "action", "action_time")
+
+
+@query("orphan_audit", """
+WITH fks(fk) AS (VALUES ('vehicle.customer_id'), ('vehicle.vehicle_type_id'), ('parking_slot.area_id'),
+  ('pricing_rules.vehicle_type_id'), ('ticket.vehicle_id'), ('ticket.slot_id'), ('ticket.check_in_by'),
+  ('ticket.check_out_by'), ('parking_log.ticket_id'), ('parking_log.staff_id'), ('payment.ticket_id'),
+  ('payment.payment_method_id')),
+o AS (
+  SELECT 'vehicle.customer_id' AS fk, COUNT(*) AS n FROM pk_vehicle c WHERE NOT EXISTS (SELECT 1 FROM pk_customer p WHERE p.customer_id = c.customer_id)
+  UNION ALL SELECT 'vehicle.vehicle_type_id', COUNT(*) FROM pk_vehicle c WHERE NOT EXISTS (SELECT 1 FROM pk_vehicle_type p WHERE p.vehicle_type_id = c.vehicle_type_id)
+  UNION ALL SELECT 'parking_slot.area_id', COUNT(*) FROM pk_parking_slot c WHERE NOT EXISTS (SELECT 1 FROM pk_parking_area p WHERE p.area_id = c.area_id)
+  UNION ALL SELECT 'pricing_rules.vehicle_type_id', COUNT(*) FROM pk_pricing_rules c WHERE NOT EXISTS (SELECT 1 FROM pk_vehicle_type p WHERE p.vehicle_type_id = c.vehicle_type_id)
+  UNION ALL SELECT 'ticket.vehicle_id', COUNT(*) FROM pk_ticket c WHERE NOT EXISTS (SELECT 1 FROM pk_vehicle p WHERE p.vehicle_id = c.vehicle_id)
+  UNION ALL SELECT 'ticket.slot_id', COUNT(*) FROM pk_ticket c WHERE c.slot_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pk_parking_slot p WHERE p.slot_id = c.slot_id)
+  UNION ALL SELECT 'ticket.check_in_by', COUNT(*) FROM pk_ticket c WHERE c.check_in_by IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pk_staff p WHERE p.staff_id = c.check_in_by)
+  UNION ALL SELECT 'ticket.check_out_by', COUNT(*) FROM pk_ticket c WHERE c.check_out_by IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pk_staff p WHERE p.staff_id = c.check_out_by)
+  UNION ALL SELECT 'parking_log.ticket_id', COUNT(*) FROM pk_parking_log c WHERE NOT EXISTS (SELECT 1 FROM pk_ticket p WHERE p.ticket_id = c.ticket_id)
+  UNION ALL SELECT 'parking_log.staff_id', COUNT(*) FROM pk_parking_log c WHERE c.staff_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pk_staff p WHERE p.staff_id = c.staff_id)
+  UNION ALL SELECT 'payment.ticket_id', COUNT(*) FROM pk_payment c WHERE NOT EXISTS (SELECT 1 FROM pk_ticket p WHERE p.ticket_id = c.ticket_id)
+  UNION ALL SELECT 'payment.payment_method_id', COUNT(*) FROM pk_payment c WHERE NOT EXISTS (SELECT 1 FROM pk_payment_method p WHERE p.payment_method_id = c.payment_method_id))
+SELECT fks.fk, CAST(COALESCE(o.n, 0) AS BIGINT) AS orphan_rows FROM fks LEFT JOIN o ON o.fk = fks.fk
+""")
+def _orphan_audit(t):
+    return audit.orphan_audit(t)
+
+
+@query("unique_audit", """
+SELECT 'staff.name' AS rule, CAST(name AS VARCHAR) AS key, CAST(COUNT(*) AS BIGINT) AS n FROM pk_staff GROUP BY name HAVING COUNT(*) > 1
+UNION ALL SELECT 'vehicle.license_plate', license_plate, CAST(COUNT(*) AS BIGINT) FROM pk_vehicle GROUP BY license_plate HAVING COUNT(*) > 1
+UNION ALL SELECT 'ticket.qr_code', qr_code, CAST(COUNT(*) AS BIGINT) FROM pk_ticket GROUP BY qr_code HAVING COUNT(*) > 1
+""")
+def _unique_audit(t):
+    return audit.unique_audit(t)
+
+
+@query("pair_log_events", """
+WITH p AS (
+  SELECT ticket_id, min(CASE WHEN action = 'entry' THEN action_time END) AS entry_time,
+         max(CASE WHEN action = 'exit' THEN action_time END) AS exit_time,
+         count_if(action = 'entry') AS entries, count_if(action = 'exit') AS exits
+  FROM pk_parking_log GROUP BY ticket_id)
+SELECT ticket_id, entry_time, exit_time,
+       CAST(floor(date_diff('second', entry_time, exit_time) / 60) AS BIGINT) AS minutes,
+       CASE WHEN exits > 0 AND entries = 0 THEN 'exit_without_entry'
+            WHEN entries > 0 AND exits = 0 THEN 'entry_without_exit'
+            WHEN exit_time < entry_time THEN 'exit_before_entry' END AS anomaly
+FROM p
+""")
+def _pair_log_events(t):
+    return audit.pair_log_events(t.parking_log)
+
+
+@query("duplicate_active_sessions", """
+WITH a AS (
+  SELECT t.ticket_id, regexp_replace(upper(v.license_plate), '[^0-9A-Z]', '', 'g') AS plate
+  FROM pk_ticket t JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id WHERE t.status = 'active'),
+d AS (SELECT plate, COUNT(*) AS n FROM a GROUP BY plate HAVING COUNT(*) > 1)
+SELECT a.plate, a.ticket_id, CAST(d.n AS BIGINT) AS n FROM a JOIN d ON d.plate = a.plate
+""")
+def _duplicate_active_sessions(t):
+    return audit.duplicate_active_sessions(t.ticket, t.vehicle)
+
+
+@query("ticket_scan_check", """
+WITH c AS (SELECT qr_code, max(ticket_id) AS ticket_id, arg_max(status, ticket_id) AS ticket_status FROM pk_ticket GROUP BY qr_code)
+SELECT s.scan_id, s.qr_code, c.ticket_id,
+       CASE c.ticket_status WHEN 'active' THEN 'ok' WHEN 'completed' THEN 'used' WHEN 'lost' THEN 'lost'
+            WHEN 'canceled' THEN 'canceled' ELSE 'unknown' END AS verdict
+FROM pk_scans s LEFT JOIN c ON c.qr_code = s.qr_code
+""")
+def _ticket_scan_check(t):
+    return audit.ticket_scan_check(t.scans, t.ticket)
+
+
+@query("slot_reconciliation", """
+WITH live AS (SELECT slot_id, COUNT(*) AS n FROM pk_ticket WHERE status = 'active' AND slot_id IS NOT NULL GROUP BY slot_id),
+j AS (SELECT COALESCE(s.slot_id, l.slot_id) AS slot_id, s.status, CAST(COALESCE(l.n, 0) AS BIGINT) AS active_sessions
+      FROM pk_parking_slot s FULL OUTER JOIN live l ON l.slot_id = s.slot_id),
+k AS (SELECT *, CASE WHEN status IS NULL THEN 'unknown_slot'
+                     WHEN status = 'Occupied' AND active_sessions = 0 THEN 'occupied_without_session'
+                     WHEN status <> 'Occupied' AND active_sessions > 0 THEN 'session_on_free_slot' END AS issue FROM j)
+SELECT slot_id, status, active_sessions, issue FROM k WHERE issue IS NOT NULL
+""")
+def _slot_reconciliation(t):
+    return audit.slot_reconciliation(t.parking_slot, t.ticket)
