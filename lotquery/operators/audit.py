@@ -133,7 +133,7 @@ def orphan_audit(t: ParkingTables) -> DataFrame:
     for parent, pcol in parents.items():
         part = getattr(t, parent).select(F.lit(parent).alias("parent"), F.col(pcol).cast("bigint").alias("key"))
         keys = part if keys is None else keys.unionByName(part)
-    orphans = refs.join(keys.distinct(), ["parent", "key"], "left_anti").groupBy("fk").agg(
+    orphans = refs.join(keys, ["parent", "key"], "left_anti").groupBy("fk").agg(
         F.count(F.lit(1)).alias("orphan_rows"))
     spark = refs.sparkSession
     all_fks = spark.createDataFrame([(fk,) for fk, *_ in FOREIGN_KEYS], "fk string")

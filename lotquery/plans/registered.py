@@ -262,3 +262,64 @@ SELECT slot_id, status, active_sessions, issue FROM k WHERE issue IS NOT NULL
 """)
 def _slot_reconciliation(t):
     return audit.slot_reconciliation(t.parking_slot, t.ticket)
+
+
+# ---------------------------------------------------------------- fee core
+
+from lotquery.operators import pricing  # noqa: E402
+
+# Oracle building blocks shared by the fee-based oracles (DuckDB dialect).
+ORACLE_MATCHED = """
+tv AS (
+  SELECT t.ticket_id, t.status, t.entry_time, t.check_out_time, t.slot_id, t.check_out_by, v.vehicle_type_id,
+         CAST(t.entry_time AS DATE) AS d,
+         hour(t.entry_time) * 3600 + minute(t.entry_time) * 60 + second(t.entry_time) AS sec,
+         CASE WHEN h.holiday IS NOT NULL THEN 'Holiday' WHEN isodow(t.entry_time) >= 6 THEN 'Weekend' ELSE 'Weekday' END AS day_type
+  FROM pk_ticket t JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id
+  LEFT JOIN (SELECT DISTINCT holiday FROM pk_holidays) h ON h.holiday = CAST(t.entry_time AS DATE)),
+matched AS (
+  SELECT tv.*, r.rule_id, r.first_hour_price, r.next_hour_price, r.max_daily_price
+  FROM tv LEFT JOIN pk_pricing_rules r
+    ON r.vehicle_type_id = tv.vehicle_type_id AND r.day_type = tv.day_type AND r.is_active
+   AND tv.d BETWEEN r.effective_from AND r.effective_to AND tv.sec >= r.start_sec AND tv.sec < r.end_sec
+  QUALIFY row_number() OVER (PARTITION BY tv.ticket_id ORDER BY r.effective_from DESC NULLS LAST, r.rule_id DESC NULLS LAST) = 1)
+"""
+
+ORACLE_FEE = ORACLE_MATCHED + f""",
+hrs AS (
+  SELECT m.*, greatest(1, CAST(ceil(date_diff('second', m.entry_time, COALESCE(m.check_out_time, TIMESTAMP '{AS_OF}')) / 3600.0) AS BIGINT)) AS hours,
+         vt.price_per_hour, vt.price_per_day
+  FROM matched m LEFT JOIN pk_vehicle_type vt ON vt.vehicle_type_id = m.vehicle_type_id),
+fees AS (
+  SELECT ticket_id, status, entry_time, check_out_time, slot_id, check_out_by, vehicle_type_id, hours, rule_id,
+         rule_id IS NULL AS needs_review,
+         CAST(CASE WHEN status = 'canceled' THEN 0
+              WHEN status = 'lost' THEN COALESCE(max_daily_price, price_per_day) * CAST(ceil(hours / 24.0) AS BIGINT)
+              WHEN rule_id IS NULL THEN (hours // 24) * least(price_per_day, 24 * price_per_hour)
+                                        + least(price_per_day, (hours % 24) * price_per_hour)
+              ELSE least(max_daily_price, first_hour_price + (least(hours, 24) - 1) * next_hour_price)
+                   + (greatest(hours - 24, 0) // 24) * least(max_daily_price, 24 * next_hour_price)
+                   + least(max_daily_price, (greatest(hours - 24, 0) % 24) * next_hour_price) END AS DECIMAL(18,2)) AS fee
+  FROM hrs)
+"""
+
+
+@query("match_pricing_rule", "WITH " + ORACLE_MATCHED + """
+SELECT ticket_id, vehicle_type_id, day_type, rule_id, CAST(first_hour_price AS DOUBLE) AS first_hour_price,
+       CAST(next_hour_price AS DOUBLE) AS next_hour_price, CAST(max_daily_price AS DOUBLE) AS max_daily_price,
+       rule_id IS NULL AS needs_review
+FROM matched
+""")
+def _match_pricing_rule(t):
+    m = pricing.match_pricing_rule(t.ticket, t.vehicle, t.pricing_rules, t.holidays)
+    return m.select("ticket_id", "vehicle_type_id", "day_type", "rule_id",
+                    *[m[c].cast("double").alias(c) for c in ("first_hour_price", "next_hour_price", "max_daily_price")],
+                    "needs_review")
+
+
+@query("parking_fee", "WITH " + ORACLE_FEE + """
+SELECT ticket_id, status, hours, rule_id, CAST(fee AS DOUBLE) AS fee, needs_review FROM fees
+""")
+def _parking_fee(t):
+    f = pricing.parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, AS_OF)
+    return f.select("ticket_id", "status", "hours", "rule_id", f.fee.cast("double").alias("fee"), "needs_review")
