@@ -96,8 +96,8 @@ def safe_int(c: str | Column, default: int | None = None) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """``Math.round(part / whole * 100)`` (half-up), 0 when whole is 0."""
-    ratio = part.cast("decimal(38,10)") * 100 / whole.cast("decimal(38,10)")
-    return F.when(whole > 0, F.floor(ratio + F.lit(0.5).cast("decimal(2,1)"))).otherwise(F.lit(0)).cast("int")
+    rounded = F.floor((200 * part + whole) / (2 * whole))
+    return F.when(whole > 0, rounded).otherwise(F.lit(0)).cast("int")
 
 
 def age_text(ts: str | Column, as_of: Column) -> Column:

@@ -323,3 +323,212 @@ SELECT ticket_id, status, hours, rule_id, CAST(fee AS DOUBLE) AS fee, needs_revi
 def _parking_fee(t):
     f = pricing.parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, AS_OF)
     return f.select("ticket_id", "status", "hours", "rule_id", f.fee.cast("double").alias("fee"), "needs_review")
+
+
+# ---------------------------------------------------------------- reports
+
+from lotquery.operators import reports  # noqa: E402
+
+_PCT = "CAST(CASE WHEN {w} > 0 THEN (200 * {p} + {w}) // (2 * {w}) ELSE 0 END AS INTEGER)"
+
+
+@query("zone_summary", """
+WITH per AS (SELECT area_id, COUNT(*) AS total, count_if(status = 'Occupied') AS occupied FROM pk_parking_slot GROUP BY area_id),
+z AS (SELECT a.area_id, a.area_code, CAST(COALESCE(per.total, 0) AS BIGINT) AS total, CAST(COALESCE(per.occupied, 0) AS BIGINT) AS occupied
+      FROM pk_parking_area a LEFT JOIN per ON per.area_id = a.area_id)
+SELECT area_id, area_code, total, occupied, """ + _PCT.format(p="occupied", w="total") + """ AS pct,
+       CASE WHEN """ + _PCT.format(p="occupied", w="total") + """ >= 80 THEN 'Full'
+            WHEN """ + _PCT.format(p="occupied", w="total") + """ >= 40 THEN 'Busy' ELSE 'Open' END AS label
+FROM z
+""")
+def _zone_summary(t):
+    return reports.zone_summary(t.parking_slot, t.parking_area)
+
+
+@query("floor_occupancy", """
+WITH s AS (SELECT a.floor_id, s.status FROM pk_parking_slot s LEFT JOIN pk_parking_area a ON a.area_id = s.area_id),
+r AS (SELECT floor_id, GROUPING(floor_id) = 1 AS is_total, CAST(count_if(status = 'Occupied') AS BIGINT) AS occupied,
+             CAST(COUNT(*) AS BIGINT) AS total FROM s GROUP BY ROLLUP (floor_id))
+SELECT floor_id, is_total, occupied, total, """ + _PCT.format(p="occupied", w="total") + """ AS pct FROM r
+""")
+def _floor_occupancy(t):
+    return reports.floor_occupancy(t.parking_slot, t.parking_area)
+
+
+@query("vehicle_type_share", """
+WITH per AS (SELECT v.vehicle_type_id, COUNT(*) AS n FROM pk_ticket t JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id
+             WHERE t.status = 'active' GROUP BY v.vehicle_type_id),
+z AS (SELECT vt.vehicle_type_id, vt.type_name, CAST(COALESCE(per.n, 0) AS BIGINT) AS active_sessions
+      FROM pk_vehicle_type vt LEFT JOIN per ON per.vehicle_type_id = vt.vehicle_type_id),
+tot AS (SELECT SUM(active_sessions) AS total FROM z)
+SELECT vehicle_type_id, type_name, active_sessions,
+       CASE WHEN total > 0 THEN ((2 * active_sessions * 100 * 100 + total) // (2 * total)) / 100.0 ELSE 0.0 END AS share_pct
+FROM z, tot
+""")
+def _vehicle_type_share(t):
+    return reports.vehicle_type_share(t.ticket, t.vehicle, t.vehicle_type)
+
+
+@query("slot_status_breakdown", """
+SELECT a.area_id, a.area_code,
+  CAST(count_if(s.status = 'Empty') AS BIGINT) AS empty, CAST(count_if(s.status = 'Occupied') AS BIGINT) AS occupied,
+  CAST(count_if(s.status = 'Reserved') AS BIGINT) AS reserved, CAST(count_if(s.status = 'Maintenance') AS BIGINT) AS maintenance,
+  CAST(count_if(s.status = 'Locked') AS BIGINT) AS locked
+FROM pk_parking_area a LEFT JOIN pk_parking_slot s ON s.area_id = a.area_id
+GROUP BY a.area_id, a.area_code
+""")
+def _slot_status_breakdown(t):
+    return reports.slot_status_breakdown(t.parking_slot, t.parking_area)
+
+
+@query("revenue_report", """
+WITH p AS (
+  SELECT date_trunc('month', p.payment_time) AS period, vt.type_name, p.final_amount
+  FROM pk_payment p JOIN pk_ticket t ON t.ticket_id = p.ticket_id JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id
+  LEFT JOIN pk_vehicle_type vt ON vt.vehicle_type_id = v.vehicle_type_id
+  WHERE p.status = 'paid')
+SELECT period, type_name, CAST(SUM(final_amount) AS DOUBLE) AS net_revenue, CAST(COUNT(*) AS BIGINT) AS payments,
+       CAST(GROUPING(period, type_name) AS INTEGER) AS level
+FROM p GROUP BY ROLLUP (period, type_name)
+""")
+def _revenue_report(t):
+    return reports.revenue_report(t.payment, t.ticket, t.vehicle, t.vehicle_type, "month")
+
+
+@query("shift_reconciliation", "WITH " + ORACLE_FEE + """,
+pt AS (SELECT ticket_id, SUM(CASE WHEN status = 'paid' THEN final_amount END) AS paid,
+              SUM(CASE WHEN status = 'refunded' THEN final_amount END) AS refunded,
+              SUM(CASE WHEN status = 'unpaid' THEN final_amount END) AS unpaid
+       FROM pk_payment GROUP BY ticket_id),
+g AS (
+  SELECT f.check_out_by AS staff_id, date_trunc('day', f.check_out_time - INTERVAL 6 HOUR) AS shift_day,
+         CASE WHEN hour(f.check_out_time) >= 6 AND hour(f.check_out_time) < 14 THEN 'morning'
+              WHEN hour(f.check_out_time) >= 14 AND hour(f.check_out_time) < 22 THEN 'evening' ELSE 'night' END AS shift,
+         COUNT(*) AS sessions, SUM(f.fee) AS fee_due, COALESCE(SUM(pt.paid), 0) AS paid,
+         COALESCE(SUM(pt.refunded), 0) AS refunded, COALESCE(SUM(pt.unpaid), 0) AS unpaid
+  FROM fees f LEFT JOIN pt ON pt.ticket_id = f.ticket_id
+  WHERE f.check_out_time IS NOT NULL
+  GROUP BY ALL)
+SELECT staff_id, shift_day, shift, CAST(sessions AS BIGINT) AS sessions, CAST(fee_due AS DOUBLE) AS fee_due,
+       CAST(paid AS DOUBLE) AS paid, CAST(refunded AS DOUBLE) AS refunded, CAST(unpaid AS DOUBLE) AS unpaid,
+       CAST(fee_due - paid AS DOUBLE) AS difference, fee_due - paid <> 0 AS flagged
+FROM g
+""")
+def _shift_reconciliation(t):
+    fees = pricing.parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, AS_OF)
+    fees = fees.join(t.ticket.select("ticket_id", "check_out_by"), "ticket_id")
+    return reports.shift_reconciliation(fees, t.payment)
+
+
+@query("peak_hours", """
+WITH e AS (SELECT entry_time AS ts, 1 AS is_entry FROM pk_ticket
+           UNION ALL SELECT check_out_time, 0 FROM pk_ticket WHERE check_out_time IS NOT NULL),
+c AS (SELECT isodow(ts) AS dow, hour(ts) AS hour, count_if(is_entry = 1) AS entries, count_if(is_entry = 0) AS exits FROM e GROUP BY ALL),
+cells AS (SELECT CAST(i // 24 + 1 AS INTEGER) AS dow, CAST(i % 24 AS INTEGER) AS hour FROM range(168) r(i))
+SELECT cells.dow, cells.hour, CAST(COALESCE(c.entries, 0) AS BIGINT) AS entries, CAST(COALESCE(c.exits, 0) AS BIGINT) AS exits
+FROM cells LEFT JOIN c ON c.dow = cells.dow AND c.hour = cells.hour
+""")
+def _peak_hours(t):
+    return reports.peak_hours(t.ticket)
+
+
+CAPACITY_THRESHOLD, CAPACITY_MIN_FREE = 76, 30
+
+
+@query("capacity_alerts", f"""
+WITH z AS (SELECT area_id, COUNT(*) AS total, count_if(status = 'Occupied') AS occupied, count_if(status = 'Empty') AS assignable
+           FROM pk_parking_slot GROUP BY area_id),
+live AS (SELECT s.area_id, COUNT(*) AS active_sessions FROM pk_ticket t JOIN pk_parking_slot s ON s.slot_id = t.slot_id
+         WHERE t.status = 'active' GROUP BY s.area_id),
+j AS (SELECT a.area_id, a.area_code, CAST(COALESCE(z.total, 0) AS BIGINT) AS total, CAST(COALESCE(z.occupied, 0) AS BIGINT) AS occupied,
+             CAST(COALESCE(z.assignable, 0) AS BIGINT) AS assignable, CAST(COALESCE(live.active_sessions, 0) AS BIGINT) AS active_sessions
+      FROM pk_parking_area a LEFT JOIN z ON z.area_id = a.area_id LEFT JOIN live ON live.area_id = a.area_id),
+k AS (SELECT *, {_PCT.format(p="occupied", w="total")} AS pct FROM j)
+SELECT area_id, area_code, total, occupied, assignable, active_sessions, pct, 'occupancy' AS alert FROM k WHERE total > 0 AND pct >= {CAPACITY_THRESHOLD}
+UNION ALL SELECT area_id, area_code, total, occupied, assignable, active_sessions, pct, 'low_free' FROM k WHERE assignable < {CAPACITY_MIN_FREE}
+UNION ALL SELECT area_id, area_code, total, occupied, assignable, active_sessions, pct, 'over_capacity' FROM k WHERE active_sessions > total
+""")
+def _capacity_alerts(t):
+    return reports.capacity_alerts(t.parking_slot, t.parking_area, t.ticket, CAPACITY_THRESHOLD, CAPACITY_MIN_FREE)
+
+
+@query("audit_summary", """
+SELECT staff_id, action, date_trunc('day', event_time) AS day, CAST(COUNT(*) AS BIGINT) AS n,
+       CAST(count_if(hour(event_time) < 6 OR hour(event_time) >= 22) AS BIGINT) AS off_hours,
+       CASE WHEN action IN ('role_change', 'config_change') AND count_if(hour(event_time) < 6 OR hour(event_time) >= 22) > 0
+            THEN 'off_hours_admin' END AS flag
+FROM pk_auth_event GROUP BY staff_id, action, date_trunc('day', event_time)
+""")
+def _audit_summary(t):
+    return reports.audit_summary(t.auth_event)
+
+
+@query("revenue_delta", """
+WITH daily AS (SELECT CAST(payment_time AS DATE) AS d, SUM(amount) AS rev FROM pk_payment WHERE payment_time IS NOT NULL GROUP BY 1),
+cal AS (SELECT CAST(g AS DATE) AS d FROM (SELECT min(d) AS lo, max(d) AS hi FROM daily) s, generate_series(s.lo, s.hi, INTERVAL 1 DAY) AS t(g)),
+c AS (SELECT cal.d, COALESCE(daily.rev, 0) AS rev FROM cal LEFT JOIN daily ON daily.d = cal.d),
+j AS (SELECT c.d, CAST(c.rev * 100 AS BIGINT) AS cur, c.rev, p.rev AS prev, CAST(p.rev * 100 AS BIGINT) AS pc
+      FROM c LEFT JOIN c p ON p.d = c.d - INTERVAL 1 DAY)
+SELECT CAST(d AS TIMESTAMP) AS day, CAST(rev AS DOUBLE) AS revenue, CAST(prev AS DOUBLE) AS prev_revenue,
+       CASE WHEN prev > 0 THEN sign((cur - pc) * 100) * ((2 * abs((cur - pc) * 100) * 100 + pc) // (2 * pc)) / 100.0 END AS pct_change
+FROM j
+""")
+def _revenue_delta(t):
+    return reports.revenue_delta(t.payment)
+
+
+RECENT_K = 10
+
+
+@query("recent_activity", f"""
+WITH top AS (SELECT log_id, ticket_id, action, action_time FROM pk_parking_log WHERE action_time <= TIMESTAMP '{AS_OF}'
+             ORDER BY action_time DESC, log_id DESC LIMIT {RECENT_K})
+SELECT top.log_id, v.license_plate, top.action, a.area_code, top.action_time,
+       '~' || CAST(CAST(floor(date_diff('second', top.action_time, TIMESTAMP '{AS_OF}') / 3600) AS BIGINT) AS VARCHAR) || 'h ago' AS age
+FROM top LEFT JOIN pk_ticket t ON t.ticket_id = top.ticket_id LEFT JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id
+LEFT JOIN pk_parking_slot s ON s.slot_id = t.slot_id LEFT JOIN pk_parking_area a ON a.area_id = s.area_id
+""")
+def _recent_activity(t):
+    return reports.recent_activity(t.parking_log, t.ticket, t.vehicle, t.parking_slot, t.parking_area, AS_OF, RECENT_K)
+
+
+@query("entry_exit_log", """
+WITH f AS (SELECT ticket_id, SUM(final_amount) AS fee FROM pk_payment WHERE status = 'paid' GROUP BY ticket_id)
+SELECT t.ticket_id, v.license_plate, vt.type_name, s.slot_code, t.entry_time, t.check_out_time AS exit_time,
+       CAST(floor(date_diff('second', t.entry_time, t.check_out_time) / 60) AS BIGINT) AS minutes, CAST(f.fee AS DOUBLE) AS fee
+FROM pk_ticket t LEFT JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id
+LEFT JOIN pk_vehicle_type vt ON vt.vehicle_type_id = v.vehicle_type_id
+LEFT JOIN pk_parking_slot s ON s.slot_id = t.slot_id LEFT JOIN f ON f.ticket_id = t.ticket_id
+""")
+def _entry_exit_log(t):
+    return reports.entry_exit_log(t.ticket, t.vehicle, t.vehicle_type, t.parking_slot, t.payment)
+
+
+MAX_STAY = 2880
+
+
+@query("exception_report", "WITH " + ORACLE_FEE + f""",
+tpv AS (SELECT t.*, v.license_plate, v.vehicle_type_id FROM pk_ticket t LEFT JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id),
+pt AS (SELECT ticket_id, SUM(CASE WHEN status = 'paid' THEN amount END) AS paid_amount FROM pk_payment GROUP BY ticket_id HAVING paid_amount IS NOT NULL),
+mins AS (SELECT ticket_id, CAST(floor(date_diff('second', entry_time, COALESCE(check_out_time, TIMESTAMP '{AS_OF}')) / 60) AS BIGINT) AS m FROM pk_ticket)
+SELECT ticket_id, 'lost_ticket' AS kind, qr_code AS detail FROM pk_ticket WHERE status = 'lost'
+UNION ALL
+SELECT ticket_id, 'plate_mismatch', license_plate_snapshot || ' vs ' || license_plate FROM tpv
+WHERE license_plate_snapshot IS NOT NULL
+  AND regexp_replace(upper(license_plate_snapshot), '[^0-9A-Z]', '', 'g') <> regexp_replace(upper(license_plate), '[^0-9A-Z]', '', 'g')
+UNION ALL
+SELECT ticket_id, 'overtime', CAST(m AS VARCHAR) FROM mins WHERE m > {MAX_STAY}
+UNION ALL
+SELECT tpv.ticket_id, 'wrong_zone', s.slot_type FROM tpv JOIN pk_parking_slot s ON s.slot_id = tpv.slot_id
+LEFT JOIN pk_slot_type_map m ON m.slot_type = s.slot_type
+WHERE m.vehicle_type_id IS NULL OR m.vehicle_type_id <> tpv.vehicle_type_id
+UNION ALL
+SELECT pt.ticket_id, 'fee_override', CAST(CAST(pt.paid_amount AS DECIMAL(18,2)) AS VARCHAR) || ' vs ' || CAST(fees.fee AS VARCHAR)
+FROM pt JOIN fees ON fees.ticket_id = pt.ticket_id WHERE pt.paid_amount <> fees.fee
+UNION ALL
+SELECT t.ticket_id, 'unpaid', t.status FROM pk_ticket t
+WHERE t.status IN ('completed', 'lost') AND NOT EXISTS (SELECT 1 FROM pt WHERE pt.ticket_id = t.ticket_id)
+""")
+def _exception_report(t):
+    fees = pricing.parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, AS_OF)
+    return reports.exception_report(t, fees, MAX_STAY, AS_OF)
