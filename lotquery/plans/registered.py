@@ -532,3 +532,123 @@ WHERE t.status IN ('completed', 'lost') AND NOT EXISTS (SELECT 1 FROM pt WHERE p
 def _exception_report(t):
     fees = pricing.parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, AS_OF)
     return reports.exception_report(t, fees, MAX_STAY, AS_OF)
+
+
+# ---------------------------------------------------------------- windows
+
+from lotquery.operators import windows as win  # noqa: E402
+
+# Slot and auth events are dated 2024 while sessions end by 2001, so event
+# operators take their own as-of: the end of the event month (decision).
+EVENTS_AS_OF = "2024-02-01 00:00:00"
+
+_LEGAL = """COALESCE(from_status = to_status
+  OR (from_status = 'Empty' AND to_status IN ('Occupied', 'Reserved', 'Maintenance', 'Locked'))
+  OR (from_status = 'Occupied' AND to_status = 'Empty')
+  OR (from_status = 'Reserved' AND to_status IN ('Empty', 'Occupied'))
+  OR (from_status = 'Maintenance' AND to_status = 'Empty')
+  OR (from_status = 'Locked' AND to_status = 'Empty'), false)"""
+
+ORACLE_TRANSITIONS = """
+tr AS (
+  SELECT event_id, slot_id, event_time, lag(status) OVER w AS from_status, status AS to_status, lag(event_id) OVER w AS prev_id
+  FROM pk_slot_event WINDOW w AS (PARTITION BY slot_id ORDER BY event_time, event_id))
+"""
+
+
+@query("slot_transitions", "WITH " + ORACLE_TRANSITIONS + f"""
+SELECT event_id, slot_id, event_time, from_status, to_status, {_LEGAL} AS is_legal FROM tr WHERE prev_id IS NOT NULL
+""")
+def _slot_transitions(t):
+    return win.slot_transitions(t.slot_event)
+
+
+ORACLE_INTERVALS = f"""
+iv_e AS (
+  SELECT slot_id, status, event_time, lead(event_time) OVER (PARTITION BY slot_id ORDER BY event_time, event_id) AS nt
+  FROM pk_slot_event WHERE event_time <= TIMESTAMP '{EVENTS_AS_OF}'),
+iv AS (
+  SELECT slot_id, status, CAST(COUNT(*) AS BIGINT) AS intervals,
+         CAST(floor(CAST(SUM(epoch_us(COALESCE(nt, TIMESTAMP '{EVENTS_AS_OF}')) - epoch_us(event_time)) AS DOUBLE) / 60000000) AS BIGINT) AS minutes
+  FROM iv_e GROUP BY slot_id, status)
+"""
+
+
+@query("status_intervals", "WITH " + ORACLE_INTERVALS + "SELECT slot_id, status, intervals, minutes FROM iv")
+def _status_intervals(t):
+    return win.status_intervals(t.slot_event, EVENTS_AS_OF)
+
+
+@query("latest_slot_status", """
+WITH l AS (SELECT slot_id, status FROM pk_slot_event
+           QUALIFY row_number() OVER (PARTITION BY slot_id ORDER BY event_time DESC, event_id DESC) = 1)
+SELECT s.slot_id, COALESCE(l.status, s.status) AS status, CASE WHEN l.status IS NOT NULL THEN 'event' ELSE 'table' END AS source
+FROM pk_parking_slot s LEFT JOIN l ON l.slot_id = s.slot_id
+""")
+def _latest_slot_status(t):
+    return win.latest_slot_status(t.slot_event, t.parking_slot)
+
+
+_F = "(({t}) // 86400 * 3600 + least(greatest((({t}) % 86400) - {b} * 3600, 0), 3600))"
+
+
+@query("occupancy_profile", f"""
+WITH s AS (
+  SELECT sl.area_id, date_diff('second', TIMESTAMP '1970-01-01 00:00:00', t.entry_time) AS a,
+         least(date_diff('second', TIMESTAMP '1970-01-01 00:00:00', COALESCE(t.check_out_time, TIMESTAMP '{AS_OF}')),
+               date_diff('second', TIMESTAMP '1970-01-01 00:00:00', TIMESTAMP '{AS_OF}')) AS b
+  FROM pk_ticket t JOIN pk_parking_slot sl ON sl.slot_id = t.slot_id
+  WHERE t.slot_id IS NOT NULL AND t.entry_time < TIMESTAMP '{AS_OF}'),
+s2 AS (SELECT * FROM s WHERE b > a),
+k AS (SELECT (min(a) // 86400) * 86400 AS p0, date_diff('second', TIMESTAMP '1970-01-01 00:00:00', TIMESTAMP '{AS_OF}') AS now_s FROM s2),
+bands AS (SELECT CAST(i AS BIGINT) AS band FROM range(24) r(i)),
+ov AS (SELECT s2.area_id, bands.band, SUM({_F.format(t="s2.b", b="bands.band")} - {_F.format(t="s2.a", b="bands.band")}) AS occ
+       FROM s2, bands GROUP BY ALL),
+av AS (SELECT ov.area_id, ov.band,
+              CASE WHEN den > 0 THEN ((2 * occ * 10000 + den) // (2 * den)) / 10000.0 END AS avg_occupancy
+       FROM (SELECT ov.*, {_F.format(t="k.now_s", b="ov.band")} - {_F.format(t="k.p0", b="ov.band")} AS den FROM ov, k) ov),
+ev AS (SELECT area_id, t, SUM(d) AS d FROM (SELECT area_id, a AS t, 1 AS d FROM s2 UNION ALL SELECT area_id, b, -1 FROM s2) GROUP BY ALL),
+lv AS (SELECT area_id, t, SUM(d) OVER (PARTITION BY area_id ORDER BY t) AS level,
+              COALESCE(lead(t) OVER (PARTITION BY area_id ORDER BY t), (SELECT now_s FROM k)) AS e FROM ev),
+seg AS (SELECT area_id, level, t, CASE WHEN e - t >= 86400 THEN 24 ELSE (e - 1) // 3600 - t // 3600 + 1 END AS n FROM lv WHERE e > t),
+cov AS (SELECT area_id, level, CAST((t // 3600 + unnest(range(least(n, 24)))) % 24 AS BIGINT) AS band FROM seg),
+pk AS (SELECT area_id, band, max(level) AS peak FROM cov GROUP BY ALL)
+SELECT av.area_id, CAST(av.band AS INTEGER) AS band, av.avg_occupancy, CAST(COALESCE(pk.peak, 0) AS BIGINT) AS peak
+FROM av LEFT JOIN pk ON pk.area_id = av.area_id AND pk.band = av.band
+""")
+def _occupancy_profile(t):
+    return win.occupancy_profile(t.ticket, t.parking_slot, AS_OF)
+
+
+FORECAST_K = 5
+
+
+@query("peak_forecast", f"""
+WITH c AS (SELECT isodow(entry_time) AS dow, hour(entry_time) AS hour, COUNT(*) AS entries FROM pk_ticket GROUP BY ALL),
+s AS (SELECT date_diff('day', CAST(min(entry_time) AS DATE), CAST(max(entry_time) AS DATE)) + 1 AS ndays,
+             isodow(min(entry_time)) AS dow_lo FROM pk_ticket),
+j AS (SELECT c.*, ndays // 7 + CASE WHEN ((c.dow - s.dow_lo) % 7 + 7) % 7 < ndays % 7 THEN 1 ELSE 0 END AS days FROM c, s)
+SELECT CAST(dow AS INTEGER) AS dow, CAST(hour AS INTEGER) AS hour, CAST(entries AS BIGINT) AS entries, CAST(days AS BIGINT) AS days,
+       ((2 * entries * 10000 + days) // (2 * days)) / 10000.0 AS expected
+FROM j ORDER BY expected DESC, dow, hour LIMIT {FORECAST_K}
+""")
+def _peak_forecast(t):
+    return win.peak_forecast(t.ticket, FORECAST_K)
+
+
+@query("slot_utilization", "WITH " + ORACLE_INTERVALS + """,
+sess AS (SELECT slot_id, COUNT(*) AS sessions,
+                CAST(SUM(floor(date_diff('second', entry_time, check_out_time) / 60)) AS BIGINT) AS m,
+                COUNT(check_out_time) AS c
+         FROM pk_ticket WHERE slot_id IS NOT NULL GROUP BY slot_id),
+paid AS (SELECT t.slot_id, SUM(p.amt) AS net
+         FROM (SELECT ticket_id, SUM(final_amount) AS amt FROM pk_payment WHERE status = 'paid' GROUP BY ticket_id) p
+         JOIN pk_ticket t ON t.ticket_id = p.ticket_id GROUP BY t.slot_id)
+SELECT s.slot_id, CAST(COALESCE(sess.sessions, 0) AS BIGINT) AS sessions,
+       CASE WHEN sess.c > 0 THEN sign(sess.m) * ((2 * abs(sess.m) * 100 + sess.c) // (2 * sess.c)) / 100.0 END AS avg_minutes,
+       CAST(COALESCE(paid.net, 0) AS DOUBLE) AS net_revenue, CAST(COALESCE(iv.minutes, 0) AS BIGINT) AS maintenance_minutes
+FROM pk_parking_slot s LEFT JOIN sess ON sess.slot_id = s.slot_id LEFT JOIN paid ON paid.slot_id = s.slot_id
+LEFT JOIN iv ON iv.slot_id = s.slot_id AND iv.status = 'Maintenance'
+""")
+def _slot_utilization(t):
+    return win.slot_utilization(t.parking_slot, t.ticket, t.payment, t.slot_event, EVENTS_AS_OF)
