@@ -652,3 +652,96 @@ LEFT JOIN iv ON iv.slot_id = s.slot_id AND iv.status = 'Maintenance'
 """)
 def _slot_utilization(t):
     return win.slot_utilization(t.parking_slot, t.ticket, t.payment, t.slot_event, EVENTS_AS_OF)
+
+
+# ---------------------------------------------------------------- allocation, booking, registration
+
+from lotquery.operators import booking  # noqa: E402
+
+
+@query("assignable_slots", """
+WITH per AS (SELECT m.vehicle_type_id, s.area_id, COUNT(*) AS n
+             FROM pk_parking_slot s JOIN pk_slot_type_map m ON m.slot_type = s.slot_type
+             WHERE s.status = 'Empty' GROUP BY ALL)
+SELECT vt.vehicle_type_id, vt.type_name, per.area_id, CAST(COALESCE(per.n, 0) AS BIGINT) AS assignable
+FROM pk_vehicle_type vt LEFT JOIN per ON per.vehicle_type_id = vt.vehicle_type_id
+""")
+def _assignable_slots(t):
+    return booking.assignable_slots(t.parking_slot, t.slot_type_map, t.vehicle_type)
+
+
+@query("bookable_slots", """
+WITH compat AS (SELECT s.slot_id, m.vehicle_type_id FROM pk_parking_slot s JOIN pk_slot_type_map m ON m.slot_type = s.slot_type
+                WHERE s.status NOT IN ('Maintenance', 'Locked')),
+live AS (SELECT slot_id, from_time, to_time FROM pk_reservation WHERE state = 'confirmed'),
+blk AS (SELECT DISTINCT q.request_id, c.slot_id FROM pk_booking_requests q
+        JOIN compat c ON c.vehicle_type_id = q.vehicle_type_id
+        JOIN live l ON l.slot_id = c.slot_id AND q.from_time < l.to_time AND l.from_time < q.to_time),
+cnt AS (SELECT vehicle_type_id, COUNT(*) AS candidates FROM compat GROUP BY ALL),
+b AS (SELECT request_id, COUNT(*) AS blocked FROM blk GROUP BY ALL),
+f AS (SELECT q.request_id, min(c.slot_id) AS first_slot_id FROM pk_booking_requests q
+      JOIN compat c ON c.vehicle_type_id = q.vehicle_type_id
+      WHERE NOT EXISTS (SELECT 1 FROM blk WHERE blk.request_id = q.request_id AND blk.slot_id = c.slot_id)
+      GROUP BY q.request_id)
+SELECT q.request_id, q.vehicle_type_id, CAST(COALESCE(cnt.candidates, 0) AS BIGINT) AS candidates,
+       CAST(COALESCE(b.blocked, 0) AS BIGINT) AS blocked,
+       CAST(COALESCE(cnt.candidates, 0) - COALESCE(b.blocked, 0) AS BIGINT) AS bookable, f.first_slot_id
+FROM pk_booking_requests q LEFT JOIN cnt ON cnt.vehicle_type_id = q.vehicle_type_id
+LEFT JOIN b ON b.request_id = q.request_id LEFT JOIN f ON f.request_id = q.request_id
+""")
+def _bookable_slots(t):
+    return booking.bookable_slots(t.booking_requests, t.parking_slot, t.slot_type_map, t.reservation)
+
+
+@query("arrival_booking", """
+WITH h AS (SELECT a.arrival_id, r.reservation_id FROM pk_arrivals a JOIN pk_reservation r
+             ON r.vehicle_id = a.vehicle_id AND r.state = 'confirmed' AND r.from_time <= a.arrival_time AND a.arrival_time < r.to_time
+           QUALIFY row_number() OVER (PARTITION BY a.arrival_id ORDER BY r.from_time, r.reservation_id) = 1)
+SELECT a.arrival_id, a.vehicle_id, a.arrival_time, h.reservation_id, h.reservation_id IS NOT NULL AS is_booked
+FROM pk_arrivals a LEFT JOIN h ON h.arrival_id = a.arrival_id
+""")
+def _arrival_booking(t):
+    return booking.arrival_booking(t.arrivals, t.reservation)
+
+
+@query("assign_slots", """
+WITH zones AS (SELECT area_id, COUNT(*) AS zone_total, count_if(status = 'Occupied') AS zone_occupied FROM pk_parking_slot GROUP BY area_id),
+free AS (SELECT s.slot_id, s.area_id, m.vehicle_type_id,
+                row_number() OVER (PARTITION BY m.vehicle_type_id, s.area_id ORDER BY s.slot_id) AS zone_rank
+         FROM pk_parking_slot s JOIN pk_slot_type_map m ON m.slot_type = s.slot_type WHERE s.status = 'Empty'),
+f2 AS (SELECT f.*, (z.zone_occupied + f.zone_rank) / z.zone_total AS fill FROM free f JOIN zones z ON z.area_id = f.area_id),
+f3 AS (SELECT *, row_number() OVER (PARTITION BY vehicle_type_id ORDER BY fill, slot_id) AS rank FROM f2),
+a AS (SELECT arrival_id, vehicle_type_id, row_number() OVER (PARTITION BY vehicle_type_id ORDER BY arrival_time, arrival_id) AS rank
+      FROM pk_arrivals)
+SELECT a.arrival_id, a.vehicle_type_id, f3.slot_id, f3.area_id,
+       CASE WHEN f3.slot_id IS NOT NULL THEN 'assigned' ELSE 'manual' END AS outcome
+FROM a LEFT JOIN f3 ON f3.vehicle_type_id = a.vehicle_type_id AND f3.rank = a.rank
+""")
+def _assign_slots(t):
+    return booking.assign_slots(t.arrivals, t.parking_slot, t.slot_type_map)
+
+
+@query("register_drivers", r"""
+WITH r AS (
+  SELECT request_id, full_name, license_plate, upper(""" + _JTRIM.format(c="license_plate") + r""") AS plate_norm,
+         COALESCE(CASE WHEN regexp_matches(vehicle_type_text, '^[+-]?[0-9]+$') THEN TRY_CAST(vehicle_type_text AS INTEGER) END, 1) AS vehicle_type_id,
+         COALESCE(upper(""" + _JTRIM.format(c="license_plate") + r""") <> ''
+                  AND regexp_matches(upper(""" + _JTRIM.format(c="license_plate") + r"""), '^[0-9]{2}[A-Z]-[0-9]{3}\.[0-9]{2}$'), false) AS plate_ok
+  FROM pk_registration_requests),
+r2 AS (SELECT r.*, vt.vehicle_type_id IS NOT NULL AS type_ok, tk.plate_norm IS NOT NULL AS taken
+       FROM r LEFT JOIN pk_vehicle_type vt ON vt.vehicle_type_id = r.vehicle_type_id
+       LEFT JOIN (SELECT DISTINCT upper(""" + _JTRIM.format(c="license_plate") + r""") AS plate_norm FROM pk_vehicle) tk
+         ON tk.plate_norm = r.plate_norm),
+w AS (SELECT plate_norm, min(request_id) AS winner FROM r2
+      WHERE plate_ok AND full_name IS NOT NULL AND NOT taken AND type_ok GROUP BY plate_norm),
+o AS (SELECT r2.*, CASE WHEN NOT plate_ok THEN 'bad_plate' WHEN full_name IS NULL THEN 'missing_name'
+                        WHEN taken THEN 'duplicate_plate' WHEN w.winner < r2.request_id THEN 'duplicate_plate'
+                        WHEN w.winner = r2.request_id THEN 'registered' ELSE 'unknown_vehicle_type' END AS outcome
+      FROM r2 LEFT JOIN w ON w.plate_norm = r2.plate_norm),
+k AS (SELECT request_id, row_number() OVER (ORDER BY request_id) AS seq FROM o WHERE outcome = 'registered')
+SELECT o.request_id, o.outcome, (SELECT max(customer_id) FROM pk_customer) + k.seq AS customer_id,
+       (SELECT max(vehicle_id) FROM pk_vehicle) + k.seq AS vehicle_id, o.full_name, o.license_plate, o.vehicle_type_id
+FROM o LEFT JOIN k ON k.request_id = o.request_id
+""")
+def _register_drivers(t):
+    return booking.register_drivers(t.registration_requests, t.customer, t.vehicle, t.vehicle_type)
