@@ -91,13 +91,22 @@ def slot_grid(parking_slot: DataFrame, rows: int = GRID_ROWS, cols: int = GRID_C
     The filter to in-range cells runs before the shuffle, so at most
     rows x cols groups reach the aggregate; the dense cell list comes from a
     generator on one literal row (rows x cols, fixed), not a join."""
+    return grid_cells(grid_members(parking_slot, rows, cols), rows, cols)
+
+
+def grid_members(parking_slot: DataFrame, rows: int = GRID_ROWS, cols: int = GRID_COLS) -> DataFrame:
+    """Slots whose code decodes into the grid: (slot_id, row, col, status)."""
     r, c = decode_slot_code()
-    cells = (parking_slot
-             .select(r.alias("row"), c.alias("col"), "slot_id",
-                     F.when(F.lower(F.col("status")) == "occupied", 1).otherwise(0).alias("occ"))
-             .filter((F.col("row") >= 0) & (F.col("row") < rows) & (F.col("col") >= 0) & (F.col("col") < cols))
+    return (parking_slot.select("slot_id", r.alias("row"), c.alias("col"), "status")
+            .filter((F.col("row") >= 0) & (F.col("row") < rows) & (F.col("col") >= 0) & (F.col("col") < cols)))
+
+
+def grid_cells(members: DataFrame, rows: int = GRID_ROWS, cols: int = GRID_COLS) -> DataFrame:
+    """Dense (row, col, occ) cells from decoded grid members."""
+    cells = (members.select("row", "col", "slot_id",
+                            F.when(F.lower(F.col("status")) == "occupied", 1).otherwise(0).alias("occ"))
              .groupBy("row", "col").agg(F.max_by("occ", "slot_id").alias("occ")))
-    spark = parking_slot.sparkSession
+    spark = members.sparkSession
     dense = (spark.range(rows * cols)
              .select((F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col")))
     return (F.broadcast(dense).join(cells, ["row", "col"], "left")

@@ -23,11 +23,13 @@ def tables_for(spark: SparkSession, sf_dir: str) -> ParkingTables:
     return derive_tables(spark, sf_dir)
 
 
-def query(name: str, oracle: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
-    def wrap(fn: Callable[[ParkingTables], DataFrame]):
+def query(name: str, oracle: str | None = None, raw: bool = False):
+    """Register ``fn(tables) -> DataFrame`` (or ``fn(spark, sf_dir, tables)``
+    when ``raw``, for streaming runs that need the session and source folder)."""
+    def wrap(fn: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(tables_for(spark, sf_dir))
+            tables = tables_for(spark, sf_dir)
+            return fn(spark, sf_dir, tables) if raw else fn(tables)
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -60,11 +60,11 @@ def _payments_on_day(t):
     return dash.payments_on_day(t.payment, PAY_DAY)
 
 
-@query("slot_grid", r"""
+SLOT_GRID_SQL = r"""
 WITH decoded AS (
   SELECT slot_id, status, string_split(slot_code, '-') AS parts,
          regexp_replace(string_split(slot_code, '-')[1], '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS first_part
-  FROM pk_parking_slot),
+  FROM {slots}),
 cells AS (
   SELECT ascii(CASE WHEN first_part = '' THEN 'A' ELSE upper(substr(first_part, 1, 1)) END) - 65 AS "row",
          TRY_CAST(regexp_replace(parts[2], '[^0-9]', '', 'g') AS INTEGER) - 1 AS col,
@@ -77,7 +77,10 @@ kept AS (
 dense AS (SELECT CAST(i // 5 AS INTEGER) AS "row", CAST(i % 5 AS INTEGER) AS col FROM range(25) r(i))
 SELECT d."row", d.col, CAST(COALESCE(k.occ, 0) AS INTEGER) AS occ
 FROM dense d LEFT JOIN kept k ON k."row" = d."row" AND k.col = d.col
-""")
+"""
+
+
+@query("slot_grid", SLOT_GRID_SQL.replace("{slots}", "pk_parking_slot"))
 def _slot_grid(t):
     return dash.slot_grid(t.parking_slot)
 
@@ -745,3 +748,116 @@ FROM o LEFT JOIN k ON k.request_id = o.request_id
 """)
 def _register_drivers(t):
     return booking.register_drivers(t.registration_requests, t.customer, t.vehicle, t.vehicle_type)
+
+
+# ---------------------------------------------------------------- streaming (availableNow runs)
+
+from lotquery.session import scratch_path  # noqa: E402
+from lotquery.streaming import live  # noqa: E402
+
+ONCE = {"availableNow": True}
+
+
+def _log_stream(spark, t, name):
+    """The canonical parking log written once under the shared checkpoint
+    folder, then read back as a file stream."""
+    path = scratch_path(spark, f"{name}-log")
+    t.parking_log.write.parquet(path)
+    return live.table_stream(spark, path, "parking_log")
+
+
+_LATEST_SQL = """
+SELECT s.slot_id, s.slot_code, COALESCE(l.status, s.status) AS status FROM pk_parking_slot s
+LEFT JOIN (SELECT slot_id, status FROM pk_slot_event
+           QUALIFY row_number() OVER (PARTITION BY slot_id ORDER BY event_time DESC, event_id DESC) = 1) l
+  ON l.slot_id = s.slot_id
+"""
+
+
+@query("live_slot_grid", SLOT_GRID_SQL.replace("{slots}", "(" + _LATEST_SQL + ")"), raw=True)
+def _live_slot_grid(spark, sf_dir, t):
+    """Stream the slot events through to the end; the last published grid."""
+    root = scratch_path(spark, "live_slot_grid")
+    events = live.derived_stream(spark, "pk_slot_event", live.event_stream(spark, sf_dir))
+    live.run(live.live_slot_grid(events, t.parking_slot, root, ONCE))
+    return live.latest_version(spark, f"{root}/grid").select("row", "col", "occ")
+
+
+@query("live_volumes", """
+SELECT date_trunc('hour', action_time) AS window_start, action, CAST(COUNT(*) AS BIGINT) AS n
+FROM pk_parking_log WHERE action_time IS NOT NULL GROUP BY ALL
+""", raw=True)
+def _live_volumes(spark, sf_dir, t):
+    """R2 in complete mode (the append-mode service holds back open hours)."""
+    root = scratch_path(spark, "live_volumes")
+    live.run(live.live_volumes(_log_stream(spark, t, "live_volumes"), root, ONCE, mode="complete"))
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("live_transition_check", "WITH " + ORACLE_TRANSITIONS + f"""
+SELECT event_id, slot_id, event_time, from_status, to_status, 'illegal' AS kind
+FROM tr WHERE prev_id IS NOT NULL AND NOT {_LEGAL}
+""", raw=True)
+def _live_transition_check(spark, sf_dir, t):
+    """Illegal moves (and late events) over the event stream."""
+    root = scratch_path(spark, "live_transition_check")
+    events = live.derived_stream(spark, "pk_slot_event", live.event_stream(spark, sf_dir))
+    live.run(live.live_transition_check(events, root, ONCE))
+    return spark.read.parquet(f"{root}/alerts").drop("batch")
+
+
+@query("overstay_alerts", f"""
+WITH e AS (SELECT ticket_id, action_time FROM pk_parking_log WHERE action = 'entry'),
+x AS (SELECT ticket_id, action_time FROM pk_parking_log WHERE action = 'exit'),
+w AS (SELECT least((SELECT max(action_time) FROM e), (SELECT max(action_time) FROM x)) - INTERVAL 1 HOUR AS wm)
+SELECT e.ticket_id, e.action_time AS entry_time, e.action_time + INTERVAL {MAX_STAY} MINUTE AS deadline, 'overstay' AS kind
+FROM e, w
+WHERE e.action_time + INTERVAL {MAX_STAY} MINUTE < w.wm
+  AND NOT EXISTS (SELECT 1 FROM x WHERE x.ticket_id = e.ticket_id AND x.action_time >= e.action_time
+                  AND x.action_time <= e.action_time + INTERVAL {MAX_STAY} MINUTE)
+""", raw=True)
+def _overstay_alerts(spark, sf_dir, t):
+    """Sessions with no exit within the maximum stay, as alerts."""
+    root = scratch_path(spark, "overstay_alerts")
+    live.run(live.overstay_alerts(_log_stream(spark, t, "overstay_alerts"), root, MAX_STAY, ONCE))
+    return spark.read.parquet(f"{root}/out")
+
+
+RES_MAX_WINDOW_HOURS = 24
+
+
+@query("reservation_expiry", f"""
+WITH r AS (SELECT reservation_id, slot_id, vehicle_id, from_time, to_time FROM pk_reservation WHERE state = 'confirmed'),
+a AS (SELECT arrival_id, vehicle_id, arrival_time FROM pk_arrivals),
+w AS (SELECT least((SELECT max(from_time) FROM r), (SELECT max(arrival_time) FROM a)) - INTERVAL 1 HOUR AS wm),
+m AS (SELECT r.*, a.arrival_id FROM r JOIN a ON a.vehicle_id = r.vehicle_id AND a.arrival_time >= r.from_time
+        AND a.arrival_time < r.to_time AND a.arrival_time <= r.from_time + INTERVAL {RES_MAX_WINDOW_HOURS} HOUR)
+SELECT reservation_id, slot_id, vehicle_id, from_time, to_time, arrival_id, 'fulfilled' AS outcome FROM m
+UNION ALL
+SELECT r.reservation_id, r.slot_id, r.vehicle_id, r.from_time, r.to_time, NULL, 'expired' FROM r, w
+WHERE r.from_time + INTERVAL {RES_MAX_WINDOW_HOURS} HOUR < w.wm AND NOT EXISTS (SELECT 1 FROM m WHERE m.reservation_id = r.reservation_id)
+""", raw=True)
+def _reservation_expiry(spark, sf_dir, t):
+    """Confirmed reservations fulfilled by an arrival, or expired."""
+    root = scratch_path(spark, "reservation_expiry")
+    res = live.derived_stream(spark, "pk_reservation", live.event_stream(spark, sf_dir))
+    arr = live.derived_stream(spark, "pk_arrivals", live.event_stream(spark, sf_dir), pk_vehicle=t.vehicle)
+    live.run(live.reservation_expiry(res, arr, root, RES_MAX_WINDOW_HOURS, trigger=ONCE))
+    return spark.read.parquet(f"{root}/out")
+
+
+LOCKOUT_N, LOCKOUT_MINUTES = 2, 15
+
+
+@query("lockout_alerts", f"""
+SELECT staff_id, time_bucket(INTERVAL {LOCKOUT_MINUTES} MINUTE, event_time) AS window_start,
+       time_bucket(INTERVAL {LOCKOUT_MINUTES} MINUTE, event_time) + INTERVAL {LOCKOUT_MINUTES} MINUTE AS window_end,
+       CAST(COUNT(*) AS BIGINT) AS failures
+FROM pk_auth_event WHERE action = 'login_failed' GROUP BY ALL HAVING COUNT(*) >= {LOCKOUT_N}
+""", raw=True)
+def _lockout_alerts(spark, sf_dir, t):
+    """R6 over the auth event stream (n = 2 in 15 minutes at fixture scale)."""
+    root = scratch_path(spark, "lockout_alerts")
+    auth = live.derived_stream(spark, "pk_auth_event", live.event_stream(spark, sf_dir))
+    live.run(live.lockout_alerts(auth, root, LOCKOUT_N, LOCKOUT_MINUTES, ONCE))
+    return spark.read.parquet(f"{root}/out")
