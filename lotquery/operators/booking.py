@@ -159,13 +159,10 @@ def register_drivers(requests: DataFrame, customer: DataFrame, vehicle: DataFram
     r = r.withColumn("outcome", outcome)
     ok = r.filter(F.col("outcome") == "registered").select("request_id")
     ok = ordered_position(ok, [], ["request_id"], F.floor(F.col("request_id") / 65536), name="seq")
-    base = (customer.agg(F.coalesce(F.max("customer_id"), F.lit(0)).alias("max_c"))
-            .withColumn("_lq_k", F.lit(1))
-            .join(vehicle.agg(F.coalesce(F.max("vehicle_id"), F.lit(0)).alias("max_v")).withColumn("_lq_k", F.lit(1)),
-                  "_lq_k"))
-    keys = (ok.withColumn("_lq_k", F.lit(1)).join(F.broadcast(base), "_lq_k")
-            .select("request_id", (F.col("max_c") + F.col("seq")).alias("customer_id"),
-                    (F.col("max_v") + F.col("seq")).alias("vehicle_id")))
+    max_c = customer.agg(F.coalesce(F.max("customer_id"), F.lit(0))).scalar()
+    max_v = vehicle.agg(F.coalesce(F.max("vehicle_id"), F.lit(0))).scalar()
+    keys = ok.select("request_id", (max_c + F.col("seq")).alias("customer_id"),
+                     (max_v + F.col("seq")).alias("vehicle_id"))
     return (r.join(keys, "request_id", "left")
             .select("request_id", "outcome", "customer_id", "vehicle_id", "full_name", "license_plate",
                     "vehicle_type_id"))

@@ -148,17 +148,13 @@ def dashboard_document(ticket: DataFrame, vehicle: DataFrame, parking_slot: Data
     today = payments_on_day(payment, day).select(
         F.struct(F.col("total_amount").alias("totalAmount"), F.col("transactions"), F.col("paid"),
                  F.col("unpaid")).alias("paymentsToday"))
-    doc = _one_row_join(slots, revenue, status, newest, today)
-    doc = doc.select(F.struct(F.col("slots"), F.col("total_revenue").alias("totalRevenue"), F.col("ticketStatus"),
-                              F.coalesce(F.col("currentTickets"), F.array()).alias("currentTickets"),
-                              F.col("paymentsToday")).alias("d"))
+    spark = parking_slot.sparkSession
+    doc = spark.range(1).select(F.struct(
+        slots.select("slots").scalar().alias("slots"),
+        revenue.select("total_revenue").scalar().alias("totalRevenue"),
+        status.select("ticketStatus").scalar().alias("ticketStatus"),
+        F.coalesce(newest.select("currentTickets").scalar(), F.array()).alias("currentTickets"),
+        today.select("paymentsToday").scalar().alias("paymentsToday")).alias("d"))
     return doc.select(F.to_json("d", {"ignoreNullFields": "false"}).alias("document"))
 
 
-def _one_row_join(*frames: DataFrame) -> DataFrame:
-    """Put single-row aggregates side by side (equi-join on a constant key;
-    every input has exactly one row, so the result has one row)."""
-    out = frames[0].withColumn("_k", F.lit(1))
-    for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_k", F.lit(1))), "_k")
-    return out.drop("_k")

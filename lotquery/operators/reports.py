@@ -61,11 +61,9 @@ def vehicle_type_share(ticket: DataFrame, vehicle: DataFrame, vehicle_type: Data
     types = bounded_broadcast(vehicle_type.select("vehicle_type_id", "type_name"), DIM_ROWS)
     z = types.join(per, "vehicle_type_id", "left").select(
         "vehicle_type_id", "type_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("active_sessions"))
-    total = z.agg(F.sum("active_sessions").alias("_lq_total")).withColumn("_lq_k", F.lit(1))
-    return (z.withColumn("_lq_k", F.lit(1)).join(F.broadcast(total), "_lq_k")
-            .select("vehicle_type_id", "type_name", "active_sessions",
-                    F.coalesce(ratio_half_up(F.col("active_sessions") * 100, F.col("_lq_total"), 2),
-                               F.lit(0.0)).alias("share_pct")))
+    total = z.agg(F.sum("active_sessions")).scalar()  # one value, computed once
+    return z.select("vehicle_type_id", "type_name", "active_sessions",
+                    F.coalesce(ratio_half_up(F.col("active_sessions") * 100, total, 2), F.lit(0.0)).alias("share_pct"))
 
 
 def slot_status_breakdown(parking_slot: DataFrame, parking_area: DataFrame) -> DataFrame:

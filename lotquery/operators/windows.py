@@ -111,9 +111,8 @@ def occupancy_profile(ticket: DataFrame, parking_slot: DataFrame, as_of: str | d
                .groupBy("area_id", "band")
                .agg(F.sum(_band_seconds(F.col("b"), F.col("band")) - _band_seconds(F.col("a"), F.col("band")))
                     .alias("occupied_s")))
-    p0 = sessions.agg((F.floor(F.min("a") / 86400) * 86400).alias("p0")).withColumn("_lq_k", F.lit(1))
-    avg = (overlap.withColumn("_lq_k", F.lit(1)).join(F.broadcast(p0), "_lq_k")
-           .withColumn("den", _band_seconds(now_s, F.col("band")) - _band_seconds(F.col("p0"), F.col("band"))))
+    p0 = sessions.agg(F.floor(F.min("a") / 86400) * 86400).scalar()  # period start, computed once
+    avg = overlap.withColumn("den", _band_seconds(now_s, F.col("band")) - _band_seconds(p0, F.col("band")))
     unit = 10_000
     avg = avg.select("area_id", "band", F.when(
         F.col("den") > 0, F.floor((2 * F.col("occupied_s") * unit + F.col("den")) / (2 * F.col("den"))) / unit
@@ -146,10 +145,11 @@ def peak_forecast(ticket: DataFrame, k: int = 5) -> DataFrame:
     cells = e.groupBy((F.weekday("ts") + 1).alias("dow"), F.hour("ts").alias("hour")).agg(
         F.count(F.lit(1)).alias("entries"))
     span = e.agg(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
-    span = span.select((F.datediff("hi", "lo") + 1).alias("ndays"), (F.weekday("lo") + 1).alias("dow_lo"))
-    j = cells.withColumn("_lq_k", F.lit(1)).join(F.broadcast(span.withColumn("_lq_k", F.lit(1))), "_lq_k")
-    days = (F.floor(F.col("ndays") / 7)
-            + F.when(F.pmod(F.col("dow") - F.col("dow_lo"), F.lit(7)) < F.pmod(F.col("ndays"), F.lit(7)), 1)
+    ndays = span.select(F.datediff("hi", "lo") + 1).scalar()
+    dow_lo = span.select(F.weekday("lo") + 1).scalar()
+    j = cells
+    days = (F.floor(ndays / 7)
+            + F.when(F.pmod(F.col("dow") - dow_lo, F.lit(7)) < F.pmod(ndays, F.lit(7)), 1)
             .otherwise(0)).cast("bigint")
     unit = 10_000
     expected = F.floor((2 * F.col("entries") * unit + F.col("days")) / (2 * F.col("days"))) / unit
