@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 PLATE_PATTERN = r"^[0-9]{2}[A-Z]-[0-9]{3}\.[0-9]{2}$"
 UNSAFE_SUBSTRINGS = ("'", '"', ";", "--")
 # Java String.trim() removes every char <= U+0020 at both ends, not only spaces.
-_JAVA_TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
+_JAVA_TRIM_CHARS = "".join(chr(i) for i in range(0x21))
 
 
 def col(c: str | Column) -> Column:
@@ -26,7 +26,9 @@ def ts_lit(value: str | dt.datetime) -> Column:
 
 
 def java_trim(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), _JAVA_TRIM, "")
+    """Java ``String.trim``: strip every char <= U+0020 from both ends (a plain
+    character-set trim, no regex)."""
+    return F.trim(col(c), F.lit(_JAVA_TRIM_CHARS))
 
 
 def on_day(ts: str | Column, day: str | dt.date) -> Column:

@@ -18,9 +18,17 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+_DERIVED: dict[tuple[int, str], ParkingTables] = {}
+
+
 def tables_for(spark: SparkSession, sf_dir: str) -> ParkingTables:
+    """Derived tables for ``sf_dir``, analysed once per session (they are lazy
+    plans, so reuse costs nothing and saves re-analysing 20 SQL texts)."""
     ensure_session_conf(spark)
-    return derive_tables(spark, sf_dir)
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _DERIVED:
+        _DERIVED[key] = derive_tables(spark, sf_dir)
+    return _DERIVED[key]
 
 
 def query(name: str, oracle: str | None = None, raw: bool = False):
