@@ -6,7 +6,7 @@ all rows, that task holds a third of the data.  The helpers here compute the
 same results in two levels:
 
 1. split each key's ordered rows into *blocks* (a coarse, order-preserving
-   bucket such as the hour of the timestamp);
+   bucket such as the day of the timestamp);
 2. run the window inside ``(key, block)`` - bounded by the block width - and
    carry the state across blocks with a window over the tiny per-block table
    (one row per key and block).
@@ -50,6 +50,61 @@ def _with_block(df: DataFrame, block: Column) -> DataFrame:
     return df.withColumn(_BLK, block)
 
 
+def ordered_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], block: Column,
+                 position: str | None = None, sum_of: str | None = None, sum_name: str = "running",
+                 prev_cols: Sequence[str] = (), prev_prefix: str = "prev_",
+                 next_cols: Sequence[str] = (), next_prefix: str = "next_") -> DataFrame:
+    """One pass computing, per row in ``order_cols`` order within ``keys``:
+
+    * ``position``: 1-based row number;
+    * ``sum_name``: running (inclusive) sum of ``sum_of``;
+    * ``prev_*`` / ``next_*``: values of ``prev_cols`` / ``next_cols`` from the
+      previous / next row (null at the ends of a key).
+
+    One aggregate builds the per-(key, block) table (row count, sum, first and
+    last row); one window over that small table carries offsets and edge rows
+    across blocks; one join and one window inside (key, block) finish."""
+    d = _with_block(df, block)
+    order_key = F.struct(*[F.col(c) for c in order_cols])
+    aggs = [F.count(F.lit(1)).alias("_lq_n")]
+    if sum_of is not None:
+        aggs.append(F.sum(sum_of).alias("_lq_s"))
+    if prev_cols:
+        aggs.append(F.max_by(F.struct(*[F.col(c) for c in prev_cols]), order_key).alias("_lq_last"))
+    if next_cols:
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in next_cols]), order_key).alias("_lq_first"))
+    blocks = d.groupBy(*keys, _BLK).agg(*aggs)
+    across = Window.partitionBy(*keys).orderBy(_BLK)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = [*keys, _BLK]
+    if position is not None:
+        carry.append(F.coalesce(F.sum("_lq_n").over(before), F.lit(0)).alias("_lq_noff"))
+    if sum_of is not None:
+        carry.append(F.coalesce(F.sum("_lq_s").over(before), F.lit(0)).alias("_lq_soff"))
+    if prev_cols:
+        carry.append(F.lag("_lq_last").over(across).alias("_lq_pc"))
+    if next_cols:
+        carry.append(F.lead("_lq_first").over(across).alias("_lq_nc"))
+    out = d.join(blocks.select(*carry), [*keys, _BLK])
+    inner = Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
+    if position is not None:
+        out = out.withColumn(position, (F.col("_lq_noff") + F.row_number().over(inner)).cast("bigint"))
+    if sum_of is not None:
+        run = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn(sum_name, F.col("_lq_soff") + F.sum(sum_of).over(run))
+    if prev_cols:
+        near = F.lag(F.struct(*[F.col(c) for c in prev_cols])).over(inner)
+        out = out.withColumn("_lq_pv", F.coalesce(near, F.col("_lq_pc")))
+        for c in prev_cols:
+            out = out.withColumn(f"{prev_prefix}{c}", F.col("_lq_pv")[c])
+    if next_cols:
+        near = F.lead(F.struct(*[F.col(c) for c in next_cols])).over(inner)
+        out = out.withColumn("_lq_nv", F.coalesce(near, F.col("_lq_nc")))
+        for c in next_cols:
+            out = out.withColumn(f"{next_prefix}{c}", F.col("_lq_nv")[c])
+    return out.drop(_BLK, "_lq_noff", "_lq_soff", "_lq_pc", "_lq_nc", "_lq_pv", "_lq_nv")
+
+
 def ordered_position(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Column | str], block: Column,
                      name: str = "position") -> DataFrame:
     """1-based ``row_number() over (partition by keys order by order_cols)``."""
@@ -63,40 +118,18 @@ def ordered_position(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Co
             .drop(_BLK, "_lq_off"))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Column | str], value: str,
+def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value: str,
                 block: Column, name: str = "running") -> DataFrame:
     """``sum(value) over (partition by keys order by order_cols rows unbounded preceding)``."""
-    d = _with_block(df, block)
-    totals = d.groupBy(*keys, _BLK).agg(F.sum(value).alias("_lq_s"))
-    before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _BLK, F.coalesce(F.sum("_lq_s").over(before), F.lit(0)).alias("_lq_off"))
-    inner = (Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (d.join(offsets, [*keys, _BLK])
-            .withColumn(name, F.col("_lq_off") + F.sum(value).over(inner))
-            .drop(_BLK, "_lq_off"))
+    return ordered_scan(df, keys, order_cols, block, sum_of=value, sum_name=name)
 
 
 def neighbor(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], block: Column,
              cols: Sequence[str], direction: str = "prev", prefix: str = "prev_") -> DataFrame:
     """Values of ``cols`` from the previous (``lag``) or next (``lead``) row in
     order within each key; null at the first / last row of a key."""
-    d = _with_block(df, block)
-    payload = F.struct(*[F.col(c) for c in cols])
-    order_key = F.struct(*[F.col(c) for c in order_cols])
-    across = Window.partitionBy(*keys).orderBy(_BLK)
-    inner = Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
     if direction == "prev":
-        edge = d.groupBy(*keys, _BLK).agg(F.max_by(payload, order_key).alias("_lq_edge"))
-        edge = edge.select(*keys, _BLK, F.lag("_lq_edge").over(across).alias("_lq_carry"))
-        near = F.lag(payload).over(inner)
-    elif direction == "next":
-        edge = d.groupBy(*keys, _BLK).agg(F.min_by(payload, order_key).alias("_lq_edge"))
-        edge = edge.select(*keys, _BLK, F.lead("_lq_edge").over(across).alias("_lq_carry"))
-        near = F.lead(payload).over(inner)
-    else:
-        raise ValueError(f"direction must be 'prev' or 'next', not {direction!r}")
-    out = d.join(edge, [*keys, _BLK]).withColumn("_lq_nb", F.coalesce(near, F.col("_lq_carry")))
-    for c in cols:
-        out = out.withColumn(f"{prefix}{c}", F.col("_lq_nb")[c])
-    return out.drop(_BLK, "_lq_carry", "_lq_nb")
+        return ordered_scan(df, keys, order_cols, block, prev_cols=cols, prev_prefix=prefix)
+    if direction == "next":
+        return ordered_scan(df, keys, order_cols, block, next_cols=cols, next_prefix=prefix)
+    raise ValueError(f"direction must be 'prev' or 'next', not {direction!r}")

@@ -1,7 +1,7 @@
 """Window operators W2, W3, W5, W6, W7 and the slot utilisation report A13.
 
 Every ordered scan per key (slot, zone) goes through ``functions.scan``: the
-window runs inside (key, hour block) partitions and state crosses blocks via
+window runs inside (key, day block) partitions and state crosses blocks via
 a small per-block table, so one busy slot or zone never lands in one task.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
-from lotquery.functions.scan import hour_block, neighbor, running_sum
+from lotquery.functions.scan import day_block, neighbor, ordered_scan
 
 # Fixed transition table (documented slot life cycle).  A repeat of the same
 # status is a no-op and always allowed.
@@ -40,7 +40,7 @@ def slot_transitions(slot_event: DataFrame) -> DataFrame:
     with a flag for moves outside the allowed table.  The first event of a
     slot has no predecessor and is not a transition."""
     ev = slot_event.select("event_id", "slot_id", "event_time", "status")
-    prev = neighbor(ev, ["slot_id"], ["event_time", "event_id"], hour_block("event_time"),
+    prev = neighbor(ev, ["slot_id"], ["event_time", "event_id"], day_block("event_time"),
                     ["status", "event_id"], direction="prev", prefix="prev_")
     return (prev.filter(F.col("prev_event_id").isNotNull())
             .select("event_id", "slot_id", "event_time", F.col("prev_status").alias("from_status"),
@@ -54,7 +54,7 @@ def status_intervals(slot_event: DataFrame, as_of: str | dt.datetime) -> DataFra
     per slot and status.  Events after ``as_of`` are ignored."""
     now = X.ts_lit(as_of)
     ev = slot_event.filter(F.col("event_time") <= now).select("event_id", "slot_id", "event_time", "status")
-    nxt = neighbor(ev, ["slot_id"], ["event_time", "event_id"], hour_block("event_time"),
+    nxt = neighbor(ev, ["slot_id"], ["event_time", "event_id"], day_block("event_time"),
                    ["event_time"], direction="next", prefix="next_")
     span = X.micros_between("event_time", F.coalesce(F.col("next_event_time"), now))
     return (nxt.groupBy("slot_id", "status")
@@ -121,9 +121,8 @@ def occupancy_profile(ticket: DataFrame, parking_slot: DataFrame, as_of: str | d
     deltas = (sessions.select("area_id", F.inline(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")),
                                                           F.struct(F.col("b").alias("t"), F.lit(-1).alias("d")))))
               .groupBy("area_id", "t").agg(F.sum("d").alias("d")))
-    block = F.floor(F.col("t") / 3600)
-    levels = running_sum(deltas, ["area_id"], ["t"], "d", block, name="level")
-    segs = neighbor(levels, ["area_id"], ["t"], block, ["t"], direction="next", prefix="next_")
+    segs = ordered_scan(deltas, ["area_id"], ["t"], F.floor(F.col("t") / 86400), sum_of="d", sum_name="level",
+                        next_cols=["t"], next_prefix="next_")
     segs = segs.withColumn("e", F.coalesce(F.col("next_t"), now_s)).filter(F.col("e") > F.col("t"))
     n = F.when(F.col("e") - F.col("t") >= 86400, F.lit(24)).otherwise(
         F.floor((F.col("e") - 1) / 3600) - F.floor(F.col("t") / 3600) + 1)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lotquery.functions.scan import hour_block, neighbor
+from lotquery.functions.scan import day_block, neighbor
 from lotquery.operators.dashboard import grid_cells, grid_members
 from lotquery.operators.windows import is_allowed
 from lotquery.sources.derive import DERIVATIONS
@@ -162,7 +162,7 @@ def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | Non
         seeded = (fresh.withColumn("seed", F.lit(False))
                   .unionByName(state.join(fresh.select("slot_id").distinct(), "slot_id", "left_semi")
                                .select(*cols).withColumn("seed", F.lit(True))))
-        prev = neighbor(seeded, ["slot_id"], _ORDER, hour_block("event_time"), ["status", "event_id"], "prev", "prev_")
+        prev = neighbor(seeded, ["slot_id"], _ORDER, day_block("event_time"), ["status", "event_id"], "prev", "prev_")
         illegal = (prev.filter(~F.col("seed") & F.col("prev_event_id").isNotNull()
                                & ~is_allowed(F.col("prev_status"), F.col("status")))
                    .select("event_id", "slot_id", "event_time", F.col("prev_status").alias("from_status"),
