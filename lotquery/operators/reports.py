@@ -75,20 +75,34 @@ def slot_status_breakdown(parking_slot: DataFrame, parking_area: DataFrame) -> D
                                   for s in STATUS_COLUMNS])
 
 
+REVENUE_DIMS = ("type_name", "shift", "staff_id", "gate_id")
+
+
 def revenue_report(payment: DataFrame, ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFrame,
-                   grain: str = "month") -> DataFrame:
+                   grain: str = "month", dims: tuple[str, ...] = ("type_name",)) -> DataFrame:
     """A10: net paid revenue (``final_amount`` of 'paid' payments) and payment
-    count per period (day / week / month) and vehicle type, with per-period
-    subtotals and a grand total (``rollup``; ``level`` = grouping id)."""
+    count per period (``grain``: day / week / month) and the chosen dimensions
+    (``type_name``, ``shift`` of check-out, ``staff_id`` who checked out,
+    ``gate_id``), with subtotals: ``rollup(period, *dims)``, ``level`` =
+    grouping id.  Only the ticket / vehicle columns a dimension needs are read."""
+    unknown = set(dims) - set(REVENUE_DIMS)
+    if unknown:
+        raise ValueError(f"unknown revenue dimensions: {sorted(unknown)}")
     paid = payment.filter(F.col("status") == "paid").select("ticket_id", "final_amount", "payment_time")
-    typed = (paid.join(ticket.select("ticket_id", "vehicle_id"), "ticket_id")
-             .join(vehicle.select("vehicle_id", "vehicle_type_id"), "vehicle_id")
-             .join(bounded_broadcast(vehicle_type.select("vehicle_type_id", "type_name"), DIM_ROWS),
-                   "vehicle_type_id", "left"))
+    need = {"type_name": ["vehicle_id"], "shift": ["check_out_time"], "staff_id": ["check_out_by"],
+            "gate_id": ["gate_id"]}
+    tcols = sorted({c for d in dims for c in need[d]})
+    typed = paid.join(ticket.select("ticket_id", *tcols), "ticket_id") if tcols else paid
+    if "type_name" in dims:
+        typed = (typed.join(vehicle.select("vehicle_id", "vehicle_type_id"), "vehicle_id")
+                 .join(bounded_broadcast(vehicle_type.select("vehicle_type_id", "type_name"), DIM_ROWS),
+                       "vehicle_type_id", "left"))
+    dim_cols = {"type_name": F.col("type_name"), "shift": shift_of("check_out_time")[1].alias("shift"),
+                "staff_id": F.col("check_out_by").alias("staff_id"), "gate_id": F.col("gate_id")}
     period = F.date_trunc(grain, "payment_time").alias("period")
-    r = typed.rollup(period, F.col("type_name")).agg(
+    r = typed.rollup(period, *[dim_cols[d] for d in dims]).agg(
         F.sum("final_amount").alias("net"), F.count(F.lit(1)).alias("payments"), F.grouping_id().alias("level"))
-    return r.select("period", "type_name", F.col("net").cast("double").alias("net_revenue"),
+    return r.select("period", *dims, F.col("net").cast("double").alias("net_revenue"),
                     F.col("payments").cast("bigint").alias("payments"), F.col("level").cast("int").alias("level"))
 
 

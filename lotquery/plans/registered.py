@@ -386,16 +386,17 @@ def _slot_status_breakdown(t):
 
 @query("revenue_report", """
 WITH p AS (
-  SELECT date_trunc('month', p.payment_time) AS period, vt.type_name, p.final_amount
+  SELECT date_trunc('month', p.payment_time) AS period, vt.type_name, t.gate_id, p.final_amount
   FROM pk_payment p JOIN pk_ticket t ON t.ticket_id = p.ticket_id JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id
   LEFT JOIN pk_vehicle_type vt ON vt.vehicle_type_id = v.vehicle_type_id
   WHERE p.status = 'paid')
-SELECT period, type_name, CAST(SUM(final_amount) AS DOUBLE) AS net_revenue, CAST(COUNT(*) AS BIGINT) AS payments,
-       CAST(GROUPING(period, type_name) AS INTEGER) AS level
-FROM p GROUP BY ROLLUP (period, type_name)
+SELECT period, type_name, gate_id, CAST(SUM(final_amount) AS DOUBLE) AS net_revenue, CAST(COUNT(*) AS BIGINT) AS payments,
+       CAST(GROUPING(period, type_name, gate_id) AS INTEGER) AS level
+FROM p GROUP BY ROLLUP (period, type_name, gate_id)
 """)
 def _revenue_report(t):
-    return reports.revenue_report(t.payment, t.ticket, t.vehicle, t.vehicle_type, "month")
+    """A10 by month, vehicle type and gate, with subtotals."""
+    return reports.revenue_report(t.payment, t.ticket, t.vehicle, t.vehicle_type, "month", ("type_name", "gate_id"))
 
 
 @query("shift_reconciliation", "WITH " + ORACLE_FEE + """,

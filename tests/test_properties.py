@@ -110,3 +110,16 @@ def test_bounded_broadcast_falls_back(spark):
     big = spark.range(1000)
     assert scan.bounded_broadcast(small, 100) is not small  # hinted copy
     assert scan.bounded_broadcast(big, 100) is big
+
+
+def test_revenue_report_dimensions_add_up(small_tables):
+    """Every dimension choice rolls up to the same grand total."""
+    from lotquery.operators import reports
+    totals = set()
+    for dims in [(), ("shift",), ("staff_id", "gate_id"), ("type_name", "shift")]:
+        r = reports.revenue_report(small_tables.payment, small_tables.ticket, small_tables.vehicle,
+                                   small_tables.vehicle_type, "week", dims)
+        top = r.filter(F.col("level") == (1 << (len(dims) + 1)) - 1).collect()
+        assert len(top) == 1
+        totals.add(round(top[0]["net_revenue"], 2))
+    assert len(totals) == 1
