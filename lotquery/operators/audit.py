@@ -117,8 +117,8 @@ def orphan_audit(t: ParkingTables) -> DataFrame:
     """Per foreign key, child rows whose (non-null) key has no parent.
 
     Each child table is scanned once: its foreign keys become (fk, parent, key)
-    rows; one anti-join against the union of all parent keys (tagged by parent
-    table) finds every orphan in a single shuffle.  Null keys are allowed."""
+    rows; one join against the union of all parent keys (tagged by parent
+    table) finds every orphan with one shuffle per side.  Null keys are allowed."""
     children, parents = {}, {}
     for fk, child, ccol, parent, pcol in FOREIGN_KEYS:
         children.setdefault(child, []).append((fk, parent, ccol))
@@ -133,8 +133,14 @@ def orphan_audit(t: ParkingTables) -> DataFrame:
     for parent, pcol in parents.items():
         part = getattr(t, parent).select(F.lit(parent).alias("parent"), F.col(pcol).cast("bigint").alias("key"))
         keys = part if keys is None else keys.unionByName(part)
-    orphans = refs.join(keys, ["parent", "key"], "left_anti").groupBy("fk").agg(
-        F.count(F.lit(1)).alias("orphan_rows"))
+    # A left outer join + null test, not "left_anti": the optimizer pushes an
+    # anti join below the union (one join per child table, each shuffling all
+    # parent keys); an outer join stays one join, one shuffle per side.  The
+    # distinct parent keys are hash-partitioned by (parent, key), exactly the
+    # join's distribution, so the join adds no further exchange on that side.
+    parents_present = keys.distinct().withColumn("_lq_hit", F.lit(True))
+    orphans = (refs.join(parents_present, ["parent", "key"], "left").filter(F.col("_lq_hit").isNull())
+               .groupBy("fk").agg(F.count(F.lit(1)).alias("orphan_rows")))
     spark = refs.sparkSession
     all_fks = spark.createDataFrame([(fk,) for fk, *_ in FOREIGN_KEYS], "fk string")
     return (F.broadcast(all_fks).join(orphans, "fk", "left")

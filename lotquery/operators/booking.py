@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
-from lotquery.functions.scan import bounded_broadcast, ordered_position
+from lotquery.functions.scan import bounded_broadcast, ordered_position, ordered_scan
 
 DIM_ROWS = 1_000_000
 UNAVAILABLE = ("Maintenance", "Locked")
@@ -156,16 +156,16 @@ def register_drivers(requests: DataFrame, customer: DataFrame, vehicle: DataFram
                .when(F.col("winner") < F.col("request_id"), "duplicate_plate")
                .when(F.col("winner") == F.col("request_id"), "registered")
                .otherwise("unknown_vehicle_type"))
-    r = r.withColumn("outcome", outcome)
-    ok = r.filter(F.col("outcome") == "registered").select("request_id")
-    ok = ordered_position(ok, [], ["request_id"], F.floor(F.col("request_id") / 65536), name="seq")
+    r = r.withColumn("outcome", outcome).withColumn(
+        "_lq_ok", F.when(F.col("outcome") == "registered", 1).otherwise(0))
+    # Running count of registered requests in request order = the new key's offset.
+    r = ordered_scan(r, [], ["request_id"], F.floor(F.col("request_id") / 65536), sum_of="_lq_ok", sum_name="seq")
     max_c = customer.agg(F.coalesce(F.max("customer_id"), F.lit(0))).scalar()
     max_v = vehicle.agg(F.coalesce(F.max("vehicle_id"), F.lit(0))).scalar()
-    keys = ok.select("request_id", (max_c + F.col("seq")).alias("customer_id"),
-                     (max_v + F.col("seq")).alias("vehicle_id"))
-    return (r.join(keys, "request_id", "left")
-            .select("request_id", "outcome", "customer_id", "vehicle_id", "full_name", "license_plate",
-                    "vehicle_type_id"))
+    ok = F.col("_lq_ok") == 1
+    return r.select("request_id", "outcome", F.when(ok, max_c + F.col("seq")).alias("customer_id"),
+                    F.when(ok, max_v + F.col("seq")).alias("vehicle_id"), "full_name", "license_plate",
+                    "vehicle_type_id")
 
 
 def registration_outputs(outcomes: DataFrame) -> dict[str, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
@@ -61,7 +61,9 @@ def vehicle_type_share(ticket: DataFrame, vehicle: DataFrame, vehicle_type: Data
     types = bounded_broadcast(vehicle_type.select("vehicle_type_id", "type_name"), DIM_ROWS)
     z = types.join(per, "vehicle_type_id", "left").select(
         "vehicle_type_id", "type_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("active_sessions"))
-    total = z.agg(F.sum("active_sessions")).scalar()  # one value, computed once
+    # The denominator is a window over the per-type table (one row per vehicle
+    # type: bounded by the type dimension), so the session join runs once.
+    total = F.sum("active_sessions").over(Window.partitionBy())
     return z.select("vehicle_type_id", "type_name", "active_sessions",
                     F.coalesce(ratio_half_up(F.col("active_sessions") * 100, total, 2), F.lit(0.0)).alias("share_pct"))
 

@@ -144,8 +144,8 @@ def peak_forecast(ticket: DataFrame, k: int = 5) -> DataFrame:
     cells = e.groupBy((F.weekday("ts") + 1).alias("dow"), F.hour("ts").alias("hour")).agg(
         F.count(F.lit(1)).alias("entries"))
     span = e.agg(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
-    ndays = span.select(F.datediff("hi", "lo") + 1).scalar()
-    dow_lo = span.select(F.weekday("lo") + 1).scalar()
+    bounds = span.select(F.struct((F.datediff("hi", "lo") + 1).alias("n"), (F.weekday("lo") + 1).alias("d"))).scalar()
+    ndays, dow_lo = bounds["n"], bounds["d"]
     j = cells
     days = (F.floor(ndays / 7)
             + F.when(F.pmod(F.col("dow") - dow_lo, F.lit(7)) < F.pmod(ndays, F.lit(7)), 1)
