@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
-from lotquery.functions.scan import day_block, neighbor, ordered_scan
+from lotquery.functions.scan import bounded_broadcast, day_block, neighbor, ordered_scan
 
 # Fixed transition table (documented slot life cycle).  A repeat of the same
 # status is a no-op and always allowed.
@@ -85,8 +85,14 @@ def _band_seconds(t: Column, band: Column) -> Column:
             + F.least(F.greatest(F.pmod(t, F.lit(86400)) - band * 3600, F.lit(0)), F.lit(3600)))
 
 
-def occupancy_profile(ticket: DataFrame, parking_slot: DataFrame, as_of: str | dt.datetime) -> DataFrame:
-    """Per zone and hour-of-day band (0-23), the time-weighted average
+PROFILE_GROUPS = ("area_id", "floor_id", "vehicle_type_id")
+
+
+def occupancy_profile(ticket: DataFrame, parking_slot: DataFrame, as_of: str | dt.datetime,
+                      by: str = "area_id", parking_area: DataFrame | None = None,
+                      vehicle: DataFrame | None = None) -> DataFrame:
+    """Per group (``by``: zone ``area_id``, ``floor_id`` or
+    ``vehicle_type_id``) and hour-of-day band (0-23), the time-weighted average
     number of parked vehicles over the period [first entry day, ``as_of``) and
     the peak number parked at any instant in that band.
 
@@ -100,38 +106,45 @@ def occupancy_profile(ticket: DataFrame, parking_slot: DataFrame, as_of: str | d
     """
     now_s = _epoch_seconds(X.ts_lit(as_of))
     sessions = (ticket.filter(F.col("slot_id").isNotNull() & (F.col("entry_time") < X.ts_lit(as_of)))
-                .select("slot_id", _epoch_seconds(F.col("entry_time")).alias("a"),
+                .select("vehicle_id", "slot_id", _epoch_seconds(F.col("entry_time")).alias("a"),
                         F.least(_epoch_seconds(F.coalesce(F.col("check_out_time"), X.ts_lit(as_of))),
                                 now_s).alias("b"))
                 .filter(F.col("b") > F.col("a"))
-                .join(parking_slot.select("slot_id", "area_id"), "slot_id")
-                .select("area_id", "a", "b"))
+                .join(parking_slot.select("slot_id", "area_id"), "slot_id"))
+    if by == "floor_id":
+        floors = bounded_broadcast(parking_area.select("area_id", "floor_id"), 1_000_000)
+        sessions = sessions.join(floors, "area_id", "left")
+    elif by == "vehicle_type_id":
+        sessions = sessions.join(vehicle.select("vehicle_id", "vehicle_type_id"), "vehicle_id")
+    elif by != "area_id":
+        raise ValueError(f"by must be one of {PROFILE_GROUPS}")
+    sessions = sessions.select(F.col(by).alias("grp"), "a", "b")
     bands = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("band")
-    overlap = (sessions.select("area_id", "a", "b", bands)
-               .groupBy("area_id", "band")
+    overlap = (sessions.select("grp", "a", "b", bands)
+               .groupBy("grp", "band")
                .agg(F.sum(_band_seconds(F.col("b"), F.col("band")) - _band_seconds(F.col("a"), F.col("band")))
                     .alias("occupied_s")))
     p0 = sessions.agg(F.floor(F.min("a") / 86400) * 86400).scalar()  # period start, computed once
     avg = overlap.withColumn("den", _band_seconds(now_s, F.col("band")) - _band_seconds(p0, F.col("band")))
     unit = 10_000
-    avg = avg.select("area_id", "band", F.when(
+    avg = avg.select("grp", "band", F.when(
         F.col("den") > 0, F.floor((2 * F.col("occupied_s") * unit + F.col("den")) / (2 * F.col("den"))) / unit
     ).alias("avg_occupancy"))
 
-    deltas = (sessions.select("area_id", F.inline(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")),
+    deltas = (sessions.select("grp", F.inline(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")),
                                                           F.struct(F.col("b").alias("t"), F.lit(-1).alias("d")))))
-              .groupBy("area_id", "t").agg(F.sum("d").alias("d")))
-    segs = ordered_scan(deltas, ["area_id"], ["t"], F.floor(F.col("t") / 86400), sum_of="d", sum_name="level",
+              .groupBy("grp", "t").agg(F.sum("d").alias("d")))
+    segs = ordered_scan(deltas, ["grp"], ["t"], F.floor(F.col("t") / 86400), sum_of="d", sum_name="level",
                         next_cols=["t"], next_prefix="next_")
     segs = segs.withColumn("e", F.coalesce(F.col("next_t"), now_s)).filter(F.col("e") > F.col("t"))
     n = F.when(F.col("e") - F.col("t") >= 86400, F.lit(24)).otherwise(
         F.floor((F.col("e") - 1) / 3600) - F.floor(F.col("t") / 3600) + 1)
-    covered = segs.select("area_id", "level", F.explode(
+    covered = segs.select("grp", "level", F.explode(
         F.transform(F.sequence(F.lit(0), (F.least(n, F.lit(24)) - 1).cast("int")),
                     lambda k: F.pmod(F.floor(F.col("t") / 3600) + k, F.lit(24)).cast("int"))).alias("band"))
-    peak = covered.groupBy("area_id", "band").agg(F.max("level").alias("peak"))
-    return (avg.join(peak, ["area_id", "band"], "left")
-            .select("area_id", F.col("band").cast("int"), "avg_occupancy",
+    peak = covered.groupBy("grp", "band").agg(F.max("level").alias("peak"))
+    return (avg.join(peak, ["grp", "band"], "left")
+            .select(F.col("grp").alias(by), F.col("band").cast("int"), "avg_occupancy",
                     F.coalesce("peak", F.lit(0)).cast("bigint").alias("peak")))
 
 

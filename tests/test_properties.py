@@ -123,3 +123,26 @@ def test_revenue_report_dimensions_add_up(small_tables):
         assert len(top) == 1
         totals.add(round(top[0]["net_revenue"], 2))
     assert len(totals) == 1
+
+
+def test_occupancy_profile_is_additive_and_non_negative(small_tables):
+    """Time-weighted averages add up: a floor's average equals the sum of its
+    zones' averages, and every vehicle-type split sums to the same total."""
+    from lotquery.operators import windows as win
+    t = small_tables
+    as_of = "2001-08-05 00:00:00"
+    zones = win.occupancy_profile(t.ticket, t.parking_slot, as_of)
+    floors = win.occupancy_profile(t.ticket, t.parking_slot, as_of, by="floor_id", parking_area=t.parking_area)
+    types = win.occupancy_profile(t.ticket, t.parking_slot, as_of, by="vehicle_type_id", vehicle=t.vehicle)
+    assert zones.filter((F.col("avg_occupancy") < 0) | (F.col("peak") < 0)).count() == 0
+    area_floor = {r["area_id"]: r["floor_id"] for r in t.parking_area.collect()}
+    by_floor = {}
+    for r in zones.collect():
+        key = (area_floor[r["area_id"]], r["band"])
+        by_floor[key] = by_floor.get(key, 0.0) + r["avg_occupancy"]
+    got = {(r["floor_id"], r["band"]): r["avg_occupancy"] for r in floors.collect()}
+    assert got.keys() == by_floor.keys()
+    assert all(abs(got[k] - by_floor[k]) < 0.01 for k in got)
+    total_z = sum(r["avg_occupancy"] for r in zones.collect())
+    total_t = sum(r["avg_occupancy"] for r in types.collect())
+    assert abs(total_z - total_t) < 0.05
