@@ -36,6 +36,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return df
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` for an
+    intermediate that a plan reuses several times: computed once, and a lost
+    executor re-reads it instead of recomputing the lineage."""
+    from lotquery.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def hour_block(ts: str | Column) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.date_trunc("hour", c)

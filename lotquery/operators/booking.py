@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
-from lotquery.functions.scan import bounded_broadcast, ordered_position, ordered_scan
+from lotquery.functions.scan import bounded_broadcast, cut_lineage, ordered_position, ordered_scan
 
 DIM_ROWS = 1_000_000
 UNAVAILABLE = ("Maintenance", "Locked")
@@ -53,8 +53,8 @@ def bookable_slots(requests: DataFrame, parking_slot: DataFrame, slot_type_map:
     m = bounded_broadcast(slot_type_map, DIM_ROWS)
     compat = (parking_slot.filter(~F.col("status").isin(*UNAVAILABLE)).select("slot_id", "slot_type")
               .join(m, "slot_type").select("slot_id", "vehicle_type_id"))
-    compat = ordered_position(compat, ["vehicle_type_id"], ["slot_id"], F.floor(F.col("slot_id") / 65536),
-                              name="pos")
+    compat = cut_lineage(ordered_position(compat, ["vehicle_type_id"], ["slot_id"],
+                                          F.floor(F.col("slot_id") / 65536), name="pos"))
     per_type = compat.groupBy("vehicle_type_id").agg(F.count(F.lit(1)).alias("candidates"))
     live = (reservation.filter(F.col("state") == "confirmed").select("slot_id", "from_time", "to_time")
             .join(compat, "slot_id"))
@@ -118,6 +118,7 @@ def assign_slots(arrivals: DataFrame, parking_slot: DataFrame, slot_type_map: Da
         "fill", (F.col("zone_occupied") + F.col("zone_rank")) / F.col("zone_total"))
     free = ordered_position(free, ["vehicle_type_id"], ["fill", "slot_id"], F.floor(F.col("fill") * 1024),
                             name="rank")
+    free = cut_lineage(free.select("vehicle_type_id", "rank", "slot_id", "area_id"))
     arr = ordered_position(arrivals.select("arrival_id", "arrival_time", "vehicle_type_id"), ["vehicle_type_id"],
                            ["arrival_time", "arrival_id"], F.date_trunc("hour", "arrival_time"), name="rank")
     out = arr.join(free.select("vehicle_type_id", "rank", "slot_id", "area_id"), ["vehicle_type_id", "rank"], "left")
