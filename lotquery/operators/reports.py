@@ -160,10 +160,12 @@ def peak_hours(ticket: DataFrame) -> DataFrame:
 
 
 def capacity_alerts(parking_slot: DataFrame, parking_area: DataFrame, ticket: DataFrame,
-                    threshold_pct: int = 76, min_free: int = 5) -> DataFrame:
-    """Zone alerts: ``occupancy`` (percent occupied >= threshold),
-    ``low_free`` (assignable Empty slots < min_free), ``over_capacity`` (more
-    active sessions on the zone's slots than the zone has slots)."""
+                    threshold_pct: int = 76, min_free: int = 5, level: str = "zone") -> DataFrame:
+    """Capacity alerts per zone (``level='zone'``) or floor (``'floor'``):
+    ``occupancy`` (percent occupied >= threshold), ``low_free`` (assignable
+    Empty slots < min_free), ``over_capacity`` (more active sessions on its
+    slots than it has slots).  Sessions are counted per slot first, so the
+    join to slots is one row per slot."""
     z = parking_slot.groupBy("area_id").agg(
         F.count(F.lit(1)).alias("total"), X.count_when(F.col("status") == "Occupied").alias("occupied"),
         X.count_when(F.col("status") == "Empty").alias("assignable"))
@@ -171,17 +173,24 @@ def capacity_alerts(parking_slot: DataFrame, parking_area: DataFrame, ticket: Da
             .groupBy("slot_id").agg(F.count(F.lit(1)).alias("n"))
             .join(parking_slot.select("slot_id", "area_id"), "slot_id")
             .groupBy("area_id").agg(F.sum("n").alias("active_sessions")))
-    areas = bounded_broadcast(parking_area.select("area_id", "area_code"), DIM_ROWS)
+    areas = bounded_broadcast(parking_area.select("area_id", "area_code", "floor_id"), DIM_ROWS)
+    counts = ("total", "occupied", "assignable", "active_sessions")
     j = (areas.join(z, "area_id", "left").join(live, "area_id", "left")
-         .select("area_id", "area_code", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-                                           for c in ("total", "occupied", "assignable", "active_sessions")]))
+         .select("area_id", "area_code", "floor_id",
+                 *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts]))
+    if level == "floor":
+        j = j.groupBy("floor_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in counts])
+        ids = ["floor_id"]
+    elif level == "zone":
+        ids = ["area_id", "area_code"]
+    else:
+        raise ValueError("level must be 'zone' or 'floor'")
     pct = X.percent(F.col("occupied"), F.col("total"))
     alerts = F.filter(F.array(
         F.when((F.col("total") > 0) & (pct >= threshold_pct), F.lit("occupancy")),
         F.when(F.col("assignable") < min_free, F.lit("low_free")),
         F.when(F.col("active_sessions") > F.col("total"), F.lit("over_capacity"))), lambda a: a.isNotNull())
-    return j.select("area_id", "area_code", "total", "occupied", "assignable", "active_sessions",
-                    pct.alias("pct"), F.explode(alerts).alias("alert"))
+    return j.select(*ids, *counts, pct.alias("pct"), F.explode(alerts).alias("alert"))
 
 
 ADMIN_ACTIONS = ("role_change", "config_change")
@@ -220,19 +229,26 @@ def revenue_delta(payment: DataFrame) -> DataFrame:
 
 def recent_activity(parking_log: DataFrame, ticket: DataFrame, vehicle: DataFrame, parking_slot: DataFrame,
                     parking_area: DataFrame, as_of: str | dt.datetime, k: int = 10) -> DataFrame:
-    """The latest ``k`` log actions at ``as_of`` with plate, zone and age
-    text.  The top-k runs first (TakeOrderedAndProject: each task keeps k rows),
-    so only k rows are joined to the other tables."""
+    """The latest ``k`` log actions at ``as_of`` with plate, zone, model,
+    colour and age text.  The top-k runs first (TakeOrderedAndProject: each
+    task keeps k rows), so only k rows are joined to the other tables."""
     now = X.ts_lit(as_of)
     top = (parking_log.filter(F.col("action_time") <= now)
            .select("log_id", "ticket_id", "action", "action_time")
            .orderBy(F.col("action_time").desc(), F.col("log_id").desc()).limit(k))
     j = (F.broadcast(top).join(ticket.select("ticket_id", "vehicle_id", "slot_id"), "ticket_id", "left")
-         .join(vehicle.select("vehicle_id", "license_plate"), "vehicle_id", "left")
+         .join(vehicle.select("vehicle_id", "license_plate", _optional(vehicle, "model"),
+                              _optional(vehicle, "color")), "vehicle_id", "left")
          .join(parking_slot.select("slot_id", "area_id"), "slot_id", "left")
          .join(bounded_broadcast(parking_area.select("area_id", "area_code"), DIM_ROWS), "area_id", "left"))
-    return j.select("log_id", "license_plate", "action", "area_code", "action_time",
-                    X.age_text("action_time", now).alias("age"))
+    return (j.select("log_id", "license_plate", "action", "area_code", "model", "color", "action_time",
+                     X.age_text("action_time", now).alias("age"))
+            .orderBy(F.col("action_time").desc(), F.col("log_id").desc()))  # k rows: newest first for display
+
+
+def _optional(df: DataFrame, name: str) -> Column:
+    """A nullable descriptive column that some sources do not carry."""
+    return F.col(name) if name in df.columns else F.lit(None).cast("string").alias(name)
 
 
 def entry_exit_log(ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFrame, parking_slot: DataFrame,

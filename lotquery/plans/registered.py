@@ -487,7 +487,8 @@ RECENT_K = 10
 @query("recent_activity", f"""
 WITH top AS (SELECT log_id, ticket_id, action, action_time FROM pk_parking_log WHERE action_time <= TIMESTAMP '{AS_OF}'
              ORDER BY action_time DESC, log_id DESC LIMIT {RECENT_K})
-SELECT top.log_id, v.license_plate, top.action, a.area_code, top.action_time,
+SELECT top.log_id, v.license_plate, top.action, a.area_code, CAST(NULL AS VARCHAR) AS model,
+       CAST(NULL AS VARCHAR) AS color, top.action_time,
        '~' || CAST(CAST(floor(date_diff('second', top.action_time, TIMESTAMP '{AS_OF}') / 3600) AS BIGINT) AS VARCHAR) || 'h ago' AS age
 FROM top LEFT JOIN pk_ticket t ON t.ticket_id = top.ticket_id LEFT JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id
 LEFT JOIN pk_parking_slot s ON s.slot_id = t.slot_id LEFT JOIN pk_parking_area a ON a.area_id = s.area_id

@@ -35,7 +35,7 @@ SCHEMAS: dict[str, T.StructType] = {
                             ("slot_type", S, False), ("status", S, False)),
     "customer": _schema(("customer_id", L, False), ("name", S, False), ("phone", S, True)),
     "vehicle": _schema(("vehicle_id", L, False), ("customer_id", L, False), ("vehicle_type_id", I, False),
-                       ("license_plate", S, False)),
+                       ("license_plate", S, False), ("model", S, True), ("color", S, True)),
     "ticket": _schema(("ticket_id", L, False), ("vehicle_id", L, False), ("slot_id", L, True), ("gate_id", I, True),
                       ("check_in_by", L, False), ("entry_time", TS, False), ("license_plate_snapshot", S, True),
                       ("qr_code", S, False), ("status", S, False), ("check_out_time", TS, True),
@@ -142,7 +142,8 @@ def seed_tables(spark: SparkSession, as_of: dt.datetime) -> ParkingTables:
                          (5, 2, "B-02", "SUV", "Empty"), (6, 3, "C-01", "Motorbike", "Occupied")],
         "customer": [(1, "Tran Van Hoang", "0988777666"), (2, "Le Thi Mai", "0977666555"),
                      (3, "Pham Minh Duc", "0966555444")],
-        "vehicle": [(1, 1, 1, "59A-123.45"), (2, 2, 2, "51G-987.65"), (3, 3, 3, "59P-555.55")],
+        "vehicle": [(1, 1, 1, "59A-123.45", "Toyota Vios", "Silver"), (2, 2, 2, "51G-987.65", "Ford Ranger", "Black"),
+                    (3, 3, 3, "59P-555.55", "Honda SH 150i", "White")],
         "ticket": [(1, 1, None, None, 3, hours_ago(4), "59A12345", "QR_HASH_TOKEN_XYZ001", "completed", hours_ago(1), 3),
                    (2, 2, None, None, 3, hours_ago(2), "51G98765", "QR_HASH_TOKEN_XYZ002", "active", None, None),
                    (3, 3, None, None, 4, hours_ago(1), "59P55555", "QR_HASH_TOKEN_XYZ003", "active", None, None)],

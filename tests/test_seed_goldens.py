@@ -86,3 +86,20 @@ def test_seed_fee_sedan_three_hours(spark):
 def test_vehicle_type_list(seeds):
     rows = dash.vehicle_type_list(seeds.vehicle_type).collect()
     assert [(r["id"], r["name"]) for r in rows] == [(1, "Sedan"), (2, "SUV / Truck"), (3, "Motorbike")]
+
+
+def test_recent_activity_on_seeds(seeds):
+    rows = reports.recent_activity(seeds.parking_log, seeds.ticket, seeds.vehicle, seeds.parking_slot,
+                                   seeds.parking_area, AS_OF, 2).collect()
+    assert [(r["license_plate"], r["action"], r["model"], r["color"], r["age"]) for r in rows] == [
+        ("59A-123.45", "exit", "Toyota Vios", "Silver", "~1h ago"),
+        ("51G-987.65", "entry", "Ford Ranger", "Black", "~2h ago")]
+
+
+def test_capacity_alerts_floor_level(seeds):
+    from pyspark.sql import functions as F
+    area = seeds.parking_area.withColumn("floor_id", F.lit(1))
+    rows = reports.capacity_alerts(seeds.parking_slot, area, seeds.ticket, threshold_pct=50, min_free=3,
+                                   level="floor").collect()
+    assert {(r["floor_id"], r["total"], r["occupied"], r["assignable"], r["pct"], r["alert"]) for r in rows} == {
+        (1, 6, 3, 2, 50, "occupancy"), (1, 6, 3, 2, 50, "low_free")}
