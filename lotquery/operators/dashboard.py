@@ -46,6 +46,8 @@ def payments_on_day(payment: DataFrame, day: str | dt.date) -> DataFrame:
     not-paid count (0 when none).  The day test is a range on the raw column so
     it is pushed to the Parquet scan."""
     today = payment.filter(X.on_day("payment_time", day))
+    if "month" in payment.columns:  # month-partitioned storage: prune partitions too
+        today = today.filter(F.col("month") == F.trunc(F.lit(str(day)).cast("date"), "month"))
     return today.agg(
         X.sum_or_zero("amount").cast("double").alias("total_amount"),
         F.count(F.lit(1)).alias("transactions"),

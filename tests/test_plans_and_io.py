@@ -55,3 +55,36 @@ def test_write_staged_commits_all(spark, tmp_path):
     paths = write_staged(spark, {"a": spark.range(3), "b": spark.range(5)}, str(tmp_path / "st"))
     assert spark.read.parquet(paths["a"]).count() == 3 and spark.read.parquet(paths["b"]).count() == 5
     assert spark.read.json(str(tmp_path / "st" / "_COMMITTED")).count() == 2
+
+
+def test_bucketed_canonical_tables_join_without_shuffle(spark, small_tables, tmp_path):
+    from lotquery.sources.sinks import write_canonical_tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = write_canonical_tables(spark, small_tables, str(tmp_path / "canon"), names=["ticket", "payment"],
+                                        buckets={"ticket": ("ticket_id", 8), "payment": ("ticket_id", 8)},
+                                        partition_by_month=False)
+        j = stored["ticket"].join(stored["payment"].drop("status"), "ticket_id")
+        plan = _plan(j)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+        assert j.count() == small_tables.payment.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_month_partitions_prune(spark, small_tables, tmp_path):
+    from lotquery.sources.sinks import write_canonical_tables
+    stored = write_canonical_tables(spark, small_tables, str(tmp_path / "canon2"), names=["payment"])
+    pay = stored["payment"]
+    q = pay.filter(F.col("month") == F.lit("1998-04-01").cast("date"))
+    assert "PartitionFilters: [isnotnull(month" in _plan(q)
+    assert q.count() == small_tables.payment.filter(
+        (F.col("payment_time") >= "1998-04-01") & (F.col("payment_time") < "1998-05-01")).count()
+
+
+def test_payments_on_day_uses_month_partition(spark, small_tables, tmp_path):
+    from lotquery.sources.sinks import write_canonical_tables
+    pay = write_canonical_tables(spark, small_tables, str(tmp_path / "canon3"), names=["payment"])["payment"]
+    got = dash.payments_on_day(pay, "1998-04-25")
+    assert "PartitionFilters: [isnotnull(month" in _plan(got)
+    assert got.first().asDict() == dash.payments_on_day(small_tables.payment, "1998-04-25").first().asDict()
