@@ -196,15 +196,22 @@ def capacity_alerts(parking_slot: DataFrame, parking_area: DataFrame, ticket: Da
 ADMIN_ACTIONS = ("role_change", "config_change")
 
 
-def audit_summary(auth_event: DataFrame, day_start_hour: int = 6, day_end_hour: int = 22) -> DataFrame:
-    """Actions per actor, action and day, the off-hours count, and a flag
-    for administrative actions taken off hours."""
+def audit_summary(auth_event: DataFrame, day_start_hour: int = 6, day_end_hour: int = 22,
+                  rare_below: int = 2) -> DataFrame:
+    """Actions per actor, action and day with the off-hours count; flags
+    administrative actions taken off hours, and marks actions an actor took
+    fewer than ``rare_below`` times in the whole log (``rare``).  Both levels
+    are partial aggregates; the per-(actor, action) totals come from the
+    per-day table, not from a second pass over the events."""
     h = F.hour("event_time")
     off = (h < day_start_hour) | (h >= day_end_hour)
     g = auth_event.groupBy("staff_id", "action", F.date_trunc("day", "event_time").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), X.count_when(off).alias("off_hours"))
+    totals = g.groupBy("staff_id", "action").agg(F.sum("n").alias("_lq_total"))
     flag = F.when(F.col("action").isin(*ADMIN_ACTIONS) & (F.col("off_hours") > 0), F.lit("off_hours_admin"))
-    return g.select("staff_id", "action", "day", F.col("n").cast("bigint"), "off_hours", flag.alias("flag"))
+    return g.join(totals, ["staff_id", "action"]).select(
+        "staff_id", "action", "day", F.col("n").cast("bigint"), "off_hours", flag.alias("flag"),
+        (F.col("_lq_total") < rare_below).alias("rare"))
 
 
 def revenue_delta(payment: DataFrame) -> DataFrame:

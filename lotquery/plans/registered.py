@@ -457,11 +457,15 @@ def _capacity_alerts(t):
 
 
 @query("audit_summary", """
-SELECT staff_id, action, date_trunc('day', event_time) AS day, CAST(COUNT(*) AS BIGINT) AS n,
-       CAST(count_if(hour(event_time) < 6 OR hour(event_time) >= 22) AS BIGINT) AS off_hours,
-       CASE WHEN action IN ('role_change', 'config_change') AND count_if(hour(event_time) < 6 OR hour(event_time) >= 22) > 0
-            THEN 'off_hours_admin' END AS flag
-FROM pk_auth_event GROUP BY staff_id, action, date_trunc('day', event_time)
+WITH d AS (
+  SELECT staff_id, action, date_trunc('day', event_time) AS day, CAST(COUNT(*) AS BIGINT) AS n,
+         CAST(count_if(hour(event_time) < 6 OR hour(event_time) >= 22) AS BIGINT) AS off_hours
+  FROM pk_auth_event GROUP BY staff_id, action, date_trunc('day', event_time)),
+t AS (SELECT staff_id, action, SUM(n) AS total FROM d GROUP BY staff_id, action)
+SELECT d.staff_id, d.action, d.day, d.n, d.off_hours,
+       CASE WHEN d.action IN ('role_change', 'config_change') AND d.off_hours > 0 THEN 'off_hours_admin' END AS flag,
+       t.total < 2 AS rare
+FROM d JOIN t ON t.staff_id = d.staff_id AND t.action = d.action
 """)
 def _audit_summary(t):
     return reports.audit_summary(t.auth_event)
@@ -761,10 +765,13 @@ ONCE = {"availableNow": True}
 
 
 def _log_stream(spark, t, name):
-    """The canonical parking log written once under the shared checkpoint
-    folder, then read back as a file stream."""
-    path = scratch_path(spark, f"{name}-log")
-    t.parking_log.write.parquet(path)
+    """The canonical parking log (stored as Parquet under the shared checkpoint
+    folder) read as a file stream."""
+    if hasattr(t, "path_of"):
+        path = t.path_of("parking_log")
+    else:
+        path = scratch_path(spark, f"{name}-log")
+        t.parking_log.write.parquet(path)
     return live.table_stream(spark, path, "parking_log")
 
 

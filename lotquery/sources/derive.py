@@ -198,6 +198,11 @@ class MaterializedTables:
     def names(self) -> list[str]:
         return self._derived.names()
 
+    def path_of(self, name: str) -> str:
+        """Folder holding the stored table (written on first use)."""
+        getattr(self, name)
+        return f"{self._root}/{name}"
+
 
 def materialize_tables(spark: SparkSession, tables: ParkingTables, root: str) -> MaterializedTables:
     return MaterializedTables(spark, tables, root)
