@@ -788,7 +788,7 @@ def _live_slot_grid(spark, sf_dir, t):
     """Stream the slot events through to the end; the last published grid."""
     root = scratch_path(spark, "live_slot_grid")
     events = live.derived_stream(spark, "pk_slot_event", live.event_stream(spark, sf_dir))
-    live.run(live.live_slot_grid(events, t.parking_slot, root, ONCE))
+    live.run(live.live_slot_grid(events, t.parking_slot, root, ONCE, live.default_state_partitions(spark)))
     return live.latest_version(spark, f"{root}/grid").select("row", "col", "occ")
 
 
@@ -799,7 +799,8 @@ FROM pk_parking_log WHERE action_time IS NOT NULL GROUP BY ALL
 def _live_volumes(spark, sf_dir, t):
     """R2 in complete mode (the append-mode service holds back open hours)."""
     root = scratch_path(spark, "live_volumes")
-    live.run(live.live_volumes(_log_stream(spark, t, "live_volumes"), root, ONCE, mode="complete"))
+    live.run(live.live_volumes(_log_stream(spark, t, "live_volumes"), root, ONCE, mode="complete",
+                               state_partitions=live.default_state_partitions(spark)))
     return spark.read.parquet(f"{root}/out")
 
 
@@ -811,7 +812,7 @@ def _live_transition_check(spark, sf_dir, t):
     """Illegal moves (and late events) over the event stream."""
     root = scratch_path(spark, "live_transition_check")
     events = live.derived_stream(spark, "pk_slot_event", live.event_stream(spark, sf_dir))
-    live.run(live.live_transition_check(events, root, ONCE))
+    live.run(live.live_transition_check(events, root, ONCE, live.default_state_partitions(spark)))
     return spark.read.parquet(f"{root}/alerts").drop("batch")
 
 
@@ -828,7 +829,8 @@ WHERE e.action_time + INTERVAL {MAX_STAY} MINUTE < w.wm
 def _overstay_alerts(spark, sf_dir, t):
     """Sessions with no exit within the maximum stay, as alerts."""
     root = scratch_path(spark, "overstay_alerts")
-    live.run(live.overstay_alerts(_log_stream(spark, t, "overstay_alerts"), root, MAX_STAY, ONCE))
+    live.run(live.overstay_alerts(_log_stream(spark, t, "overstay_alerts"), root, MAX_STAY, ONCE,
+                                  state_partitions=live.default_state_partitions(spark)))
     return spark.read.parquet(f"{root}/out")
 
 
@@ -851,7 +853,8 @@ def _reservation_expiry(spark, sf_dir, t):
     root = scratch_path(spark, "reservation_expiry")
     res = live.derived_stream(spark, "pk_reservation", live.event_stream(spark, sf_dir))
     arr = live.derived_stream(spark, "pk_arrivals", live.event_stream(spark, sf_dir), pk_vehicle=t.vehicle)
-    live.run(live.reservation_expiry(res, arr, root, RES_MAX_WINDOW_HOURS, trigger=ONCE))
+    live.run(live.reservation_expiry(res, arr, root, RES_MAX_WINDOW_HOURS, trigger=ONCE,
+                                     state_partitions=live.default_state_partitions(spark)))
     return spark.read.parquet(f"{root}/out")
 
 
@@ -868,5 +871,5 @@ def _lockout_alerts(spark, sf_dir, t):
     """R6 over the auth event stream (n = 2 in 15 minutes at fixture scale)."""
     root = scratch_path(spark, "lockout_alerts")
     auth = live.derived_stream(spark, "pk_auth_event", live.event_stream(spark, sf_dir))
-    live.run(live.lockout_alerts(auth, root, LOCKOUT_N, LOCKOUT_MINUTES, ONCE))
+    live.run(live.lockout_alerts(auth, root, LOCKOUT_N, LOCKOUT_MINUTES, ONCE, live.default_state_partitions(spark)))
     return spark.read.parquet(f"{root}/out")

@@ -53,6 +53,26 @@ def _ntz(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp_ntz")
 
 
+def start(writer, spark: SparkSession, state_partitions: int | None = None) -> StreamingQuery:
+    """Start a stream.  ``state_partitions`` fixes the number of state-store /
+    shuffle partitions of its stateful operators; a query clones the session
+    configuration when it starts, so the setting is applied only around
+    ``start()`` and the caller's session is restored at once."""
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
+
+
+def default_state_partitions(spark: SparkSession) -> int:
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
 def run(query: StreamingQuery, timeout_s: int | None = None) -> None:
     query.awaitTermination(timeout_s)
     if query.exception() is not None:
@@ -85,7 +105,7 @@ def latest_version(spark: SparkSession, root: str) -> DataFrame:
 # ------------------------------------------------------------------ R1
 
 def live_slot_grid(slot_events: DataFrame, parking_slot: DataFrame, root: str,
-                   trigger: dict | None = None) -> StreamingQuery:
+                   trigger: dict | None = None, state_partitions: int | None = None) -> StreamingQuery:
     """Keep the latest status per slot (streaming ``max_by`` state, update
     mode) and publish the whole grid after every batch that changes a slot.
 
@@ -106,15 +126,15 @@ def live_slot_grid(slot_events: DataFrame, parking_slot: DataFrame, root: str,
         _write_version(members, f"{root}/members", batch_id)
         _write_version(grid_cells(spark.read.parquet(f"{root}/members/batch={batch_id}")), f"{root}/grid", batch_id)
 
-    return (latest.writeStream.outputMode("update").foreachBatch(publish)
-            .option("checkpointLocation", f"{root}/_checkpoint")
-            .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+    return start(latest.writeStream.outputMode("update").foreachBatch(publish)
+                 .option("checkpointLocation", f"{root}/_checkpoint")
+                 .trigger(**(trigger or {"processingTime": "30 seconds"})), slot_events.sparkSession, state_partitions)
 
 
 # ------------------------------------------------------------------ R2
 
 def live_volumes(parking_log: DataFrame, root: str, trigger: dict | None = None, mode: str = "append",
-                 watermark: str = "1 day") -> StreamingQuery:
+                 watermark: str = "1 day", state_partitions: int | None = None) -> StreamingQuery:
     """R2: entries and exits per hour.  In service (``append``) each hour is
     written once the watermark passes it; ``complete`` rewrites the full
     table every batch (used to compare with the batch count)."""
@@ -124,9 +144,11 @@ def live_volumes(parking_log: DataFrame, root: str, trigger: dict | None = None,
               .select(_ntz(F.col("window.start")).alias("window_start"), "action", "n"))
     w = counts.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/_checkpoint") \
         .trigger(**(trigger or {"processingTime": "30 seconds"}))
+    spark = parking_log.sparkSession
     if mode == "complete":
-        return w.foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{root}/out")).start()
-    return w.format("parquet").option("path", f"{root}/out").start()
+        return start(w.foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{root}/out")),
+                     spark, state_partitions)
+    return start(w.format("parquet").option("path", f"{root}/out"), spark, state_partitions)
 
 
 # ------------------------------------------------------------------ R3
@@ -138,7 +160,8 @@ def _before(t1: Column, i1: Column, t2: Column, i2: Column) -> Column:
     return (t1 < t2) | ((t1 == t2) & (i1 < i2))
 
 
-def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
+def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | None = None,
+                          state_partitions: int | None = None) -> StreamingQuery:
     """W2 on a stream.  State = the last event per slot (a versioned
     table).  Each batch: events older than the slot's state are emitted as
     ``late`` and do not move it; the rest are ordered after the state row and
@@ -172,14 +195,15 @@ def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | Non
                      .agg(F.max_by(F.struct(*cols), F.struct(*_ORDER)).alias("s")).select("s.*"))
         _write_version(new_state, f"{root}/state", batch_id)
 
-    return (slot_events.writeStream.foreachBatch(check).option("checkpointLocation", f"{root}/_checkpoint")
-            .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+    return start(slot_events.writeStream.foreachBatch(check).option("checkpointLocation", f"{root}/_checkpoint")
+                 .trigger(**(trigger or {"processingTime": "30 seconds"})), slot_events.sparkSession,
+                 state_partitions)
 
 
 # ------------------------------------------------------------------ R4
 
 def overstay_alerts(parking_log: DataFrame, root: str, max_minutes: int, trigger: dict | None = None,
-                    delay: str = "1 hour") -> StreamingQuery:
+                    delay: str = "1 hour", state_partitions: int | None = None) -> StreamingQuery:
     """A session opened with no exit within ``max_minutes`` -> one alert;
     an exit in time clears it.  A stream-stream left outer join of entries to
     exits of the same ticket within [entry, entry + max]: entries left
@@ -196,15 +220,17 @@ def overstay_alerts(parking_log: DataFrame, root: str, max_minutes: int, trigger
               .select(F.col("e_tid").alias("ticket_id"), _ntz("e_time").alias("entry_time"),
                       _ntz(F.col("e_time") + F.expr(f"INTERVAL {int(max_minutes)} MINUTES")).alias("deadline"),
                       F.lit("overstay").alias("kind")))
-    return (alerts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
-            .option("checkpointLocation", f"{root}/_checkpoint")
-            .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+    return start(alerts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+                 .option("checkpointLocation", f"{root}/_checkpoint")
+                 .trigger(**(trigger or {"processingTime": "30 seconds"})), parking_log.sparkSession,
+                 state_partitions)
 
 
 # ------------------------------------------------------------------ R5
 
 def reservation_expiry(reservations: DataFrame, arrivals: DataFrame, root: str, max_window_hours: int = 24,
-                       trigger: dict | None = None, delay: str = "1 hour") -> StreamingQuery:
+                       trigger: dict | None = None, delay: str = "1 hour",
+                       state_partitions: int | None = None) -> StreamingQuery:
     """Confirmed reservations joined to arrivals of the same vehicle
     inside [from, to); unmatched once the watermark passes -> ``expired``
     (the slot goes back to Empty), matched -> ``fulfilled``.
@@ -223,9 +249,10 @@ def reservation_expiry(reservations: DataFrame, arrivals: DataFrame, root: str,
         "reservation_id", "slot_id", F.col("r_vehicle").alias("vehicle_id"), _ntz("r_from").alias("from_time"),
         _ntz("r_to").alias("to_time"), "arrival_id",
         F.when(F.col("arrival_id").isNull(), "expired").otherwise("fulfilled").alias("outcome"))
-    return (out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
-            .option("checkpointLocation", f"{root}/_checkpoint")
-            .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+    return start(out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+                 .option("checkpointLocation", f"{root}/_checkpoint")
+                 .trigger(**(trigger or {"processingTime": "30 seconds"})), reservations.sparkSession,
+                 state_partitions)
 
 
 # ------------------------------------------------------------------ R6
@@ -244,14 +271,15 @@ def lockout_windows(auth_events: DataFrame, n: int, minutes: int, slide_minutes:
 
 
 def lockout_alerts(auth_events: DataFrame, root: str, n: int = 5, minutes: int = 15,
-                   trigger: dict | None = None) -> StreamingQuery:
+                   trigger: dict | None = None, state_partitions: int | None = None) -> StreamingQuery:
     """Actors with ``n`` or more failed logins in a tumbling window
     (complete mode: the full alert table is rewritten each batch)."""
     alerts = lockout_windows(auth_events, n, minutes)
-    return (alerts.writeStream.outputMode("complete")
-            .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{root}/out"))
-            .option("checkpointLocation", f"{root}/_checkpoint")
-            .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
+    return start(alerts.writeStream.outputMode("complete")
+                 .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{root}/out"))
+                 .option("checkpointLocation", f"{root}/_checkpoint")
+                 .trigger(**(trigger or {"processingTime": "30 seconds"})), auth_events.sparkSession,
+                 state_partitions)
 
 
 StreamBuilder = Callable[..., StreamingQuery]
