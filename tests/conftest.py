@@ -17,7 +17,8 @@ def spark():
     builder = (SparkSession.builder.master("local[*]").appName("lotquery-tests")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.enabled", "false")
-               .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lotquery-test-ckpt-")))
+               .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lotquery-test-ckpt-"))
+               .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="lotquery-test-warehouse-")))
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
