@@ -146,3 +146,49 @@ def test_occupancy_profile_is_additive_and_non_negative(small_tables):
     total_z = sum(r["avg_occupancy"] for r in zones.collect())
     total_t = sum(r["avg_occupancy"] for r in types.collect())
     assert abs(total_z - total_t) < 0.05
+
+
+def test_two_level_window_partitions_by_block(spark):
+    """The row-level window of an ordered scan is partitioned by (key, block),
+    never by the key alone, so one hot key is spread over many tasks."""
+    df = _skewed(spark)
+    out = scan.ordered_scan(df, ["k"], ["t", "id"], scan.day_block("t"), sum_of="v", prev_cols=["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    specs = re.findall(r"\+- Window \[.*\], \[([^\]]*)\], \[([^\]]*)\]", plan)
+    assert len(specs) >= 3, plan
+    for partition, order in specs:
+        if order.startswith("_lq_blk"):
+            continue  # the per-(key, block) table, one row per block
+        assert "_lq_blk" in partition, (partition, order)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.integers(min_value=0, max_value=10_000))
+def test_bookable_slots_matches_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    base = dt.datetime(2024, 1, 1)
+    statuses = ["Empty", "Occupied", "Reserved", "Maintenance", "Locked"]
+    types = ["Sedan", "SUV", "Motorbike"]
+    slots = [(i, 1, f"A-{i}", rnd.choice(types), rnd.choice(statuses)) for i in range(1, rnd.randint(2, 40))]
+    res = []
+    for r in range(rnd.randint(0, 60)):
+        start = base + dt.timedelta(hours=rnd.randint(0, 30))
+        res.append((r, rnd.choice(slots)[0], 1, start, start + dt.timedelta(hours=rnd.randint(1, 6)),
+                    rnd.choice(["confirmed", "canceled"])))
+    reqs = []
+    for q in range(rnd.randint(1, 15)):
+        start = base + dt.timedelta(hours=rnd.randint(0, 30), minutes=rnd.randint(0, 59))
+        reqs.append((q, rnd.randint(1, 3), start, start + dt.timedelta(hours=2)))
+    from lotquery.sources.tables import SCHEMAS
+    slot_df = spark.createDataFrame(slots, SCHEMAS["parking_slot"])
+    res_df = spark.createDataFrame(res, SCHEMAS["reservation"])
+    req_df = spark.createDataFrame(reqs, SCHEMAS["booking_requests"])
+    map_df = spark.createDataFrame([("Sedan", 1), ("SUV", 2), ("Motorbike", 3)], SCHEMAS["slot_type_map"])
+    got = {r["request_id"]: (r["candidates"], r["blocked"], r["bookable"], r["first_slot_id"])
+           for r in booking.bookable_slots(req_df, slot_df, map_df, res_df).collect()}
+    type_of = {"Sedan": 1, "SUV": 2, "Motorbike": 3}
+    for q, vt, f, t in reqs:
+        compat = sorted(s[0] for s in slots if type_of[s[3]] == vt and s[4] not in ("Maintenance", "Locked"))
+        blocked = {r[1] for r in res if r[5] == "confirmed" and r[1] in compat and f < r[4] and r[3] < t}
+        free = [s for s in compat if s not in blocked]
+        assert got[q] == (len(compat), len(blocked), len(compat) - len(blocked), free[0] if free else None), q
