@@ -277,36 +277,41 @@ def entry_exit_log(ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFram
                     F.col("fee").cast("double").alias("fee"))
 
 
-def exception_report(t: ParkingTables, fees: DataFrame, max_minutes: int, as_of: str | dt.datetime) -> DataFrame:
+def exception_report(t: ParkingTables, max_minutes: int, as_of: str | dt.datetime) -> DataFrame:
     """One tagged list of session exceptions: lost_ticket, plate_mismatch,
     overtime, wrong_zone, fee_override (paid amount differs from F6), unpaid
-    (closed session without a paid payment)."""
+    (closed session without a paid payment).
+
+    One pass over the tickets: the fee (F6) carries the ticket and vehicle
+    columns every test needs, the slot type and the per-ticket payments are
+    joined once, and each ticket emits its 0..6 exception rows with ``inline``
+    over an array of tagged structs - no union of six re-scans."""
+    from lotquery.operators.pricing import parking_fee
+
     now = X.ts_lit(as_of)
-    tk = t.ticket.select("ticket_id", "vehicle_id", "slot_id", "status", "qr_code", "entry_time",
-                         "check_out_time", "license_plate_snapshot")
-    tv = tk.join(t.vehicle.select("vehicle_id", "license_plate", "vehicle_type_id"), "vehicle_id", "left")
-    lost = tk.filter(F.col("status") == "lost").select("ticket_id", F.lit("lost_ticket").alias("kind"),
-                                                        F.col("qr_code").alias("detail"))
-    mismatch = tv.filter(F.col("license_plate_snapshot").isNotNull()
-                         & (X.plate_key("license_plate_snapshot") != X.plate_key("license_plate"))).select(
-        "ticket_id", F.lit("plate_mismatch").alias("kind"),
-        F.concat_ws(" vs ", "license_plate_snapshot", "license_plate").alias("detail"))
-    minutes = X.minutes_between("entry_time", F.coalesce(F.col("check_out_time"), now))
-    overtime = tk.filter(minutes > max_minutes).select("ticket_id", F.lit("overtime").alias("kind"),
-                                                       minutes.cast("string").alias("detail"))
+    fees = parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, as_of,
+                       carry=("slot_id", "qr_code", "license_plate_snapshot"), vehicle_carry=("license_plate",),
+                       how="left")
     slot_types = (t.parking_slot.select("slot_id", "slot_type")
                   .join(bounded_broadcast(t.slot_type_map.withColumnRenamed("vehicle_type_id", "slot_vt"), DIM_ROWS),
                         "slot_type", "left"))
-    wrong = (tv.filter(F.col("slot_id").isNotNull()).join(slot_types, "slot_id")
-             .filter(F.col("slot_vt").isNull() | (F.col("slot_vt") != F.col("vehicle_type_id")))
-             .select("ticket_id", F.lit("wrong_zone").alias("kind"), F.col("slot_type").alias("detail")))
-    paid = payments_per_ticket(t.payment).filter(F.col("paid_amount").isNotNull())
-    override = (paid.join(fees.select("ticket_id", "fee"), "ticket_id")
-                .filter(F.col("paid_amount") != F.col("fee"))
-                .select("ticket_id", F.lit("fee_override").alias("kind"),
-                        F.concat(F.col("paid_amount").cast("decimal(18,2)").cast("string"), F.lit(" vs "),
-                                 F.col("fee").cast("string")).alias("detail")))
-    unpaid = (tk.filter(F.col("status").isin("completed", "lost")).join(paid, "ticket_id", "left_anti")
-              .select("ticket_id", F.lit("unpaid").alias("kind"), F.col("status").alias("detail")))
-    return (lost.unionByName(mismatch).unionByName(overtime).unionByName(wrong)
-            .unionByName(override).unionByName(unpaid))
+    paid = payments_per_ticket(t.payment).select("ticket_id", "paid_amount")
+    j = fees.join(slot_types, "slot_id", "left").join(paid, "ticket_id", "left")
+    minutes = X.minutes_between("entry_time", F.coalesce(F.col("check_out_time"), now))
+
+    def tag(kind: str, cond: Column, detail: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(kind).alias("kind"), detail.cast("string").alias("detail")))
+
+    tags = F.array(
+        tag("lost_ticket", F.col("status") == "lost", F.col("qr_code")),
+        tag("plate_mismatch", F.col("license_plate_snapshot").isNotNull()
+            & (X.plate_key("license_plate_snapshot") != X.plate_key("license_plate")),
+            F.concat_ws(" vs ", "license_plate_snapshot", "license_plate")),
+        tag("overtime", minutes > max_minutes, minutes),
+        tag("wrong_zone", F.col("slot_type").isNotNull()
+            & (F.col("slot_vt").isNull() | (F.col("slot_vt") != F.col("vehicle_type_id"))), F.col("slot_type")),
+        tag("fee_override", F.col("paid_amount").isNotNull() & (F.col("paid_amount") != F.col("fee")),
+            F.concat(F.col("paid_amount").cast("decimal(18,2)").cast("string"), F.lit(" vs "),
+                     F.col("fee").cast("string"))),
+        tag("unpaid", F.col("status").isin("completed", "lost") & F.col("paid_amount").isNull(), F.col("status")))
+    return j.select("ticket_id", F.inline(F.filter(tags, lambda x: x.isNotNull())))

@@ -419,8 +419,8 @@ SELECT staff_id, shift_day, shift, CAST(sessions AS BIGINT) AS sessions, CAST(fe
 FROM g
 """)
 def _shift_reconciliation(t):
-    fees = pricing.parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, AS_OF)
-    fees = fees.join(t.ticket.select("ticket_id", "check_out_by"), "ticket_id")
+    fees = pricing.parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, AS_OF,
+                               carry=("check_out_by",))
     return reports.shift_reconciliation(fees, t.payment)
 
 
@@ -539,8 +539,7 @@ SELECT t.ticket_id, 'unpaid', t.status FROM pk_ticket t
 WHERE t.status IN ('completed', 'lost') AND NOT EXISTS (SELECT 1 FROM pt WHERE pt.ticket_id = t.ticket_id)
 """)
 def _exception_report(t):
-    fees = pricing.parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, AS_OF)
-    return reports.exception_report(t, fees, MAX_STAY, AS_OF)
+    return reports.exception_report(t, MAX_STAY, AS_OF)
 
 
 # ---------------------------------------------------------------- windows

@@ -55,10 +55,7 @@ def test_plates_valid(seeds):
 
 
 def test_no_plate_mismatch(spark, seeds):
-    from lotquery.operators import pricing
-    fees = pricing.parking_fee(seeds.ticket, seeds.vehicle, seeds.vehicle_type, seeds.pricing_rules,
-                               seeds.holidays, AS_OF)
-    rep = reports.exception_report(seeds, fees, 2880, AS_OF)
+    rep = reports.exception_report(seeds, 2880, AS_OF)
     assert rep.filter(F.col("kind") == "plate_mismatch").count() == 0
 
 
