@@ -24,16 +24,28 @@ from pyspark.sql import functions as F
 _BLK = "_lq_blk"
 
 
+_BOUND_CHECKS: dict[tuple, bool] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows.  Above the bound the frame is
     returned unchanged, so the join falls back to a shuffle join (and AQE may
-    still switch to a broadcast from real run-time sizes).
+    still switch to a broadcast from real run-time sizes).  A verdict is reused
+    for the same canonical plan over the same input files; new or rewritten
+    files give a new key and a fresh check.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    try:
+        key = (df._jdf.queryExecution().analyzed().semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    except Exception:  # noqa: BLE001 - e.g. a plan that cannot list its inputs
+        key = None
+    small = _BOUND_CHECKS.get(key) if key is not None else None
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            _BOUND_CHECKS[key] = small
+    return F.broadcast(df) if small else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
