@@ -36,6 +36,31 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+MB = 1024 * 1024
+
+
+def recommended_conf(input_bytes: int, total_cores: int, target_partition_mb: int = 256) -> dict[str, str]:
+    """Sizing for a cluster run: enough shuffle partitions that each holds
+    about ``target_partition_mb`` of the largest shuffle (taken as the input
+    size) and at least two per core; scan splits of 256 MB above 1 TB of
+    input; AQE targets the same partition size and splits skewed partitions
+    above 4x that.  Example: 100 TB on 8,000 cores -> 409,600 shuffle
+    partitions (AQE coalesces the small ones at run time)."""
+    target = target_partition_mb * MB
+    partitions = max(2 * total_cores, -(-int(input_bytes) // target))
+    split = 256 * MB if input_bytes > 1024 ** 4 else 128 * MB
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def ensure_session_conf(spark: SparkSession) -> None:
     """Apply the settings lotquery depends on to an existing session."""
     for key, value in REQUIRED_CONF.items():

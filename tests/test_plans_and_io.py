@@ -88,3 +88,12 @@ def test_payments_on_day_uses_month_partition(spark, small_tables, tmp_path):
     got = dash.payments_on_day(pay, "1998-04-25")
     assert "PartitionFilters: [isnotnull(month" in _plan(got)
     assert got.first().asDict() == dash.payments_on_day(small_tables.payment, "1998-04-25").first().asDict()
+
+
+def test_recommended_conf_scales_with_input():
+    from lotquery.session import recommended_conf
+    big = recommended_conf(100 * 1024 ** 4, 8000)
+    small = recommended_conf(10 * 1024 ** 2, 8)
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 * 1024)
