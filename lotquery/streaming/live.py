@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lotquery.functions.scan import day_block, neighbor
-from lotquery.operators.dashboard import grid_cells, grid_members
+from lotquery.operators.dashboard import grid_cells, grid_json, grid_members
 from lotquery.operators.windows import is_allowed
 from lotquery.sources.derive import DERIVATIONS
 from lotquery.sources.tables import SCHEMAS
@@ -125,6 +125,9 @@ def live_slot_grid(slot_events: DataFrame, parking_slot: DataFrame, root: str,
         members = base.join(changed.select("slot_id"), "slot_id", "left_anti").unionByName(changed)
         _write_version(members, f"{root}/members", batch_id)
         _write_version(grid_cells(spark.read.parquet(f"{root}/members/batch={batch_id}")), f"{root}/grid", batch_id)
+        # The published message: the whole grid as compact JSON text (one row).
+        _write_version(grid_json(spark.read.parquet(f"{root}/grid/batch={batch_id}")).select("grid_json"),
+                       f"{root}/grid_json", batch_id)
 
     return start(latest.writeStream.outputMode("update").foreachBatch(publish)
                  .option("checkpointLocation", f"{root}/_checkpoint")

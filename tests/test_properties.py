@@ -192,3 +192,33 @@ def test_bookable_slots_matches_brute_force(spark, seed):
         blocked = {r[1] for r in res if r[5] == "confirmed" and r[1] in compat and f < r[4] and r[3] < t}
         free = [s for s in compat if s not in blocked]
         assert got[q] == (len(compat), len(blocked), len(compat) - len(blocked), free[0] if free else None), q
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.integers(min_value=0, max_value=10_000))
+def test_assign_slots_matches_brute_force(spark, seed):
+    """W4 against a direct Python statement of the allocation rule."""
+    rnd = random.Random(seed)
+    base = dt.datetime(2024, 1, 1)
+    types = ["Sedan", "SUV", "Motorbike"]
+    slots = [(i, rnd.randint(1, 4), f"A-{i}", rnd.choice(types), rnd.choice(["Empty", "Empty", "Occupied", "Reserved"]))
+             for i in range(1, rnd.randint(2, 50))]
+    arrivals = [(a, base + dt.timedelta(minutes=rnd.randint(0, 300)), a, None, rnd.randint(1, 3))
+                for a in range(rnd.randint(1, 40))]
+    from lotquery.sources.tables import SCHEMAS
+    got = {r["arrival_id"]: r["slot_id"] for r in booking.assign_slots(
+        spark.createDataFrame(arrivals, SCHEMAS["arrivals"]), spark.createDataFrame(slots, SCHEMAS["parking_slot"]),
+        spark.createDataFrame([("Sedan", 1), ("SUV", 2), ("Motorbike", 3)], SCHEMAS["slot_type_map"])).collect()}
+    type_of = {"Sedan": 1, "SUV": 2, "Motorbike": 3}
+    total = {z: sum(1 for s in slots if s[1] == z) for z in {s[1] for s in slots}}
+    occ = {z: sum(1 for s in slots if s[1] == z and s[4] == "Occupied") for z in total}
+    for vt in (1, 2, 3):
+        free = sorted((s for s in slots if s[4] == "Empty" and type_of[s[3]] == vt), key=lambda s: s[0])
+        keyed, seen = [], {}
+        for s in free:
+            seen[s[1]] = seen.get(s[1], 0) + 1
+            keyed.append(((occ[s[1]] + seen[s[1]]) / total[s[1]], s[0]))
+        order = [sid for _, sid in sorted(keyed)]
+        queue = sorted((a for a in arrivals if a[4] == vt), key=lambda a: (a[1], a[0]))
+        for i, a in enumerate(queue):
+            assert got[a[0]] == (order[i] if i < len(order) else None), (vt, a)

@@ -36,6 +36,8 @@ def test_live_grid_equals_batch_over_batches(spark, small_tables, split_events):
     assert got == want
     batches = spark.read.parquet(f"{root}/grid").select("batch").distinct().count()
     assert batches == 4
+    text = live.latest_version(spark, f"{root}/grid_json").first()["grid_json"]
+    assert text == dash.grid_json(dash.slot_grid(slots)).first()["grid_json"]
 
 
 def test_transition_check_multi_batch_equals_batch(spark, small_tables, split_events):
