@@ -871,4 +871,4 @@ def _lockout_alerts(spark, sf_dir, t):
     root = scratch_path(spark, "lockout_alerts")
     auth = live.derived_stream(spark, "pk_auth_event", live.event_stream(spark, sf_dir))
     live.run(live.lockout_alerts(auth, root, LOCKOUT_N, LOCKOUT_MINUTES, ONCE, live.default_state_partitions(spark)))
-    return spark.read.parquet(f"{root}/out")
+    return live.lockout_table(spark, root)

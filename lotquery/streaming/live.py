@@ -260,29 +260,43 @@ def reservation_expiry(reservations: DataFrame, arrivals: DataFrame, root: str,
 
 # ------------------------------------------------------------------ R6
 
-def lockout_windows(auth_events: DataFrame, n: int, minutes: int, slide_minutes: int | None = None) -> DataFrame:
+def lockout_windows(auth_events: DataFrame, n: int, minutes: int, slide_minutes: int | None = None,
+                    watermark: str | None = None) -> DataFrame:
     """Failed logins per actor and window with at least ``n`` failures; works on
-    a batch table (the batch twin) and on a stream."""
-    win = (F.window(as_event_time("event_time"), f"{minutes} minutes")
-           if slide_minutes is None else
-           F.window(as_event_time("event_time"), f"{minutes} minutes", f"{slide_minutes} minutes"))
-    return (auth_events.filter(F.col("action") == "login_failed")
-            .groupBy("staff_id", win.alias("w")).agg(F.count(F.lit(1)).alias("failures"))
+    a batch table (the batch twin) and on a stream (give ``watermark`` so the
+    window state is evicted once the watermark passes the window end)."""
+    ev = auth_events.filter(F.col("action") == "login_failed").withColumn("_lq_t", as_event_time("event_time"))
+    if watermark:
+        ev = ev.withWatermark("_lq_t", watermark)
+    size = f"{minutes} minutes"
+    win = F.window("_lq_t", size) if slide_minutes is None else F.window("_lq_t", size, f"{slide_minutes} minutes")
+    return (ev.groupBy("staff_id", win.alias("w")).agg(F.count(F.lit(1)).alias("failures"))
             .filter(F.col("failures") >= n)
             .select("staff_id", _ntz("w.start").alias("window_start"), _ntz("w.end").alias("window_end"),
                     "failures"))
 
 
 def lockout_alerts(auth_events: DataFrame, root: str, n: int = 5, minutes: int = 15,
-                   trigger: dict | None = None, state_partitions: int | None = None) -> StreamingQuery:
-    """Actors with ``n`` or more failed logins in a tumbling window
-    (complete mode: the full alert table is rewritten each batch)."""
-    alerts = lockout_windows(auth_events, n, minutes)
-    return start(alerts.writeStream.outputMode("complete")
-                 .foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{root}/out"))
+                   trigger: dict | None = None, state_partitions: int | None = None,
+                   watermark: str = "1 hour") -> StreamingQuery:
+    """Actors with ``n`` or more failed logins in a tumbling window.
+    Update mode with a watermark: each batch writes the windows whose count
+    changed (batch-keyed folder, exactly-once), and window state is dropped
+    once the watermark passes the window, so state stays bounded however long
+    the service runs.  ``lockout_table`` reads the current alerts."""
+    alerts = lockout_windows(auth_events, n, minutes, watermark=watermark)
+    return start(alerts.writeStream.outputMode("update")
+                 .foreachBatch(lambda df, bid: _write_version(df, f"{root}/updates", bid))
                  .option("checkpointLocation", f"{root}/_checkpoint")
                  .trigger(**(trigger or {"processingTime": "30 seconds"})), auth_events.sparkSession,
                  state_partitions)
 
 
+def lockout_table(spark: SparkSession, root: str) -> DataFrame:
+    """Current alerts: the last count written for each (actor, window)."""
+    ups = spark.read.parquet(f"{root}/updates")
+    return (ups.groupBy("staff_id", "window_start", "window_end")
+            .agg(F.max_by("failures", "batch").alias("failures")))
+
+
 StreamBuilder = Callable[..., StreamingQuery]
