@@ -95,9 +95,9 @@ def test_lockout_stream_equals_batch_twin(spark, small_tables):
 def test_lockout_update_mode_over_batches_equals_batch_twin(spark, small_tables, split_events):
     root = tempfile.mkdtemp(prefix="lotquery-r6b-")
     auth = live.derived_stream(spark, "pk_auth_event", live.event_stream(spark, split_events, 1))
-    live.run(live.lockout_alerts(auth, root, 2, 15, {"availableNow": True}))
+    live.run(live.lockout_alerts(auth, root, 1, 15, {"availableNow": True}))
     assert spark.read.parquet(f"{root}/updates").select("batch").distinct().count() >= 2
     got = sorted(map(tuple, live.lockout_table(spark, root).select(
         "staff_id", "window_start", "window_end", "failures").collect()))
-    want = sorted(map(tuple, live.lockout_windows(small_tables.auth_event, 2, 15).collect()))
-    assert got == want
+    want = sorted(map(tuple, live.lockout_windows(small_tables.auth_event, 1, 15).collect()))
+    assert got and got == want
