@@ -796,11 +796,11 @@ SELECT date_trunc('hour', action_time) AS window_start, action, CAST(COUNT(*) AS
 FROM pk_parking_log WHERE action_time IS NOT NULL GROUP BY ALL
 """, raw=True)
 def _live_volumes(spark, sf_dir, t):
-    """R2 in complete mode (the append-mode service holds back open hours)."""
+    """R2 in update mode with a one-day watermark: current hourly counts."""
     root = scratch_path(spark, "live_volumes")
-    live.run(live.live_volumes(_log_stream(spark, t, "live_volumes"), root, ONCE, mode="complete",
+    live.run(live.live_volumes(_log_stream(spark, t, "live_volumes"), root, ONCE, mode="update",
                                state_partitions=live.default_state_partitions(spark)))
-    return spark.read.parquet(f"{root}/out")
+    return live.volumes_table(spark, root)
 
 
 @query("live_transition_check", "WITH " + ORACLE_TRANSITIONS + f"""

@@ -138,9 +138,11 @@ def live_slot_grid(slot_events: DataFrame, parking_slot: DataFrame, root: str,
 
 def live_volumes(parking_log: DataFrame, root: str, trigger: dict | None = None, mode: str = "append",
                  watermark: str = "1 day", state_partitions: int | None = None) -> StreamingQuery:
-    """R2: entries and exits per hour.  In service (``append``) each hour is
-    written once the watermark passes it; ``complete`` rewrites the full
-    table every batch (used to compare with the batch count)."""
+    """R2: entries and exits per hour, window state bounded by the watermark.
+    ``append`` writes each hour once the watermark passes it (file sink);
+    ``update`` writes the hours whose count changed in each batch
+    (batch-keyed, read back with ``volumes_table``: current counts, including
+    hours still open); ``complete`` rewrites the full table every batch."""
     counts = (parking_log.select("action", as_event_time("action_time").alias("t"))
               .withWatermark("t", watermark)
               .groupBy(F.window("t", "1 hour"), "action").agg(F.count(F.lit(1)).alias("n"))
@@ -148,12 +150,21 @@ def live_volumes(parking_log: DataFrame, root: str, trigger: dict | None = None,
     w = counts.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/_checkpoint") \
         .trigger(**(trigger or {"processingTime": "30 seconds"}))
     spark = parking_log.sparkSession
+    if mode == "update":
+        return start(w.foreachBatch(lambda df, bid: _write_version(df, f"{root}/updates", bid)),
+                     spark, state_partitions)
     if mode == "complete":
         return start(w.foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{root}/out")),
                      spark, state_partitions)
     return start(w.format("parquet").option("path", f"{root}/out"), spark, state_partitions)
 
 
+def volumes_table(spark: SparkSession, root: str) -> DataFrame:
+    """Current hourly counts from an ``update``-mode R2 run."""
+    ups = spark.read.parquet(f"{root}/updates")
+    return ups.groupBy("window_start", "action").agg(F.max_by("n", "batch").alias("n"))
+
+
 # ------------------------------------------------------------------ R3
 
 _ORDER = ["event_time", "event_id"]
