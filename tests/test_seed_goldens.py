@@ -100,3 +100,19 @@ def test_capacity_alerts_floor_level(seeds):
                                    level="floor").collect()
     assert {(r["floor_id"], r["total"], r["occupied"], r["assignable"], r["pct"], r["alert"]) for r in rows} == {
         (1, 6, 3, 2, 50, "occupancy"), (1, 6, 3, 2, 50, "low_free")}
+
+
+def test_fee_surcharges_and_multiplier(spark):
+    """F6 steps 5-6 on the seed Sedan ticket (3 h, 35,000): a wrong-zone
+    surcharge when its slot is an SUV bay, and an occupancy multiplier by entry
+    hour."""
+    from pyspark.sql import functions as F
+    from lotquery.operators import pricing
+    as_of = dt.datetime(2026, 5, 6, 12, 0, 0)
+    s = seed_tables(spark, as_of)
+    ticket = s.ticket.withColumn("slot_id", F.when(F.col("ticket_id") == 1, F.lit(4)).otherwise(F.col("slot_id")))
+    mult = spark.createDataFrame([(8, 1.5)], "band int, multiplier double")
+    fee = pricing.parking_fee(ticket, s.vehicle, s.vehicle_type, s.pricing_rules, s.holidays, as_of,
+                              wrong_zone_fee=5000.0, parking_slot=s.parking_slot, slot_type_map=s.slot_type_map,
+                              occupancy_multiplier=mult).filter("ticket_id = 1").first()
+    assert float(fee["fee"]) == 35000.0 * 1.5 + 5000.0
