@@ -2,7 +2,6 @@
 and the source / sink helpers."""
 
 import os
-import tempfile
 
 import pytest
 from pyspark.sql import functions as F
