@@ -36,6 +36,18 @@ def write_staged(spark: SparkSession, outputs: dict[str, DataFrame], root: str)
     return paths
 
 
+def read_staged(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Read outputs written by ``write_staged``; refuse a folder whose commit
+    marker is missing (a write that did not finish), so readers never see
+    part of a batch."""
+    try:
+        marker = spark.read.json(f"{root.rstrip('/')}/_COMMITTED")
+        entries = marker.collect()  # one small row per output name
+    except Exception as exc:  # noqa: BLE001
+        raise RuntimeError(f"no committed outputs under {root}") from exc
+    return {r["name"]: spark.read.parquet(r["path"]) for r in entries}
+
+
 # Month partition column per time-keyed fact (partition pruning on time filters).
 MONTH_PARTITIONS = {"ticket": "entry_time", "payment": "payment_time", "parking_log": "action_time",
                     "slot_event": "event_time", "auth_event": "event_time"}

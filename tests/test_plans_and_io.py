@@ -51,9 +51,25 @@ def test_load_tables_roundtrip_and_export(spark, small_tables, tmp_path):
 
 
 def test_write_staged_commits_all(spark, tmp_path):
+    from lotquery.sources.sinks import read_staged
     paths = write_staged(spark, {"a": spark.range(3), "b": spark.range(5)}, str(tmp_path / "st"))
     assert spark.read.parquet(paths["a"]).count() == 3 and spark.read.parquet(paths["b"]).count() == 5
-    assert spark.read.json(str(tmp_path / "st" / "_COMMITTED")).count() == 2
+    got = read_staged(spark, str(tmp_path / "st"))
+    assert got["a"].count() == 3 and got["b"].count() == 5
+    spark.range(2).write.parquet(str(tmp_path / "half" / "a"))  # outputs without a marker
+    with pytest.raises(RuntimeError):
+        read_staged(spark, str(tmp_path / "half"))
+
+
+def test_registration_outputs_staged(spark, small_tables, tmp_path):
+    from lotquery.operators import booking
+    from lotquery.sources.sinks import read_staged
+    out = booking.register_drivers(small_tables.registration_requests, small_tables.customer,
+                                   small_tables.vehicle, small_tables.vehicle_type)
+    write_staged(spark, booking.registration_outputs(out), str(tmp_path / "reg"))
+    got = read_staged(spark, str(tmp_path / "reg"))
+    assert got["new_customer"].count() == got["new_vehicle"].count() > 0
+    assert got["new_customer"].count() + got["rejects"].count() == small_tables.registration_requests.count()
 
 
 def test_bucketed_canonical_tables_join_without_shuffle(spark, small_tables, tmp_path):
