@@ -134,7 +134,15 @@ def dashboard_document(ticket: DataFrame, vehicle: DataFrame, parking_slot: Data
     J1 ``active_tickets``), so the document stays bounded at any scale."""
     slots = slot_totals(parking_slot).select(
         F.struct("total", "occupied", "available").alias("slots"))
-    revenue = total_revenue(payment)
+    # A2 and A4 fused: one scan of the payments gives the total and the day's figures.
+    today_row = X.on_day("payment_time", day)
+    pay = payment.agg(
+        X.sum_or_zero("amount").cast("double").alias("total_revenue"),
+        F.struct(F.coalesce(F.sum(F.when(today_row, F.col("amount"))), F.lit(0)).cast("double").alias("totalAmount"),
+                 X.count_when(today_row).alias("transactions"),
+                 X.count_when(today_row & (F.col("status") == "paid")).alias("paid"),
+                 X.count_when(today_row & (F.col("status") != "paid")).alias("unpaid")).alias("paymentsToday"))
+    pay_doc = pay.select(F.struct("total_revenue", "paymentsToday").alias("p")).scalar()
     status = (ticket_status_counts(ticket)
               .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "cnt")))).alias("ticketStatus")))
     newest = (ticket.filter(F.col("status") == "active")
@@ -147,16 +155,13 @@ def dashboard_document(ticket: DataFrame, vehicle: DataFrame, parking_slot: Data
                       F.col("entry_time").alias("_ts"))
               .agg(F.collect_list(F.struct(F.col("_ts"), F.col("t"))).alias("lst"))
               .select(F.transform(F.reverse(F.array_sort("lst")), lambda s: s["t"]).alias("currentTickets")))
-    today = payments_on_day(payment, day).select(
-        F.struct(F.col("total_amount").alias("totalAmount"), F.col("transactions"), F.col("paid"),
-                 F.col("unpaid")).alias("paymentsToday"))
     spark = parking_slot.sparkSession
     doc = spark.range(1).select(F.struct(
         slots.select("slots").scalar().alias("slots"),
-        revenue.select("total_revenue").scalar().alias("totalRevenue"),
+        pay_doc["total_revenue"].alias("totalRevenue"),
         status.select("ticketStatus").scalar().alias("ticketStatus"),
         F.coalesce(newest.select("currentTickets").scalar(), F.array()).alias("currentTickets"),
-        today.select("paymentsToday").scalar().alias("paymentsToday")).alias("d"))
+        pay_doc["paymentsToday"].alias("paymentsToday")).alias("d"))
     return doc.select(F.to_json("d", {"ignoreNullFields": "false"}).alias("document"))
 
 

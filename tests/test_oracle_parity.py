@@ -43,3 +43,19 @@ def test_query_matches_oracle(spark, con, name):
         return
     want = con.execute(oracles[name]).df()
     assert digest(got) == digest(want)
+
+
+def test_dashboard_document_equals_its_parts(spark):
+    """S4 has no SQL oracle: its fields must equal the checked A1-A4 and J1 queries."""
+    import json
+    q = E.queries()
+    doc = json.loads(q["dashboard_document"](spark, SF).first()["document"])
+    st = q["slot_totals"](spark, SF).first().asDict()
+    assert doc["slots"] == {k: st[k] for k in ("total", "occupied", "available")}
+    assert doc["totalRevenue"] == q["total_revenue"](spark, SF).first()["total_revenue"]
+    pt = q["payments_on_day"](spark, SF).first().asDict()
+    assert doc["paymentsToday"] == {"totalAmount": pt["total_amount"], "transactions": pt["transactions"],
+                                    "paid": pt["paid"], "unpaid": pt["unpaid"]}
+    assert doc["ticketStatus"] == {r["status"]: r["cnt"] for r in q["ticket_status_counts"](spark, SF).collect()}
+    top = [r["ticket_id"] for r in q["active_tickets"](spark, SF).limit(50).collect()]
+    assert [t["ticket_id"] for t in doc["currentTickets"]] == top
