@@ -38,6 +38,16 @@ def main() -> None:
     print("Generated by `scripts/plan_report.py`. `shuffles` counts Exchange nodes (including the")
     print("single-partition exchange of a global aggregate); `nested_loop` must be 0 everywhere;")
     print("`pushed` counts scans with pushed filters. Streaming queries are excluded.\n")
+    print("Notes on the larger plans:\n")
+    print("* Broadcast joins at this scale are AQE run-time conversions of shuffle joins or hints on")
+    print("  size-checked dimensions; at 100 TB the fact-to-fact joins stay sort-merge joins.")
+    print("* `bookable_slots`, `assign_slots`, `register_drivers`: each two-level ranking is one block")
+    print("  aggregate, one window over the small block table, one join and one window inside (key, block);")
+    print("  the reused ranked-slot table is checkpointed once (its plan is read back from the checkpoint).")
+    print("* `occupancy_profile`: the 24-band overlap sum is a map-side partial aggregate; the level scan")
+    print("  is one `ordered_scan` (running sum and next time together).")
+    print("* `domain_audit` / `dashboard_document`: one single-partition exchange per global aggregate")
+    print("  (one row each), no data-sized single partition.\n")
     print("| query | shuffles | broadcasts | BHJ | SMJ | SHJ | nested loop | windows | scans with pushed filters |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for name, fn in E.queries().items():
