@@ -175,19 +175,33 @@ def _before(t1: Column, i1: Column, t2: Column, i2: Column) -> Column:
 
 
 def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | None = None,
-                          state_partitions: int | None = None) -> StreamingQuery:
-    """W2 on a stream.  State = the last event per slot (a versioned
-    table).  Each batch: events older than the slot's state are emitted as
-    ``late`` and do not move it; the rest are ordered after the state row and
-    every move outside the allowed table is emitted as ``illegal``."""
+                          state_partitions: int | None = None, state_parts: int = 64) -> StreamingQuery:
+    """W2 on a stream.  State = the last event per slot.  Each batch:
+    events older than the slot's state are emitted as ``late`` and do not
+    move it; the rest are ordered after the state row and every move outside
+    the allowed table is emitted as ``illegal``.
+
+    The state is hash-partitioned by slot into ``state_parts`` parts; a small
+    manifest (one row per part) names the batch that last wrote each part.  A
+    batch reads and rewrites only the parts its events touch, so the cost per
+    batch follows the batch, not the number of slots ever seen."""
     cols = ["event_id", "slot_id", "event_time", "status"]
+    state_schema = SCHEMAS["slot_event"]
+
+    def part_of(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c)), F.lit(state_parts)).cast("int")
 
     def check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ev = batch.select(*cols)
-        state = _versioned(spark, f"{root}/state", batch_id)
-        if state is None:
-            state = spark.createDataFrame([], SCHEMAS["slot_event"]).select(*cols)
+        manifest = _versioned(spark, f"{root}/manifest", batch_id)
+        touched = [r["part"] for r in ev.select(part_of("slot_id").alias("part")).distinct().collect()]  # <= parts
+        paths = []
+        if manifest is not None and touched:
+            paths = [f"{root}/state/batch={r['written_by']}/part={r['part']}"
+                     for r in manifest.filter(F.col("part").isin(touched)).collect()]  # <= parts rows
+        state = (spark.read.schema(state_schema).parquet(*paths).select(*cols) if paths
+                 else spark.createDataFrame([], state_schema).select(*cols))
         s = state.select("slot_id", F.col("event_time").alias("s_time"), F.col("event_id").alias("s_id"),
                          F.col("status").alias("s_status"))
         j = ev.join(s, "slot_id", "left")
@@ -206,8 +220,13 @@ def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | Non
                            F.col("status").alias("to_status"), F.lit("illegal").alias("kind")))
         _write_version(illegal.unionByName(late), f"{root}/alerts", batch_id)
         new_state = (state.unionByName(fresh).groupBy("slot_id")
-                     .agg(F.max_by(F.struct(*cols), F.struct(*_ORDER)).alias("s")).select("s.*"))
-        _write_version(new_state, f"{root}/state", batch_id)
+                     .agg(F.max_by(F.struct(*cols), F.struct(*_ORDER)).alias("s")).select("s.*")
+                     .withColumn("part", part_of("slot_id")))
+        new_state.write.mode("overwrite").partitionBy("part").parquet(f"{root}/state/batch={batch_id}")
+        rewritten = spark.createDataFrame([(p, batch_id) for p in touched], "part int, written_by int")
+        kept = (manifest.filter(~F.col("part").isin(touched)) if manifest is not None
+                else spark.createDataFrame([], "part int, written_by int"))
+        _write_version(kept.unionByName(rewritten), f"{root}/manifest", batch_id)
 
     return start(slot_events.writeStream.foreachBatch(check).option("checkpointLocation", f"{root}/_checkpoint")
                  .trigger(**(trigger or {"processingTime": "30 seconds"})), slot_events.sparkSession,
