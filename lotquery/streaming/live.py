@@ -193,7 +193,15 @@ def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | Non
 
     def check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ev = batch.select(*cols)
+        # The batch feeds several writes: cache it for this batch only (blocks lost
+        # with an executor are recomputed from the source offsets).
+        ev = batch.select(*cols).persist()
+        try:
+            _check(spark, ev, batch_id)
+        finally:
+            ev.unpersist()
+
+    def _check(spark: SparkSession, ev: DataFrame, batch_id: int) -> None:
         manifest = _versioned(spark, f"{root}/manifest", batch_id)
         touched = [r["part"] for r in ev.select(part_of("slot_id").alias("part")).distinct().collect()]  # <= parts
         paths = []
@@ -222,7 +230,8 @@ def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | Non
         new_state = (state.unionByName(fresh).groupBy("slot_id")
                      .agg(F.max_by(F.struct(*cols), F.struct(*_ORDER)).alias("s")).select("s.*")
                      .withColumn("part", part_of("slot_id")))
-        new_state.write.mode("overwrite").partitionBy("part").parquet(f"{root}/state/batch={batch_id}")
+        (new_state.repartition("part").write.mode("overwrite").partitionBy("part")  # one file per part
+         .parquet(f"{root}/state/batch={batch_id}"))
         rewritten = spark.createDataFrame([(p, batch_id) for p in touched], "part int, written_by int")
         kept = (manifest.filter(~F.col("part").isin(touched)) if manifest is not None
                 else spark.createDataFrame([], "part int, written_by int"))
