@@ -112,3 +112,21 @@ def test_recommended_conf_scales_with_input():
     assert int(big["spark.sql.shuffle.partitions"]) == 409600
     assert int(small["spark.sql.shuffle.partitions"]) == 16
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 * 1024)
+
+
+def test_vehicle_bucketing_removes_j1_shuffle(spark, small_tables, tmp_path):
+    """README claim: bucketing ticket and vehicle on vehicle_id makes J1's join shuffle-free."""
+    from lotquery.sources.sinks import write_canonical_tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = write_canonical_tables(spark, small_tables, str(tmp_path / "canon4"), names=["ticket", "vehicle"],
+                                        buckets={"ticket": ("vehicle_id", 8), "vehicle": ("vehicle_id", 8)},
+                                        partition_by_month=False)
+        joined = stored["ticket"].filter(F.col("status") == "active").join(
+            stored["vehicle"].select("vehicle_id", "license_plate"), "vehicle_id")
+        plan = _plan(joined)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+        got = dash.active_tickets(stored["ticket"], stored["vehicle"])
+        assert got.count() == dash.active_tickets(small_tables.ticket, small_tables.vehicle).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -222,3 +222,24 @@ def test_assign_slots_matches_brute_force(spark, seed):
         queue = sorted((a for a in arrivals if a[4] == vt), key=lambda a: (a[1], a[0]))
         for i, a in enumerate(queue):
             assert got[a[0]] == (order[i] if i < len(order) else None), (vt, a)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.integers(min_value=0, max_value=10_000))
+def test_arrival_booking_matches_brute_force(spark, seed):
+    """J10 (bucketed by vehicle and day) against a direct scan of all reservations."""
+    rnd = random.Random(seed)
+    base = dt.datetime(2024, 1, 1)
+    res = []
+    for r in range(rnd.randint(0, 40)):
+        start = base + dt.timedelta(hours=rnd.randint(0, 100), minutes=rnd.randint(0, 59))
+        res.append((r, 1, rnd.randint(1, 4), start, start + dt.timedelta(hours=rnd.randint(1, 30)),
+                    rnd.choice(["confirmed", "confirmed", "canceled"])))
+    arrivals = [(a, base + dt.timedelta(hours=rnd.randint(0, 130), minutes=rnd.randint(0, 59)), rnd.randint(1, 4),
+                 None, 1) for a in range(rnd.randint(1, 30))]
+    from lotquery.sources.tables import SCHEMAS
+    got = {r["arrival_id"]: r["reservation_id"] for r in booking.arrival_booking(
+        spark.createDataFrame(arrivals, SCHEMAS["arrivals"]), spark.createDataFrame(res, SCHEMAS["reservation"])).collect()}
+    for a_id, t, v, _, _ in arrivals:
+        hits = sorted((r[3], r[0]) for r in res if r[2] == v and r[5] == "confirmed" and r[3] <= t < r[4])
+        assert got[a_id] == (hits[0][1] if hits else None), a_id
