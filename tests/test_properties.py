@@ -243,3 +243,16 @@ def test_arrival_booking_matches_brute_force(spark, seed):
     for a_id, t, v, _, _ in arrivals:
         hits = sorted((r[3], r[0]) for r in res if r[2] == v and r[5] == "confirmed" and r[3] <= t < r[4])
         assert got[a_id] == (hits[0][1] if hits else None), a_id
+
+
+def test_occupancy_average_never_exceeds_peak(small_tables):
+    """In every band the time-weighted average is at most the peak level, and both are >= 0."""
+    from lotquery.operators import windows as win
+    t = small_tables
+    for by, extra in (("area_id", {}), ("floor_id", {"parking_area": t.parking_area}),
+                      ("vehicle_type_id", {"vehicle": t.vehicle})):
+        prof = win.occupancy_profile(t.ticket, t.parking_slot, "2001-08-05 00:00:00", by=by, **extra)
+        bad = prof.filter((F.col("avg_occupancy") > F.col("peak") + 1e-4) | (F.col("avg_occupancy") < 0)
+                          | (F.col("peak") < 0))
+        assert bad.count() == 0, by
+        assert prof.filter(F.col("peak") > 0).count() > 0
