@@ -46,9 +46,9 @@ def bookable_slots(requests: DataFrame, parking_slot: DataFrame, slot_type_map:
 
     * blocked slots come from a bucketed interval join (real overlaps only);
     * compatible slots are numbered 1..n per type (two-level row number); the
-      blocked slots of a request, numbered among themselves in slot order,
-      fill a prefix 1..m exactly when position == rank, so the first free
-      position is m + 1, joined back to its slot by (type, position).
+      first free position of a request is the least of 1 and (blocked position
+      + 1) that is not itself blocked, joined back to its slot by
+      (type, position).
     """
     m = bounded_broadcast(slot_type_map, DIM_ROWS)
     compat = (parking_slot.filter(~F.col("status").isin(*UNAVAILABLE)).select("slot_id", "slot_type")
@@ -66,15 +66,21 @@ def bookable_slots(requests: DataFrame, parking_slot: DataFrame, slot_type_map:
     blocked = (req_b.join(live_b, ["vehicle_type_id", "bucket"])
                .filter((F.col("from_time") < F.col("r_to")) & (F.col("r_from") < F.col("to_time")))
                .select("request_id", "slot_id", "pos").distinct())
-    ranked = ordered_position(blocked, ["request_id"], ["pos"], F.floor(F.col("pos") / 65536), name="rank")
-    per_req = ranked.groupBy("request_id").agg(F.count(F.lit(1)).alias("blocked"),
-                                               X.count_when(F.col("rank") == F.col("pos")).alias("prefix"))
+    per_req = blocked.groupBy("request_id").agg(F.count(F.lit(1)).alias("blocked"))
+    # First free position = min of ({1} u {b + 1 : b blocked}) minus the blocked set:
+    # if position f is free and f > 1, then f - 1 is blocked, so f is a candidate.
+    blocked_pos = blocked.select("request_id", "pos", F.lit(True).alias("_lq_hit"))
+    candidates = (blocked.select("request_id", (F.col("pos") + 1).alias("pos"))
+                  .unionByName(requests.select("request_id", F.lit(1).cast("bigint").alias("pos"))))
+    first_free = (candidates.join(blocked_pos, ["request_id", "pos"], "left").filter(F.col("_lq_hit").isNull())
+                  .groupBy("request_id").agg(F.min("pos").alias("pos")))
     base = (requests.select("request_id", "vehicle_type_id")
             .join(per_type, "vehicle_type_id", "left").join(per_req, "request_id", "left")
+            .join(first_free, "request_id", "left")
             .select("request_id", "vehicle_type_id",
                     F.coalesce("candidates", F.lit(0)).cast("bigint").alias("candidates"),
                     F.coalesce("blocked", F.lit(0)).cast("bigint").alias("blocked"),
-                    (F.coalesce("prefix", F.lit(0)) + 1).cast("bigint").alias("pos")))
+                    F.col("pos").cast("bigint").alias("pos")))
     first = compat.select("vehicle_type_id", "pos", F.col("slot_id").alias("first_slot_id"))
     return (base.join(first, ["vehicle_type_id", "pos"], "left")
             .select("request_id", "vehicle_type_id", "candidates", "blocked",
