@@ -130,3 +130,15 @@ def test_vehicle_bucketing_removes_j1_shuffle(spark, small_tables, tmp_path):
         assert got.count() == dash.active_tickets(small_tables.ticket, small_tables.vehicle).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from lotquery.__main__ import main
+    assert main(["list"]) == 0
+    assert "occupancy_profile" in capsys.readouterr().out.split()
+    out = str(tmp_path / "zones")
+    assert main(["run", "zone_summary", SF, "--out", out]) == 0
+    assert spark.read.parquet(out).count() == 25
+    assert main(["explain", "slot_totals", SF]) == 0
+    with pytest.raises(SystemExit):
+        main(["run", "no_such_query", SF])
