@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -72,28 +72,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is a shared file system path set by the operator (the
-    context picks it up at start).  Only when nothing is set, as in tests, do we
-    use a fresh local temp folder."""
+    context picks it up at start); an unset value there is an error, because
+    executors would write to machine-local folders that readers cannot see.
+    Only on a local master with nothing set, as in tests, do we use a fresh
+    local temp folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not is_local_master(sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set on master {sc.master!r}: "
+                               "name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lotquery-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # noqa: BLE001 - core config may be read-only at run time
-            pass
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
+def is_local_master(master: str) -> bool:
+    """True for ``local`` and ``local[...]``: driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique folder below the shared checkpoint folder for staged outputs and
-    streaming state; never a machine-local temp folder on a cluster."""
+    streaming state.  The URI scheme is kept, so the path means the same on
+    every machine whatever the default file system is."""
     base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    token = next(tempfile._get_candidate_names())  # noqa: SLF001 - unique suffix only
-    return os.path.join(base, "lotquery", f"{name}-{token}")
+    return f"{base.rstrip('/')}/lotquery/{name}-{uuid.uuid4().hex}"
