@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lotquery.session import ensure_session_conf
 from lotquery.llm.common import table
 from lotquery.llm.exact_dedup import exact_dedup
+from lotquery.llm.line_dedup import line_dedup
+from lotquery.llm.mixing import MAX_REPETITION, mix_sources
+from lotquery.llm.sharding import shard_documents
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +25,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return line_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return mix_sources(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), "mix_pass", "mix_block", "mix_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_source_mixing": op8_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
@@ -29,5 +52,58 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op5_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+  FROM documents, LATERAL (SELECT unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i)),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+often AS (
+  SELECT k, max(doc_id) AS owner FROM (SELECT DISTINCT k, doc_id FROM keyed WHERE length(k) >= 40)
+  GROUP BY k HAVING count(*) >= 5),
+marked AS (
+  SELECT keyed.doc_id, i, line, often.k IS NOT NULL AND often.owner <> keyed.doc_id AS gone
+  FROM keyed LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+    "op8_source_mixing": f"""
+WITH RECURSIVE narrow AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS mix_tokens,
+         md5(coalesce(text, '')) AS body FROM documents),
+sources AS (SELECT source, sum(mix_tokens) AS tokens FROM narrow GROUP BY source),
+bisect AS (
+  SELECT -1 AS low, {1 << 20} AS high
+  UNION ALL
+  SELECT CASE WHEN ok THEN low ELSE middle END, CASE WHEN ok THEN middle ELSE high END
+  FROM (SELECT low, high, (low + high) // 2 AS middle,
+               (SELECT max(power(tokens / (SELECT max(tokens) FROM sources), ((b.low + b.high) // 2) / {float(1 << 20)!r} - 1))
+                FROM sources WHERE tokens > 0) <= {MAX_REPETITION!r} AS ok
+        FROM bisect b WHERE high - low > 1)),
+fit AS (SELECT min(high) / {float(1 << 20)!r} AS a FROM bisect),
+weights AS (
+  SELECT source, tokens, CASE WHEN tokens > 0 THEN power(tokens, a) ELSE 0 END
+         / (SELECT sum(power(tokens, a)) FROM sources WHERE tokens > 0) AS weight
+  FROM sources, fit),
+quotas AS (
+  SELECT source, tokens, weight, CAST(round(weight * (SELECT max(tokens / weight) FROM weights WHERE tokens > 0)) AS BIGINT) AS quota
+  FROM weights),
+plan AS (
+  SELECT source, weight, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS full_passes,
+         CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest FROM quotas),
+last_pass AS (
+  SELECT *, sum(mix_tokens) OVER (PARTITION BY source ORDER BY k) - sum(mix_tokens) OVER (PARTITION BY source, k) AS before
+  FROM (SELECT n.*, weight, full_passes, rest, md5(concat(full_passes, '|', doc_id, '|', body)) AS k
+        FROM narrow n JOIN plan p ON n.source IS NOT DISTINCT FROM p.source)),
+copies AS (
+  SELECT *, unnest(generate_series(0, CAST(full_passes AS BIGINT) - (CASE WHEN before < rest THEN 0 ELSE 1 END))) AS mix_pass
+  FROM last_pass)
+SELECT doc_id, source, mix_tokens, round(weight, 6) AS mix_weight, mix_pass,
+       substr(md5(concat(mix_pass, '|', doc_id, '|', body)), 1, 3) AS mix_block,
+       md5(concat(mix_pass, '|', doc_id, '|', body)) AS mix_key
+FROM copies
 """,
 }
