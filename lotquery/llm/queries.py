@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotquery.session import ensure_session_conf
 from lotquery.llm.common import table
 from lotquery.llm.exact_dedup import exact_dedup
+from lotquery.llm.html_extract import extract_pages
 from lotquery.llm.line_dedup import line_dedup
 from lotquery.llm.mixing import MAX_REPETITION, mix_sources
 from lotquery.llm.sharding import shard_documents
@@ -36,11 +37,17 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), "mix_pass", "mix_block", "mix_key")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
