@@ -12,7 +12,7 @@ from lotquery.session import scratch_path
 
 #: Whole texts of one Arrow batch are cut into pieces of at most this many
 #: bytes (one text at least), so a worker holds the words of one piece only.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

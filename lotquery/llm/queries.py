@@ -11,11 +11,18 @@ from lotquery.session import ensure_session_conf
 from lotquery.llm.common import table
 from lotquery.llm.exact_dedup import exact_dedup
 from lotquery.llm.html_extract import extract_pages
+from lotquery.llm.langid import identify_languages
 from lotquery.llm.line_dedup import line_dedup
 from lotquery.llm.mixing import MAX_REPETITION, mix_sources
+from lotquery.llm.quality import score_quality
 from lotquery.llm.sharding import shard_documents
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_session_conf(spark)
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -31,6 +38,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_session_conf(spark)
     return mix_sources(table(spark, sf_dir, "documents")).select(
@@ -43,9 +55,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op10_html_extraction": op10_html_extraction,
 }
