@@ -14,6 +14,7 @@ from lotquery.llm.html_extract import extract_pages
 from lotquery.llm.langid import identify_languages
 from lotquery.llm.line_dedup import line_dedup
 from lotquery.llm.mixing import MAX_REPETITION, mix_sources
+from lotquery.llm.near_dedup import near_dedup
 from lotquery.llm.quality import score_quality
 from lotquery.llm.sharding import shard_documents
 
@@ -49,6 +50,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), "mix_pass", "mix_block", "mix_key")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_session_conf(spark)
     return extract_pages(table(spark, sf_dir, "pages"))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
 
@@ -126,5 +133,25 @@ SELECT doc_id, source, mix_tokens, round(weight, 6) AS mix_weight, mix_pass,
        substr(md5(concat(mix_pass, '|', doc_id, '|', body)), 1, 3) AS mix_block,
        md5(concat(mix_pass, '|', doc_id, '|', body)) AS mix_key
 FROM copies
+""",
+    "op9_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s
+  FROM words, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 4))) AS i) WHERE len(w) > 0),
+sizes AS (SELECT words.doc_id, count(s) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY words.doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * m >= 85 * (x.n + y.n - m)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM edges UNION SELECT node, b FROM reach JOIN edges ON a = other),
+least AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM sizes LEFT JOIN least ON node = doc_id
 """,
 }
