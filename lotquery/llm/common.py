@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,14 @@ from lotquery.session import scratch_path
 #: Whole texts of one Arrow batch are cut into pieces of at most this many
 #: bytes (one text at least), so a worker holds the words of one piece only.
 PIECE_BYTES = 4 << 20
+#: Rows of a table that is broadcast, at most; else Spark shuffles.
+SMALL = 1_000_000
+
+#: Bytes that are no part of a word: ASCII white space, or all but a-z, 0-9 and beyond ASCII.
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+NO_WORD = np.ones(256, bool)
+NO_WORD[48:58] = NO_WORD[97:123] = NO_WORD[128:] = False
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +70,41 @@ def map_texts(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, with a broadcast hint if its rows are few enough."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit words."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: list[bytes], gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts (runs of bytes outside ``gap``,
+    which holds the newline), each text's number of words, and the words'
+    first bytes and ends within their texts."""
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
+    edge = np.diff(np.concatenate([[True], gap[raw], [True]]).astype(np.int8))
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    text = np.searchsorted(ends, start, side="right")
+    counts = np.bincount(text, minlength=len(texts))
+    if not len(start):
+        return np.empty(0, np.uint64), counts, start, stop
+    length = stop - start
+    offset = np.concatenate([[0], np.cumsum(length)])[:-1]
+    within = np.arange(length.sum(), dtype=np.int32) - np.repeat(offset.astype(np.int32), length)
+    powers = np.cumprod(np.concatenate([[1], np.full(int(length.max()) - 1, 0x100000001B3, np.uint64)]).astype(np.uint64))
+    mixed = (raw[np.repeat(start - offset, length) + np.arange(len(within))].astype(np.uint64) + np.uint64(1)) * powers[within]
+    hashes = scramble(np.add.reduceat(mixed, offset) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    base = np.concatenate([[0], ends])[text]
+    return hashes, counts, start - base, stop - base

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import map_texts, shuffle_parts, stored, utf8
+from lotquery.llm.common import SPACE, map_texts, scramble, shuffle_parts, small, stored, utf8, word_hashes
 
 WORDS = 5
 #: Percent.
@@ -42,47 +42,19 @@ SPARE = 32
 FREQUENT, FREQUENT_MAX = 32, 1 << 20
 LIST_MAX = 256
 BLOCK = 256
-#: Rows of a table that is broadcast, at most; else Spark shuffles.
-SMALL = 1_000_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _finish(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts (A-Z lowered, cut at ASCII white
-    space), and each text's number of words."""
-    raw = np.frombuffer(b"\n".join(t.lower() for t in texts), np.uint8)
-    edge = np.diff(np.concatenate([[True], _SPACE[raw], [True]]).astype(np.int8))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(texts))
-    if not len(start):
-        return np.empty(0, np.uint64), counts
-    length = stop - start
-    offset = np.concatenate([[0], np.cumsum(length)])[:-1]
-    within = np.arange(length.sum(), dtype=np.int32) - np.repeat(offset.astype(np.int32), length)
-    powers = np.cumprod(np.concatenate([[1], np.full(int(length.max()) - 1, 0x100000001B3, np.uint64)]).astype(np.uint64))
-    mixed = (raw[np.repeat(start - offset, length) + np.arange(len(within))].astype(np.uint64) + np.uint64(1)) * powers[within]
-    return _finish(np.add.reduceat(mixed, offset) + length.astype(np.uint64) * _MULTIPLIER), counts
-
-
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes, as int64."""
-    hashes, counts = word_hashes(texts)
+    hashes, counts = word_hashes([t.lower() for t in texts], SPACE)[:2]
     if len(hashes) >= words:
         rolled = np.zeros(len(hashes) - words + 1, np.uint64)
         for k in range(words):
             rolled = (rolled + hashes[k:len(hashes) - words + 1 + k]) * _MULTIPLIER
             rolled ^= rolled >> np.uint64(32)
-        rolled = _finish(rolled).view(np.int64)
+        rolled = scramble(rolled).view(np.int64)
     out, at = [], 0
     for n in counts.tolist():
         if n >= words:
@@ -209,11 +181,6 @@ def _verify(words: int, similarity: int):
     return run
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A stored table, with a broadcast hint if its rows are few enough."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def connected(links: DataFrame) -> DataFrame:
     """Rows (a, b) -> (node, root): root is the least node that is reachable.
     Large-star and small-star steps in turn, until nothing changes."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotquery.session import ensure_session_conf
 from lotquery.llm.common import table
+from lotquery.llm.decontam import find_contamination
 from lotquery.llm.exact_dedup import exact_dedup
 from lotquery.llm.html_extract import extract_pages
 from lotquery.llm.langid import identify_languages
@@ -29,6 +30,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_session_conf(spark)
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -63,6 +69,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op7_language_id": op7_language_id,
@@ -153,5 +160,29 @@ reach AS (SELECT DISTINCT a AS node, a AS other FROM edges UNION SELECT node, b
 least AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
 FROM sizes LEFT JOIN least ON node = doc_id
+""",
+    "op3_decontamination": r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS wide, list_aggregate(w[i:i + least(10, len(w)) - 1], 'string_agg', ' ') AS phrase
+  FROM item_words, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 9))) AS i) WHERE len(w) > 0),
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, i, wide, list_aggregate(w[i:i + wide - 1], 'string_agg', ' ') AS phrase
+  FROM words, (SELECT DISTINCT wide FROM windows), LATERAL (SELECT unnest(generate_series(1, len(w) - wide + 1)) AS i)),
+found AS (SELECT doc_id, i, places.wide, item_id FROM places JOIN windows USING (phrase, wide)),
+hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + wide - 1)) AS j FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
 }
