@@ -1 +1,74 @@
-STAGES = []
+"""The corpus pipeline: documents in, token ids out.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
+and returns a DataFrame; ``run`` stores it as Parquet and gives it to the next.
+All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotquery.llm.common import stored, table
+from lotquery.llm.decontam import remove_contamination
+from lotquery.llm.langid import UNKNOWN, label_languages
+from lotquery.llm.mixing import mix_sources
+from lotquery.llm.near_dedup import drop_near_duplicates
+from lotquery.llm.token_output import token_output
+from lotquery.session import ensure_session_conf
+
+TOKENIZER = "byte_bpe_50k.json"
+#: A document whose best language gets less than this goes.
+LEAST_SCORE = 0.3
+
+#: Token ids and bytes of context mixing aren't SQL; tests/llm holds the run
+#: against a brute-force version.
+ORACLE_SQL = None
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in no language that the labels know, go."""
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)
+    return label_languages(docs).filter(known).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the least doc_id."""
+    return drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that hold nothing else go."""
+    return remove_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: every document once at least, those of
+    small sources again as far as the repetition limit goes."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids written as coded blocks, and read back."""
+    return token_output(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

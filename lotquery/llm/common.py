@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,15 @@ def map_texts(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+def ship(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object with its class, for ``opened`` inside tasks."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(sent: Broadcast):
+    return pickle.loads(sent.value)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import NO_WORD, map_texts, schema_of, stored, utf8, word_hashes
+from lotquery.llm.common import NO_WORD, map_texts, opened, schema_of, ship, stored, utf8, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -210,7 +210,7 @@ def occurrences(phrases: Phrases, hashes: np.ndarray, counts: np.ndarray) -> tup
 def _mark(sent):
     """Adds a block's hits to the columns _cover (a byte a word) and _items."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = sent.value
+        phrases = opened(sent)
         for batch in batches:
             hashes, counts, *_ = word_hashes([t.lower() for t in utf8(batch)], NO_WORD)
             hit, items = occurrences(phrases, hashes, counts)
@@ -252,7 +252,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     for i, phrases in enumerate(phrase_blocks(benchmark, window, block_words)):
         if i:
             marked = stored(marked, "benchmark-marks")
-        marked = map_texts(marked, _mark(spark.sparkContext.broadcast(phrases)), schema_of(marked))
+        marked = map_texts(marked, _mark(ship(spark, phrases)), schema_of(marked))
     return marked
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import map_texts, share, stored, utf8
+from lotquery.llm.common import map_texts, opened, schema_of, share, ship, stored, utf8
 
 HELD_OUT, PARTS = 2, 4
 #: Labelled texts to learn from, of all languages together, and the longest of them.
@@ -235,8 +235,9 @@ def predict(chain: Chain, texts: list[bytes]) -> tuple[list[str], list[float]]:
 
 def _predict(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = opened(sent)
         for batch in batches:
-            labels, scores = predict(sent.value, utf8(batch))
+            labels, scores = predict(chain, utf8(batch))
             yield pa.record_batch([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                                   names=[*batch.schema.names, "lang_pred", "lang_score"])
     return run
@@ -268,10 +269,9 @@ def label_languages(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
     columns stay (but for columns named like the results, which are replaced).
     """
     chain = chain or train(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    sent = ship(docs.sparkSession, chain)
     rows = docs.drop("lang_pred", "lang_score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, lang_score double"
-    return map_texts(rows, _predict(sent), schema)
+    return map_texts(rows, _predict(sent), schema_of(rows) + ", lang_pred string, lang_score double")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -83,10 +83,10 @@ def _sketch(words: int, similarity: int):
             sets = shingle_sets(utf8(batch), words)
             heads = [s[:first_shared(len(s), similarity) + SHARED - 1 + SPARE] if len(s) else s for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                                    pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*heads, np.empty(0, np.int64)])))],
-                                  names=["doc_id", "n", "set_id", "head"])
+                                  names=["doc_id", "mark", "n", "set_id", "head"])
     return run
 
 
@@ -361,20 +361,11 @@ def near_links(docs: DataFrame, sketches: DataFrame, words: int, similarity: int
     return links.union(_checked(stored(rest, "rest"), texts, words, similarity))
 
 
-def near_dedup(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles,
-    component_id, kept.
-
-    Rows are linked when 100 * intersection >= ``similarity`` * union of their
-    sets of ``words``-word shingles; the component is the least doc_id that
-    links lead to.  Shorter texts are one shingle; texts without words, null
-    texts included, have an empty set and are linked with nothing.  Rows that
-    repeat a doc_id and text share the verdict; rows that share a doc_id only
-    are linked by their own texts.  An empty table gives an empty result.
-    Other columns are ignored.
-    """
-    sketches = stored(map_texts(docs.select("doc_id", "text"), _sketch(words, similarity),
-                                "doc_id long, n long, set_id long, head array<bigint>"), "sketches")
+def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Rows (doc_id, mark, n, component): mark is a hash of the text, component
+    null where a set is linked with nothing and has no copies."""
+    sketches = stored(map_texts(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), _sketch(words, similarity),
+                                "doc_id long, mark long, n long, set_id long, head array<bigint>"), "sketches")
     some = sketches.filter("n > 0")
     classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
                      .filter("c > 1"), "classes")
@@ -383,12 +374,45 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
     reps = some.join(small(copies), ["set_id", "doc_id"], "left_anti")
     roots = stored(connected(near_links(docs, reps, words, similarity)), "roots")
     # The least doc_id of each component, then of each set that is linked or has copies.
-    linked = small(roots)
-    least = (some.select("set_id", "doc_id").join(linked, F.col("set_id") == F.col("node"))
+    least = (some.select("set_id", "doc_id").join(small(roots), F.col("set_id") == F.col("node"))
              .groupBy("root").agg(F.min("doc_id").alias("component")))
     named = stored(roots.join(least, "root").select(F.col("node").alias("set_id"), "component")
                    .unionByName(classes.join(roots, F.col("set_id") == F.col("node"), "left_anti")
                                 .select("set_id", F.col("least").alias("component"))), "components")
-    return (sketches.select("doc_id", "n", "set_id").join(small(named), "set_id", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
-                    F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept")))
+    return sketches.select("doc_id", "mark", "n", "set_id").join(small(named), "set_id", "left").drop("set_id")
+
+
+def _kept() -> F.Column:
+    return F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True))
+
+
+def near_dedup(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles,
+    component_id, kept.
+
+    Rows are linked when 100 * intersection >= ``similarity`` * union of their
+    sets of ``words``-word shingles; the component is the least doc_id that
+    links lead to.  Shorter texts are one shingle; texts without words, null
+    texts included, have an empty set and are linked with nothing.  Rows that
+    repeat a doc_id and text share the verdict; rows that share a doc_id only
+    are linked by their own texts.  Rows with a null doc_id are kept.  An empty
+    table gives an empty result.  Other columns are ignored.
+    """
+    return _components(docs, words, similarity).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), _kept().alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """``docs`` with one row for each component of ``near_dedup``: that of the
+    least doc_id.  Of rows that repeat a doc_id and text any one stays; all
+    rows with a null doc_id stay."""
+    found = stored(_components(docs, words, similarity).select("doc_id", "mark", _kept().alias("kept")), "near-verdicts")
+    gone = stored(found.filter("NOT kept").select("doc_id", F.col("mark").alias("_mark")).distinct(), "near-gone")
+    again = stored(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id", F.col("mark").alias("_mark"))
+                   .agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id", "_mark"), "near-again")
+    key = ["doc_id", "_mark"]
+    stay = docs.withColumn("_mark", F.xxhash64("text")).join(small(gone), key, "left_anti")
+    if again.isEmpty():
+        return stay.select(*docs.columns)
+    once = stay.join(small(again), key, "left_semi").dropDuplicates(key)
+    return stay.join(small(again), key, "left_anti").unionByName(once).select(*docs.columns)

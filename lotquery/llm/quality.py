@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import map_texts, share, stored, utf8
+from lotquery.llm.common import map_texts, opened, share, ship, stored, utf8
 
 SAMPLE_ROWS = 20_000
 HELD_OUT_PARTS = 5
@@ -141,7 +141,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = opened(sent)
         for batch in batches:
             x = np.array([statistics(t) for t in utf8(batch)]).reshape(-1, len(FEATURES))
             yield pa.record_batch([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
@@ -175,7 +175,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     0.01 to 0.99.  An empty table gives an empty result.  Other columns are
     ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+    sent = ship(docs.sparkSession, train(docs, labels, sample_rows))
     scored = map_texts(docs.select("doc_id", "text"), _score(sent), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(share(F.col("doc_id"), HELD_OUT_PARTS) == 0, F.lit(False)).alias("held_out"),
                          "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from lotquery.llm.mixing import MAX_REPETITION, mix_sources
 from lotquery.llm.near_dedup import near_dedup
 from lotquery.llm.quality import score_quality
 from lotquery.llm.sharding import shard_documents
-
+from lotquery.llm.token_output import token_output
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_session_conf(spark)
@@ -45,6 +47,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(corpus_pipeline.TOKENIZER))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_session_conf(spark)
     return identify_languages(table(spark, sf_dir, "documents"))
@@ -72,10 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_token_output": op6_token_output,
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
