@@ -251,8 +251,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Chain:
                         & (share(F.col("doc_id"), PARTS) != HELD_OUT)).select("doc_id", "text", "lang")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rare_first = counts.orderBy(F.desc("n"), "lang").limit(sample_docs)  # one text of a language at least
-    each = F.lit(sample_docs) / rare_first.count() if sample_docs else F.lit(0)
-    rates = F.broadcast(stored(rare_first.select("lang", (each / F.col("n")).alias("_rate")), "lang-rates"))
+    each = sample_docs / max(1, rare_first.count())
+    rates = F.broadcast(stored(rare_first.select("lang", (F.lit(each) / F.col("n")).alias("_rate")), "lang-rates"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = (known.join(rates, "lang").filter(draw < F.col("_rate"))
               .orderBy(draw / F.col("_rate"), "doc_id", "text").limit(2 * sample_docs).select("text", "lang"))

@@ -96,7 +96,8 @@ class Trees:
 
 def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
     """Trees for the log loss of labels 0 and 1 over statistics ``x``."""
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.empty(0)
+             for j in range(len(FEATURES))]
     p = min(max(y.mean() if len(y) else 0.5, 0.01), 0.99)
     model = Trees(edges, math.log(p / (1 - p)))
     if len(np.unique(y)) < 2:
