@@ -42,6 +42,8 @@ SPARE = 32
 FREQUENT, FREQUENT_MAX = 32, 1 << 20
 LIST_MAX = 256
 BLOCK = 256
+#: Counters that order the values of large groups.
+COUNTERS = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -290,31 +292,40 @@ def _block_links(similarity: int):
     return run
 
 
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (scramble(values.view(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
 def _group_links(texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """Links that connect the sets of ``texts``, by sketches with rare values first."""
     spark = texts.sparkSession
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(utf8(batch), words)
-            lengths = [len(s) for s in sets]
-            yield pa.record_batch([pa.array(np.concatenate([*sets, np.empty(0, np.int64)])),
-                                   pa.array(np.repeat(batch.column("set_id").to_numpy(), lengths)),
-                                   pa.array(np.repeat(np.array(lengths, np.int64), lengths))], names=["v", "set_id", "n"])
+            values = np.concatenate([*shingle_sets(utf8(batch), words), np.empty(0, np.int64)])
+            places, times = np.unique(_counter(values), return_counts=True)
+            yield pa.record_batch([pa.array(places), pa.array(times)], names=["place", "times"])
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, values in zip(batch.column("set_id").to_pylist(), shingle_sets(utf8(batch), words), strict=True):
+                times = sent.value[_counter(values)]
+                first = np.lexsort((values, times))[:first_shared(len(values), similarity)]
+                at = np.flatnonzero(times[first] > 1)
+                yield pa.record_batch([pa.array(values[first[at]]), pa.array(np.full(len(at), i)), pa.array(at)],
+                                      names=["v", "set_id", "at"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column("set_id"), pa.array([s.tobytes() for s in shingle_sets(utf8(batch), words)], pa.binary())],
                                   names=["set_id", "values"])
 
-    rows = stored(map_texts(texts, spread, "v long, set_id long, n long"), "group-values")
-    found = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (rows.join(found, "v").groupBy("set_id", "n")  # a group here is one document's set
-              .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("order")))
-    keep = F.expr(f"CAST(n - ceil({similarity} * n / 100) + 1 AS INT)")
-    heads = (ranked.select("set_id", "n", F.posexplode(F.slice("order", F.lit(1), keep)).alias("at", "e"))
-             .select("set_id", "n", "at", "e.v", "e.df").filter("df > 1"))
-    heads = stored(heads, "group-heads")
+    # Any order is right: hashed counters of fixed size stand for the values' counts.
+    counted = map_texts(texts, count, "place long, times long").groupBy("place").agg(F.sum("times").alias("times")).toArrow()
+    counters = np.zeros(COUNTERS, np.int64)
+    counters[counted.column("place").to_numpy()] = counted.column("times").to_numpy()
+    sent = spark.sparkContext.broadcast(counters)
+    heads = stored(map_texts(texts, order, "v long, set_id long, at long"), "group-heads")
     blocks = (heads.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
               .select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
     dealt = (heads.select("v", "set_id", "at").join(small(stored(blocks, "group-blocks")), "v")
