@@ -53,6 +53,8 @@ OUT_WORDS = set("""ad ads adv advert adverts advertisement advertising adsense s
 #: Words that also name wrappers of main text: out, unless a page's article is inside.
 WEAK_WORDS = set("""header masthead topbar toolbar banner notice notices alert alerts announcement widget widgets side
     social search form forms discussion feedback reply legal copyright disclaimer recommended overlay""".split())
+#: A class with such a word tells what a wrapper holds, not what it is.
+WRAPS = set("with without has no".split())
 #: A wrapper by these tags, or one with this share of a page's text, stays.
 KEEP_TAGS = set("html body main article".split())
 MOST = 0.5
@@ -256,7 +258,10 @@ def _look(tag: str, rest: str, in_article: bool) -> tuple[str, int]:
     for key, a, b, c, bare in ATTRIBUTE.findall(rest):
         key, value = (key or bare).lower(), a or b or c
         if key in {"class", "id"}:
-            words.update(WORD.findall(CAMEL.sub(" ", html.unescape(value)).lower()))
+            for token in html.unescape(value).split():
+                own = WORD.findall(CAMEL.sub(" ", token).lower())
+                if not WRAPS.intersection(own):
+                    words.update(own)
             if key == "class":
                 classes = sorted({x for x in (re.sub(r"\d+", "#", v) for v in value.lower().split()) if x})
         elif key == "role" and value.lower() in OUT_ROLES:
