@@ -76,6 +76,11 @@ def micros_between(start: str | Column, end: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", col(start), col(end))
 
 
+def micros(ts: str | Column) -> Column:
+    """Microseconds since the epoch (the session zone is UTC)."""
+    return F.unix_micros(col(ts).cast("timestamp"))
+
+
 def day_type(ts: str | Column, holiday_flag: Column) -> Column:
     """Holiday wins over Weekend; ``weekday`` is 0 = Monday."""
     return (F.when(holiday_flag, F.lit("Holiday"))

@@ -1,4 +1,4 @@
-"""Skew-proof ordered scans and size-checked broadcasts.
+"""Skew-proof ordered scans.
 
 A window ``partitionBy(key).orderBy(t)`` sends every row of one key to one
 task.  When one key (a busy zone, one slot, one vehicle type) holds a third of
@@ -16,36 +16,13 @@ The block expression must be non-decreasing in the order columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLK = "_lq_blk"
-
-
-_BOUND_CHECKS: dict[tuple, bool] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows.  Above the bound the frame is
-    returned unchanged, so the join falls back to a shuffle join (and AQE may
-    still switch to a broadcast from real run-time sizes).  A verdict is reused
-    for the same canonical plan over the same input files; new or rewritten
-    files give a new key and a fresh check.
-    """
-    try:
-        key = (df._jdf.queryExecution().analyzed().semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
-    except Exception:  # noqa: BLE001 - e.g. a plan that cannot list its inputs
-        key = None
-    small = _BOUND_CHECKS.get(key) if key is not None else None
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        if key is not None:
-            _BOUND_CHECKS[key] = small
-    return F.broadcast(df) if small else df
+MAX_BLOCKS = 1024
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -57,39 +34,56 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hour_block(ts: str | Column) -> Column:
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc("hour", c)
-
-
 def day_block(ts: str | Column) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.date_trunc("day", c)
 
 
-def _with_block(df: DataFrame, block: Column) -> DataFrame:
-    return df.withColumn(_BLK, block)
+BlockOf = Callable[[DataFrame], DataFrame]
+
 
+def quantile_block(df: DataFrame, value: Column, blocks: int | None = None) -> BlockOf:
+    """Blocks that follow row counts, not values: a row's block is the number of
+    approximate quantiles of ``value`` in ``df`` that lie below its own value.
+    About as many blocks as shuffle partitions (``MAX_BLOCKS`` at most), however
+    dense or sparse the values are; nulls are in block 0.  The quantiles are one
+    scalar subquery.  Returns a function that adds the block column."""
+    n = blocks or min(MAX_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if n <= 1:
+        return lambda d: d.withColumn(_BLK, F.lit(0))
+    parts = F.array(*[F.lit(i / n) for i in range(1, n)])
+    bounds = df.agg(F.percentile_approx(value.cast("double"), parts, 10 * n)).scalar()
 
-def ordered_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], block: Column,
-                 position: str | None = None, sum_of: str | None = None, sum_name: str = "running",
+    def add(d: DataFrame) -> DataFrame:
+        d = d.withColumns({"_lq_bounds": F.coalesce(bounds, F.array().cast("array<double>")),
+                           "_lq_value": value.cast("double")})
+        below = F.size(F.filter("_lq_bounds", lambda b: b < F.col("_lq_value")))
+        return d.withColumn(_BLK, F.when(F.col("_lq_value").isNull(), 0).otherwise(below)).drop("_lq_bounds", "_lq_value")
+    return add
+
+
+_COMBINE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+
+
+def ordered_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], block: Column | BlockOf,
+                 position: str | None = None, runs: Sequence[tuple[str, str, str, bool]] = (),
                  prev_cols: Sequence[str] = (), prev_prefix: str = "prev_",
                  next_cols: Sequence[str] = (), next_prefix: str = "next_") -> DataFrame:
     """One pass computing, per row in ``order_cols`` order within ``keys``:
 
     * ``position``: 1-based row number;
-    * ``sum_name``: running (inclusive) sum of ``sum_of``;
+    * ``runs``: (name, 'sum' | 'min' | 'max', column, inclusive): the running
+      value up to the row, or up to the row before it;
     * ``prev_*`` / ``next_*``: values of ``prev_cols`` / ``next_cols`` from the
       previous / next row (null at the ends of a key).
 
-    One aggregate builds the per-(key, block) table (row count, sum, first and
-    last row); one window over that small table carries offsets and edge rows
-    across blocks; one join and one window inside (key, block) finish."""
-    d = _with_block(df, block)
+    One aggregate builds the per-(key, block) table (row count, totals, first
+    and last row); one window over that small table carries offsets and edge
+    rows across blocks; one join and one window inside (key, block) finish."""
+    d = df.withColumn(_BLK, block) if isinstance(block, Column) else block(df)
     order_key = F.struct(*[F.col(c) for c in order_cols])
     aggs = [F.count(F.lit(1)).alias("_lq_n")]
-    if sum_of is not None:
-        aggs.append(F.sum(sum_of).alias("_lq_s"))
+    aggs += [getattr(F, fn)(col).alias(f"_lq_t_{name}") for name, fn, col, _ in runs]
     if prev_cols:
         aggs.append(F.max_by(F.struct(*[F.col(c) for c in prev_cols]), order_key).alias("_lq_last"))
     if next_cols:
@@ -100,8 +94,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     carry = [*keys, _BLK]
     if position is not None:
         carry.append(F.coalesce(F.sum("_lq_n").over(before), F.lit(0)).alias("_lq_noff"))
-    if sum_of is not None:
-        carry.append(F.coalesce(F.sum("_lq_s").over(before), F.lit(0)).alias("_lq_soff"))
+    carry += [getattr(F, fn)(f"_lq_t_{name}").over(before).alias(f"_lq_c_{name}") for name, fn, _, _ in runs]
     if prev_cols:
         carry.append(F.lag("_lq_last").over(across).alias("_lq_pc"))
     if next_cols:
@@ -110,9 +103,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     inner = Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
     if position is not None:
         out = out.withColumn(position, (F.col("_lq_noff") + F.row_number().over(inner)).cast("bigint"))
-    if sum_of is not None:
-        run = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn(sum_name, F.col("_lq_soff") + F.sum(sum_of).over(run))
+    for name, fn, col, inclusive in runs:
+        rows = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        out = out.withColumn(name, _COMBINE[fn](F.col(f"_lq_c_{name}"), getattr(F, fn)(col).over(rows)))
     if prev_cols:
         near = F.lag(F.struct(*[F.col(c) for c in prev_cols])).over(inner)
         out = out.withColumn("_lq_pv", F.coalesce(near, F.col("_lq_pc")))
@@ -123,26 +116,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
         out = out.withColumn("_lq_nv", F.coalesce(near, F.col("_lq_nc")))
         for c in next_cols:
             out = out.withColumn(f"{next_prefix}{c}", F.col("_lq_nv")[c])
-    return out.drop(_BLK, "_lq_noff", "_lq_soff", "_lq_pc", "_lq_nc", "_lq_pv", "_lq_nv")
-
-
-def ordered_position(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Column | str], block: Column,
-                     name: str = "position") -> DataFrame:
-    """1-based ``row_number() over (partition by keys order by order_cols)``."""
-    d = _with_block(df, block)
-    counts = d.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias("_lq_n"))
-    before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, _BLK, F.coalesce(F.sum("_lq_n").over(before), F.lit(0)).alias("_lq_off"))
-    inner = Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
-    return (d.join(offsets, [*keys, _BLK])
-            .withColumn(name, (F.col("_lq_off") + F.row_number().over(inner)).cast("bigint"))
-            .drop(_BLK, "_lq_off"))
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value: str,
-                block: Column, name: str = "running") -> DataFrame:
-    """``sum(value) over (partition by keys order by order_cols rows unbounded preceding)``."""
-    return ordered_scan(df, keys, order_cols, block, sum_of=value, sum_name=name)
+    return out.drop(_BLK, "_lq_noff", "_lq_pc", "_lq_nc", "_lq_pv", "_lq_nv", *(f"_lq_c_{r[0]}" for r in runs))
 
 
 def neighbor(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], block: Column,

@@ -117,8 +117,9 @@ def orphan_audit(t: ParkingTables) -> DataFrame:
     """Per foreign key, child rows whose (non-null) key has no parent.
 
     Each child table is scanned once: its foreign keys become (fk, parent, key)
-    rows; one join against the union of all parent keys (tagged by parent
-    table) finds every orphan with one shuffle per side.  Null keys are allowed."""
+    rows, counted per key before any join, so a key that most rows hold is one
+    row.  One join against the union of all parent keys (tagged by parent
+    table) finds the orphans, whose counts are summed.  Null keys are allowed."""
     children, parents = {}, {}
     for fk, child, ccol, parent, pcol in FOREIGN_KEYS:
         children.setdefault(child, []).append((fk, parent, ccol))
@@ -135,15 +136,14 @@ def orphan_audit(t: ParkingTables) -> DataFrame:
         keys = part if keys is None else keys.unionByName(part)
     # A left outer join + null test, not "left_anti": the optimizer pushes an
     # anti join below the union (one join per child table, each shuffling all
-    # parent keys); an outer join stays one join, one shuffle per side.  The
-    # distinct parent keys are hash-partitioned by (parent, key), exactly the
-    # join's distribution, so the join adds no further exchange on that side.
+    # parent keys); an outer join stays one join, one shuffle per side.
+    counted = refs.groupBy("fk", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
     parents_present = keys.distinct().withColumn("_lq_hit", F.lit(True))
-    orphans = (refs.join(parents_present, ["parent", "key"], "left").filter(F.col("_lq_hit").isNull())
-               .groupBy("fk").agg(F.count(F.lit(1)).alias("orphan_rows")))
+    orphans = (counted.join(parents_present, ["parent", "key"], "left").filter(F.col("_lq_hit").isNull())
+               .groupBy("fk").agg(F.sum("n").alias("orphan_rows")))
     spark = refs.sparkSession
     all_fks = spark.createDataFrame([(fk,) for fk, *_ in FOREIGN_KEYS], "fk string")
-    return (F.broadcast(all_fks).join(orphans, "fk", "left")
+    return (all_fks.join(orphans, "fk", "left")
             .select("fk", F.coalesce("orphan_rows", F.lit(0)).cast("bigint").alias("orphan_rows")))
 
 
@@ -174,12 +174,14 @@ def pair_log_events(parking_log: DataFrame) -> DataFrame:
 
 def duplicate_active_sessions(ticket: DataFrame, vehicle: DataFrame) -> DataFrame:
     """One row per active ticket whose normalised plate has more than one
-    active session, with the group size.  No group is collected into a list:
-    the count is a partial aggregate and the tickets are joined back."""
-    active = (ticket.filter(F.col("status") == "active").select("ticket_id", "vehicle_id")
-              .join(vehicle.select("vehicle_id", X.plate_key("license_plate").alias("plate")), "vehicle_id"))
-    dups = active.groupBy("plate").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return active.join(dups, "plate").select("plate", "ticket_id", "n")
+    active session, with the group size.  Sessions are counted per vehicle,
+    then per plate; tickets join the vehicles of repeated plates only."""
+    active = ticket.filter(F.col("status") == "active").select("ticket_id", "vehicle_id")
+    per_vehicle = (active.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("c"))
+                   .join(vehicle.select("vehicle_id", X.plate_key("license_plate").alias("plate")), "vehicle_id"))
+    repeated = per_vehicle.groupBy("plate").agg(F.sum("c").alias("n")).filter(F.col("n") > 1)
+    vehicles = per_vehicle.join(repeated, "plate").select("vehicle_id", "plate", "n")
+    return active.join(vehicles, "vehicle_id").select("plate", "ticket_id", "n")
 
 
 VERDICTS = {"active": "ok", "completed": "used", "lost": "lost", "canceled": "canceled"}
@@ -187,9 +189,10 @@ VERDICTS = {"active": "ok", "completed": "used", "lost": "lost", "canceled": "ca
 
 def ticket_scan_check(scans: DataFrame, ticket: DataFrame) -> DataFrame:
     """Classify presented QR codes; a code shared by several tickets
-    resolves to the highest ticket_id (pre-aggregated per code, so the join
-    is one row per code)."""
-    per_code = ticket.groupBy("qr_code").agg(F.max("ticket_id").alias("ticket_id"),
+    resolves to the highest ticket_id.  Tickets are reduced to the scanned codes
+    before they are grouped, so few scans move few tickets."""
+    codes = scans.select("qr_code").distinct()
+    per_code = ticket.select("qr_code", "ticket_id", "status").join(codes, "qr_code", "left_semi").groupBy("qr_code").agg(F.max("ticket_id").alias("ticket_id"),
                                              F.max_by("status", "ticket_id").alias("ticket_status"))
     verdict = F.lit("unknown")
     for status, word in reversed(list(VERDICTS.items())):

@@ -1,9 +1,9 @@
 """Allocation, booking and registration: J8, J9, J10, W4 and S3.
 
-Interval joins keep an equi key next to the range condition: each interval
-is split into the hour (or day) buckets it touches, the equi-join runs on
-(key, bucket) and the exact overlap test filters the matches, so the work
-follows the number of real overlaps instead of all pairs within a key.
+J9 counts by free gaps instead of joining requests to reservations: no pair of
+a request and a slot is ever a row.  J10's interval join keeps an equi key next
+to the range condition: each reservation is split into the days it touches, the
+equi-join runs on (vehicle, day) and the exact test filters the matches.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
-from lotquery.functions.scan import bounded_broadcast, cut_lineage, ordered_position, ordered_scan
+from lotquery.functions.scan import cut_lineage, ordered_scan, quantile_block
 
-DIM_ROWS = 1_000_000
 UNAVAILABLE = ("Maintenance", "Locked")
 
 
@@ -28,63 +27,88 @@ def _buckets(start: Column, end: Column, unit: str) -> Column:
 def assignable_slots(parking_slot: DataFrame, slot_type_map: DataFrame, vehicle_type: DataFrame) -> DataFrame:
     """Per vehicle type and zone, Empty slots of a compatible type; types
     without any such slot appear once with a null zone and 0."""
-    m = bounded_broadcast(slot_type_map, DIM_ROWS)
+    m = slot_type_map
     per = (parking_slot.filter(F.col("status") == "Empty").select("slot_type", "area_id").join(m, "slot_type")
            .groupBy("vehicle_type_id", "area_id").agg(F.count(F.lit(1)).alias("assignable")))
-    types = bounded_broadcast(vehicle_type.select("vehicle_type_id", "type_name"), DIM_ROWS)
+    types = vehicle_type.select("vehicle_type_id", "type_name")
     return (types.join(per, "vehicle_type_id", "left")
             .select("vehicle_type_id", "type_name", "area_id",
                     F.coalesce("assignable", F.lit(0)).cast("bigint").alias("assignable")))
 
 
+FAR_PAST, FAR_FUTURE = -(2 ** 62), 2 ** 62
+
+
+def free_gaps(reservation: DataFrame, slots: DataFrame) -> DataFrame:
+    """(vehicle_type_id, slot_id, gap_from, gap_to), in microseconds: the times
+    in which a slot of ``slots`` (slot_id, vehicle_type_id) has no confirmed
+    reservation, for slots that have any.  A slot's gaps don't overlap."""
+    live = (reservation.filter((F.col("state") == "confirmed") & (F.col("from_time") < F.col("to_time")))
+            .select("slot_id", "reservation_id", X.micros("from_time").alias("a"), X.micros("to_time").alias("b"))
+            .join(slots.select("slot_id").distinct(), "slot_id", "left_semi"))
+    # A gap lies before each reservation that starts after all earlier ones of its slot end.
+    scanned = ordered_scan(live, ["slot_id"], ["a", "b", "reservation_id"], quantile_block(live, F.col("a")),
+                           runs=[("busy_to", "max", "b", False)])
+    inner = (scanned.filter(F.col("busy_to").isNull() | (F.col("a") >= F.col("busy_to")))
+             .select("slot_id", F.coalesce("busy_to", F.lit(FAR_PAST)).alias("gap_from"), F.col("a").alias("gap_to")))
+    last = live.groupBy("slot_id").agg(F.max("b").alias("gap_from")).withColumn("gap_to", F.lit(FAR_FUTURE))
+    return inner.unionByName(last).join(slots, "slot_id")
+
+
 def bookable_slots(requests: DataFrame, parking_slot: DataFrame, slot_type_map: DataFrame,
                    reservation: DataFrame) -> DataFrame:
-    """For each booking request (type, from, to): how many compatible slots
+    """For each booking request (type, from < to): how many compatible slots
     (not Maintenance / Locked) exist, how many are blocked by an overlapping
     confirmed reservation, how many are bookable, and the lowest bookable
-    slot_id.  Exact, without emitting request x slot pairs:
-
-    * blocked slots come from a bucketed interval join (real overlaps only);
-    * compatible slots are numbered 1..n per type (two-level row number); the
-      first free position of a request is the least of 1 and (blocked position
-      + 1) that is not itself blocked, joined back to its slot by
-      (type, position).
-    """
-    m = bounded_broadcast(slot_type_map, DIM_ROWS)
-    compat = (parking_slot.filter(~F.col("status").isin(*UNAVAILABLE)).select("slot_id", "slot_type")
-              .join(m, "slot_type").select("slot_id", "vehicle_type_id"))
-    compat = cut_lineage(ordered_position(compat, ["vehicle_type_id"], ["slot_id"],
-                                          F.floor(F.col("slot_id") / 65536), name="pos"))
-    per_type = compat.groupBy("vehicle_type_id").agg(F.count(F.lit(1)).alias("candidates"))
-    live = (reservation.filter(F.col("state") == "confirmed").select("slot_id", "from_time", "to_time")
-            .join(compat, "slot_id"))
-    live_b = live.select("slot_id", "vehicle_type_id", "pos", F.col("from_time").alias("r_from"),
-                         F.col("to_time").alias("r_to"), _buckets(F.col("from_time"), F.col("to_time"), "hour")
-                         .alias("bucket"))
-    req_b = requests.select("request_id", "vehicle_type_id", "from_time", "to_time",
-                            _buckets(F.col("from_time"), F.col("to_time"), "hour").alias("bucket"))
-    blocked = (req_b.join(live_b, ["vehicle_type_id", "bucket"])
-               .filter((F.col("from_time") < F.col("r_to")) & (F.col("r_from") < F.col("to_time")))
-               .select("request_id", "slot_id", "pos").distinct())
-    per_req = blocked.groupBy("request_id").agg(F.count(F.lit(1)).alias("blocked"))
-    # First free position = min of ({1} u {b + 1 : b blocked}) minus the blocked set:
-    # if position f is free and f > 1, then f - 1 is blocked, so f is a candidate.
-    blocked_pos = blocked.select("request_id", "pos", F.lit(True).alias("_lq_hit"))
-    candidates = (blocked.select("request_id", (F.col("pos") + 1).alias("pos"))
-                  .unionByName(requests.select("request_id", F.lit(1).cast("bigint").alias("pos"))))
-    first_free = (candidates.join(blocked_pos, ["request_id", "pos"], "left").filter(F.col("_lq_hit").isNull())
-                  .groupBy("request_id").agg(F.min("pos").alias("pos")))
-    base = (requests.select("request_id", "vehicle_type_id")
-            .join(per_type, "vehicle_type_id", "left").join(per_req, "request_id", "left")
-            .join(first_free, "request_id", "left")
-            .select("request_id", "vehicle_type_id",
-                    F.coalesce("candidates", F.lit(0)).cast("bigint").alias("candidates"),
-                    F.coalesce("blocked", F.lit(0)).cast("bigint").alias("blocked"),
-                    F.col("pos").cast("bigint").alias("pos")))
-    first = compat.select("vehicle_type_id", "pos", F.col("slot_id").alias("first_slot_id"))
-    return (base.join(first, ["vehicle_type_id", "pos"], "left")
-            .select("request_id", "vehicle_type_id", "candidates", "blocked",
-                    (F.col("candidates") - F.col("blocked")).alias("bookable"), "first_slot_id"))
+    slot_id.
+
+    A slot is bookable exactly when one of its free gaps contains the request:
+    gap_from <= from and gap_to >= to.  Gap ends and request ends are ranked
+    together per type; a gap with the higher rank meets the request in exactly
+    one node of a binary tree over ranks, that of the highest bit in which the
+    ranks differ.  In each node a running count and minimum over gap starts
+    answers all its requests.  Gaps without an end need the starts only.  Work
+    is (gaps + requests) x log(ranks), in two-level scans."""
+    compat = cut_lineage(parking_slot.filter(~F.col("status").isin(*UNAVAILABLE)).select("slot_id", "slot_type")
+                         .join(slot_type_map, "slot_type").select("slot_id", "vehicle_type_id"))
+    gaps = cut_lineage(free_gaps(reservation, compat))
+    asked = requests.select("request_id", "vehicle_type_id", X.micros("from_time").alias("start"),
+                            X.micros("to_time").alias("stop"))
+    columns = ["vehicle_type_id", "id", "kind", "start", "stop"]  # kind 0: gap, 1: request
+    both = (gaps.select("vehicle_type_id", F.col("slot_id").alias("id"), F.lit(0).alias("kind"),
+                        F.col("gap_from").alias("start"), F.col("gap_to").alias("stop"))
+            .unionByName(asked.select("vehicle_type_id", F.col("request_id").alias("id"), F.lit(1).alias("kind"), "start", "stop")))
+    # Requests come first among equal ends: a gap that ends with the request contains it.
+    ended = both.filter((F.col("kind") == 1) | (F.col("stop") < FAR_FUTURE)).withColumn("_order", 1 - F.col("kind"))
+    ranked = cut_lineage(ordered_scan(ended, ["vehicle_type_id"], ["stop", "_order", "id", "start"],
+                                      quantile_block(ended, F.col("stop")), position="rank").select(*columns, "rank"))
+    # Above the highest rank's bits all ranks agree.
+    top = ranked.agg(F.coalesce(F.ceil(F.log2(F.max("rank") + 1)), F.lit(1)).cast("int")).scalar()
+    levels = F.filter(F.sequence(F.lit(0), F.col("_top") - 1),
+                      lambda k: F.bit_get(F.col("rank"), k).cast("int") == 1 - F.col("kind"))
+    nodes = ranked.withColumn("_top", top).withColumn("level", F.explode(levels)).select(
+        *columns, "level", (F.expr("shiftright(rank, level)") + F.col("kind")).alias("node"))
+    open_ended = both.filter((F.col("kind") == 1) | (F.col("stop") == FAR_FUTURE)).select(
+        *columns, F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node"))
+    every = nodes.unionByName(open_ended).withColumns({
+        "gap": 1 - F.col("kind"), "slot": F.when(F.col("kind") == 0, F.col("id"))})
+    answered = (ordered_scan(every, ["vehicle_type_id", "level", "node"], ["start", "kind", "id", "stop"],
+                             quantile_block(both, F.col("start")),
+                             runs=[("free", "sum", "gap", True), ("first", "min", "slot", True)])
+                .filter(F.col("kind") == 1).groupBy(F.col("id").alias("request_id"))
+                .agg(F.sum("free").alias("free"), F.min("first").alias("first")))
+    # Slots that were never reserved are free for every request of their type.
+    never = compat.join(gaps.select("slot_id").distinct(), "slot_id", "left_anti")
+    per_type = (compat.groupBy("vehicle_type_id").agg(F.count(F.lit(1)).alias("candidates"))
+                .join(never.groupBy("vehicle_type_id").agg(F.count(F.lit(1)).alias("n0"), F.min("slot_id").alias("s0")),
+                      "vehicle_type_id", "left"))
+    out = (asked.select("request_id", "vehicle_type_id").join(per_type, "vehicle_type_id", "left")
+           .join(answered, "request_id", "left"))
+    bookable = F.coalesce("free", F.lit(0)) + F.coalesce("n0", F.lit(0))
+    candidates = F.coalesce("candidates", F.lit(0))
+    return out.select("request_id", "vehicle_type_id", candidates.cast("bigint").alias("candidates"),
+                      (candidates - bookable).cast("bigint").alias("blocked"), bookable.cast("bigint").alias("bookable"),
+                      F.least("first", "s0").alias("first_slot_id"))
 
 
 def arrival_booking(arrivals: DataFrame, reservation: DataFrame) -> DataFrame:
@@ -111,22 +135,21 @@ def assign_slots(arrivals: DataFrame, parking_slot: DataFrame, slot_type_map: Da
     zone's fill ratio after taking it, (occupied + rank among the zone's free
     slots of that type) / zone total, ties by slot_id.  Equal ranks pair up;
     arrivals beyond the free slots go to ``manual``.  All rankings are
-    two-level row numbers, so a vehicle type holding most rows is still spread
-    over many tasks."""
-    m = bounded_broadcast(slot_type_map, DIM_ROWS)
+    two-level row numbers over blocks of about equal row counts, so a vehicle
+    type holding most rows is still spread over many tasks."""
+    m = slot_type_map
     zones = parking_slot.groupBy("area_id").agg(F.count(F.lit(1)).alias("zone_total"),
                                                 X.count_when(F.col("status") == "Occupied").alias("zone_occupied"))
     free = (parking_slot.filter(F.col("status") == "Empty").select("slot_id", "area_id", "slot_type")
             .join(m, "slot_type"))
-    free = ordered_position(free, ["vehicle_type_id", "area_id"], ["slot_id"], F.floor(F.col("slot_id") / 65536),
-                            name="zone_rank")
+    free = ordered_scan(free, ["vehicle_type_id", "area_id"], ["slot_id"], quantile_block(free, F.col("slot_id")),
+                        position="zone_rank")
     free = free.join(zones, "area_id").withColumn(
         "fill", (F.col("zone_occupied") + F.col("zone_rank")) / F.col("zone_total"))
-    free = ordered_position(free, ["vehicle_type_id"], ["fill", "slot_id"], F.floor(F.col("fill") * 1024),
-                            name="rank")
-    free = cut_lineage(free.select("vehicle_type_id", "rank", "slot_id", "area_id"))
-    arr = ordered_position(arrivals.select("arrival_id", "arrival_time", "vehicle_type_id"), ["vehicle_type_id"],
-                           ["arrival_time", "arrival_id"], F.date_trunc("hour", "arrival_time"), name="rank")
+    free = ordered_scan(free, ["vehicle_type_id"], ["fill", "slot_id"], quantile_block(free, F.col("fill")), position="rank")
+    arr = arrivals.select("arrival_id", "arrival_time", "vehicle_type_id")
+    arr = ordered_scan(arr, ["vehicle_type_id"], ["arrival_time", "arrival_id"],
+                       quantile_block(arr, X.micros("arrival_time")), position="rank")
     out = arr.join(free.select("vehicle_type_id", "rank", "slot_id", "area_id"), ["vehicle_type_id", "rank"], "left")
     return out.select("arrival_id", "vehicle_type_id", "slot_id", "area_id",
                       F.when(F.col("slot_id").isNotNull(), "assigned").otherwise("manual").alias("outcome"))
@@ -146,10 +169,10 @@ def register_drivers(requests: DataFrame, customer: DataFrame, vehicle: DataFram
     are emitted together or not at all (see ``registration_outputs``)."""
     plate_norm = F.upper(X.java_trim("license_plate"))
     vt = X.safe_int("vehicle_type_text", default=1)
-    r = requests.select("request_id", "full_name", "license_plate", plate_norm.alias("plate_norm"),
+    r = requests.select("request_id", "full_name", "phone", "email", "address", "license_plate", plate_norm.alias("plate_norm"),
                         F.coalesce(vt, F.lit(1)).alias("vehicle_type_id"),
                         X.valid_plate("license_plate").alias("plate_ok"))
-    types = bounded_broadcast(vehicle_type.select("vehicle_type_id", F.lit(True).alias("type_ok")), DIM_ROWS)
+    types = vehicle_type.select("vehicle_type_id", F.lit(True).alias("type_ok"))
     taken = vehicle.select(F.upper(X.java_trim("license_plate")).alias("plate_norm")).distinct() \
         .withColumn("taken", F.lit(True))
     r = r.join(types, "vehicle_type_id", "left").join(taken, "plate_norm", "left")
@@ -166,21 +189,24 @@ def register_drivers(requests: DataFrame, customer: DataFrame, vehicle: DataFram
     r = r.withColumn("outcome", outcome).withColumn(
         "_lq_ok", F.when(F.col("outcome") == "registered", 1).otherwise(0))
     # Running count of registered requests in request order = the new key's offset.
-    r = ordered_scan(r, [], ["request_id"], F.floor(F.col("request_id") / 65536), sum_of="_lq_ok", sum_name="seq")
+    r = ordered_scan(r, [], ["request_id"], quantile_block(requests, F.col("request_id")),
+                     runs=[("seq", "sum", "_lq_ok", True)])
     max_c = customer.agg(F.coalesce(F.max("customer_id"), F.lit(0))).scalar()
     max_v = vehicle.agg(F.coalesce(F.max("vehicle_id"), F.lit(0))).scalar()
     ok = F.col("_lq_ok") == 1
     return r.select("request_id", "outcome", F.when(ok, max_c + F.col("seq")).alias("customer_id"),
-                    F.when(ok, max_v + F.col("seq")).alias("vehicle_id"), "full_name", "license_plate",
-                    "vehicle_type_id")
+                    F.when(ok, max_v + F.col("seq")).alias("vehicle_id"), "full_name", "phone", "email", "address",
+                    "license_plate", "vehicle_type_id")
 
 
 def registration_outputs(outcomes: DataFrame) -> dict[str, DataFrame]:
     """Split S3 outcomes into the new customer rows, new vehicle rows and
-    rejects; write them with ``sinks.write_staged`` so they commit together."""
+    rejects.  The outcomes are stored first, so the three outputs are read from
+    one run of the registration plan; ``sinks.write_staged`` commits them together."""
+    outcomes = cut_lineage(outcomes)
     ok = outcomes.filter(F.col("outcome") == "registered")
     return {
-        "new_customer": ok.select("customer_id", F.col("full_name").alias("name")),
+        "new_customer": ok.select("customer_id", F.col("full_name").alias("name"), "phone", "email", "address"),
         "new_vehicle": ok.select("vehicle_id", "customer_id", "vehicle_type_id", "license_plate"),
         "rejects": outcomes.filter(F.col("outcome") != "registered").select("request_id", "outcome"),
     }

@@ -1,10 +1,9 @@
 """Fee core: J4 ``match_pricing_rule`` and F6 ``parking_fee``.
 
-Rule matching never shuffles the tickets for the choice of rule: the active
-rules are grouped per (vehicle type, day type) into one priority-sorted array
-(a table whose size is bounded by the rule set and checked before it is
-broadcast); each ticket then takes the first array element whose date range
-and time band contain its entry - a pure expression, no window, no aggregate.
+Rules are joined by an equi key (vehicle type, day type, month of entry): a
+rule stands once in each month of its dates, within the months that have
+entries.  Exact date and time tests follow, and the rule of highest priority is
+taken by an aggregate per ticket, so no list of rules is ever gathered.
 """
 
 from __future__ import annotations
@@ -15,14 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
-from lotquery.functions.scan import bounded_broadcast
-
-MAX_RULE_GROUPS = 100_000
-
 
 def with_day_type(df: DataFrame, ts_col: str, holidays: DataFrame) -> DataFrame:
     """F9 on ``ts_col``: Holiday (listed date) > Weekend (Sat, Sun) > Weekday."""
-    days = bounded_broadcast(holidays.select(F.col("holiday").alias("_lq_day")).distinct(), 1_000_000)
+    days = holidays.select(F.col("holiday").alias("_lq_day")).distinct()
     flagged = (df.withColumn("_lq_date", F.to_date(ts_col))
                .join(days, F.col("_lq_date") == F.col("_lq_day"), "left"))
     return (flagged.withColumn("day_type", X.day_type(ts_col, F.col("_lq_day").isNotNull()))
@@ -43,22 +38,25 @@ def match_pricing_rule(ticket: DataFrame, vehicle: DataFrame, pricing_rules: Dat
     tv = (ticket.select("ticket_id", "vehicle_id", "entry_time", "check_out_time", "status", *carry)
           .join(vehicle.select("vehicle_id", "vehicle_type_id", *vehicle_carry), "vehicle_id", how))
     tv = with_day_type(tv, "entry_time", holidays)
-    rule = F.struct("effective_from", "rule_id", "effective_to", "start_sec", "end_sec",
-                    "first_hour_price", "next_hour_price", "max_daily_price")
-    groups = (pricing_rules.filter(F.col("is_active"))
-              .groupBy("vehicle_type_id", "day_type")
-              .agg(F.sort_array(F.collect_list(rule), asc=False).alias("_lq_rules")))
-    joined = tv.join(bounded_broadcast(groups, MAX_RULE_GROUPS), ["vehicle_type_id", "day_type"], "left")
+    tv = tv.withColumn("_lq_month", F.trunc("_lq_date", "month"))
+    span = ticket.agg(F.min("entry_time").alias("lo"), F.max("entry_time").alias("hi")).select(
+        F.struct(F.trunc(F.to_date("lo"), "month").alias("lo"), F.to_date("hi").alias("hi"))).scalar()
+    first, last = F.greatest(F.trunc("effective_from", "month"), span["lo"]), F.least("effective_to", span["hi"])
+    rules = (pricing_rules.filter(F.col("is_active") & (first <= last))
+             .withColumn("_lq_month", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))))
+             .select("vehicle_type_id", "day_type", "_lq_month", "rule_id", "effective_from", "effective_to",
+                     "start_sec", "end_sec", "first_hour_price", "next_hour_price", "max_daily_price"))
     sec = F.hour("entry_time") * 3600 + F.minute("entry_time") * 60 + F.second("entry_time")
-    fits = F.filter(F.coalesce(F.col("_lq_rules"), F.array().cast(groups.schema["_lq_rules"].dataType)),
-                    lambda r: (F.col("_lq_date") >= r["effective_from"]) & (F.col("_lq_date") <= r["effective_to"])
-                    & (sec >= r["start_sec"]) & (sec < r["end_sec"]))
-    chosen = F.get(fits, 0)
-    return joined.select(
-        "ticket_id", "vehicle_type_id", "day_type", "entry_time", "check_out_time", "status", *carry, *vehicle_carry,
-        chosen["rule_id"].alias("rule_id"), chosen["first_hour_price"].alias("first_hour_price"),
-        chosen["next_hour_price"].alias("next_hour_price"), chosen["max_daily_price"].alias("max_daily_price"),
-        chosen.isNull().alias("needs_review"))
+    fits = (F.col("_lq_date").between(F.col("effective_from"), F.col("effective_to"))
+            & (sec >= F.col("start_sec")) & (sec < F.col("end_sec")))
+    prices = ("first_hour_price", "next_hour_price", "max_daily_price")
+    own = ("ticket_id", "vehicle_type_id", "day_type", "entry_time", "check_out_time", "status", *carry, *vehicle_carry)
+    # A ticket's candidate rows lie in one task after the join: the aggregate is combined before its shuffle.
+    chosen = (tv.join(rules, ["vehicle_type_id", "day_type", "_lq_month"], "left")
+              .groupBy(*own).agg(F.max_by(F.struct("rule_id", *prices),
+                                          F.when(fits, F.struct("effective_from", "rule_id"))).alias("_lq_rule")))
+    return chosen.select(*own, *(F.col(f"_lq_rule.{c}").alias(c) for c in ("rule_id", *prices)),
+                         F.col("_lq_rule.rule_id").isNull().alias("needs_review"))
 
 
 def parking_fee(ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFrame, pricing_rules: DataFrame,
@@ -86,7 +84,7 @@ def parking_fee(ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFrame,
     zone_check = wrong_zone_fee and parking_slot is not None and slot_type_map is not None
     extra = ("slot_id",) if zone_check and "slot_id" not in carry else ()
     m = match_pricing_rule(ticket, vehicle, pricing_rules, holidays, carry + extra, vehicle_carry, how)
-    prices = bounded_broadcast(vehicle_type.select("vehicle_type_id", "price_per_hour", "price_per_day"), 100_000)
+    prices = vehicle_type.select("vehicle_type_id", "price_per_hour", "price_per_day")
     m = m.join(prices, "vehicle_type_id", "left")
     out = F.coalesce(F.col("check_out_time"), X.ts_lit(as_of))
     secs = X.seconds_between("entry_time", out)
@@ -105,9 +103,9 @@ def parking_fee(ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFrame,
            .when(F.col("status") == "lost", lost)
            .otherwise(base)).cast(money)
     if occupancy_multiplier is not None:
-        bands = bounded_broadcast(occupancy_multiplier.select(F.col("band").cast("int").alias("_lq_band"),
+        bands = occupancy_multiplier.select(F.col("band").cast("int").alias("_lq_band"),
                                                               F.col("multiplier").cast("decimal(10,4)")
-                                                              .alias("_lq_mult")), 24)
+                                                              .alias("_lq_mult"))
         m = m.join(bands, F.hour("entry_time") == F.col("_lq_band"), "left")
         fee = (fee * F.coalesce(F.col("_lq_mult"), F.lit(1).cast("decimal(10,4)"))).cast(money)
     if overstay_minutes is not None and overstay_fee_per_hour:
@@ -115,7 +113,7 @@ def parking_fee(ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFrame,
         fee = (fee + F.ceil(over / 3600) * F.lit(overstay_fee_per_hour).cast(money)).cast(money)
     if zone_check:
         fits = (parking_slot.select("slot_id", "slot_type")
-                .join(bounded_broadcast(slot_type_map.withColumnRenamed("vehicle_type_id", "_lq_fit_vt"), 100_000),
+                .join(slot_type_map.withColumnRenamed("vehicle_type_id", "_lq_fit_vt"),
                       "slot_type", "left").select("slot_id", "_lq_fit_vt"))
         m = m.join(fits, "slot_id", "left")
         wrong = F.col("slot_id").isNotNull() & (F.col("_lq_fit_vt").isNull()

@@ -9,21 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
-from lotquery.functions.scan import bounded_broadcast
+from lotquery.functions.scan import cut_lineage
 from lotquery.sources.tables import ParkingTables
 
-DIM_ROWS = 1_000_000  # size bound checked before a dimension is broadcast
-
 # Fixed slot status vocabulary (schema words plus Locked).
 STATUS_COLUMNS = ("Empty", "Occupied", "Reserved", "Maintenance", "Locked")
 
 
 def ratio_half_up(num: Column, den: Column, scale: int) -> Column:
-    """``round(num / den, scale)`` half away from zero, computed on integers so
-    every engine gives the same double; null when ``den`` is 0 or null."""
-    unit = 10 ** scale
-    mag = F.floor((2 * F.abs(num) * unit + den) / (2 * den))
-    return F.when(den > 0, F.signum(num) * mag / unit)
+    """``round(num / den, scale)`` half away from zero in decimal arithmetic;
+    null when ``den`` is not above 0."""
+    ratio = num.cast("decimal(20,2)") / F.when(den > 0, den).cast("decimal(20,2)")
+    return F.round(ratio, scale).cast("double")
 
 
 def zone_summary(parking_slot: DataFrame, parking_area: DataFrame) -> DataFrame:
@@ -31,7 +28,7 @@ def zone_summary(parking_slot: DataFrame, parking_area: DataFrame) -> DataFrame:
     page's label: Full >= 80, Busy >= 40, else Open."""
     per = parking_slot.groupBy("area_id").agg(F.count(F.lit(1)).alias("total"),
                                               X.count_when(F.col("status") == "Occupied").alias("occupied"))
-    areas = bounded_broadcast(parking_area.select("area_id", "area_code"), DIM_ROWS)
+    areas = parking_area.select("area_id", "area_code")
     z = areas.join(per, "area_id", "left").select(
         "area_id", "area_code", F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
         F.coalesce("occupied", F.lit(0)).cast("bigint").alias("occupied"))
@@ -42,7 +39,7 @@ def zone_summary(parking_slot: DataFrame, parking_area: DataFrame) -> DataFrame:
 
 def floor_occupancy(parking_slot: DataFrame, parking_area: DataFrame) -> DataFrame:
     """Occupied / total and percent per floor plus a grand-total row."""
-    areas = bounded_broadcast(parking_area.select("area_id", "floor_id"), DIM_ROWS)
+    areas = parking_area.select("area_id", "floor_id")
     s = parking_slot.select("area_id", "status").join(areas, "area_id", "left")
     r = s.rollup("floor_id").agg(F.count(F.lit(1)).alias("total"),
                                  X.count_when(F.col("status") == "Occupied").alias("occupied"),
@@ -58,7 +55,7 @@ def vehicle_type_share(ticket: DataFrame, vehicle: DataFrame, vehicle_type: Data
     per = (ticket.filter(F.col("status") == "active").select("vehicle_id")
            .join(vehicle.select("vehicle_id", "vehicle_type_id"), "vehicle_id")
            .groupBy("vehicle_type_id").agg(F.count(F.lit(1)).alias("n")))
-    types = bounded_broadcast(vehicle_type.select("vehicle_type_id", "type_name"), DIM_ROWS)
+    types = vehicle_type.select("vehicle_type_id", "type_name")
     z = types.join(per, "vehicle_type_id", "left").select(
         "vehicle_type_id", "type_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("active_sessions"))
     # The denominator is a window over the per-type table (one row per vehicle
@@ -71,7 +68,7 @@ def vehicle_type_share(ticket: DataFrame, vehicle: DataFrame, vehicle_type: Data
 def slot_status_breakdown(parking_slot: DataFrame, parking_area: DataFrame) -> DataFrame:
     """Slots per zone by status, one column per status of the fixed list."""
     p = parking_slot.groupBy("area_id").pivot("status", list(STATUS_COLUMNS)).agg(F.count(F.lit(1)))
-    areas = bounded_broadcast(parking_area.select("area_id", "area_code"), DIM_ROWS)
+    areas = parking_area.select("area_id", "area_code")
     return areas.join(p, "area_id", "left").select(
         "area_id", "area_code", *[F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias(s.lower())
                                   for s in STATUS_COLUMNS])
@@ -97,7 +94,7 @@ def revenue_report(payment: DataFrame, ticket: DataFrame, vehicle: DataFrame, ve
     typed = paid.join(ticket.select("ticket_id", *tcols), "ticket_id") if tcols else paid
     if "type_name" in dims:
         typed = (typed.join(vehicle.select("vehicle_id", "vehicle_type_id"), "vehicle_id")
-                 .join(bounded_broadcast(vehicle_type.select("vehicle_type_id", "type_name"), DIM_ROWS),
+                 .join(vehicle_type.select("vehicle_type_id", "type_name"),
                        "vehicle_type_id", "left"))
     dim_cols = {"type_name": F.col("type_name"), "shift": shift_of("check_out_time")[1].alias("shift"),
                 "staff_id": F.col("check_out_by").alias("staff_id"), "gate_id": F.col("gate_id")}
@@ -123,7 +120,9 @@ def payments_per_ticket(payment: DataFrame) -> DataFrame:
         return F.sum(F.when(F.col("status") == status, F.col("final_amount")))
     return payment.groupBy("ticket_id").agg(part("paid").alias("paid"), part("refunded").alias("refunded"),
                                             part("unpaid").alias("unpaid"),
-                                            F.sum(F.when(F.col("status") == "paid", F.col("amount"))).alias("paid_amount"))
+                                            F.sum(F.when(F.col("status") == "paid", F.col("amount"))).alias("paid_amount"),
+                                            X.count_when(F.col("final_amount") != X.net_amount("amount", "discount"))
+                                            .alias("net_mismatches"))
 
 
 def shift_reconciliation(fees: DataFrame, payment: DataFrame) -> DataFrame:
@@ -154,7 +153,7 @@ def peak_hours(ticket: DataFrame) -> DataFrame:
         X.count_when(F.col("is_entry") == 1).alias("entries"), X.count_when(F.col("is_entry") == 0).alias("exits"))
     cells = ticket.sparkSession.range(168).select(
         (F.col("id") / 24 + 1).cast("int").alias("dow"), (F.col("id") % 24).cast("int").alias("hour"))
-    return (F.broadcast(cells).join(counts, ["dow", "hour"], "left")
+    return (cells.join(counts, ["dow", "hour"], "left")
             .select("dow", "hour", F.coalesce("entries", F.lit(0)).cast("bigint").alias("entries"),
                     F.coalesce("exits", F.lit(0)).cast("bigint").alias("exits")))
 
@@ -173,7 +172,7 @@ def capacity_alerts(parking_slot: DataFrame, parking_area: DataFrame, ticket: Da
             .groupBy("slot_id").agg(F.count(F.lit(1)).alias("n"))
             .join(parking_slot.select("slot_id", "area_id"), "slot_id")
             .groupBy("area_id").agg(F.sum("n").alias("active_sessions")))
-    areas = bounded_broadcast(parking_area.select("area_id", "area_code", "floor_id"), DIM_ROWS)
+    areas = parking_area.select("area_id", "area_code", "floor_id")
     counts = ("total", "occupied", "assignable", "active_sessions")
     j = (areas.join(z, "area_id", "left").join(live, "area_id", "left")
          .select("area_id", "area_code", "floor_id",
@@ -218,36 +217,44 @@ def revenue_delta(payment: DataFrame) -> DataFrame:
     """Revenue per calendar day (``amount`` of all payments, as A2) with the
     previous day's revenue and percent change (null when the previous is 0).
 
-    The calendar comes from ``sequence`` over the observed range (one row per
-    day: bounded by the calendar, not the data); the previous day is an
-    equi-join on ``day - 1``, so no window ever spans the whole table."""
-    daily = (payment.filter(F.col("payment_time").isNotNull())
-             .groupBy(F.to_date("payment_time").alias("d")).agg(F.sum("amount").alias("rev")))
-    span = daily.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    days = span.select(F.explode(F.sequence("lo", "hi")).alias("d"))
-    cal = days.join(daily, "d", "left").select("d", F.coalesce("rev", F.lit(0)).cast("decimal(20,2)").alias("rev"))
-    prev = cal.select(F.date_add("d", 1).alias("d"), F.col("rev").alias("prev"))
-    j = cal.join(prev, "d", "left")
-    cents = lambda c: (F.col(c) * 100).cast("bigint")
-    change = F.when(F.col("prev") > 0, ratio_half_up((cents("rev") - cents("prev")) * 100, cents("prev"), 2))
+    The daily table is stored once; the calendar comes from ``sequence`` over
+    its range (one row per day: bounded by the calendar, not the data), and the
+    previous day is an equi-join on ``day - 1``, so no window spans the table."""
+    daily = cut_lineage(payment.filter(F.col("payment_time").isNotNull())
+                        .groupBy(F.to_date("payment_time").alias("d")).agg(F.sum("amount").cast("decimal(20,2)").alias("rev")))
+    days = daily.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("d"))
+    rev = F.coalesce("rev", F.lit(0).cast("decimal(20,2)"))
+    cal = days.join(daily, "d", "left").select("d", rev.alias("rev"))
+    before = daily.select(F.date_add("d", 1).alias("d"), F.col("rev").alias("prev"))
+    first = daily.agg(F.min("d")).scalar()  # has no previous day
+    prev = F.when(F.col("d") > first, F.coalesce("prev", F.lit(0).cast("decimal(20,2)")))
+    j = cal.join(before, "d", "left").withColumn("prev", prev)
+    change = F.when(F.col("prev") > 0, F.round((F.col("rev") - F.col("prev")) * 100 / F.col("prev"), 2))
     return j.select(F.col("d").cast("timestamp_ntz").alias("day"), F.col("rev").cast("double").alias("revenue"),
-                    F.col("prev").cast("double").alias("prev_revenue"), change.alias("pct_change"))
+                    F.col("prev").cast("double").alias("prev_revenue"), change.cast("double").alias("pct_change"))
 
 
 def recent_activity(parking_log: DataFrame, ticket: DataFrame, vehicle: DataFrame, parking_slot: DataFrame,
                     parking_area: DataFrame, as_of: str | dt.datetime, k: int = 10) -> DataFrame:
     """The latest ``k`` log actions at ``as_of`` with plate, zone, model,
     colour and age text.  The top-k runs first (TakeOrderedAndProject: each
-    task keeps k rows), so only k rows are joined to the other tables."""
+    task keeps k rows); each other table is then reduced to the rows that the k
+    need by a semi-join before anything else, so no fact is shuffled."""
     now = X.ts_lit(as_of)
     top = (parking_log.filter(F.col("action_time") <= now)
            .select("log_id", "ticket_id", "action", "action_time")
            .orderBy(F.col("action_time").desc(), F.col("log_id").desc()).limit(k))
-    j = (F.broadcast(top).join(ticket.select("ticket_id", "vehicle_id", "slot_id"), "ticket_id", "left")
-         .join(vehicle.select("vehicle_id", "license_plate", _optional(vehicle, "model"),
-                              _optional(vehicle, "color")), "vehicle_id", "left")
-         .join(parking_slot.select("slot_id", "area_id"), "slot_id", "left")
-         .join(bounded_broadcast(parking_area.select("area_id", "area_code"), DIM_ROWS), "area_id", "left"))
+
+    def needed(df: DataFrame, key: str, by: DataFrame) -> DataFrame:
+        return F.broadcast(df.join(F.broadcast(by.select(key)), key, "left_semi"))  # k keys
+
+    tickets = needed(ticket.select("ticket_id", "vehicle_id", "slot_id"), "ticket_id", top)
+    vehicles = needed(vehicle.select("vehicle_id", "license_plate", _optional(vehicle, "model"),
+                                     _optional(vehicle, "color")), "vehicle_id", tickets)
+    slots = needed(parking_slot.select("slot_id", "area_id"), "slot_id", tickets)
+    areas = needed(parking_area.select("area_id", "area_code"), "area_id", slots)
+    j = (top.join(tickets, "ticket_id", "left").join(vehicles, "vehicle_id", "left")
+         .join(slots, "slot_id", "left").join(areas, "area_id", "left"))
     return (j.select("log_id", "license_plate", "action", "area_code", "model", "color", "action_time",
                      X.age_text("action_time", now).alias("age"))
             .orderBy(F.col("action_time").desc(), F.col("log_id").desc()))  # k rows: newest first for display
@@ -267,7 +274,7 @@ def entry_exit_log(ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFram
             .agg(F.sum("final_amount").alias("fee")))
     j = (ticket.select("ticket_id", "vehicle_id", "slot_id", "entry_time", "check_out_time")
          .join(vehicle.select("vehicle_id", "license_plate", "vehicle_type_id"), "vehicle_id", "left")
-         .join(bounded_broadcast(vehicle_type.select("vehicle_type_id", "type_name"), DIM_ROWS),
+         .join(vehicle_type.select("vehicle_type_id", "type_name"),
                "vehicle_type_id", "left")
          .join(parking_slot.select("slot_id", "slot_code"), "slot_id", "left")
          .join(fees, "ticket_id", "left"))
@@ -279,13 +286,14 @@ def entry_exit_log(ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFram
 
 def exception_report(t: ParkingTables, max_minutes: int, as_of: str | dt.datetime) -> DataFrame:
     """One tagged list of session exceptions: lost_ticket, plate_mismatch,
-    overtime, wrong_zone, fee_override (paid amount differs from F6), unpaid
+    overtime, wrong_zone, fee_override (paid amount differs from F6), net_mismatch
+    (a payment whose stored final amount is not amount - discount, F7), unpaid
     (closed session without a paid payment).
 
     One pass over the tickets: the fee (F6) carries the ticket and vehicle
     columns every test needs, the slot type and the per-ticket payments are
-    joined once, and each ticket emits its 0..6 exception rows with ``inline``
-    over an array of tagged structs - no union of six re-scans."""
+    joined once, and each ticket emits its 0..7 exception rows with ``inline``
+    over an array of tagged structs - no union of seven re-scans."""
     from lotquery.operators.pricing import parking_fee
 
     now = X.ts_lit(as_of)
@@ -293,9 +301,9 @@ def exception_report(t: ParkingTables, max_minutes: int, as_of: str | dt.datetim
                        carry=("slot_id", "qr_code", "license_plate_snapshot"), vehicle_carry=("license_plate",),
                        how="left")
     slot_types = (t.parking_slot.select("slot_id", "slot_type")
-                  .join(bounded_broadcast(t.slot_type_map.withColumnRenamed("vehicle_type_id", "slot_vt"), DIM_ROWS),
+                  .join(t.slot_type_map.withColumnRenamed("vehicle_type_id", "slot_vt"),
                         "slot_type", "left"))
-    paid = payments_per_ticket(t.payment).select("ticket_id", "paid_amount")
+    paid = payments_per_ticket(t.payment).select("ticket_id", "paid_amount", "net_mismatches")
     j = fees.join(slot_types, "slot_id", "left").join(paid, "ticket_id", "left")
     minutes = X.minutes_between("entry_time", F.coalesce(F.col("check_out_time"), now))
 
@@ -313,5 +321,6 @@ def exception_report(t: ParkingTables, max_minutes: int, as_of: str | dt.datetim
         tag("fee_override", F.col("paid_amount").isNotNull() & (F.col("paid_amount") != F.col("fee")),
             F.concat(F.col("paid_amount").cast("decimal(18,2)").cast("string"), F.lit(" vs "),
                      F.col("fee").cast("string"))),
+        tag("net_mismatch", F.col("net_mismatches") > 0, F.col("net_mismatches")),
         tag("unpaid", F.col("status").isin("completed", "lost") & F.col("paid_amount").isNull(), F.col("status")))
     return j.select("ticket_id", F.inline(F.filter(tags, lambda x: x.isNotNull())))

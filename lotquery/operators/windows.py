@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
-from lotquery.functions.scan import bounded_broadcast, day_block, neighbor, ordered_scan
+from lotquery.functions.scan import cut_lineage, day_block, neighbor, ordered_scan
+from lotquery.operators.reports import ratio_half_up
 
 # Fixed transition table (documented slot life cycle).  A repeat of the same
 # status is a no-op and always allowed.
@@ -97,8 +98,8 @@ def occupancy_profile(ticket: DataFrame, parking_slot: DataFrame, as_of: str | d
     the peak number parked at any instant in that band.
 
     * average: for each session, its seconds inside band b are
-      F(end, b) - F(start, b) (closed form, 24 values per session, summed
-      map-side); divided by the band's seconds in the period.
+      F(end, b) - F(start, b) (closed form): 24 sums in one aggregate, turned
+      into rows afterwards; divided by the band's seconds in the period.
     * peak: +1/-1 events give the occupancy level after each distinct time
       (two-level running sum per zone); each constant-level segment
       [t, next t) covers at most 24 bands; peak = max level per band.
@@ -112,29 +113,24 @@ def occupancy_profile(ticket: DataFrame, parking_slot: DataFrame, as_of: str | d
                 .filter(F.col("b") > F.col("a"))
                 .join(parking_slot.select("slot_id", "area_id"), "slot_id"))
     if by == "floor_id":
-        floors = bounded_broadcast(parking_area.select("area_id", "floor_id"), 1_000_000)
+        floors = parking_area.select("area_id", "floor_id")
         sessions = sessions.join(floors, "area_id", "left")
     elif by == "vehicle_type_id":
         sessions = sessions.join(vehicle.select("vehicle_id", "vehicle_type_id"), "vehicle_id")
     elif by != "area_id":
         raise ValueError(f"by must be one of {PROFILE_GROUPS}")
-    sessions = sessions.select(F.col(by).alias("grp"), "a", "b")
-    bands = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("band")
-    overlap = (sessions.select("grp", "a", "b", bands)
-               .groupBy("grp", "band")
-               .agg(F.sum(_band_seconds(F.col("b"), F.col("band")) - _band_seconds(F.col("a"), F.col("band")))
-                    .alias("occupied_s")))
+    sessions = cut_lineage(sessions.select(F.col(by).alias("grp"), "a", "b"))  # read three times
+    seconds = [(_band_seconds(F.col("b"), F.lit(h)) - _band_seconds(F.col("a"), F.lit(h))) for h in range(24)]
+    overlap = (sessions.groupBy("grp").agg(*[F.sum(x).alias(f"_{h}") for h, x in enumerate(seconds)])
+               .select("grp", F.expr(f"stack(24, {', '.join(f'{h}, _{h}' for h in range(24))}) AS (band, occupied_s)")))
     p0 = sessions.agg(F.floor(F.min("a") / 86400) * 86400).scalar()  # period start, computed once
     avg = overlap.withColumn("den", _band_seconds(now_s, F.col("band")) - _band_seconds(p0, F.col("band")))
-    unit = 10_000
-    avg = avg.select("grp", "band", F.when(
-        F.col("den") > 0, F.floor((2 * F.col("occupied_s") * unit + F.col("den")) / (2 * F.col("den"))) / unit
-    ).alias("avg_occupancy"))
+    avg = avg.select("grp", "band", ratio_half_up(F.col("occupied_s"), F.col("den"), 4).alias("avg_occupancy"))
 
     deltas = (sessions.select("grp", F.inline(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")),
                                                           F.struct(F.col("b").alias("t"), F.lit(-1).alias("d")))))
               .groupBy("grp", "t").agg(F.sum("d").alias("d")))
-    segs = ordered_scan(deltas, ["grp"], ["t"], F.floor(F.col("t") / 86400), sum_of="d", sum_name="level",
+    segs = ordered_scan(deltas, ["grp"], ["t"], F.floor(F.col("t") / 86400), runs=[("level", "sum", "d", True)],
                         next_cols=["t"], next_prefix="next_")
     segs = segs.withColumn("e", F.coalesce(F.col("next_t"), now_s)).filter(F.col("e") > F.col("t"))
     n = F.when(F.col("e") - F.col("t") >= 86400, F.lit(24)).otherwise(
@@ -163,8 +159,7 @@ def peak_forecast(ticket: DataFrame, k: int = 5) -> DataFrame:
     days = (F.floor(ndays / 7)
             + F.when(F.pmod(F.col("dow") - dow_lo, F.lit(7)) < F.pmod(ndays, F.lit(7)), 1)
             .otherwise(0)).cast("bigint")
-    unit = 10_000
-    expected = F.floor((2 * F.col("entries") * unit + F.col("days")) / (2 * F.col("days"))) / unit
+    expected = ratio_half_up(F.col("entries"), F.col("days"), 4)
     out = j.withColumn("days", days).select("dow", "hour", F.col("entries").cast("bigint"), "days",
                                             expected.alias("expected"))
     return out.orderBy(F.col("expected").desc(), "dow", "hour").limit(k)
@@ -185,8 +180,7 @@ def slot_utilization(parking_slot: DataFrame, ticket: DataFrame, payment: DataFr
              .select("slot_id", F.col("minutes").alias("maintenance_minutes")))
     j = (parking_slot.select("slot_id").join(sess, "slot_id", "left").join(paid, "slot_id", "left")
          .join(maint, "slot_id", "left"))
-    avg = F.when(F.col("_c") > 0, F.signum(F.col("_m")) * F.floor((2 * F.abs(F.col("_m")) * 100 + F.col("_c"))
-                                                                  / (2 * F.col("_c"))) / 100)
+    avg = ratio_half_up(F.col("_m"), F.col("_c"), 2)
     return j.select("slot_id", F.coalesce("sessions", F.lit(0)).cast("bigint").alias("sessions"),
                     avg.alias("avg_minutes"),
                     F.coalesce(F.col("net_revenue"), F.lit(0)).cast("double").alias("net_revenue"),

@@ -19,7 +19,7 @@ from lotquery.sources.tables import ParkingTables
 # Fixed fixture constants (FIXTURES.md): the oracle run uses the same values.
 AS_OF = "2001-08-05 00:00:00"
 PAY_DAY = "1998-04-25"
-MAX_STAY_MINUTES = 2880
+
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
