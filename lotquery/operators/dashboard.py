@@ -111,7 +111,7 @@ def grid_cells(members: DataFrame, rows: int = GRID_ROWS, cols: int = GRID_COLS)
     spark = members.sparkSession
     dense = (spark.range(rows * cols)
              .select((F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col")))
-    return (F.broadcast(dense).join(cells, ["row", "col"], "left")
+    return (dense.join(cells, ["row", "col"], "left")
             .select("row", "col", F.coalesce("occ", F.lit(0)).cast("int").alias("occ")))
 
 
@@ -126,42 +126,73 @@ def grid_json(cells: DataFrame, rows: int = GRID_ROWS, cols: int = GRID_COLS) ->
     return grid.select("grid", F.to_json("grid").alias("grid_json"))
 
 
-def dashboard_document(ticket: DataFrame, vehicle: DataFrame, parking_slot: DataFrame, payment: DataFrame,
-                       day: str | dt.date, current_limit: int = 50) -> DataFrame:
-    """The staff dashboard as one JSON document (keys in the reference's
-    order).  Every part is an aggregate, except ``currentTickets``: the newest
-    ``current_limit`` active tickets (a top-k display list; the complete list is
-    J1 ``active_tickets``), so the document stays bounded at any scale."""
-    slots = slot_totals(parking_slot).select(
-        F.struct("total", "occupied", "available").alias("slots"))
-    # A2 and A4 fused: one scan of the payments gives the total and the day's figures.
-    today_row = X.on_day("payment_time", day)
-    pay = payment.agg(
-        X.sum_or_zero("amount").cast("double").alias("total_revenue"),
-        F.struct(F.coalesce(F.sum(F.when(today_row, F.col("amount"))), F.lit(0)).cast("double").alias("totalAmount"),
-                 X.count_when(today_row).alias("transactions"),
-                 X.count_when(today_row & (F.col("status") == "paid")).alias("paid"),
-                 X.count_when(today_row & (F.col("status") != "paid")).alias("unpaid")).alias("paymentsToday"))
-    pay_doc = pay.select(F.struct("total_revenue", "paymentsToday").alias("p")).scalar()
-    status = (ticket_status_counts(ticket)
-              .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "cnt")))).alias("ticketStatus")))
-    newest = (ticket.filter(F.col("status") == "active")
-              .select("ticket_id", "vehicle_id", "entry_time", "status")
-              .orderBy(F.col("entry_time").desc(), F.col("ticket_id").desc()).limit(current_limit))
-    newest = (F.broadcast(newest).join(vehicle.select("vehicle_id", "license_plate"), "vehicle_id")
-              .select(F.struct(F.col("ticket_id"), F.col("license_plate"),
-                               X.time_text("entry_time").alias("entry_time"),
-                               F.lit(None).cast("string").alias("area"), F.col("status")).alias("t"),
-                      F.col("entry_time").alias("_ts"))
-              .agg(F.collect_list(F.struct(F.col("_ts"), F.col("t"))).alias("lst"))
-              .select(F.transform(F.reverse(F.array_sort("lst")), lambda s: s["t"]).alias("currentTickets")))
-    spark = parking_slot.sparkSession
-    doc = spark.range(1).select(F.struct(
-        slots.select("slots").scalar().alias("slots"),
-        pay_doc["total_revenue"].alias("totalRevenue"),
-        status.select("ticketStatus").scalar().alias("ticketStatus"),
-        F.coalesce(newest.select("currentTickets").scalar(), F.array()).alias("currentTickets"),
-        pay_doc["paymentsToday"].alias("paymentsToday")).alias("d"))
-    return doc.select(F.to_json("d", {"ignoreNullFields": "false"}).alias("document"))
+def grid_of_cells(cells: DataFrame, rows: int = GRID_ROWS, cols: int = GRID_COLS) -> DataFrame:
+    """A9 from explicit numbers: (cell_id, row, col, status) as dense cells.
+    Cells outside the grid, or without a row or column, are passed over; of
+    several the highest cell_id counts."""
+    inside = cells.filter(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
+    return grid_cells(inside.select(F.col("cell_id").alias("slot_id"), "row", "col", "status"), rows, cols)
 
 
+def dashboard_document(ticket: DataFrame, vehicle: DataFrame, parking_slot: DataFrame, payment: DataFrame,
+                       day: str | dt.date) -> DataFrame:
+    """The staff dashboard as rows (section, name, ticket_id, license_plate,
+    entry_time, status, number): a row for each figure, for each ticket status
+    and for each active ticket, in any order.  Nothing is cut or gathered;
+    ``dashboard_json`` renders the rows."""
+    none = {"ticket_id": F.lit(None).cast("bigint"), "license_plate": F.lit(None).cast("string"),
+            "entry_time": F.lit(None).cast("string"), "status": F.lit(None).cast("string")}
+
+    def figures(section: str, df: DataFrame, **columns: str) -> DataFrame:
+        pairs = [F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("number")) for name, c in columns.items()]
+        return (df.select(F.inline(F.array(*pairs))).withColumns(none)
+                .select(F.lit(section).alias("section"), "name", *none, "number"))
+
+    today_row = X.on_day("payment_time", day)
+    pay = payment.agg(  # A2 and A4 from one scan of the payments
+        X.sum_or_zero("amount").alias("total"),
+        F.coalesce(F.sum(F.when(today_row, F.col("amount"))), F.lit(0)).alias("today"),
+        X.count_when(today_row).alias("transactions"),
+        X.count_when(today_row & (F.col("status") == "paid")).alias("paid"),
+        X.count_when(today_row & (F.col("status") != "paid")).alias("unpaid"))
+    statuses = ticket_status_counts(ticket).select(
+        F.lit("ticketStatus").alias("section"), F.col("status").alias("name"), *[v.alias(k) for k, v in none.items()],
+        F.col("cnt").cast("double").alias("number"))
+    current = (ticket.filter(F.col("status") == "active").select("ticket_id", "vehicle_id", "entry_time", "status")
+               .join(vehicle.select("vehicle_id", "license_plate"), "vehicle_id")
+               .select(F.lit("currentTickets").alias("section"), F.lit(None).cast("string").alias("name"), "ticket_id",
+                       "license_plate", X.time_text("entry_time").alias("entry_time"), "status",
+                       F.lit(None).cast("double").alias("number")))
+    return (figures("slots", slot_totals(parking_slot), total="total", occupied="occupied", available="available")
+            .unionByName(figures("totalRevenue", pay, totalRevenue="total"))
+            .unionByName(statuses).unionByName(current)
+            .unionByName(figures("paymentsToday", pay, totalAmount="today", transactions="transactions", paid="paid",
+                                 unpaid="unpaid")))
+
+
+def dashboard_json(rows: DataFrame) -> DataFrame:
+    """S4 rows with their JSON text (F13): a figure as {name: number}, a ticket as
+    an object with the page's keys (area is always null)."""
+    is_ticket = F.col("section") == "currentTickets"
+    ticket = F.to_json(F.struct("ticket_id", "license_plate", "entry_time", F.lit(None).cast("string").alias("area"), "status"),
+                       {"ignoreNullFields": "false"})
+    whole = F.col("number") == F.floor("number")
+    number = F.when(whole & ~F.col("name").isin("totalRevenue", "totalAmount"), F.to_json(
+        F.create_map(F.coalesce("name", F.lit("")), F.col("number").cast("bigint")))).otherwise(
+        F.to_json(F.create_map(F.coalesce("name", F.lit("")), F.col("number"))))
+    return rows.withColumn("json", F.when(is_ticket, ticket).otherwise(number))
+
+
+def slot_summary(parking_slot: DataFrame, parking_area: DataFrame) -> DataFrame:
+    """The slot summary in the page's shape, as rows (section, area_code,
+    occupied, available, total): one for the facility, one for each zone."""
+    counts = (F.count("slot_id").alias("total"), X.count_when(F.col("status") == "Occupied").alias("occupied"))
+    per = parking_slot.groupBy("area_id").agg(*counts)
+    zones = (parking_area.select("area_id", "area_code").join(per, "area_id", "left")
+             .select(F.lit("zone").alias("section"), "area_code", F.coalesce("occupied", F.lit(0)).alias("occupied"),
+                     F.coalesce("total", F.lit(0)).alias("total")))
+    whole = parking_slot.agg(*counts).select(F.lit("facility").alias("section"), F.lit(None).cast("string").alias("area_code"),
+                                             "occupied", "total")
+    return whole.unionByName(zones).select(
+        "section", "area_code", F.col("occupied").cast("bigint").alias("occupied"),
+        X.floor_zero(F.col("total") - F.col("occupied")).cast("bigint").alias("available"), F.col("total").cast("bigint").alias("total"))

@@ -5,11 +5,13 @@ operator is expressible in SQL) an independent DuckDB oracle text."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lotquery.session import ensure_session_conf, scratch_path
-from lotquery.sources.derive import derive_tables, duckdb_with, materialize_tables
+from lotquery.sources.derive import DRIVER_TABLES, derive_tables, duckdb_with, materialize_tables
+from lotquery.sources.sinks import file_states_of
 from lotquery.sources.tables import ParkingTables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -18,22 +20,24 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
-_DERIVED: dict[tuple[int, str], ParkingTables] = {}
+_DERIVED: WeakKeyDictionary[SparkSession, dict[tuple, ParkingTables]] = WeakKeyDictionary()
 MATERIALIZE = True
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> ParkingTables:
     """Canonical tables for ``sf_dir``: derived once per session and written
     as Parquet under the shared checkpoint folder (``MATERIALIZE``), the way
-    canonical tables live at rest in a deployment."""
+    canonical tables live at rest in a deployment.  They are derived again when
+    the session is another or the files of ``sf_dir`` have changed."""
     ensure_session_conf(spark)
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _DERIVED:
+    held = _DERIVED.setdefault(spark, {})
+    key = (spark.sparkContext.applicationId, sf_dir, file_states_of(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in DRIVER_TABLES]))
+    if key not in held:
         derived = derive_tables(spark, sf_dir)
         if MATERIALIZE:
             derived = materialize_tables(spark, derived, scratch_path(spark, "canonical"))
-        _DERIVED[key] = derived
-    return _DERIVED[key]
+        held[key] = derived
+    return held[key]
 
 
 def query(name: str, oracle: str | None = None, raw: bool = False):

@@ -85,12 +85,66 @@ def _slot_grid(t):
     return dash.slot_grid(t.parking_slot)
 
 
-@query("dashboard_document")
+@query("dashboard_document", f"""
+WITH p AS (SELECT amount, status, CAST(payment_time AS DATE) = DATE '{PAY_DAY}' AS today FROM pk_payment),
+figures AS (
+  SELECT 'slots' AS section, 'total' AS name, CAST(COUNT(*) AS DOUBLE) AS number FROM pk_parking_slot
+  UNION ALL SELECT 'slots', 'occupied', count_if(status = 'Occupied') FROM pk_parking_slot
+  UNION ALL SELECT 'slots', 'available', count_if(status IS DISTINCT FROM 'Occupied') FROM pk_parking_slot
+  UNION ALL SELECT 'totalRevenue', 'totalRevenue', COALESCE(SUM(amount), 0) FROM p
+  UNION ALL SELECT 'paymentsToday', 'totalAmount', COALESCE(SUM(amount) FILTER (today), 0) FROM p
+  UNION ALL SELECT 'paymentsToday', 'transactions', count_if(today) FROM p
+  UNION ALL SELECT 'paymentsToday', 'paid', count_if(today AND status = 'paid') FROM p
+  UNION ALL SELECT 'paymentsToday', 'unpaid', count_if(today AND status <> 'paid') FROM p
+  UNION ALL SELECT 'ticketStatus', status, COUNT(*) FROM pk_ticket GROUP BY status)
+SELECT section, name, CAST(NULL AS BIGINT) AS ticket_id, CAST(NULL AS VARCHAR) AS license_plate,
+       CAST(NULL AS VARCHAR) AS entry_time, CAST(NULL AS VARCHAR) AS status, CAST(number AS DOUBLE) AS number FROM figures
+UNION ALL
+SELECT 'currentTickets', NULL, t.ticket_id, v.license_plate, strftime(t.entry_time, '%Y-%m-%d %H:%M:%S'), t.status, NULL
+FROM pk_ticket t JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id WHERE t.status = 'active'
+""")
 def _dashboard_document(t):
-    """One JSON row (no SQL oracle: checked field by field in tests)."""
+    """S4 as rows: every figure, status and active ticket."""
     return dash.dashboard_document(t.ticket, t.vehicle, t.parking_slot, t.payment, PAY_DAY)
 
 
+@query("slot_summary", """
+SELECT 'facility' AS section, CAST(NULL AS VARCHAR) AS area_code, CAST(count_if(status = 'Occupied') AS BIGINT) AS occupied,
+       CAST(count_if(status IS DISTINCT FROM 'Occupied') AS BIGINT) AS available, CAST(COUNT(*) AS BIGINT) AS total
+FROM pk_parking_slot
+UNION ALL
+SELECT 'zone', a.area_code, CAST(count_if(s.status = 'Occupied') AS BIGINT),
+       CAST(COUNT(s.slot_id) - count_if(s.status = 'Occupied') AS BIGINT), CAST(COUNT(s.slot_id) AS BIGINT)
+FROM pk_parking_area a LEFT JOIN pk_parking_slot s ON s.area_id = a.area_id GROUP BY a.area_id, a.area_code
+""")
+def _slot_summary(t):
+    return dash.slot_summary(t.parking_slot, t.parking_area)
+
+
+@query("grid_json", """
+WITH g AS (""" + SLOT_GRID_SQL.replace("{slots}", "pk_parking_slot") + """)
+SELECT '[' || string_agg(cells, ',' ORDER BY "row") || ']' AS grid_json
+FROM (SELECT "row", '[' || string_agg(CAST(occ AS VARCHAR), ',' ORDER BY col) || ']' AS cells FROM g GROUP BY "row") x
+""")
+def _grid_json(t):
+    """The grid of all slots as JSON text."""
+    return dash.grid_json(dash.slot_grid(t.parking_slot)).select("grid_json")
+
+
+@query("grid_of_cells", """
+WITH cells AS (SELECT slot_id, CAST(slot_id % 7 - 1 AS INTEGER) AS "row", CAST(slot_id // 7 % 6 AS INTEGER) AS col, status FROM pk_parking_slot),
+kept AS (SELECT "row", col, arg_max(CASE WHEN lower(status) = 'occupied' THEN 1 ELSE 0 END, slot_id) AS occ FROM cells
+         WHERE "row" BETWEEN 0 AND 4 AND col BETWEEN 0 AND 4 GROUP BY "row", col),
+dense AS (SELECT CAST(i // 5 AS INTEGER) AS "row", CAST(i % 5 AS INTEGER) AS col FROM range(25) r(i))
+SELECT d."row", d.col, CAST(COALESCE(k.occ, 0) AS INTEGER) AS occ FROM dense d LEFT JOIN kept k ON k."row" = d."row" AND k.col = d.col
+""")
+def _grid_of_cells(t):
+    """A9 from row and column numbers, some outside the grid."""
+    cells = t.parking_slot.selectExpr("slot_id AS cell_id", "CAST(slot_id % 7 - 1 AS INT) AS row",
+                                      "CAST(slot_id div 7 % 6 AS INT) AS col", "status")
+    return dash.grid_of_cells(cells)
+
+
 # ---------------------------------------------------------------- audits and integrity
 
 from lotquery.operators import audit  # noqa: E402
@@ -535,6 +589,9 @@ UNION ALL
 SELECT pt.ticket_id, 'fee_override', CAST(CAST(pt.paid_amount AS DECIMAL(18,2)) AS VARCHAR) || ' vs ' || CAST(fees.fee AS VARCHAR)
 FROM pt JOIN fees ON fees.ticket_id = pt.ticket_id WHERE pt.paid_amount <> fees.fee
 UNION ALL
+SELECT ticket_id, 'net_mismatch', CAST(count_if(final_amount <> amount - discount) AS VARCHAR) FROM pk_payment
+GROUP BY ticket_id HAVING count_if(final_amount <> amount - discount) > 0
+UNION ALL
 SELECT t.ticket_id, 'unpaid', t.status FROM pk_ticket t
 WHERE t.status IN ('completed', 'lost') AND NOT EXISTS (SELECT 1 FROM pt WHERE pt.ticket_id = t.ticket_id)
 """)
@@ -731,7 +788,7 @@ def _assign_slots(t):
 
 @query("register_drivers", r"""
 WITH r AS (
-  SELECT request_id, full_name, license_plate, upper(""" + _JTRIM.format(c="license_plate") + r""") AS plate_norm,
+  SELECT request_id, full_name, phone, email, address, license_plate, upper(""" + _JTRIM.format(c="license_plate") + r""") AS plate_norm,
          COALESCE(CASE WHEN regexp_matches(vehicle_type_text, '^[+-]?[0-9]+$') THEN TRY_CAST(vehicle_type_text AS INTEGER) END, 1) AS vehicle_type_id,
          COALESCE(upper(""" + _JTRIM.format(c="license_plate") + r""") <> ''
                   AND regexp_matches(upper(""" + _JTRIM.format(c="license_plate") + r"""), '^[0-9]{2}[A-Z]-[0-9]{3}\.[0-9]{2}$'), false) AS plate_ok
@@ -748,7 +805,7 @@ o AS (SELECT r2.*, CASE WHEN NOT plate_ok THEN 'bad_plate' WHEN full_name IS NUL
       FROM r2 LEFT JOIN w ON w.plate_norm = r2.plate_norm),
 k AS (SELECT request_id, row_number() OVER (ORDER BY request_id) AS seq FROM o WHERE outcome = 'registered')
 SELECT o.request_id, o.outcome, (SELECT max(customer_id) FROM pk_customer) + k.seq AS customer_id,
-       (SELECT max(vehicle_id) FROM pk_vehicle) + k.seq AS vehicle_id, o.full_name, o.license_plate, o.vehicle_type_id
+       (SELECT max(vehicle_id) FROM pk_vehicle) + k.seq AS vehicle_id, o.full_name, o.phone, o.email, o.address, o.license_plate, o.vehicle_type_id
 FROM o LEFT JOIN k ON k.request_id = o.request_id
 """)
 def _register_drivers(t):
@@ -812,7 +869,7 @@ def _live_transition_check(spark, sf_dir, t):
     root = scratch_path(spark, "live_transition_check")
     events = live.derived_stream(spark, "pk_slot_event", live.event_stream(spark, sf_dir))
     live.run(live.live_transition_check(events, root, ONCE, live.default_state_partitions(spark)))
-    return spark.read.parquet(f"{root}/alerts").drop("batch")
+    return live.transition_alerts(spark, root)
 
 
 @query("overstay_alerts", f"""
@@ -833,28 +890,26 @@ def _overstay_alerts(spark, sf_dir, t):
     return spark.read.parquet(f"{root}/out")
 
 
-RES_MAX_WINDOW_HOURS = 24
-
-
-@query("reservation_expiry", f"""
+@query("reservation_expiry", """
 WITH r AS (SELECT reservation_id, slot_id, vehicle_id, from_time, to_time FROM pk_reservation WHERE state = 'confirmed'),
 a AS (SELECT arrival_id, vehicle_id, arrival_time FROM pk_arrivals),
-w AS (SELECT least((SELECT max(from_time) FROM r), (SELECT max(arrival_time) FROM a)) - INTERVAL 1 HOUR AS wm),
+w AS (SELECT least((SELECT max(to_time) FROM r), (SELECT max(arrival_time) FROM a)) - INTERVAL 1 HOUR AS wm),
 m AS (SELECT r.*, a.arrival_id FROM r JOIN a ON a.vehicle_id = r.vehicle_id AND a.arrival_time >= r.from_time
-        AND a.arrival_time < r.to_time AND a.arrival_time <= r.from_time + INTERVAL {RES_MAX_WINDOW_HOURS} HOUR)
-SELECT reservation_id, slot_id, vehicle_id, from_time, to_time, arrival_id, 'fulfilled' AS outcome FROM m
+        AND a.arrival_time < r.to_time)
+SELECT reservation_id, slot_id, vehicle_id, from_time, to_time, arrival_id, 'fulfilled' AS outcome,
+       CAST(NULL AS VARCHAR) AS slot_status FROM m
 UNION ALL
-SELECT r.reservation_id, r.slot_id, r.vehicle_id, r.from_time, r.to_time, NULL, 'expired' FROM r, w
-WHERE r.from_time + INTERVAL {RES_MAX_WINDOW_HOURS} HOUR < w.wm AND NOT EXISTS (SELECT 1 FROM m WHERE m.reservation_id = r.reservation_id)
+SELECT r.reservation_id, r.slot_id, r.vehicle_id, r.from_time, r.to_time, NULL, 'expired', 'Empty' FROM r, w
+WHERE r.to_time < w.wm AND NOT EXISTS (SELECT 1 FROM m WHERE m.reservation_id = r.reservation_id)
 """, raw=True)
 def _reservation_expiry(spark, sf_dir, t):
     """Confirmed reservations fulfilled by an arrival, or expired."""
     root = scratch_path(spark, "reservation_expiry")
     res = live.derived_stream(spark, "pk_reservation", live.event_stream(spark, sf_dir))
     arr = live.derived_stream(spark, "pk_arrivals", live.event_stream(spark, sf_dir), pk_vehicle=t.vehicle)
-    live.run(live.reservation_expiry(res, arr, root, RES_MAX_WINDOW_HOURS, trigger=ONCE,
+    live.run(live.reservation_expiry(res, arr, root, trigger=ONCE,
                                      state_partitions=live.default_state_partitions(spark)))
-    return spark.read.parquet(f"{root}/out")
+    return live.reservation_outcomes(spark, root)
 
 
 LOCKOUT_N, LOCKOUT_MINUTES = 2, 15

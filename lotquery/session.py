@@ -18,17 +18,18 @@ REQUIRED_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "lotquery") -> SparkSession:
-    """Session for tests and the bench.  On a cluster, submit with the cluster's
-    own master and size ``spark.sql.shuffle.partitions`` to the data (AQE then
-    coalesces small partitions at run time)."""
-    builder = (SparkSession.builder.master(master).appName(app_name)
-               .config("spark.ui.enabled", "false")
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "16g")
-               .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
-    for key, value in REQUIRED_CONF.items():
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
+                  app_name: str = "lotquery", conf: dict[str, str] | None = None) -> SparkSession:
+    """A session with the settings lotquery relies on.  Without ``master`` the
+    submitted one holds (``spark-submit --master ...``), and so does the
+    cluster's sizing; tests and the bench give a local master and sizes."""
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in {**REQUIRED_CONF, "spark.ui.enabled": "false",
+                       "spark.sql.execution.arrow.pyspark.enabled": "true", **(conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -125,6 +125,9 @@ SELECT event_id AS scan_id, 'QR-' || CAST(event_id * 2 AS STRING) AS qr_code, ts
 """,
     "pk_registration_requests": """
 SELECT c_custkey AS request_id, CASE WHEN c_custkey % 70 = 69 THEN NULL ELSE c_name END AS full_name,
+ '08' || lpad(CAST(c_custkey AS STRING), 8, '0') AS phone,
+ CASE WHEN c_custkey % 9 = 4 THEN NULL ELSE 'driver' || CAST(c_custkey AS STRING) || '@mail.example' END AS email,
+ CASE WHEN c_custkey % 11 = 6 THEN NULL ELSE CAST(c_custkey % 300 + 1 AS STRING) || ' Example Street, nation ' || CAST(c_nationkey AS STRING) END AS address,
  CASE c_custkey % 10 WHEN 0 THEN v.license_plate WHEN 1 THEN 'bad' WHEN 2 THEN lower(k.plate) ELSE k.plate END AS license_plate,
  CASE WHEN c_custkey % 100 = 98 THEN '9' WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN '2' WHEN c_custkey % 4 = 2 THEN 'abc' ELSE '3' END AS vehicle_type_text
 FROM {customer} JOIN {pk_vehicle} v ON v.vehicle_id = c_custkey + 1

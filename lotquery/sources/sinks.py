@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,34 +20,65 @@ def export_report(df: DataFrame, path: str, partition_col: str | None = None, fm
     writer.save(path)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if there is no such path.  Other
+    errors are raised."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(where) if s.isDirectory())
+
+
+def file_states_of(spark: SparkSession, paths: list[str]) -> tuple:
+    """Name, length and time of change of the files at ``paths`` (files, or
+    folders of files)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(conf)
+        if system.exists(where):
+            out += [(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in system.listStatus(where)]
+    return tuple(sorted(out))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_staged(spark: SparkSession, outputs: dict[str, DataFrame], root: str) -> dict[str, str]:
     """Write several outputs so readers see all of them or none.
 
-    Each output goes to ``root/<name>``; a ``_COMMITTED`` marker listing the
-    outputs is written last.  A reader that requires the marker never sees half
-    a registration batch (the reference gets the same from a DB transaction).
-    Task retries and lost executors are handled by Spark's output committer.
-    """
-    paths = {}
+    Each batch has a folder of its own, ``root/batch-<id>/<name>``; last a
+    commit that names its paths is written to ``root/_commits/<number>``.
+    Readers take the newest finished commit, so a batch that fails on the way
+    leaves the one before as it was (the reference gets the same from a DB
+    transaction).  Task retries and lost executors are handled by Spark's
+    output committer."""
+    root = root.rstrip("/")
+    batch = f"{root}/batch-{uuid.uuid4().hex}"
+    paths = {name: f"{batch}/{name}" for name in outputs}
     for name, df in outputs.items():
-        path = f"{root.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        paths[name] = path
-    marker = spark.createDataFrame([(n, p) for n, p in paths.items()], "name string, path string")
-    marker.coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/_COMMITTED")
+        df.write.parquet(paths[name])
+    number = 1 + max((int(n) for n in folders(spark, f"{root}/_commits")), default=0)
+    marker = spark.createDataFrame(list(paths.items()), "name string, path string")
+    marker.coalesce(1).write.json(f"{root}/_commits/{number:012d}")
     return paths
 
 
 def read_staged(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Read outputs written by ``write_staged``; refuse a folder whose commit
-    marker is missing (a write that did not finish), so readers never see
-    part of a batch."""
-    try:
-        marker = spark.read.json(f"{root.rstrip('/')}/_COMMITTED")
-        entries = marker.collect()  # one small row per output name
-    except Exception as exc:  # noqa: BLE001
-        raise RuntimeError(f"no committed outputs under {root}") from exc
-    return {r["name"]: spark.read.parquet(r["path"]) for r in entries}
+    """The outputs of the newest finished commit under ``root``."""
+    root = root.rstrip("/")
+    for name in reversed(folders(spark, f"{root}/_commits")):
+        commit = f"{root}/_commits/{name}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{commit}/_SUCCESS")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            entries = spark.read.schema("name string, path string").json(commit).collect()  # one small row per output
+            return {r["name"]: spark.read.parquet(r["path"]) for r in entries}
+    raise RuntimeError(f"no committed outputs under {root}")
 
 
 # Month partition column per time-keyed fact (partition pruning on time filters).

@@ -54,7 +54,8 @@ SCHEMAS: dict[str, T.StructType] = {
     "booking_requests": _schema(("request_id", L, False), ("vehicle_type_id", I, False),
                                 ("from_time", TS, False), ("to_time", TS, False)),
     "scans": _schema(("scan_id", L, False), ("qr_code", S, True), ("scan_time", TS, False)),
-    "registration_requests": _schema(("request_id", L, False), ("full_name", S, True),
+    "registration_requests": _schema(("request_id", L, False), ("full_name", S, True), ("phone", S, True),
+                                     ("email", S, True), ("address", S, True),
                                      ("license_plate", S, True), ("vehicle_type_text", S, True)),
 }
 

@@ -1,26 +1,29 @@
 """Structured Streaming operators R1-R6.
 
-Sources are file streams with explicit schemas (``readStream.parquet``);
-sinks are Parquet folders under the shared checkpoint folder, written by
-``foreachBatch`` keyed on the batch id (a retried batch overwrites its own
-output, so results are exactly-once) or by the built-in file sink.  Nothing
-is collected to the driver.  Event times are TIMESTAMP_NTZ at rest; the
+Sources are file streams with explicit schemas (``readStream.parquet``).
+State is the engine's own: aggregations, joins and ``applyInPandasWithState``.
+Sinks are Parquet folders under the shared checkpoint folder, written by the
+built-in file sink or by ``foreachBatch`` as versions keyed on the batch id (a
+retried batch overwrites its own version, so results are exactly-once); the
+last two versions are kept.  Nothing is collected to the driver.  Event times are TIMESTAMP_NTZ at rest; the
 watermark needs TIMESTAMP, so event time is cast on the way in (session zone
 UTC, an identity round trip) and back on the way out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from lotquery.functions.scan import day_block, neighbor
+from lotquery.functions import exprs as X
 from lotquery.operators.dashboard import grid_cells, grid_json, grid_members
-from lotquery.operators.windows import is_allowed
+from lotquery.operators.windows import ALLOWED_MOVES
 from lotquery.sources.derive import DERIVATIONS
+from lotquery.sources.sinks import delete_folder, folders
 from lotquery.sources.tables import SCHEMAS
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -53,20 +56,24 @@ def _ntz(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp_ntz")
 
 
+_STARTING = threading.Lock()
+
+
 def start(writer, spark: SparkSession, state_partitions: int | None = None) -> StreamingQuery:
     """Start a stream.  ``state_partitions`` fixes the number of state-store /
     shuffle partitions of its stateful operators; a query clones the session
     configuration when it starts, so the setting is applied only around
-    ``start()`` and the caller's session is restored at once."""
+    ``start()``, by one starter at a time, and restored at once."""
     if not state_partitions:
         return writer.start()
     key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(key, before)
+    with _STARTING:
+        before = spark.conf.get(key)
+        spark.conf.set(key, str(state_partitions))
+        try:
+            return writer.start()
+        finally:
+            spark.conf.set(key, before)
 
 
 def default_state_partitions(spark: SparkSession) -> int:
@@ -79,59 +86,74 @@ def run(query: StreamingQuery, timeout_s: int | None = None) -> None:
         raise query.exception()
 
 
-def _versioned(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    """The newest version written before ``batch_id`` (partition ``batch``)."""
-    try:
-        hist = spark.read.parquet(root)
-    except Exception:  # noqa: BLE001 - no version yet
-        return None
-    prev = hist.filter(F.col("batch") < batch_id)
-    last = prev.agg(F.max("batch").alias("b")).first()["b"]  # partition metadata only
-    if last is None:
-        return None
-    return prev.filter(F.col("batch") == last).drop("batch")
+KEPT_VERSIONS = 2
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the finished versions under ``root``, oldest first."""
+    found = [f for f in folders(spark, root) if f.startswith("batch=")]
+    return sorted(int(f.removeprefix("batch=")) for f in found)
+
+
+def _version(spark: SparkSession, root: str, number: int) -> DataFrame:
+    return spark.read.parquet(f"{root}/batch={number}")
+
+
+def _previous(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
+    """The newest version before ``batch_id``, or None before the first.  A
+    version that can't be read is an error."""
+    before = [n for n in _versions(spark, root) if n < batch_id]
+    return _version(spark, root, before[-1]) if before else None
 
 
 def _write_version(df: DataFrame, root: str, batch_id: int) -> None:
+    """Write version ``batch_id`` and drop all but the last KEPT_VERSIONS."""
     df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    for old in [n for n in _versions(df.sparkSession, root) if n <= batch_id][:-KEPT_VERSIONS]:
+        delete_folder(df.sparkSession, f"{root}/batch={old}")
+
+
+def _merge_version(keys: list[str], root: str):
+    """A ``foreachBatch`` writer that keeps the current row of each key."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = _previous(batch.sparkSession, root, batch_id)
+        now = batch if held is None else batch.unionByName(held.join(batch.select(*keys), keys, "left_anti"))
+        _write_version(now, root, batch_id)
+    return write
 
 
 def latest_version(spark: SparkSession, root: str) -> DataFrame:
-    hist = spark.read.parquet(root)
-    last = hist.agg(F.max("batch").alias("b")).first()["b"]
-    return hist.filter(F.col("batch") == last).drop("batch")
+    versions = _versions(spark, root)
+    if not versions:
+        raise RuntimeError(f"nothing was published under {root}")
+    return _version(spark, root, versions[-1])
 
 
 # ------------------------------------------------------------------ R1
 
 def live_slot_grid(slot_events: DataFrame, parking_slot: DataFrame, root: str,
                    trigger: dict | None = None, state_partitions: int | None = None) -> StreamingQuery:
-    """Keep the latest status per slot (streaming ``max_by`` state, update
-    mode) and publish the whole grid after every batch that changes a slot.
-
-    Only slots whose code decodes into the grid matter for it; they are kept
-    as a small versioned member table, so per-batch work follows the changed
-    slots, not the facility.  The first batch publishes the table snapshot
-    with the first changes applied."""
-    latest = slot_events.groupBy("slot_id").agg(
-        F.max_by("status", F.struct("event_time", "event_id")).alias("status"))
-    snapshot = grid_members(parking_slot)
+    """Keep the latest status per slot of the grid (streaming ``max_by``
+    state) and publish the whole grid after every batch.  The table's snapshot
+    is published before the first event."""
+    members = grid_members(parking_slot)
+    latest = (slot_events.join(members.select("slot_id"), "slot_id", "left_semi").groupBy("slot_id").agg(
+        F.max_by("status", F.struct("event_time", "event_id")).alias("event_status")))
+    spark = slot_events.sparkSession
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = _versioned(spark, f"{root}/members", batch_id)
-        base = snapshot if base is None else base
-        changed = batch.join(base.select("slot_id", "row", "col"), "slot_id").select(base.columns)
-        members = base.join(changed.select("slot_id"), "slot_id", "left_anti").unionByName(changed)
-        _write_version(members, f"{root}/members", batch_id)
-        _write_version(grid_cells(spark.read.parquet(f"{root}/members/batch={batch_id}")), f"{root}/grid", batch_id)
+        now = (members.join(batch, "slot_id", "left")
+               .select("slot_id", "row", "col", F.coalesce("event_status", "status").alias("status")))
+        _write_version(grid_cells(now), f"{root}/grid", batch_id)
         # The published message: the whole grid as compact JSON text (one row).
-        _write_version(grid_json(spark.read.parquet(f"{root}/grid/batch={batch_id}")).select("grid_json"),
-                       f"{root}/grid_json", batch_id)
+        cells = _version(batch.sparkSession, f"{root}/grid", batch_id)
+        _write_version(grid_json(cells).select("grid_json"), f"{root}/grid_json", batch_id)
 
-    return start(latest.writeStream.outputMode("update").foreachBatch(publish)
+    if not _versions(spark, f"{root}/grid"):
+        publish(spark.createDataFrame([], "slot_id long, event_status string"), -1)
+    return start(latest.writeStream.outputMode("complete").foreachBatch(publish)
                  .option("checkpointLocation", f"{root}/_checkpoint")
-                 .trigger(**(trigger or {"processingTime": "30 seconds"})), slot_events.sparkSession, state_partitions)
+                 .trigger(**(trigger or {"processingTime": "30 seconds"})), spark, state_partitions)
 
 
 # ------------------------------------------------------------------ R2
@@ -140,9 +162,9 @@ def live_volumes(parking_log: DataFrame, root: str, trigger: dict | None = None,
                  watermark: str = "1 day", state_partitions: int | None = None) -> StreamingQuery:
     """R2: entries and exits per hour, window state bounded by the watermark.
     ``append`` writes each hour once the watermark passes it (file sink);
-    ``update`` writes the hours whose count changed in each batch
-    (batch-keyed, read back with ``volumes_table``: current counts, including
-    hours still open); ``complete`` rewrites the full table every batch."""
+    ``update`` keeps a current table, hours still open included, to which each
+    batch brings the hours whose count changed (``volumes_table``);
+    ``complete`` rewrites the full table every batch."""
     counts = (parking_log.select("action", as_event_time("action_time").alias("t"))
               .withWatermark("t", watermark)
               .groupBy(F.window("t", "1 hour"), "action").agg(F.count(F.lit(1)).alias("n"))
@@ -151,95 +173,63 @@ def live_volumes(parking_log: DataFrame, root: str, trigger: dict | None = None,
         .trigger(**(trigger or {"processingTime": "30 seconds"}))
     spark = parking_log.sparkSession
     if mode == "update":
-        return start(w.foreachBatch(lambda df, bid: _write_version(df, f"{root}/updates", bid)),
-                     spark, state_partitions)
+        return start(w.foreachBatch(_merge_version(["window_start", "action"], f"{root}/current")), spark, state_partitions)
     if mode == "complete":
-        return start(w.foreachBatch(lambda df, bid: df.write.mode("overwrite").parquet(f"{root}/out")),
-                     spark, state_partitions)
+        return start(w.foreachBatch(lambda df, bid: _write_version(df, f"{root}/current", bid)), spark, state_partitions)
     return start(w.format("parquet").option("path", f"{root}/out"), spark, state_partitions)
 
 
 def volumes_table(spark: SparkSession, root: str) -> DataFrame:
-    """Current hourly counts from an ``update``-mode R2 run."""
-    ups = spark.read.parquet(f"{root}/updates")
-    return ups.groupBy("window_start", "action").agg(F.max_by("n", "batch").alias("n"))
+    """Current hourly counts of an ``update`` or ``complete`` R2 run."""
+    return latest_version(spark, f"{root}/current")
 
 
 # ------------------------------------------------------------------ R3
 
-_ORDER = ["event_time", "event_id"]
+ALERT_SCHEMA = ("event_id long, slot_id long, event_time timestamp_ntz, from_status string, to_status string, "
+                "kind string")
 
 
-def _before(t1: Column, i1: Column, t2: Column, i2: Column) -> Column:
-    return (t1 < t2) | ((t1 == t2) & (i1 < i2))
+def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | None = None,
+                          state_partitions: int | None = None) -> StreamingQuery:
+    """W2 on a stream, with the last event of each slot as the engine's
+    state.  In each batch, events older than the slot's state are emitted as
+    ``late`` and do not move it; the rest are ordered after it and every move
+    outside the allowed table is emitted as ``illegal``.  One slot's events of
+    one micro-batch are ordered in one call, so a source of many events needs a
+    limit of files or offsets per trigger."""
+    moves = {k: set(v) for k, v in ALLOWED_MOVES.items()}
+
+    def check(key, frames, state):
+        import pandas as pd
+
+        events = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        last = state.get if state.exists else None  # (t, event_id, status)
+        out = []
+        for event_id, t, status in zip(events["event_id"].tolist(), events["t"].tolist(), events["status"].tolist(), strict=True):
+            if last is None:
+                pass
+            elif (t, event_id) < (last[0], last[1]):
+                out.append((event_id, key[0], t, last[2], status, "late"))
+                continue
+            elif last[2] is None or status is None or status != last[2] and status not in moves.get(last[2], ()):
+                out.append((event_id, key[0], t, last[2], status, "illegal"))
+            last = (t, event_id, status)
+        state.update(last)
+        yield pd.DataFrame(out, columns=["event_id", "slot_id", "t", "from_status", "to_status", "kind"])
+
+    alerts = (slot_events.select("event_id", "slot_id", X.micros("event_time").alias("t"), "status")
+              .groupBy("slot_id")
+              .applyInPandasWithState(check, "event_id long, slot_id long, t long, from_status string, to_status string, kind string",
+                                      "t long, event_id long, status string", "append", GroupStateTimeout.NoTimeout)
+              .select("event_id", "slot_id", _ntz(F.timestamp_micros("t")).alias("event_time"), "from_status", "to_status", "kind"))
+    return start(alerts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/alerts")
+                 .option("checkpointLocation", f"{root}/_checkpoint")
+                 .trigger(**(trigger or {"processingTime": "30 seconds"})), slot_events.sparkSession, state_partitions)
 
 
-def live_transition_check(slot_events: DataFrame, root: str, trigger: dict | None = None,
-                          state_partitions: int | None = None, state_parts: int = 64) -> StreamingQuery:
-    """W2 on a stream.  State = the last event per slot.  Each batch:
-    events older than the slot's state are emitted as ``late`` and do not
-    move it; the rest are ordered after the state row and every move outside
-    the allowed table is emitted as ``illegal``.
-
-    The state is hash-partitioned by slot into ``state_parts`` parts; a small
-    manifest (one row per part) names the batch that last wrote each part.  A
-    batch reads and rewrites only the parts its events touch, so the cost per
-    batch follows the batch, not the number of slots ever seen."""
-    cols = ["event_id", "slot_id", "event_time", "status"]
-    state_schema = SCHEMAS["slot_event"]
-
-    def part_of(c: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(c)), F.lit(state_parts)).cast("int")
-
-    def check(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # The batch feeds several writes: cache it for this batch only (blocks lost
-        # with an executor are recomputed from the source offsets).
-        ev = batch.select(*cols).persist()
-        try:
-            _check(spark, ev, batch_id)
-        finally:
-            ev.unpersist()
-
-    def _check(spark: SparkSession, ev: DataFrame, batch_id: int) -> None:
-        manifest = _versioned(spark, f"{root}/manifest", batch_id)
-        touched = [r["part"] for r in ev.select(part_of("slot_id").alias("part")).distinct().collect()]  # <= parts
-        paths = []
-        if manifest is not None and touched:
-            paths = [f"{root}/state/batch={r['written_by']}/part={r['part']}"
-                     for r in manifest.filter(F.col("part").isin(touched)).collect()]  # <= parts rows
-        state = (spark.read.schema(state_schema).parquet(*paths).select(*cols) if paths
-                 else spark.createDataFrame([], state_schema).select(*cols))
-        s = state.select("slot_id", F.col("event_time").alias("s_time"), F.col("event_id").alias("s_id"),
-                         F.col("status").alias("s_status"))
-        j = ev.join(s, "slot_id", "left")
-        is_late = F.coalesce(_before(F.col("event_time"), F.col("event_id"), F.col("s_time"), F.col("s_id")),
-                             F.lit(False))
-        late = j.filter(is_late).select("event_id", "slot_id", "event_time", F.col("s_status").alias("from_status"),
-                                        F.col("status").alias("to_status"), F.lit("late").alias("kind"))
-        fresh = j.filter(~is_late).select(*cols)
-        seeded = (fresh.withColumn("seed", F.lit(False))
-                  .unionByName(state.join(fresh.select("slot_id").distinct(), "slot_id", "left_semi")
-                               .select(*cols).withColumn("seed", F.lit(True))))
-        prev = neighbor(seeded, ["slot_id"], _ORDER, day_block("event_time"), ["status", "event_id"], "prev", "prev_")
-        illegal = (prev.filter(~F.col("seed") & F.col("prev_event_id").isNotNull()
-                               & ~is_allowed(F.col("prev_status"), F.col("status")))
-                   .select("event_id", "slot_id", "event_time", F.col("prev_status").alias("from_status"),
-                           F.col("status").alias("to_status"), F.lit("illegal").alias("kind")))
-        _write_version(illegal.unionByName(late), f"{root}/alerts", batch_id)
-        new_state = (state.unionByName(fresh).groupBy("slot_id")
-                     .agg(F.max_by(F.struct(*cols), F.struct(*_ORDER)).alias("s")).select("s.*")
-                     .withColumn("part", part_of("slot_id")))
-        (new_state.repartition("part").write.mode("overwrite").partitionBy("part")  # one file per part
-         .parquet(f"{root}/state/batch={batch_id}"))
-        rewritten = spark.createDataFrame([(p, batch_id) for p in touched], "part int, written_by int")
-        kept = (manifest.filter(~F.col("part").isin(touched)) if manifest is not None
-                else spark.createDataFrame([], "part int, written_by int"))
-        _write_version(kept.unionByName(rewritten), f"{root}/manifest", batch_id)
-
-    return start(slot_events.writeStream.foreachBatch(check).option("checkpointLocation", f"{root}/_checkpoint")
-                 .trigger(**(trigger or {"processingTime": "30 seconds"})), slot_events.sparkSession,
-                 state_partitions)
+def transition_alerts(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(ALERT_SCHEMA).parquet(f"{root}/alerts")
 
 
 # ------------------------------------------------------------------ R4
@@ -270,33 +260,54 @@ def overstay_alerts(parking_log: DataFrame, root: str, max_minutes: int, trigger
 
 # ------------------------------------------------------------------ R5
 
-def reservation_expiry(reservations: DataFrame, arrivals: DataFrame, root: str, max_window_hours: int = 24,
+def reservation_expiry(reservations: DataFrame, arrivals: DataFrame, root: str, piece_hours: int = 24,
                        trigger: dict | None = None, delay: str = "1 hour",
                        state_partitions: int | None = None) -> StreamingQuery:
-    """Confirmed reservations joined to arrivals of the same vehicle
-    inside [from, to); unmatched once the watermark passes -> ``expired``
-    (the slot goes back to Empty), matched -> ``fulfilled``.
-    ``max_window_hours`` bounds a reservation's length so join state can be
-    evicted."""
+    """Confirmed reservations joined to arrivals of the same vehicle inside
+    [from, to), however long.  A reservation is cut into pieces of
+    ``piece_hours`` at most; a piece with the watermark on its end leaves the
+    join's state once the watermark passes it, and an arrival ``piece_hours``
+    later.  ``reservation_outcomes`` decides per reservation."""
+    hours = F.ceil(F.timestamp_diff("SECOND", F.col("r_from"), F.col("r_to")) / 3600)
+    pieces = F.greatest(F.lit(1), F.ceil(hours / piece_hours)).cast("int")
     r = (reservations.filter(F.col("state") == "confirmed")
          .select("reservation_id", "slot_id", F.col("vehicle_id").alias("r_vehicle"),
                  as_event_time("from_time").alias("r_from"), as_event_time("to_time").alias("r_to"))
-         .withWatermark("r_from", delay))
+         .withColumn("pieces", pieces)
+         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+         .withColumn("p_from", F.timestamp_add("HOUR", F.col("piece") * piece_hours, F.col("r_from")))
+         .withColumn("p_to", F.least(F.timestamp_add("HOUR", (F.col("piece") + 1) * piece_hours, F.col("r_from")), F.col("r_to")))
+         .withWatermark("p_to", delay))
     a = (arrivals.select("arrival_id", F.col("vehicle_id").alias("a_vehicle"),
                          as_event_time("arrival_time").alias("a_time"))
          .withWatermark("a_time", delay))
-    cond = F.expr("r_vehicle = a_vehicle AND a_time >= r_from AND a_time < r_to AND "
-                  f"a_time <= r_from + INTERVAL {int(max_window_hours)} HOURS")
+    cond = F.expr("r_vehicle = a_vehicle AND a_time >= p_from AND a_time < p_to AND "
+                  f"p_to <= a_time + INTERVAL {int(piece_hours)} HOURS")
     out = r.join(a, cond, "leftOuter").select(
         "reservation_id", "slot_id", F.col("r_vehicle").alias("vehicle_id"), _ntz("r_from").alias("from_time"),
-        _ntz("r_to").alias("to_time"), "arrival_id",
-        F.when(F.col("arrival_id").isNull(), "expired").otherwise("fulfilled").alias("outcome"))
-    return start(out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+        _ntz("r_to").alias("to_time"), "pieces", "piece", "arrival_id")
+    return start(out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/pieces")
                  .option("checkpointLocation", f"{root}/_checkpoint")
                  .trigger(**(trigger or {"processingTime": "30 seconds"})), reservations.sparkSession,
                  state_partitions)
 
 
+def reservation_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    """Outcomes of an R5 run: a ``fulfilled`` row for each arrival in a
+    reservation, an ``expired`` row (its slot goes back to Empty) where all
+    pieces ended without one; none while a reservation is open."""
+    rows = spark.read.schema("reservation_id long, slot_id long, vehicle_id long, from_time timestamp_ntz, "
+                             "to_time timestamp_ntz, pieces int, piece int, arrival_id long").parquet(f"{root}/pieces")
+    own = ["reservation_id", "slot_id", "vehicle_id", "from_time", "to_time"]
+    met = rows.filter(F.col("arrival_id").isNotNull()).select(
+        *own, "arrival_id", F.lit("fulfilled").alias("outcome"), F.lit(None).cast("string").alias("slot_status"))
+    expired = (rows.groupBy(*own, "pieces").agg(F.count(F.when(F.col("arrival_id").isNull(), 1)).alias("ended"))
+               .filter(F.col("ended") == F.col("pieces"))
+               .select(*own, F.lit(None).cast("bigint").alias("arrival_id"), F.lit("expired").alias("outcome"),
+                       F.lit("Empty").alias("slot_status")))
+    return met.unionByName(expired)
+
+
 # ------------------------------------------------------------------ R6
 
 def lockout_windows(auth_events: DataFrame, n: int, minutes: int, slide_minutes: int | None = None,
@@ -319,23 +330,18 @@ def lockout_alerts(auth_events: DataFrame, root: str, n: int = 5, minutes: int =
                    trigger: dict | None = None, state_partitions: int | None = None,
                    watermark: str = "1 hour") -> StreamingQuery:
     """Actors with ``n`` or more failed logins in a tumbling window.
-    Update mode with a watermark: each batch writes the windows whose count
-    changed (batch-keyed folder, exactly-once), and window state is dropped
-    once the watermark passes the window, so state stays bounded however long
-    the service runs.  ``lockout_table`` reads the current alerts."""
+    Update mode with a watermark: each batch brings the windows whose count
+    changed to the table of current alerts (``lockout_table``), and window state
+    is dropped once the watermark passes the window, so state stays bounded
+    however long the service runs."""
     alerts = lockout_windows(auth_events, n, minutes, watermark=watermark)
     return start(alerts.writeStream.outputMode("update")
-                 .foreachBatch(lambda df, bid: _write_version(df, f"{root}/updates", bid))
+                 .foreachBatch(_merge_version(["staff_id", "window_start", "window_end"], f"{root}/current"))
                  .option("checkpointLocation", f"{root}/_checkpoint")
                  .trigger(**(trigger or {"processingTime": "30 seconds"})), auth_events.sparkSession,
                  state_partitions)
 
 
 def lockout_table(spark: SparkSession, root: str) -> DataFrame:
-    """Current alerts: the last count written for each (actor, window)."""
-    ups = spark.read.parquet(f"{root}/updates")
-    return (ups.groupBy("staff_id", "window_start", "window_end")
-            .agg(F.max_by("failures", "batch").alias("failures")))
-
-
-StreamBuilder = Callable[..., StreamingQuery]
+    """Current alerts: the last count of each (actor, window)."""
+    return latest_version(spark, f"{root}/current")

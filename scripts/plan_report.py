@@ -33,7 +33,7 @@ def main() -> None:
     import __spark_entry__ as E
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = build_session(shuffle_partitions=16)
+    spark = build_session("local[8]", 16, conf={"spark.driver.memory": "8g"})
     print(f"# Executed plan shapes at {os.path.basename(sf_dir)} (AQE final plans, local[8])\n")
     print("Generated by `scripts/plan_report.py`. `shuffles` counts Exchange nodes (including the")
     print("single-partition exchange of a global aggregate); `nested_loop` must be 0 everywhere;")
