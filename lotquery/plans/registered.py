@@ -236,6 +236,16 @@ def _retention_filter(t):
     return expired.select("log_id", "ticket_id", "action", "action_time")
 
 
+@query("retention_kept", f"""
+SELECT log_id, ticket_id, action, action_time FROM pk_parking_log
+WHERE action_time IS NULL OR action_time >= TIMESTAMP '{AS_OF}' - INTERVAL {RETENTION_DAYS} DAY
+""")
+def _retention_kept(t):
+    """The part of the parking log that a purge leaves."""
+    kept, _ = audit.retention_filter(t.parking_log, "action_time", RETENTION_DAYS, AS_OF)
+    return kept.select("log_id", "ticket_id", "action", "action_time")
+
+
 @query("orphan_audit", """
 WITH fks(fk) AS (VALUES ('vehicle.customer_id'), ('vehicle.vehicle_type_id'), ('parking_slot.area_id'),
   ('pricing_rules.vehicle_type_id'), ('ticket.vehicle_id'), ('ticket.slot_id'), ('ticket.check_in_by'),
@@ -453,6 +463,32 @@ def _revenue_report(t):
     return reports.revenue_report(t.payment, t.ticket, t.vehicle, t.vehicle_type, "month", ("type_name", "gate_id"))
 
 
+def _revenue_sql(grain: str, dims: dict[str, str]) -> str:
+    names = ", ".join(dims)
+    return f"""
+WITH p AS (
+  SELECT date_trunc('{grain}', p.payment_time) AS period, {", ".join(f"{e} AS {n}" for n, e in dims.items())}, p.final_amount
+  FROM pk_payment p JOIN pk_ticket t ON t.ticket_id = p.ticket_id WHERE p.status = 'paid')
+SELECT period, {names}, CAST(SUM(final_amount) AS DOUBLE) AS net_revenue, CAST(COUNT(*) AS BIGINT) AS payments,
+       CAST(GROUPING(period, {names}) AS INTEGER) AS level
+FROM p GROUP BY ROLLUP (period, {names})
+"""
+
+
+_SHIFT = """CASE WHEN hour(t.check_out_time) >= 6 AND hour(t.check_out_time) < 14 THEN 'morning'
+              WHEN hour(t.check_out_time) >= 14 AND hour(t.check_out_time) < 22 THEN 'evening' ELSE 'night' END"""
+
+
+@query("revenue_by_day_and_shift", _revenue_sql("day", {"shift": _SHIFT}))
+def _revenue_by_day_and_shift(t):
+    return reports.revenue_report(t.payment, t.ticket, t.vehicle, t.vehicle_type, "day", ("shift",))
+
+
+@query("revenue_by_week_and_staff", _revenue_sql("week", {"staff_id": "t.check_out_by"}))
+def _revenue_by_week_and_staff(t):
+    return reports.revenue_report(t.payment, t.ticket, t.vehicle, t.vehicle_type, "week", ("staff_id",))
+
+
 @query("shift_reconciliation", "WITH " + ORACLE_FEE + """,
 pt AS (SELECT ticket_id, SUM(CASE WHEN status = 'paid' THEN final_amount END) AS paid,
               SUM(CASE WHEN status = 'refunded' THEN final_amount END) AS refunded,
@@ -491,6 +527,7 @@ def _peak_hours(t):
 
 
 CAPACITY_THRESHOLD, CAPACITY_MIN_FREE = 76, 30
+FLOOR_THRESHOLD, FLOOR_MIN_FREE = 40, 160
 
 
 @query("capacity_alerts", f"""
@@ -510,6 +547,22 @@ def _capacity_alerts(t):
     return reports.capacity_alerts(t.parking_slot, t.parking_area, t.ticket, CAPACITY_THRESHOLD, CAPACITY_MIN_FREE)
 
 
+@query("capacity_alerts_by_floor", f"""
+WITH z AS (SELECT a.floor_id, COUNT(s.slot_id) AS total, count_if(s.status = 'Occupied') AS occupied, count_if(s.status = 'Empty') AS assignable
+           FROM pk_parking_area a LEFT JOIN pk_parking_slot s ON s.area_id = a.area_id GROUP BY a.floor_id),
+live AS (SELECT a.floor_id, COUNT(*) AS n FROM pk_ticket t JOIN pk_parking_slot s ON s.slot_id = t.slot_id
+         JOIN pk_parking_area a ON a.area_id = s.area_id WHERE t.status = 'active' GROUP BY a.floor_id),
+k AS (SELECT z.floor_id, CAST(total AS BIGINT) AS total, CAST(occupied AS BIGINT) AS occupied, CAST(assignable AS BIGINT) AS assignable,
+             CAST(COALESCE(n, 0) AS BIGINT) AS active_sessions, {_PCT.format(p="occupied", w="total")} AS pct
+      FROM z LEFT JOIN live ON live.floor_id IS NOT DISTINCT FROM z.floor_id)
+SELECT *, 'occupancy' AS alert FROM k WHERE total > 0 AND pct >= {FLOOR_THRESHOLD}
+UNION ALL SELECT *, 'low_free' FROM k WHERE assignable < {FLOOR_MIN_FREE}
+UNION ALL SELECT *, 'over_capacity' FROM k WHERE active_sessions > total
+""")
+def _capacity_alerts_by_floor(t):
+    return reports.capacity_alerts(t.parking_slot, t.parking_area, t.ticket, FLOOR_THRESHOLD, FLOOR_MIN_FREE, "floor")
+
+
 @query("audit_summary", """
 WITH d AS (
   SELECT staff_id, action, date_trunc('day', event_time) AS day, CAST(COUNT(*) AS BIGINT) AS n,
@@ -657,34 +710,50 @@ def _latest_slot_status(t):
 _F = "(({t}) // 86400 * 3600 + least(greatest((({t}) % 86400) - {b} * 3600, 0), 3600))"
 
 
-@query("occupancy_profile", f"""
+def _profile_sql(name: str, group: str, join: str = "") -> str:
+    return f"""
 WITH s AS (
-  SELECT sl.area_id, date_diff('second', TIMESTAMP '1970-01-01 00:00:00', t.entry_time) AS a,
+  SELECT {group} AS grp, date_diff('second', TIMESTAMP '1970-01-01 00:00:00', t.entry_time) AS a,
          least(date_diff('second', TIMESTAMP '1970-01-01 00:00:00', COALESCE(t.check_out_time, TIMESTAMP '{AS_OF}')),
                date_diff('second', TIMESTAMP '1970-01-01 00:00:00', TIMESTAMP '{AS_OF}')) AS b
-  FROM pk_ticket t JOIN pk_parking_slot sl ON sl.slot_id = t.slot_id
+  FROM pk_ticket t JOIN pk_parking_slot sl ON sl.slot_id = t.slot_id {join}
   WHERE t.slot_id IS NOT NULL AND t.entry_time < TIMESTAMP '{AS_OF}'),
 s2 AS (SELECT * FROM s WHERE b > a),
 k AS (SELECT (min(a) // 86400) * 86400 AS p0, date_diff('second', TIMESTAMP '1970-01-01 00:00:00', TIMESTAMP '{AS_OF}') AS now_s FROM s2),
 bands AS (SELECT CAST(i AS BIGINT) AS band FROM range(24) r(i)),
-ov AS (SELECT s2.area_id, bands.band, SUM({_F.format(t="s2.b", b="bands.band")} - {_F.format(t="s2.a", b="bands.band")}) AS occ
+ov AS (SELECT s2.grp, bands.band, SUM({_F.format(t="s2.b", b="bands.band")} - {_F.format(t="s2.a", b="bands.band")}) AS occ
        FROM s2, bands GROUP BY ALL),
-av AS (SELECT ov.area_id, ov.band,
+av AS (SELECT ov.grp, ov.band,
               CASE WHEN den > 0 THEN ((2 * occ * 10000 + den) // (2 * den)) / 10000.0 END AS avg_occupancy
        FROM (SELECT ov.*, {_F.format(t="k.now_s", b="ov.band")} - {_F.format(t="k.p0", b="ov.band")} AS den FROM ov, k) ov),
-ev AS (SELECT area_id, t, SUM(d) AS d FROM (SELECT area_id, a AS t, 1 AS d FROM s2 UNION ALL SELECT area_id, b, -1 FROM s2) GROUP BY ALL),
-lv AS (SELECT area_id, t, SUM(d) OVER (PARTITION BY area_id ORDER BY t) AS level,
-              COALESCE(lead(t) OVER (PARTITION BY area_id ORDER BY t), (SELECT now_s FROM k)) AS e FROM ev),
-seg AS (SELECT area_id, level, t, CASE WHEN e - t >= 86400 THEN 24 ELSE (e - 1) // 3600 - t // 3600 + 1 END AS n FROM lv WHERE e > t),
-cov AS (SELECT area_id, level, CAST((t // 3600 + unnest(range(least(n, 24)))) % 24 AS BIGINT) AS band FROM seg),
-pk AS (SELECT area_id, band, max(level) AS peak FROM cov GROUP BY ALL)
-SELECT av.area_id, CAST(av.band AS INTEGER) AS band, av.avg_occupancy, CAST(COALESCE(pk.peak, 0) AS BIGINT) AS peak
-FROM av LEFT JOIN pk ON pk.area_id = av.area_id AND pk.band = av.band
-""")
+ev AS (SELECT grp, t, SUM(d) AS d FROM (SELECT grp, a AS t, 1 AS d FROM s2 UNION ALL SELECT grp, b, -1 FROM s2) GROUP BY ALL),
+lv AS (SELECT grp, t, SUM(d) OVER (PARTITION BY grp ORDER BY t) AS level,
+              COALESCE(lead(t) OVER (PARTITION BY grp ORDER BY t), (SELECT now_s FROM k)) AS e FROM ev),
+seg AS (SELECT grp, level, t, CASE WHEN e - t >= 86400 THEN 24 ELSE (e - 1) // 3600 - t // 3600 + 1 END AS n FROM lv WHERE e > t),
+cov AS (SELECT grp, level, CAST((t // 3600 + unnest(range(least(n, 24)))) % 24 AS BIGINT) AS band FROM seg),
+pk AS (SELECT grp, band, max(level) AS peak FROM cov GROUP BY ALL)
+SELECT av.grp AS {name}, CAST(av.band AS INTEGER) AS band, av.avg_occupancy, CAST(COALESCE(pk.peak, 0) AS BIGINT) AS peak
+FROM av LEFT JOIN pk ON pk.grp = av.grp AND pk.band = av.band
+"""
+
+
+@query("occupancy_profile", _profile_sql("area_id", "sl.area_id"))
 def _occupancy_profile(t):
     return win.occupancy_profile(t.ticket, t.parking_slot, AS_OF)
 
 
+@query("occupancy_profile_by_floor",
+       _profile_sql("floor_id", "a.floor_id", "LEFT JOIN pk_parking_area a ON a.area_id = sl.area_id"))
+def _occupancy_profile_by_floor(t):
+    return win.occupancy_profile(t.ticket, t.parking_slot, AS_OF, "floor_id", parking_area=t.parking_area)
+
+
+@query("occupancy_profile_by_type",
+       _profile_sql("vehicle_type_id", "v.vehicle_type_id", "JOIN pk_vehicle v ON v.vehicle_id = t.vehicle_id"))
+def _occupancy_profile_by_type(t):
+    return win.occupancy_profile(t.ticket, t.parking_slot, AS_OF, "vehicle_type_id", vehicle=t.vehicle)
+
+
 FORECAST_K = 5
 
 

@@ -11,6 +11,9 @@ from lotquery.operators import dashboard as dash
 from lotquery.sources.sinks import export_report, write_staged
 from lotquery.sources.tables import SCHEMAS, load_tables
 
+from lotquery.plans.catalog import QUERIES, load_all
+
+load_all()
 SF = "/root/testdata/sf0.001"
 STREAMING = {"live_slot_grid", "live_volumes", "live_transition_check", "overstay_alerts",
              "reservation_expiry", "lockout_alerts"}
@@ -20,9 +23,9 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMING))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMING))
 def test_no_nested_loop_or_cartesian(spark, name):
-    plan = _plan(E.queries()[name](spark, SF))
+    plan = _plan(QUERIES[name](spark, SF))
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, plan
 
 
@@ -56,11 +59,25 @@ def test_write_staged_commits_all(spark, tmp_path):
     assert spark.read.parquet(paths["a"]).count() == 3 and spark.read.parquet(paths["b"]).count() == 5
     got = read_staged(spark, str(tmp_path / "st"))
     assert got["a"].count() == 3 and got["b"].count() == 5
-    spark.range(2).write.parquet(str(tmp_path / "half" / "a"))  # outputs without a marker
+    spark.range(2).write.parquet(str(tmp_path / "half" / "a"))  # outputs without a commit
     with pytest.raises(RuntimeError):
         read_staged(spark, str(tmp_path / "half"))
 
 
+def test_a_failed_batch_leaves_the_one_before(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from lotquery.sources.sinks import read_staged
+    root = str(tmp_path / "st")
+    write_staged(spark, {"a": spark.range(1), "b": spark.range(2)}, root)
+    broken = spark.range(2).select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        write_staged(spark, {"a": spark.range(5), "b": broken}, root)
+    got = read_staged(spark, root)
+    assert got["a"].count() == 1 and got["b"].count() == 2
+    write_staged(spark, {"a": spark.range(7), "b": spark.range(8)}, root)
+    assert read_staged(spark, root)["a"].count() == 7
+
+
 def test_registration_outputs_staged(spark, small_tables, tmp_path):
     from lotquery.operators import booking
     from lotquery.sources.sinks import read_staged
@@ -142,3 +159,111 @@ def test_command_line(spark, capsys, tmp_path):
     assert main(["explain", "slot_totals", SF]) == 0
     with pytest.raises(SystemExit):
         main(["run", "no_such_query", SF])
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def _shuffled(spark, df):
+    """Largest number of rows in one exchange of the plan that ran."""
+    import re
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text, re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+
+
+def test_recent_activity_shuffles_no_fact(spark, small_tables, no_broadcast):
+    from lotquery.operators import reports
+    t = small_tables
+    text, exchanges = _shuffled(spark, reports.recent_activity(t.parking_log, t.ticket, t.vehicle, t.parking_slot,
+                                                               t.parking_area, "2001-08-05 00:00:00"))
+    assert "SortMergeJoin" not in text and "LeftSemi" in text
+
+
+def test_scans_reduce_tickets_before_grouping(spark, small_tables, no_broadcast):
+    from lotquery.operators import audit
+    plan = audit.ticket_scan_check(small_tables.scans, small_tables.ticket)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    group = next(i for i, x in enumerate(lines) if "Aggregate [qr_code" in x and "max(ticket_id" in x)
+    semi = next(i for i, x in enumerate(lines) if "Join LeftSemi" in x)
+    assert group < semi  # the semi-join is below the aggregate
+
+
+def test_orphan_references_are_counted_before_the_join(spark, small_tables, no_broadcast):
+    from lotquery.operators import audit
+    plan = audit.orphan_audit(small_tables)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    join = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x and "parent" in x)
+    counted = next(i for i, x in enumerate(lines) if "Aggregate [fk" in x and "parent" in x and "key" in x)
+    assert join < counted
+
+
+def test_duplicate_sessions_count_vehicles_first(spark, small_tables, no_broadcast):
+    from lotquery.operators import audit
+    plan = audit.duplicate_active_sessions(small_tables.ticket, small_tables.vehicle)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [vehicle_id" in plan
+
+
+def test_planning_starts_no_job(spark, small_tables):
+    from lotquery.operators import pricing, reports
+    t = small_tables
+    fresh = spark.range(10)  # materialize nothing of the fixture
+    fresh.count()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        pricing.parking_fee(t.ticket, t.vehicle, t.vehicle_type, t.pricing_rules, t.holidays, "2001-08-05 00:00:00")
+        reports.exception_report(t, 2880, "2001-08-05 00:00:00")
+        assert list(tracker.getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_quantile_blocks_follow_rows_not_ids(spark):
+    from pyspark.sql import functions as F
+    from lotquery.functions.scan import ordered_scan, quantile_block
+    for step in (1, 1_000_003):  # dense, sparse
+        df = spark.range(0, 1500 * step, step).repartition(7)
+        sizes = [r["count"] for r in quantile_block(df, F.col("id"), 8)(df).groupBy("_lq_blk").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * 1500 / 8
+        got = ordered_scan(df, [], ["id"], quantile_block(df, F.col("id"), 8), position="p").collect()
+        assert all(r.p == r.id // step + 1 for r in got)
+
+
+def test_cluster_needs_a_checkpoint_folder(monkeypatch):
+    from types import SimpleNamespace
+    from lotquery import session as S
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda p: None)
+    fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        S.ensure_checkpoint_dir(fake)
+    context.getCheckpointDir = lambda: "hdfs://name/ckpt"
+    assert S.scratch_path(fake, "x").startswith("hdfs://name/ckpt/lotquery/x-")
+    assert S.is_local_master("local[4]") and S.is_local_master("local") and not S.is_local_master("local-cluster[1,1,1]")
+
+
+def test_library_sets_no_master():
+    import inspect
+    from lotquery import __main__ as cli, session as S
+    assert inspect.signature(S.build_session).parameters["master"].default is None
+    assert "master" not in inspect.getsource(cli.main).replace("__main__", "")
+
+
+def test_changed_files_are_derived_again(spark, tmp_path):
+    import shutil
+    from lotquery.plans import catalog
+    folder = tmp_path / "sf"
+    shutil.copytree(SF, folder)
+    first = catalog.tables_for(spark, str(folder))
+    assert catalog.tables_for(spark, str(folder)) is first
+    shutil.copy(f"{SF}/supplier.parquet", folder / "nation-copy.parquet")
+    spark.read.parquet(f"{SF}/supplier.parquet").limit(3).toPandas().to_parquet(folder / "supplier.parquet")
+    again = catalog.tables_for(spark, str(folder))
+    assert again is not first and again.staff.count() == 3

@@ -4,6 +4,7 @@ and the two-level scans against plain windows."""
 import datetime as dt
 import random
 import re
+from decimal import Decimal
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import Window, functions as F
@@ -40,7 +41,7 @@ CODES = st.one_of(st.none(), st.text(alphabet="AbC-01 9x", max_size=8),
                             st.sampled_from(["01", "5", "x3", "", "005", "99999999999"])))
 
 
-@settings(max_examples=1, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(CODES, min_size=40, max_size=80))
 def test_decode_matches_java_rules(spark, codes):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "slot_id long, slot_code string")
@@ -96,20 +97,19 @@ def test_two_level_scans_match_plain_windows(spark):
     want = df.select("id", F.row_number().over(w).alias("pos"),
                      F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
                      F.lag("id").over(w).alias("prev_id"), F.lead("t").over(w).alias("next_t"))
-    blk = scan.hour_block("t")
-    pos = scan.ordered_position(df, ["k"], ["t", "id"], blk, "pos").select("id", "pos")
-    run = scan.running_sum(df, ["k"], ["t", "id"], "v", blk, "run").select("id", "run")
-    prev = scan.neighbor(df, ["k"], ["t", "id"], blk, ["id"], "prev", "prev_").select("id", "prev_id")
-    nxt = scan.neighbor(df, ["k"], ["t", "id"], blk, ["t"], "next", "next_").select("id", "next_t")
-    got = pos.join(run, "id").join(prev, "id").join(nxt, "id")
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    for block in (scan.day_block("t"), scan.quantile_block(df, F.unix_micros(F.col("t").cast("timestamp")), 9)):
+        got = scan.ordered_scan(df, ["k"], ["t", "id"], block, "pos", [("run", "sum", "v", True)], ["id"], "prev_", ["t"], "next_")
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_bounded_broadcast_falls_back(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert scan.bounded_broadcast(small, 100) is not small  # hinted copy
-    assert scan.bounded_broadcast(big, 100) is big
+def test_running_minimum_and_maximum_match_plain_windows(spark):
+    df = _skewed(spark)
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.select("id", F.min("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("least"),
+                     F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("most"))
+    got = scan.ordered_scan(df, ["k"], ["t", "id"], scan.day_block("t"),
+                            runs=[("least", "min", "v", True), ("most", "max", "v", False)]).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_revenue_report_dimensions_add_up(small_tables):
@@ -152,7 +152,8 @@ def test_two_level_window_partitions_by_block(spark):
     """The row-level window of an ordered scan is partitioned by (key, block),
     never by the key alone, so one hot key is spread over many tasks."""
     df = _skewed(spark)
-    out = scan.ordered_scan(df, ["k"], ["t", "id"], scan.day_block("t"), sum_of="v", prev_cols=["id"])
+    out = scan.ordered_scan(df, ["k"], ["t", "id"], scan.day_block("t"),
+                            runs=[("running", "sum", "v", True)], prev_cols=["id"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     specs = re.findall(r"\+- Window \[.*\], \[([^\]]*)\], \[([^\]]*)\]", plan)
     assert len(specs) >= 3, plan
@@ -256,3 +257,87 @@ def test_occupancy_average_never_exceeds_peak(small_tables):
                           | (F.col("peak") < 0))
         assert bad.count() == 0, by
         assert prof.filter(F.col("peak") > 0).count() > 0
+
+
+def test_many_rules_in_one_group(spark):
+    """Thousands of rules of one (type, day type): the latest effective date,
+    then the highest id, wins; a hot group is no list."""
+    ntz = dt.datetime
+    rules = [(i, 1, 0, 86400, "Weekday", Decimal(10), Decimal(1), Decimal(100), True, dt.date(2020, 1, 1) + dt.timedelta(days=i % 700),
+              dt.date(9999, 12, 31)) for i in range(5_000)]
+    rules = spark.createDataFrame(rules, "rule_id long, vehicle_type_id int, start_sec int, end_sec int, day_type string, "
+                                  "first_hour_price decimal(18,2), next_hour_price decimal(18,2), max_daily_price decimal(18,2), "
+                                  "is_active boolean, effective_from date, effective_to date")
+    entries = [ntz(2020, 1, 1, 8), ntz(2020, 2, 3, 9), ntz(2021, 3, 1, 10), ntz(2030, 1, 1, 1), ntz(2019, 12, 31, 9)]
+    tickets = spark.createDataFrame([(i, 1, e, None, "active") for i, e in enumerate(entries)],
+                                    "ticket_id long, vehicle_id long, entry_time timestamp_ntz, check_out_time timestamp_ntz, status string")
+    vehicles = spark.createDataFrame([(1, 1)], "vehicle_id long, vehicle_type_id int")
+    holidays = spark.createDataFrame([], "holiday date")
+    got = {r.ticket_id: r.rule_id for r in pricing.match_pricing_rule(tickets, vehicles, rules, holidays).collect()}
+    for i, e in enumerate(entries):
+        fits = [(r % 700, r) for r in range(5_000) if dt.date(2020, 1, 1) + dt.timedelta(days=r % 700) <= e.date()]
+        assert got[i] == (max(fits)[1] if fits and e.weekday() < 5 else None)
+
+
+def test_free_slots_against_brute_force(spark):
+    rng = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    slots = [(i, rng.choice(["Sedan", "SUV"]), rng.choice(["Empty", "Empty", "Locked"])) for i in range(1, 25)]
+    held = []
+    for i in range(160):  # one slot holds a third of all
+        start = rng.randint(0, 90)
+        held.append((i, 3 if rng.random() < 0.33 else rng.randint(1, 24), at(start), at(start + rng.randint(1, 9)),
+                     rng.choice(["confirmed", "confirmed", "canceled"])))
+    asked = [(i, rng.choice([1, 2, 9]), at(s), at(s + rng.randint(1, 6))) for i, s in enumerate(rng.choices(range(95), k=80))]
+    got = {r.request_id: tuple(r)[2:] for r in booking.bookable_slots(
+        spark.createDataFrame(asked, "request_id long, vehicle_type_id int, from_time timestamp_ntz, to_time timestamp_ntz"),
+        spark.createDataFrame(slots, "slot_id long, slot_type string, status string"),
+        spark.createDataFrame([("Sedan", 1), ("SUV", 2)], "slot_type string, vehicle_type_id int"),
+        spark.createDataFrame(held, "reservation_id long, slot_id long, from_time timestamp_ntz, to_time timestamp_ntz, state string"),
+    ).collect()}
+    for i, kind, a, b in asked:
+        fit = [s for s, k, status in slots if {"Sedan": 1, "SUV": 2}[k] == kind and status != "Locked"]
+        taken = {s for _, s, x, y, state in held if state == "confirmed" and a < y and x < b}
+        free = [s for s in fit if s not in taken]
+        assert got[i] == (len(fit), len(fit) - len(free), len(free), min(free, default=None))
+
+
+def test_occupancy_profile_against_a_minute_grid(spark):
+    """W5 against a count of parked vehicles in every minute (whole minutes only)."""
+    from lotquery.operators import windows as win
+    rng = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    as_of = t0 + dt.timedelta(days=4, hours=7)
+    stays = []
+    for i in range(60):
+        a = rng.randint(0, 5_500)
+        stays.append((i, i, rng.randint(1, 4), t0 + dt.timedelta(minutes=a),
+                      None if rng.random() < 0.1 else t0 + dt.timedelta(minutes=a + rng.choice([1, 30, 90, 2_000]))))
+    tickets = spark.createDataFrame(stays, "ticket_id long, vehicle_id long, slot_id long, entry_time timestamp_ntz, "
+                                    "check_out_time timestamp_ntz")
+    slots = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2)], "slot_id long, area_id int")
+    got = {(r.area_id, r.band): (r.avg_occupancy, r.peak) for r in win.occupancy_profile(tickets, slots, str(as_of)).collect()}
+    minutes = int((as_of - t0).total_seconds() // 60)
+    for area in (1, 2):
+        level = [0] * minutes
+        for _, _, slot, a, b in stays:
+            if (slot + 1) // 2 == area:
+                stop = min(as_of, b or as_of)
+                for m in range(int((a - t0).total_seconds() // 60), int((stop - t0).total_seconds() // 60)):
+                    level[m] += 1
+        for band in range(24):
+            own = [n for m, n in enumerate(level) if m // 60 % 24 == band]
+            average, peak = got[area, band]
+            assert abs(average - sum(own) / len(own)) <= 5.1e-5 and peak == max(own)
+
+
+def test_large_amounts_do_not_overflow(spark):
+    from lotquery.operators import reports
+    rows = [(1, dt.datetime(2024, 1, 1, 9), Decimal("1000000000000000.00")), (2, dt.datetime(2024, 1, 2, 9), Decimal("3000000000000001.00")),
+            (3, dt.datetime(2024, 1, 4, 9), Decimal("5.00"))]
+    pay = spark.createDataFrame(rows, "payment_id long, payment_time timestamp_ntz, amount decimal(18,2)")
+    got = {r.day.day: (r.revenue, r.prev_revenue, r.pct_change) for r in reports.revenue_delta(pay).collect()}
+    assert got == {1: (1e15, None, None), 2: (3000000000000001.0, 1e15, 200.0), 3: (0.0, 3000000000000001.0, -100.0), 4: (5.0, 0.0, None)}
+    wide = spark.createDataFrame([(4 * 10 ** 17, 3)], "a long, b long")
+    assert wide.select(reports.ratio_half_up(F.col("a"), F.col("b"), 2).alias("x")).first().x == 133333333333333333.33

@@ -60,14 +60,26 @@ def test_no_plate_mismatch(spark, seeds):
 
 
 def test_dashboard_document(seeds):
-    doc = json.loads(dash.dashboard_document(seeds.ticket, seeds.vehicle, seeds.parking_slot, seeds.payment,
-                                             AS_OF.date()).first()["document"])
-    assert list(doc) == ["slots", "totalRevenue", "ticketStatus", "currentTickets", "paymentsToday"]
-    assert doc["slots"] == {"total": 6, "occupied": 3, "available": 3}
-    assert doc["ticketStatus"] == {"active": 2, "completed": 1}
-    assert [t["ticket_id"] for t in doc["currentTickets"]] == [3, 2]
-    assert doc["currentTickets"][0]["area"] is None and "area" in doc["currentTickets"][0]
-    assert doc["paymentsToday"] == {"totalAmount": 0.0, "transactions": 0, "paid": 0, "unpaid": 0}
+    rows = dash.dashboard_json(dash.dashboard_document(seeds.ticket, seeds.vehicle, seeds.parking_slot, seeds.payment,
+                                                       AS_OF.date())).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.section, []).append(json.loads(r.json))
+    assert set(parts) == {"slots", "totalRevenue", "ticketStatus", "currentTickets", "paymentsToday"}
+    merged = {k: {n: v for x in parts[k] for n, v in x.items()} for k in ("slots", "ticketStatus", "paymentsToday")}
+    assert merged["slots"] == {"total": 6, "occupied": 3, "available": 3}
+    assert merged["ticketStatus"] == {"active": 2, "completed": 1}
+    assert merged["paymentsToday"] == {"totalAmount": 0.0, "transactions": 0, "paid": 0, "unpaid": 0}
+    assert {t["ticket_id"] for t in parts["currentTickets"]} == {2, 3}
+    assert all(list(t) == ["ticket_id", "license_plate", "entry_time", "area", "status"] and t["area"] is None
+               for t in parts["currentTickets"])
+
+
+def test_slot_summary(seeds):
+    rows = dash.slot_summary(seeds.parking_slot, seeds.parking_area).collect()
+    whole = [r for r in rows if r.section == "facility"]
+    assert [(r.total, r.occupied, r.available) for r in whole] == [(6, 3, 3)]
+    assert sum(r.total for r in rows if r.section == "zone") == 6
 
 
 def test_seed_fee_sedan_three_hours(spark):

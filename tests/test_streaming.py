@@ -34,8 +34,7 @@ def test_live_grid_equals_batch_over_batches(spark, small_tables, split_events):
     slots = small_tables.parking_slot.drop("status").join(latest.select("slot_id", "status"), "slot_id")
     want = sorted(map(tuple, dash.slot_grid(slots).collect()))
     assert got == want
-    batches = spark.read.parquet(f"{root}/grid").select("batch").distinct().count()
-    assert batches == 4
+    assert live._versions(spark, f"{root}/grid") == [2, 3]  # older versions are gone
     text = live.latest_version(spark, f"{root}/grid_json").first()["grid_json"]
     assert text == dash.grid_json(dash.slot_grid(slots)).first()["grid_json"]
 
@@ -44,7 +43,7 @@ def test_transition_check_multi_batch_equals_batch(spark, small_tables, split_ev
     root = tempfile.mkdtemp(prefix="lotquery-r3-")
     ev = live.derived_stream(spark, "pk_slot_event", live.event_stream(spark, split_events, 1))
     live.run(live.live_transition_check(ev, root, {"availableNow": True}))
-    got = spark.read.parquet(f"{root}/alerts")
+    got = live.transition_alerts(spark, root)
     assert got.filter(F.col("kind") == "late").count() == 0  # files are in time order
     want = win.slot_transitions(small_tables.slot_event).filter(~F.col("is_legal"))
     assert sorted(r["event_id"] for r in got.select("event_id").collect()) == \
@@ -75,11 +74,10 @@ def test_late_events_do_not_move_state(spark):
     stream = spark.readStream.schema(schema).parquet(src)
     live.run(live.live_transition_check(stream, root, {"availableNow": True}))
     got = {(r["event_id"], r["kind"], r["from_status"], r["to_status"])
-           for r in spark.read.parquet(f"{root}/alerts").collect()}
+           for r in live.transition_alerts(spark, root).collect()}
     assert (3, "late", "Empty", "Locked") in got
     assert (5, "illegal", "Reserved", "Maintenance") in got
     assert not any(k[0] == 4 for k in got)  # Empty -> Reserved is allowed
-    assert spark.read.parquet(f"{root}/state").select("batch").distinct().count() == 2
 
 
 def test_lockout_stream_equals_batch_twin(spark, small_tables):
@@ -96,7 +94,7 @@ def test_lockout_update_mode_over_batches_equals_batch_twin(spark, small_tables,
     root = tempfile.mkdtemp(prefix="lotquery-r6b-")
     auth = live.derived_stream(spark, "pk_auth_event", live.event_stream(spark, split_events, 1))
     live.run(live.lockout_alerts(auth, root, 1, 15, {"availableNow": True}))
-    assert spark.read.parquet(f"{root}/updates").select("batch").distinct().count() >= 2
+    assert len(live._versions(spark, f"{root}/current")) == 2
     got = sorted(map(tuple, live.lockout_table(spark, root).select(
         "staff_id", "window_start", "window_end", "failures").collect()))
     want = sorted(map(tuple, live.lockout_windows(small_tables.auth_event, 1, 15).collect()))
@@ -112,10 +110,103 @@ def test_reservation_expiry_multi_batch_equals_single_batch(spark, small_tables,
         res = live.derived_stream(spark, "pk_reservation", live.event_stream(spark, folder, per_trigger))
         arr = live.derived_stream(spark, "pk_arrivals", live.event_stream(spark, folder, per_trigger),
                                   pk_vehicle=small_tables.vehicle)
-        live.run(live.reservation_expiry(res, arr, root, 24, {"availableNow": True}))
-        return sorted(map(tuple, spark.read.parquet(f"{root}/out").collect()), key=repr)
+        live.run(live.reservation_expiry(res, arr, root, trigger={"availableNow": True}))
+        return sorted(map(tuple, live.reservation_outcomes(spark, root).collect()), key=repr)
 
     many = run_once(split_events, 1)
     one = run_once(SF, None)
     assert many and many == one
-    assert {r[-1] for r in many} == {"fulfilled", "expired"}
+    assert {r[-2:] for r in many} == {("fulfilled", None), ("expired", "Empty")}
+
+
+def _write(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_long_reservations_match_batch_booking(spark):
+    """Reservations of several pieces, also with the piece as the state bound:
+    fulfilled exactly where J10 books an arrival, expired at their own end."""
+    import datetime as dt
+
+    from lotquery.operators.booking import arrival_booking
+
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    res = [(1, 1, 1, at(0), at(72), "confirmed"), (2, 2, 2, at(0), at(72), "confirmed"), (3, 3, 3, at(5), at(6), "confirmed"),
+           (4, 4, 4, at(0), at(240), "confirmed"), (5, 5, 5, at(1), at(50), "canceled")]
+    arr = [(10, at(30), 1, "p", 1), (11, at(71), 1, "p", 1), (12, at(72), 2, "p", 1), (13, at(5), 3, "p", 1),
+           (14, at(100), 9, "p", 1), (15, at(60), 5, "p", 1)]
+    rs = "reservation_id long, slot_id long, vehicle_id long, from_time timestamp_ntz, to_time timestamp_ntz, state string"
+    ars = "arrival_id long, arrival_time timestamp_ntz, vehicle_id long, license_plate string, vehicle_type_id int"
+    for hours in (24, 1000):
+        base = tempfile.mkdtemp(prefix="lotquery-r5long-")
+        _write(spark, f"{base}/res", res, rs)
+        _write(spark, f"{base}/arr", arr, ars)
+        live.run(live.reservation_expiry(spark.readStream.schema(rs).parquet(f"{base}/res"),
+                                         spark.readStream.schema(ars).parquet(f"{base}/arr"), f"{base}/run", hours,
+                                         {"availableNow": True}))
+        got = {(r.reservation_id, r.arrival_id, r.outcome, r.slot_status) for r in live.reservation_outcomes(spark, f"{base}/run").collect()}
+        assert got == {(1, 10, "fulfilled", None), (1, 11, "fulfilled", None), (3, 13, "fulfilled", None),
+                       (2, None, "expired", "Empty")}  # 4 is still open
+    booked = {r.reservation_id for r in arrival_booking(spark.createDataFrame(arr, ars), spark.createDataFrame(res, rs)).collect()}
+    assert booked - {None} == {1, 3}
+
+
+def test_volumes_over_batches_equal_batch_counts(spark, small_tables):
+    log = small_tables.parking_log.filter("action_time IS NOT NULL").orderBy("action_time")
+    base = tempfile.mkdtemp(prefix="lotquery-r2-")
+    days = [r.d for r in log.selectExpr("date_trunc('year', action_time) AS d").distinct().orderBy("d").collect()]
+    root = f"{base}/run"
+    for d in days:  # a batch for each year, in time order
+        log.filter(F.date_trunc("year", "action_time") == F.lit(d)).coalesce(1).write.mode("append").parquet(f"{base}/log")
+        live.run(live.live_volumes(live.table_stream(spark, f"{base}/log", "parking_log"), root, {"availableNow": True}, mode="update"))
+    got = sorted(map(tuple, live.volumes_table(spark, root).collect()))
+    want = log.groupBy(F.date_trunc("hour", "action_time").alias("w"), "action").agg(F.count("*").alias("n"))
+    assert len(days) > 2 and got == sorted(map(tuple, want.collect()))
+    assert len(live._versions(spark, f"{root}/current")) == 2
+
+
+def test_overstay_over_batches(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "log_id long, ticket_id long, staff_id long, action string, action_time timestamp_ntz"
+    base = tempfile.mkdtemp(prefix="lotquery-r4-")
+    batches = [[(1, 1, 1, "entry", 0), (2, 2, 1, "entry", 1)], [(3, 2, 1, "exit", 40), (4, 3, 1, "entry", 50)],
+               [(5, 1, 1, "exit", 300), (6, 4, 1, "entry", 400), (7, 4, 1, "exit", 410)], [(8, 5, 1, "entry", 900), (9, 5, 1, "exit", 901)]]
+    for rows in batches:
+        _write(spark, f"{base}/log", [(*r[:4], t0 + dt.timedelta(minutes=r[4])) for r in rows], schema)
+        live.run(live.overstay_alerts(spark.readStream.schema(schema).parquet(f"{base}/log"), f"{base}/run", 60, {"availableNow": True}))
+    assert sorted(r.ticket_id for r in spark.read.parquet(f"{base}/run/out").collect()) == [1, 3]
+
+
+def test_grid_is_published_before_any_event(spark, small_tables):
+    root = tempfile.mkdtemp(prefix="lotquery-r1b-")
+    none = f"{root}/none"
+    spark.createDataFrame([], "event_id long, event_time timestamp_ntz, slot_id long, status string").write.parquet(none)
+    stream = spark.readStream.schema("event_id long, event_time timestamp_ntz, slot_id long, status string").parquet(none)
+    live.run(live.live_slot_grid(stream, small_tables.parking_slot, f"{root}/run", {"availableNow": True}))
+    got = sorted(map(tuple, live.latest_version(spark, f"{root}/run/grid").select("row", "col", "occ").collect()))
+    assert got == sorted(map(tuple, dash.slot_grid(small_tables.parking_slot).collect()))
+
+
+def test_an_unreadable_version_fails_the_batch(spark):
+    root = tempfile.mkdtemp(prefix="lotquery-bad-")
+    write = live._merge_version(["id"], f"{root}/current")
+    write(spark.range(3), 0)
+    for name in os.listdir(f"{root}/current/batch=0"):
+        if name.endswith(".parquet"):
+            with open(f"{root}/current/batch=0/{name}", "wb") as file:
+                file.write(b"no parquet")
+    with pytest.raises(Exception):
+        write(spark.range(5), 1)
+    assert live._previous(spark, f"{root}/nothing", 5) is None
+
+
+def test_merge_is_idempotent_and_prunes(spark):
+    root = f"{tempfile.mkdtemp(prefix='lotquery-merge-')}/current"
+    write = live._merge_version(["id"], root)
+    for batch in (0, 1, 2, 2, 3):
+        write(spark.range(batch, batch + 2).withColumn("n", F.lit(batch)), batch)
+    assert live._versions(spark, root) == [2, 3]
+    assert sorted(map(tuple, live.latest_version(spark, root).collect())) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)]
