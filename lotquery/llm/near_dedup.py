@@ -43,7 +43,7 @@ FREQUENT, FREQUENT_MAX = 32, 1 << 20
 LIST_MAX = 256
 BLOCK = 256
 #: Counters that order the values of large groups.
-COUNTERS = 1 << 20
+COUNTERS, COUNTER_PARTS = 1 << 20, 64
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -298,13 +298,29 @@ def _counter(values: np.ndarray) -> np.ndarray:
 
 def _group_links(texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """Links that connect the sets of ``texts``, by sketches with rare values first."""
-    spark = texts.sparkSession
+    spark, wide = texts.sparkSession, COUNTERS // COUNTER_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's counts, packed: (part of the counters, places, times)."""
+        own = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            values = np.concatenate([*shingle_sets(utf8(batch), words), np.empty(0, np.int64)])
-            places, times = np.unique(_counter(values), return_counts=True)
-            yield pa.record_batch([pa.array(places), pa.array(times)], names=["place", "times"])
+            for values in shingle_sets(utf8(batch), words):
+                np.add.at(own, _counter(values), 1)
+        for part in range(COUNTER_PARTS):
+            mine = own[part * wide:(part + 1) * wide]
+            places = np.flatnonzero(mine)
+            if len(places):
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([places.astype("<i4").tobytes()]),
+                                       pa.array([mine[places].astype("<i8").tobytes()])], names=["part", "places", "times"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, places, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole = parts.setdefault(part, np.zeros(wide, np.int64))
+                whole[np.frombuffer(places, "<i4")] += np.frombuffer(times, "<i8")
+        for part, whole in parts.items():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([whole.tobytes()])], names=["part", "times"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,9 +337,11 @@ def _group_links(texts: DataFrame, words: int, similarity: int) -> DataFrame:
                                   names=["set_id", "values"])
 
     # Any order is right: hashed counters of fixed size stand for the values' counts.
-    counted = map_texts(texts, count, "place long, times long").groupBy("place").agg(F.sum("times").alias("times")).toArrow()
+    counted = (map_texts(texts, count, "part int, places binary, times binary").repartition(COUNTER_PARTS, "part")
+               .mapInArrow(add, "part int, times binary"))
     counters = np.zeros(COUNTERS, np.int64)
-    counters[counted.column("place").to_numpy()] = counted.column("times").to_numpy()
+    for row in counted.collect():  # COUNTER_PARTS rows, COUNTERS numbers
+        counters[row.part * wide:(row.part + 1) * wide] = np.frombuffer(row.times, np.int64)
     sent = spark.sparkContext.broadcast(counters)
     heads = stored(map_texts(texts, order, "v long, set_id long, at long"), "group-heads")
     blocks = (heads.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
