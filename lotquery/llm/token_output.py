@@ -16,6 +16,7 @@ Spark writes the blocks as rows of a Parquet table: (part, block, n_tokens, blob
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -30,10 +31,10 @@ from lotquery.llm.common import map_texts, shuffle_parts, stored
 from lotquery.session import scratch_path
 
 END_ID = 2
-BLOCK_IDS = 1 << 21
-LANES, LANE_IDS = 4096, 512
-#: Distinct chunks of text whose ids a task remembers.
-CHUNKS_KEPT = 500_000
+BLOCK_IDS = 1 << 20
+LANES, LANE_IDS = 4096, 256
+#: Distinct pieces of text whose ids a task remembers, about.
+CHUNKS_KEPT = 250_000
 MAGIC = b"LQCM\x01"
 HEADER = "<5sxxxQIIIII"  # magic, ids, documents, lanes, vocabulary, CRC of ids, CRC of the rest
 
@@ -242,38 +243,60 @@ def decode_block(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return names, lengths, ids
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others
+    for the characters from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in kept]
+    return {b: 256 + i for i, b in enumerate(moved)}
+
+
 class Ids:
     """Token ids of whole texts.  The byte-level pre-tokeniser cuts a text into
-    words, numbers, marks and white space; its pieces are encoded one by one, so
-    each distinct piece is sent to the library once.  ``WORDS`` cuts as it does
-    in texts of the ``PLAIN`` characters, ``CHUNK`` at white space in others;
-    texts whose white space it sees differently, or with special tokens, are
-    encoded whole."""
+    words, numbers, marks and white space, and the model encodes each of these
+    by itself.  ``WORDS`` cuts as the pre-tokeniser does in texts of plain
+    characters, so each distinct piece goes to the library's model once; texts
+    with other characters or special tokens go to the library whole."""
 
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-    NOT_PLAIN = re.compile(f"[^\t\n\r -~{LETTERS}]")
+    NOT_PLAIN = re.compile(f"[^\t\n\r -~{LETTERS}]|<\\|")
     WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
-    CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
-    WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+    #: Characters of texts that are cut at a time.
+    AT_ONCE = 500_000
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
-        cut = [None if self.WHOLE.search(t) else (self.CHUNK if self.NOT_PLAIN.search(t) else self.WORDS).findall(t) for t in texts]
+    def _few(self, texts: list[str]) -> list[bytes]:
+        cut = [None if self.NOT_PLAIN.search(t) else self.WORDS.findall(t) for t in texts]
         if len(self.known) > CHUNKS_KEPT:
             self.known.clear()
-        new = list(set().union(*(c for c in cut if c is not None)) - self.known.keys())
-        self.known.update(zip(new, self._encode(new), strict=True))
+        for piece in set().union(*(c for c in cut if c is not None)).difference(self.known):
+            self.known[piece] = self._piece(piece)
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._encode([t])[0] for t, c in zip(texts, cut, strict=True)]
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [b"".join(map(get, c)) if c is not None else whole(t) for t, c in zip(texts, cut, strict=True)]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        out: list[bytes] = []
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > self.AT_ONCE:
+                out += self._few(held)
+                held, size = [], 0
+        return out + self._few(held)
 
 
 def _write(definition, end_id: int, block_ids: int):
