@@ -34,7 +34,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 LANES, LANE_IDS = 4096, 256
 #: Distinct pieces of text whose ids a task remembers, about.
-CHUNKS_KEPT = 250_000
+PIECES_KEPT = 250_000
 MAGIC = b"LQCM\x01"
 HEADER = "<5sxxxQIIIII"  # magic, ids, documents, lanes, vocabulary, CRC of ids, CRC of the rest
 
@@ -251,6 +251,22 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(moved)}
 
 
+class Pieces(dict):
+    """The ids of pieces as little-endian 32-bit integers, encoded at first use."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii():  # of the characters below 33, plain texts hold these only
+            letters = piece.replace(" ", "\u0120").replace("\n", "\u010a").replace("\t", "\u0109").replace("\r", "\u010d")
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        tokens = self.model.tokenize(letters)
+        self[piece] = ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
+
+
 class Ids:
     """Token ids of whole texts.  The byte-level pre-tokeniser cuts a text into
     words, numbers, marks and white space, and the model encodes each of these
@@ -261,42 +277,24 @@ class Ids:
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
     NOT_PLAIN = re.compile(f"[^\t\n\r -~{LETTERS}]|<\\|")
     WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
-    #: Characters of texts that are cut at a time.
-    AT_ONCE = 500_000
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        self.known = Pieces(self.tokenizer.model)
 
-    def _few(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.NOT_PLAIN.search(t) else self.WORDS.findall(t) for t in texts]
-        if len(self.known) > CHUNKS_KEPT:
+    def _one(self, text: str) -> bytes:
+        if self.NOT_PLAIN.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.known) > PIECES_KEPT:
             self.known.clear()
-        for piece in set().union(*(c for c in cut if c is not None)).difference(self.known):
-            self.known[piece] = self._piece(piece)
-        get = self.known.__getitem__
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join(map(get, c)) if c is not None else whole(t) for t, c in zip(texts, cut, strict=True)]
+        return b"".join(map(self.known.__getitem__, self.WORDS.findall(text)))
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        out: list[bytes] = []
-        held, size = [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size > self.AT_ONCE:
-                out += self._few(held)
-                held, size = [], 0
-        return out + self._few(held)
+        return list(map(self._one, texts))
 
 
 def _write(definition, end_id: int, block_ids: int):
