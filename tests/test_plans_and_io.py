@@ -181,7 +181,8 @@ def _shuffled(spark, df):
 
 def test_recent_activity_shuffles_no_fact(spark, small_tables, no_broadcast):
     from lotquery.operators import reports
-    t = small_tables
+    from lotquery.plans.catalog import tables_for
+    t = tables_for(spark, SF)  # stored tables, so the plan is the operator's own
     text, exchanges = _shuffled(spark, reports.recent_activity(t.parking_log, t.ticket, t.vehicle, t.parking_slot,
                                                                t.parking_area, "2001-08-05 00:00:00"))
     assert "SortMergeJoin" not in text and "LeftSemi" in text
