@@ -50,6 +50,8 @@ OUT_WORDS = set("""ad ads adv advert adverts advertisement advertising adsense s
     promotion comment comments commentlist disqus replies respond sidebar sidebars cookie cookies consent gdpr
     newsletter subscribe subscription signup login breadcrumb breadcrumbs nav navbar navigation menu menus footer
     pagination pager share sharing related popup modal""".split())
+#: Words of article elements that aren't the page's own.
+OUT_ARTICLES = set("comment comments replies related promo promoted sponsor sponsored ad ads advert advertisement".split())
 #: Words that also name wrappers of main text: out, unless a page's article is inside.
 WEAK_WORDS = set("""header masthead topbar toolbar banner notice notices alert alerts announcement widget widgets side
     social search form forms discussion feedback reply legal copyright disclaimer recommended overlay""".split())
@@ -79,7 +81,7 @@ class Page:
     def _parse(self, source: str) -> None:
         stack = [0]
         text: list[str] = []
-        link_chars, in_link, at, block_of = 0, 0, 0, 0
+        link_chars, in_link, inside, block_of = 0, 0, 0, 0
 
         def flush():
             nonlocal link_chars
@@ -92,10 +94,11 @@ class Page:
             link_chars = 0
 
         def close(depth: int):
-            nonlocal in_link
+            nonlocal in_link, inside
             for e in stack[depth:]:
                 self.last[e] = len(self.tag) - 1
                 in_link -= self.tag[e] == "a"
+                inside -= self.tag[e] in {"article", "main"}
             del stack[depth:]
 
         low = None
@@ -159,7 +162,7 @@ class Page:
                 continue
             e = len(self.tag)
             at = stack[-1]
-            name, out = _look(tag, m["rest"], any(self.tag[x] in {"article", "main"} for x in stack) if tag == "header" else False)
+            name, out = _look(tag, m["rest"], inside > 0)
             self.tag.append(tag)
             self.name.append(name)
             self.parent.append(at)
@@ -167,6 +170,7 @@ class Page:
             self.out.append(out)
             self.links.append(0)
             stack.append(e)
+            inside += tag in {"article", "main"}
             if tag == "a":
                 in_link += 1
                 for x in stack:
@@ -236,8 +240,7 @@ class Page:
             chosen = [0]
         if not chosen:
             chosen = [self.container()]
-        out, k, upto = [], 0, -1
-        spans = []
+        out, spans, upto = [], [], -1
         for e in chosen:
             if e > upto:
                 spans.append((e, self.last[e] if e else len(self.tag)))
@@ -272,8 +275,12 @@ def _look(tag: str, rest: str, in_article: bool) -> tuple[str, int]:
             out = 1
     if classes:
         name = tag + "." + ".".join(classes)
+    if in_article:
+        words.discard("header")  # an article's own heading
     if not out and tag not in KEEP_TAGS:
         out = 1 if words & OUT_WORDS else 2 if words & WEAK_WORDS else 0
+    elif tag == "article" and words & OUT_ARTICLES:
+        out = 1
     return name, out
 
 

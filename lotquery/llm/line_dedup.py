@@ -102,9 +102,10 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 def _build_shards(shards: int):
     """Rows (h1, h2, n, owner) of whole shards -> (shard, n_keys, blob)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if got is None or not got.num_rows:
+        held = [b for b in batches if b.num_rows]  # about SHARD_KEYS rows of 40 bytes
+        if not held:
             return
+        got = pa.Table.from_batches(held)
         h1, h2, n, owner = (got.column(c).to_numpy() for c in ("h1", "h2", "n", "owner"))
         keys = h1.view(np.uint64)
         shard = _shard_of(keys, shards)

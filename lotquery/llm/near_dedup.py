@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotquery.llm.common import SPACE, map_texts, scramble, shuffle_parts, small, stored, utf8, word_hashes
@@ -364,7 +364,7 @@ def near_links(docs: DataFrame, sketches: DataFrame, words: int, similarity: int
     held = F.expr(f"slice(head, 1, CAST(n - ceil({similarity} * n / 100) + 1 AS INT))")
     often = (sketches.select(F.explode(held).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("m"))
              .filter(F.col("m") > FREQUENT).orderBy(F.desc("m"), "v").limit(FREQUENT_MAX).select("v"))
-    late = np.sort(np.array([r.v for r in often.toLocalIterator()], np.int64))  # FREQUENT_MAX values at most
+    late = np.sort(often.toArrow().column("v").to_numpy())  # FREQUENT_MAX values at most
     sent = spark.sparkContext.broadcast(late)
 
     columns = sketches.select("set_id", "n", "head")

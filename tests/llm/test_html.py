@@ -18,6 +18,7 @@ MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Menu entry {i}</a></li>" for i in r
     f"<style>p{{}}</style><script>var t='</p><p>no';</script><article>{BODY}<div class=ad>buy</div><div class='share social'>tweet</div></article>",
     f"<body><div role=navigation>x</div><div role=banner>y</div><article>{BODY}</article><div hidden>z</div><div style='display: none'>n</div>",
     f"<article>{BODY.replace('</p>', '')}</article><noscript><p>no</noscript><!-- <p>no</p> --><template><p>no</template>",
+    f"<main>{BODY}<article class=comment><p>first!</article><article class='teaser related'><p>Read this too</article></main>",
     f"<table><tr><td>{MENU}</td><td class=text>{BODY}</td></tr></table>",
 ])
 def test_templates(page):
@@ -30,6 +31,11 @@ def test_blocks_and_references():
     assert page.text(None).split("\n") == ["Tél AB x", "abc d", "one", "two <b>", "x y", "q", "t", "d", "tail"]
 
 
+def test_article_headings_stay():
+    page = Page(f"<div class=header>Site</div><article><header><h1>Title</h1></header><div class='post-header'>By A</div>{BODY}</article>")
+    assert page.text(None) == "Title\nBy A\n" + LINES
+
+
 def test_host_consensus(spark):
     """A short page whose own best container is the wrong one follows its host."""
     full = "<body><div class='top box'><p>{}</p></div><div class=text-{}>{}</div></body>"
