@@ -33,8 +33,8 @@ from lotquery.session import scratch_path
 END_ID = 2
 BLOCK_IDS = 1 << 20
 LANES, LANE_IDS = 4096, 256
-#: Distinct pieces of text whose ids a task remembers, about.
-PIECES_KEPT = 250_000
+#: Distinct pieces of text whose ids a worker remembers, about.
+PIECES_KEPT = 600_000
 MAGIC = b"LQCM\x01"
 HEADER = "<5sxxxQIIIII"  # magic, ids, documents, lanes, vocabulary, CRC of ids, CRC of the rest
 
@@ -91,44 +91,36 @@ class Model:
         self.w2 = self.weight2[self.context]
         self.w1 = self.weight1[self.context]
         self.w1[agree] = 0
-        self.w0 = U(TOTAL) - self.w2 - self.w1
+        self.w21 = self.w2 + self.w1
+        self.w0 = U(TOTAL) - self.w21
 
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = self.below[ids] * self.w0 >> U(COUNT_BITS)
-        high = self.below[ids + 1] * self.w0 >> U(COUNT_BITS)
-        size = high - low + (self.id2 == ids) * self.w2 + (self.id1 == ids) * self.w1
-        return low + (self.id2 < ids) * self.w2 + (self.id1 < ids) * self.w1, size
+        return low, (self.below[ids + 1] * self.w0 >> U(COUNT_BITS)) - low
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each id's part: order 2 lies first, then order 1,
+        then order 0 (where a predicted id's part stays unused)."""
+        by2, by1 = (self.id2 == ids) & (self.w2 > 0), (self.id1 == ids) & (self.w1 > 0)
+        low, size = self._order0(ids)
+        low += self.w21
+        low[by1], size[by1] = self.w2[by1], self.w1[by1]
+        low[by2], size[by2] = 0, self.w2[by2]
+        return low, size
 
     def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose intervals hold ``at``, and the intervals."""
+        """The ids whose parts hold ``at``, and the parts."""
         if self.slot is None:
             self.slot = np.repeat(np.arange(self.size, dtype=np.uint32), np.diff(self.below.astype(np.int64)))
-        swap = self.id1 < self.id2
-        least, most = np.where(swap, self.id1, self.id2), np.where(swap, self.id2, self.id1)
-        wl, wm = np.where(swap, self.w1, self.w2), np.where(swap, self.w2, self.w1)
-        w0, below = self.w0, self.below
-        l1 = (below[least + 1] * w0 >> U(COUNT_BITS)) + wl
-        m1 = (below[most + 1] * w0 >> U(COUNT_BITS)) + wl + wm
-        past_l, past_m = at >= l1, at >= m1
-        added = past_l * wl + past_m * wm
-        rest = at - added
-        l0 = below[least] * w0 >> U(COUNT_BITS)
-        m0 = (below[most] * w0 >> U(COUNT_BITS)) + wl
-        in_l = (at >= l0) & ~past_l
-        in_m = (at >= m0) & ~past_m & ~in_l
-        own = in_l | in_m
-        rest[own] = 0
-        ids = self.slot[((rest + U(1) << U(COUNT_BITS)) - U(1)) // w0].astype(np.int64)
-        low = below[ids] * w0 >> U(COUNT_BITS)
-        size = (below[ids + 1] * w0 >> U(COUNT_BITS)) - low
-        low += added
-        if own.any():
-            np.copyto(ids, least, where=in_l)
-            np.copyto(low, l0, where=in_l)
-            np.copyto(size, l1 - l0, where=in_l)
-            np.copyto(ids, most, where=in_m)
-            np.copyto(low, m0, where=in_m)
-            np.copyto(size, m1 - m0, where=in_m)
+        by2, by21 = at < self.w2, at < self.w21
+        rest = at - self.w21
+        rest[by21] = 0
+        ids = self.slot[((rest + U(1) << U(COUNT_BITS)) - U(1)) // self.w0].astype(np.int64)
+        low, size = self._order0(ids)
+        low += self.w21
+        by1 = by21 & ~by2
+        ids[by1], low[by1], size[by1] = self.id1[by1], self.w2[by1], self.w1[by1]
+        ids[by2], low[by2], size[by2] = self.id2[by2], 0, self.w2[by2]
         return ids, low, size
 
     def learn(self, ids: np.ndarray) -> None:
@@ -254,8 +246,11 @@ def _byte_letters() -> dict[int, int]:
 class Pieces(dict):
     """The ids of pieces as little-endian 32-bit integers, encoded at first use."""
 
-    def __init__(self, model):
-        self.model, self.letters = model, _byte_letters()
+    def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii():  # of the characters below 33, plain texts hold these only
@@ -267,6 +262,17 @@ class Pieces(dict):
         return ids
 
 
+def _pieces(definition: str) -> Pieces:
+    """The pieces of this Python worker, which runs one task after another: kept
+    with the library's module, as a task's own globals go with it."""
+    import tokenizers
+    held = vars(tokenizers).setdefault("_lotquery_pieces", {})
+    if definition not in held:
+        held.clear()
+        held[definition] = Pieces(definition)
+    return held[definition]
+
+
 class Ids:
     """Token ids of whole texts.  The byte-level pre-tokeniser cuts a text into
     words, numbers, marks and white space, and the model encodes each of these
@@ -275,18 +281,18 @@ class Ids:
     with other characters or special tokens go to the library whole."""
 
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-    NOT_PLAIN = re.compile(f"[^\t\n\r -~{LETTERS}]|<\\|")
+    PLAIN = bytes([9, 10, 13, *range(32, 127)])
+    OTHER_LETTERS = re.compile(f"[{LETTERS}]*")
     WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 
     def __init__(self, definition: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(definition)
+        self.known = _pieces(definition)
+        self.tokenizer = self.known.tokenizer
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known = Pieces(self.tokenizer.model)
 
     def _one(self, text: str) -> bytes:
-        if self.NOT_PLAIN.search(text):
+        odd = text.encode().translate(None, self.PLAIN).decode()
+        if odd and not self.OTHER_LETTERS.fullmatch(odd) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > PIECES_KEPT:
             self.known.clear()
