@@ -23,7 +23,7 @@ from lotquery.session import ensure_session_conf
 
 TOKENIZER = "byte_bpe_50k.json"
 #: A document whose best language gets less than this goes.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.2
 
 #: Token ids and bytes of context mixing aren't SQL; tests/llm holds the run
 #: against a brute-force version.
