@@ -16,6 +16,8 @@ from lotquery.session import scratch_path
 #: Whole texts of one Arrow batch are cut into pieces of at most this many
 #: bytes (one text at least), so a worker holds the words of one piece only.
 PIECE_BYTES = 2 << 20
+#: Rows that Spark sends to a Python worker at a time.
+BATCH_ROWS = 2_000
 #: Rows of a table that is broadcast, at most; else Spark shuffles.
 SMALL = 1_000_000
 
@@ -61,13 +63,31 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def released(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``each`` for ``mapInArrow``, after which the Python worker, which Spark
+    keeps for other tasks, gives its free memory back."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            import ctypes
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+    return run
+
+
 def map_texts(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str, column: str = "text") -> DataFrame:
-    """``mapInArrow`` over bounded pieces of ``df``."""
+    """``mapInArrow`` over bounded pieces of ``df``, sent in batches of at most
+    BATCH_ROWS rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401  used by pieces()
         yield from each(p for b in batches for p in pieces(b, column))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def ship(spark: SparkSession, value) -> Broadcast:

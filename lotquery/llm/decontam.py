@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import NO_WORD, map_texts, opened, schema_of, ship, stored, utf8, word_hashes
+from lotquery.llm.common import NO_WORD, map_texts, opened, released, schema_of, ship, stored, utf8, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -280,7 +280,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     marked = mark_hits(docs.select("doc_id", "text"), benchmark, window, block_words)
     return marked.select("doc_id", "_cover", "_items").mapInArrow(
-        tell, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        released(tell), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,

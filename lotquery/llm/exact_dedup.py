@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import shuffle_parts, stored
+from lotquery.llm.common import released, shuffle_parts, stored
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -150,8 +150,8 @@ def _index(limit: int | None):
 def live_entries(rows: DataFrame) -> DataFrame:
     """Rows (digest, keep_id, group_size), partial or single -> one live entry
     for each digest."""
-    parts = rows.select("digest", "keep_id", "group_size").mapInArrow(_index(LOCAL_KEYS), ENTRY)
-    return parts.repartition(shuffle_parts(rows.sparkSession), "digest").mapInArrow(_index(None), ENTRY)
+    parts = rows.select("digest", "keep_id", "group_size").mapInArrow(released(_index(LOCAL_KEYS)), ENTRY)
+    return parts.repartition(shuffle_parts(rows.sparkSession), "digest").mapInArrow(released(_index(None)), ENTRY)
 
 
 def retract(live: DataFrame, gone: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def retract(live: DataFrame, gone: DataFrame) -> DataFrame:
     marks = gone.select("digest", F.lit(None).cast("long").alias("keep_id"),
                         F.lit(None).cast("long").alias("group_size")).distinct()
     both = live.select("digest", "keep_id", "group_size").unionByName(marks)
-    return both.repartition(shuffle_parts(live.sparkSession), "digest").mapInArrow(run, ENTRY)
+    return both.repartition(shuffle_parts(live.sparkSession), "digest").mapInArrow(released(run), ENTRY)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import map_texts, stored, utf8
+from lotquery.llm.common import map_texts, released, stored, utf8
 
 MIN_POINTS = 40
 MIN_DOCS = 5
@@ -232,8 +232,8 @@ def line_index(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MI
             s = _shard_of(batch.column("h1").to_numpy().view(np.uint64), shards)
             yield pa.record_batch([*batch.columns, pa.array(s)], names=[*batch.schema.names, "shard"])
 
-    placed = often.mapInArrow(place, "h1 long, h2 long, n long, owner long, shard long")
-    built = (placed.repartition(shards, "shard").mapInArrow(_build_shards(shards), "shard long, n_keys long, blob binary"))
+    placed = often.mapInArrow(released(place), "h1 long, h2 long, n long, owner long, shard long")
+    built = (placed.repartition(shards, "shard").mapInArrow(released(_build_shards(shards)), "shard long, n_keys long, blob binary"))
     return stored(built, "line-shards"), shards
 
 

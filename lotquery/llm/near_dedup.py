@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import SPACE, map_texts, scramble, shuffle_parts, small, stored, utf8, word_hashes
+from lotquery.llm.common import SPACE, map_texts, released, scramble, shuffle_parts, small, stored, utf8, word_hashes
 
 WORDS = 5
 #: Percent.
@@ -338,7 +338,7 @@ def _group_links(texts: DataFrame, words: int, similarity: int) -> DataFrame:
 
     # Any order is right: hashed counters of fixed size stand for the values' counts.
     counted = (map_texts(texts, count, "part int, places binary, times binary").repartition(COUNTER_PARTS, "part")
-               .mapInArrow(add, "part int, times binary"))
+               .mapInArrow(released(add), "part int, times binary"))
     counters = np.zeros(COUNTERS, np.int64)
     for row in counted.collect():  # COUNTER_PARTS rows, COUNTERS numbers
         counters[row.part * wide:(row.part + 1) * wide] = np.frombuffer(row.times, np.int64)
@@ -354,7 +354,7 @@ def _group_links(texts: DataFrame, words: int, similarity: int) -> DataFrame:
     full = map_texts(texts, whole, "set_id long, values binary")
     ready = (dealt.join(full, "set_id").select("v", "i", "j", "set_id", "at", "side", "values")
              .repartition(shuffle_parts(spark), "v", "i", "j").sortWithinPartitions("v", "i", "j"))
-    return stored(ready.mapInArrow(_block_links(similarity), "a long, b long").distinct(), "group-links")
+    return stored(ready.mapInArrow(released(_block_links(similarity)), "a long, b long").distinct(), "group-links")
 
 
 def near_links(docs: DataFrame, sketches: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -368,14 +368,14 @@ def near_links(docs: DataFrame, sketches: DataFrame, words: int, similarity: int
     sent = spark.sparkContext.broadcast(late)
 
     columns = sketches.select("set_id", "n", "head")
-    lacking = stored(columns.mapInArrow(_postings(sent, similarity, False), "set_id long"), "lacking")
-    postings = columns.mapInArrow(_postings(sent, similarity, True), "v long, set_id long, n long").unionByName(
+    lacking = stored(columns.mapInArrow(released(_postings(sent, similarity, False)), "set_id long"), "lacking")
+    postings = columns.mapInArrow(released(_postings(sent, similarity, True)), "v long, set_id long, n long").unionByName(
         map_texts(_texts(docs, sketches, lacking, words), _postings_of_texts(sent, words, similarity),
                   "v long, set_id long, n long"))
     lists = stored(postings.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LIST_MAX), "long-lists")
     short = postings.join(small(lists), "v", "left_anti")
     in_lists = (short.repartition(shuffle_parts(spark), "v").sortWithinPartitions("v")
-                .mapInArrow(_list_pairs(similarity), "a long, b long, need int"))
+                .mapInArrow(released(_list_pairs(similarity)), "a long, b long, need int"))
     pairs = stored(in_lists.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("need").alias("need"))
                    .filter("m >= need").select("a", "b", "m"), "pairs")
     grouped = stored(postings.join(small(lists), "v", "left_semi").select("set_id").distinct(), "grouped")

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import map_texts, shuffle_parts, stored
+from lotquery.llm.common import map_texts, released, shuffle_parts, stored
 from lotquery.session import scratch_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
 LANES, LANE_IDS = 4096, 256
 #: Distinct pieces of text whose ids a worker remembers, about.
-PIECES_KEPT = 600_000
+PIECES_KEPT = 300_000
 MAGIC = b"LQCM\x01"
 HEADER = "<5sxxxQIIIII"  # magic, ids, documents, lanes, vocabulary, CRC of ids, CRC of the rest
 
@@ -366,7 +366,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][:len(columns)])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return blocks.select("part", "block", "blob").join(starts, ["part", "block"]).select("first", "blob").mapInArrow(run, schema)
+    return blocks.select("part", "block", "blob").join(starts, ["part", "block"]).select("first", "blob").mapInArrow(released(run), schema)
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
