@@ -26,7 +26,7 @@ from lotquery.llm.common import map_texts, opened, schema_of, share, ship, store
 
 HELD_OUT, PARTS = 2, 4
 #: Labelled texts to learn from, of all languages together, and the longest of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 1_000, 20_000
 ORDERS = (1, 2, 3, 4)
 TABLE_BITS = 16
 LEXICON_MIN = 5
