@@ -128,3 +128,11 @@ def neighbor(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], bloc
     if direction == "next":
         return ordered_scan(df, keys, order_cols, block, next_cols=cols, next_prefix=prefix)
     raise ValueError(f"direction must be 'prev' or 'next', not {direction!r}")
+
+
+def left_join_spread(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Left join on ``key`` (positive ids) in which left rows without a key are
+    spread over negative keys by ``by``, so they don't meet in one task."""
+    spread = F.coalesce(F.col(key), -1 - F.pmod(F.xxhash64(by), F.lit(1 << 40)))
+    return (left.withColumn("_lq_key", spread).join(right.withColumnRenamed(key, "_lq_key"), "_lq_key", "left")
+            .drop("_lq_key"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
-from lotquery.functions.scan import cut_lineage
+from lotquery.functions.scan import cut_lineage, left_join_spread
 from lotquery.sources.tables import ParkingTables
 
 # Fixed slot status vocabulary (schema words plus Locked).
@@ -276,8 +276,8 @@ def entry_exit_log(ticket: DataFrame, vehicle: DataFrame, vehicle_type: DataFram
          .join(vehicle.select("vehicle_id", "license_plate", "vehicle_type_id"), "vehicle_id", "left")
          .join(vehicle_type.select("vehicle_type_id", "type_name"),
                "vehicle_type_id", "left")
-         .join(parking_slot.select("slot_id", "slot_code"), "slot_id", "left")
          .join(fees, "ticket_id", "left"))
+    j = left_join_spread(j, parking_slot.select("slot_id", "slot_code"), "slot_id", "ticket_id")
     return j.select("ticket_id", "license_plate", "type_name", "slot_code", "entry_time",
                     F.col("check_out_time").alias("exit_time"),
                     X.minutes_between("entry_time", "check_out_time").alias("minutes"),
@@ -304,7 +304,7 @@ def exception_report(t: ParkingTables, max_minutes: int, as_of: str | dt.datetim
                   .join(t.slot_type_map.withColumnRenamed("vehicle_type_id", "slot_vt"),
                         "slot_type", "left"))
     paid = payments_per_ticket(t.payment).select("ticket_id", "paid_amount", "net_mismatches")
-    j = fees.join(slot_types, "slot_id", "left").join(paid, "ticket_id", "left")
+    j = left_join_spread(fees, slot_types, "slot_id", "ticket_id").join(paid, "ticket_id", "left")
     minutes = X.minutes_between("entry_time", F.coalesce(F.col("check_out_time"), now))
 
     def tag(kind: str, cond: Column, detail: Column) -> Column:

@@ -341,3 +341,11 @@ def test_large_amounts_do_not_overflow(spark):
     assert got == {1: (1e15, None, None), 2: (3000000000000001.0, 1e15, 200.0), 3: (0.0, 3000000000000001.0, -100.0), 4: (5.0, 0.0, None)}
     wide = spark.createDataFrame([(4 * 10 ** 17, 3)], "a long, b long")
     assert wide.select(reports.ratio_half_up(F.col("a"), F.col("b"), 2).alias("x")).first().x == 133333333333333333.33
+
+
+def test_left_join_spread_keeps_rows_without_a_key(spark):
+    left = spark.createDataFrame([(i, None if i % 3 else i % 4 + 1) for i in range(60)], "id long, slot_id long")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "slot_id long, code string")
+    got = scan.left_join_spread(left, right, "slot_id", "id")
+    want = left.join(right, "slot_id", "left").select("id", "slot_id", "code")
+    assert sorted(map(repr, got.select("id", "slot_id", "code").collect())) == sorted(map(repr, want.collect()))
