@@ -33,8 +33,8 @@ from lotquery.session import scratch_path
 END_ID = 2
 BLOCK_IDS = 1 << 20
 LANES, LANE_IDS = 4096, 256
-#: Distinct pieces of text whose ids a worker remembers, about.
-PIECES_KEPT = 300_000
+#: Distinct pieces of text whose ids a task remembers, about.
+PIECES_KEPT = 150_000
 MAGIC = b"LQCM\x01"
 HEADER = "<5sxxxQIIIII"  # magic, ids, documents, lanes, vocabulary, CRC of ids, CRC of the rest
 
@@ -262,17 +262,6 @@ class Pieces(dict):
         return ids
 
 
-def _pieces(definition: str) -> Pieces:
-    """The pieces of this Python worker, which runs one task after another: kept
-    with the library's module, as a task's own globals go with it."""
-    import tokenizers
-    held = vars(tokenizers).setdefault("_lotquery_pieces", {})
-    if definition not in held:
-        held.clear()
-        held[definition] = Pieces(definition)
-    return held[definition]
-
-
 class Ids:
     """Token ids of whole texts.  The byte-level pre-tokeniser cuts a text into
     words, numbers, marks and white space, and the model encodes each of these
@@ -286,7 +275,7 @@ class Ids:
     WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 
     def __init__(self, definition: str):
-        self.known = _pieces(definition)
+        self.known = Pieces(definition)
         self.tokenizer = self.known.tokenizer
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
