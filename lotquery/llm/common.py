@@ -15,7 +15,7 @@ from lotquery.session import scratch_path
 
 #: Whole texts of one Arrow batch are cut into pieces of at most this many
 #: bytes (one text at least), so a worker holds the words of one piece only.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Rows that Spark sends to a Python worker at a time.
 BATCH_ROWS = 2_000
 #: Rows of a table that is broadcast, at most; else Spark shuffles.

@@ -68,9 +68,10 @@ def word_types(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tupl
     if not len(start):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     offset = np.concatenate([[0], np.cumsum(length)])[:-1]
-    within = np.arange(length.sum()) - np.repeat(offset, length)
-    letters = codes[np.repeat(start, length) + within].astype(np.uint64)
-    mixed = (letters + np.uint64(0x9E3779B9)) * _powers(int(length.max()))[within]
+    within = np.arange(length.sum(), dtype=np.int32) - np.repeat(offset.astype(np.int32), length)
+    mixed = codes[np.repeat(start.astype(np.int32), length) + within].astype(np.uint64)
+    mixed += np.uint64(0x9E3779B9)
+    mixed *= _powers(int(length.max()))[within]
     return np.unique(np.add.reduceat(mixed, offset), return_index=True, return_inverse=True)
 
 
