@@ -24,6 +24,8 @@ from lotquery.session import ensure_session_conf
 TOKENIZER = "byte_bpe_50k.json"
 #: A document whose best language gets less than this goes.
 LEAST_SCORE = 0.2
+#: Percent of the five-word shingles of two documents that near copies share.
+SIMILARITY = 80
 
 #: Token ids and bytes of context mixing aren't SQL; tests/llm holds the run
 #: against a brute-force version.
@@ -38,7 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the least doc_id."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, similarity=SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
