@@ -22,8 +22,8 @@ from lotquery.llm.token_output import token_output
 from lotquery.session import ensure_session_conf
 
 TOKENIZER = "byte_bpe_50k.json"
-#: A document whose best language gets less than this goes.
-LEAST_SCORE = 0.2
+#: A document goes if less than this share of its words look like the labelled texts' words.
+LEAST_KNOWN = 0.6
 #: Percent of the five-word shingles of two documents that near copies share.
 SIMILARITY = 80
 
@@ -34,7 +34,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in no language that the labels know, go."""
-    known = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_known") >= LEAST_KNOWN)
     return label_languages(docs).filter(known).select(*docs.columns)
 
 

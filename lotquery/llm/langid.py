@@ -6,6 +6,10 @@ its entry in a learnt lexicon.  Learnt transitions tie neighbouring words.
 Forward-backward gives each word's label probabilities, also where a text
 switches languages; their mean over a document's words is its language's score.
 
+Scores sum to 1 over the learnt languages whatever the text.  What tells that a
+text is in one of them at all is the share of its words that look learnt: by
+the lexicon, or by n-grams of training words.
+
 All arrays: a batch's texts are one array of code points, its distinct words
 are scored once, and forward-backward runs over all documents of a batch in
 step, longest first.
@@ -28,6 +32,8 @@ HELD_OUT, PARTS = 2, 4
 #: Labelled texts to learn from, of all languages together, and the longest of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1_000, 20_000
 ORDERS = (1, 2, 3, 4)
+#: N-grams of this order, word boundaries included, tell learnt words from others.
+SEEN_ORDER = 4
 TABLE_BITS = 16
 LEXICON_MIN = 5
 #: Words of one language in a training sequence, and parts of a sequence.
@@ -75,8 +81,9 @@ def word_types(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tupl
     return np.unique(np.add.reduceat(mixed, offset), return_index=True, return_inverse=True)
 
 
-def ngrams(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct words: table rows of all their n-grams, and each one's word."""
+def features(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct words: table rows of all their n-grams, and each one's word;
+    hashes of those of SEEN_ORDER (of shorter words: the word), and each one's word."""
     wide = length + 2
     offset = np.concatenate([[0], np.cumsum(wide)])
     within = np.arange(offset[-1]) - np.repeat(offset[:-1], wide)
@@ -85,7 +92,7 @@ def ngrams(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np
     text[inner] = codes[(np.repeat(start, wide) + within - 1)[inner]]
     left = np.repeat(wide, wide) - within
     word = np.repeat(np.arange(len(start)), wide)
-    rows, owners = [], []
+    rows, owners, marks, marked = [], [], [], []
     for n in ORDERS:
         fits = left >= n
         at = np.flatnonzero(fits)
@@ -95,7 +102,16 @@ def ngrams(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np
             h ^= h >> np.uint64(29)
         rows.append((h >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
         owners.append(word[at])
-    return np.concatenate(rows), np.concatenate(owners)
+        if n <= SEEN_ORDER:
+            tells = np.flatnonzero((n == SEEN_ORDER) | (wide[word[at]] == n))
+            marks.append(h[tells])
+            marked.append(word[at[tells]])
+    return np.concatenate(rows), np.concatenate(owners), np.concatenate(marks), np.concatenate(marked)
+
+
+def ngrams(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct words: table rows of all their n-grams, and each one's word."""
+    return features(codes, start, length)[:2]
 
 
 class Chain:
@@ -104,6 +120,7 @@ class Chain:
     def __init__(self, labels: list[str], lexicon: np.ndarray):
         k = len(labels)
         self.labels, self.lexicon = labels, lexicon
+        self.seen = np.empty(0, np.uint64)  # n-grams of training words, sorted
         self.table = np.zeros((2 ** TABLE_BITS, k), np.float64)
         self.entries = np.zeros((len(lexicon) + 1, k), np.float64)
         self.moves = np.zeros((k, k), np.float64)
@@ -116,6 +133,14 @@ class Chain:
         at = np.minimum(np.searchsorted(self.lexicon, hashes), len(self.lexicon) - 1)
         return np.where(self.lexicon[at] == hashes, at, len(self.lexicon))
 
+    def learnt(self, marks: np.ndarray, marked: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """0 to 1 for distinct words: 1 for those of the lexicon, else the share
+        of ``marks`` (see ``features``) that training words have."""
+        n = len(entries)
+        found = self.seen[np.minimum(np.searchsorted(self.seen, marks), len(self.seen) - 1)] == marks if len(self.seen) else marks < 0
+        return np.where(entries < len(self.lexicon), 1.0,
+                        np.bincount(marked, found, n) / np.maximum(np.bincount(marked, minlength=n), 1))
+
     def emissions(self, rows: np.ndarray, owners: np.ndarray, entries: np.ndarray) -> np.ndarray:
         """Label scores of distinct words: mean n-gram weight and lexicon weight."""
         n = len(entries)
@@ -175,7 +200,11 @@ def fit(texts: list[bytes], langs: list[str]) -> Chain:
     gold_of = np.array([labels.index(x) for x in langs], np.int64)
     seen = np.bincount(kind, minlength=len(hashes))
     chain = Chain(labels, hashes[seen >= LEXICON_MIN])
-    if not len(start) or len(labels) < 2:
+    if not len(start):
+        return chain
+    rows, owners, marks, _ = features(codes, start[place], length[place])
+    chain.seen = np.unique(marks)
+    if len(labels) < 2:
         return chain
     # Runs of RUN_WORDS words, shuffled; RUNS of them make a sequence.
     first_of = np.searchsorted(doc, np.arange(len(texts)))
@@ -185,7 +214,6 @@ def fit(texts: list[bytes], langs: list[str]) -> Chain:
     words = np.argsort(shuffled, kind="stable")
     lengths = np.bincount(shuffled[words] // RUNS)
     kind, gold = kind[words], gold_of[doc[words]]
-    rows, owners = ngrams(codes, start[place], length[place])
     entries = chain.entry(hashes)
     weight = 1 / np.sqrt(np.bincount(owners, minlength=len(hashes)))[owners]
     k = len(labels)
@@ -212,18 +240,21 @@ def fit(texts: list[bytes], langs: list[str]) -> Chain:
     return chain
 
 
-def predict(chain: Chain, texts: list[bytes]) -> tuple[list[str], list[float]]:
+def predict(chain: Chain, texts: list[bytes]) -> tuple[list[str], list[float], list[float]]:
+    """Each text's label, its score, and the share of its words that look learnt."""
     codes, start, length, doc = cut_words(texts)
-    labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    labels, scores, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if not len(start) or not chain.labels:
-        return labels, scores
+        return labels, scores, known
     hashes, place, kind = word_types(codes, start, length)
-    rows, owners = ngrams(codes, start[place], length[place])
-    by_type = chain.emissions(rows, owners, chain.entry(hashes)).astype(np.float32)
+    rows, owners, marks, marked = features(codes, start[place], length[place])
+    entries = chain.entry(hashes)
+    by_type = chain.emissions(rows, owners, entries).astype(np.float32)
     lengths = np.bincount(doc, minlength=len(texts))
     p, *_ = chain.marginals(by_type[kind], lengths)
     total = np.stack([np.bincount(doc, p[:, j], len(texts)) for j in range(p.shape[1])], axis=1)
     mean = total / np.maximum(lengths, 1)[:, None]
+    known = (np.bincount(doc, chain.learnt(marks, marked, entries)[kind], len(texts)) / np.maximum(lengths, 1)).tolist()
     first_of = np.searchsorted(doc, np.arange(len(texts)))
     early = np.arange(len(doc)) - first_of[doc] < OPENING_WORDS
     opening = np.stack([np.bincount(doc[early], p[early, j], len(texts)) for j in range(p.shape[1])], axis=1)
@@ -231,16 +262,17 @@ def predict(chain: Chain, texts: list[bytes]) -> tuple[list[str], list[float]]:
     for i in np.flatnonzero(lengths):
         best = int(choice[i].argmax())
         labels[i], scores[i] = chain.labels[best], min(1.0, float(mean[i, best]))
-    return labels, scores
+    return labels, scores, known
 
 
 def _predict(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = opened(sent)
         for batch in batches:
-            labels, scores = predict(chain, utf8(batch))
-            yield pa.record_batch([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
-                                  names=[*batch.schema.names, "lang_pred", "lang_score"])
+            labels, scores, known = predict(chain, utf8(batch))
+            yield pa.record_batch([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()),
+                                   pa.array(known, pa.float64())],
+                                  names=[*batch.schema.names, "lang_pred", "lang_score", "lang_known"])
     return run
 
 
@@ -262,17 +294,18 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Chain:
 
 
 def label_languages(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, lang, ...) with lang_pred and lang_score (0 to 1).
+    """``docs`` (doc_id, text, lang, ...) with lang_pred, lang_score (0 to 1) and
+    lang_known (0 to 1): the share of its words that look learnt.
 
-    A null text, or one without letters, gets ``und`` and 0.  Without labelled
+    A null text, or one without letters, gets ``und``, 0 and 0.  Without labelled
     rows all get ``und``; with one language all texts with letters get it.
     Repeated rows are treated alike, empty tables give empty results, and other
     columns stay (but for columns named like the results, which are replaced).
     """
     chain = chain or train(docs)
     sent = ship(docs.sparkSession, chain)
-    rows = docs.drop("lang_pred", "lang_score")
-    return map_texts(rows, _predict(sent), schema_of(rows) + ", lang_pred string, lang_score double")
+    rows = docs.drop("lang_pred", "lang_score", "lang_known")
+    return map_texts(rows, _predict(sent), schema_of(rows) + ", lang_pred string, lang_score double, lang_known double")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

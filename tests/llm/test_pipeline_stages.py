@@ -1,8 +1,12 @@
 """Single stages of the pipeline against plain versions of them."""
 
+import random
 from itertools import combinations
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from lotquery.llm.common import share, table
 
 from . import test_registered
 from .conftest import rows
@@ -38,3 +42,31 @@ def test_pipeline_links_at_80_percent(spark, monkeypatch):
     """The given tables, which hold pairs between 0.80 and 0.85, stage by stage."""
     monkeypatch.setattr(test_registered, "components", components)
     test_registered.test_pipeline(spark)
+
+
+OTHERS = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "人人生而自由，在尊严和权利上一律平等。",
+    "asdf jkl qwer zxcv uiop hjkl fghj vbnm xcvb dfgh",
+    "x", "9 $ Ж",
+]
+
+
+def test_unknown_languages_and_junk_go_and_clean_texts_stay(spark):
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)) for n in (5, 60, 900)]
+    given = table(spark, test_registered.SF, "documents")
+    clean = [r["text"] for r in rows(given.filter(share(F.col("doc_id"), 4) == 2))]
+    # Short pieces of texts that the stage doesn't learn from, and such texts in turn.
+    short = [" ".join(t.split()[:n]) for t, n in zip(clean, [1, 2, 3, 5, 8] * 20)]
+    short = [t for t in short if any(c.isalpha() for c in t)]
+    both = [f"{a} {b}" for a, b in zip(clean[::2], clean[1::2])]
+    texts = OTHERS + junk + short + both
+    more = spark.createDataFrame([(10 ** 6 + i, t, None, "s", len(t)) for i, t in enumerate(texts)], given.schema)
+    left = STAGES["language_id"](spark, given.unionByName(more), "").filter(F.col("doc_id") >= 10 ** 6)
+    gone = len(OTHERS) + len(junk)
+    assert {r["doc_id"] - 10 ** 6 for r in rows(left)} == set(range(gone, len(texts)))
