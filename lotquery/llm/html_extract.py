@@ -60,6 +60,12 @@ WRAPS = set("with without has no".split())
 #: A wrapper by these tags, or one with this share of a page's text, stays.
 KEEP_TAGS = set("html body main article".split())
 MOST = 0.5
+#: Without an article or main inside, an element named in OUT_WORDS stays if plain text that nothing leaves out
+#: is at most this share of its own: it is a wrapper then.  These tags have no such exception.
+AROUND = 0.1
+OUT_WHOLE = set("nav footer header aside button select dialog menu search svg math canvas audio video object head".split())
+#: Such an element is readers' or a notice, and a wrapper only if it holds an h1 too.
+OWN_WORDS = set("comment comments commentlist disqus replies respond cookie cookies consent gdpr".split())
 #: A list or box with links for this share of its text, and so many links, is a menu.
 LINK_SHARE, MENU_LINKS = 0.8, 3
 
@@ -72,7 +78,7 @@ class Page:
         self.name: list[str] = [""]
         self.parent: list[int] = [-1]
         self.last: list[int] = [0]  # the last element below
-        self.out: list[int] = [0]  # 1: left out; 2: left out unless it wraps the main text
+        self.out: list[int] = [0]  # 1: left out unless it wraps a page; 2: unless it has most text; 3: as 1, OWN_WORDS
         self.links: list[int] = [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links
         self._parse(source)
@@ -190,15 +196,33 @@ class Page:
             link[self.parent[e]] += link[e]
             if self.tag[e] in {"article", "main"} or self.inside[e]:
                 self.inside[self.parent[e]] = 1
+        plain = [c - k for c, k in zip(chars, link, strict=True)]
+        clean, article, holds, h1 = [0] * n, [0] * n, [0] * n, [0] * n
+        for e, text, in_links in self.blocks:
+            clean[e] += len(text) - in_links
+        for e in range(n - 1, 0, -1):  # below each: text that no mark leaves out, the largest article, a main, an h1
+            at, own = self.parent[e], self.tag[e] in {"article", "main"} and not self.out[e]
+            clean[at] += 0 if self.out[e] in {1, 3} else clean[e]
+            if not (self.tag[e] == "article" and self.out[e]):
+                article[at] = max(article[at], article[e], plain[e] if own else 0)
+                holds[at] |= holds[e] or own and self.tag[e] == "main"
+            h1[at] |= h1[e] or self.tag[e] == "h1"
+        scope = [clean[0]] * n  # text that stays around an element
         gone = [False] * n
         for e in range(1, n):
-            out = self.out[e]
+            out, at = self.out[e], self.parent[e]
+            scope[e] = scope[at]
             if out == 2 and (self.inside[e] or chars[e] > MOST * chars[0]):
                 out = 0
+            if out in {1, 3} and not gone[at] and self.tag[e] != "article" and (out == 1 or h1[e]) and (
+                    holds[e] or article[e] > scope[at] or self.tag[e] not in OUT_WHOLE
+                    and plain[e] > MOST * plain[0] and scope[at] <= AROUND * plain[e]):
+                out = 0
+                scope[e] += clean[e]
             if (self.links[e] >= MENU_LINKS and self.tag[e] in {"ul", "ol", "div", "section", "table", "p"}
                     and link[e] >= LINK_SHARE * chars[e] and not self.inside[e]):
                 out = 1
-            gone[e] = bool(out) or gone[self.parent[e]]
+            gone[e] = bool(out) or gone[at]
         self.gone = gone
         self.plain = [0] * n  # characters that stay, without links
         for e, text, in_links in self.blocks:
@@ -278,7 +302,7 @@ def _look(tag: str, rest: str, in_article: bool) -> tuple[str, int]:
     if in_article:
         words.discard("header")  # an article's own heading
     if not out and tag not in KEEP_TAGS:
-        out = 1 if words & OUT_WORDS else 2 if words & WEAK_WORDS else 0
+        out = 3 if words & OWN_WORDS else 1 if words & OUT_WORDS else 2 if words & WEAK_WORDS else 0
     elif tag == "article" and words & OUT_ARTICLES:
         out = 1
     return name, out

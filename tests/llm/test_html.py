@@ -53,3 +53,34 @@ def test_given_pages_hold_their_documents(spark):
     texts = {r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()}
     got = extract_pages(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     assert len(got) == 250 and all(r.text.partition("\n")[2] in texts and r.n_chars == len(r.text) for r in got)
+
+
+DIVS = f"<div class=text>{BODY}</div>"
+COMMENTS = f"<div class=comments><article><p>{'A reader says a lot here. ' * 60}</p></article></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form id=aspnetForm><input name=q><button>Go</button><select><option>a</select><div>{MENU}</div>{DIVS}</form></body>",
+    f"<body><form><nav>{MENU}</nav><article>{BODY}</article></form><footer>foot</footer></body>",
+    f"<body><div class=content-sidebar-wrap><main>{BODY}</main><aside><p>side</aside></div></body>",
+    f"<body><div class=sidebar-right><header>Site</header>{DIVS}<div class=sidebar><p>side</div></div><footer>foot</footer></body>",
+    f"<body><div class=modal><form><article>{BODY}{COMMENTS}</article></form></div><p>Site</p></body>",
+    f"<body style='display:none'><div class='nav-open'>{DIVS}</div></body>",
+    f"<main><div class=promo-page><article>{BODY}</article><div class=sidebar><article><p>teaser</article></div></div></main>",
+])
+def test_marked_wrappers_keep_their_article(page):
+    assert Page(page).text(None) == LINES
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class=wrap>{BODY}{COMMENTS}</div>",
+    f"<body><article>{BODY}</article>{COMMENTS}<aside><article><p>{'teaser ' * 20}</article></aside></body>",
+    f"<body>{DIVS}<div class=sidebar><p>{'side text ' * 40}</p></div><dialog><p>{'ask ' * 200}</dialog></body>",
+])
+def test_marked_parts_still_go(page):
+    assert Page(page).text(None) == LINES
+
+
+def test_a_notice_or_footer_alone_is_no_article():
+    for page in ("<div class=cookie-consent><h2>Cookies</h2><p>We use cookies here.</div>", "<footer><p>All rights reserved.</footer>"):
+        assert Page(page).text(None) == ""
