@@ -66,6 +66,9 @@ AROUND = 0.1
 OUT_WHOLE = set("nav footer header aside button select dialog menu search svg math canvas audio video object head".split())
 #: Such an element is readers' or a notice, and a wrapper only if it holds an h1 too.
 OWN_WORDS = set("comment comments commentlist disqus replies respond cookie cookies consent gdpr".split())
+#: Without an article or main, a container may leave out this share of a page's text, and no heading.
+NOISE = 0.05
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: A list or box with links for this share of its text, and so many links, is a menu.
 LINK_SHARE, MENU_LINKS = 0.8, 3
 
@@ -240,21 +243,40 @@ class Page:
 
     def container(self) -> int:
         """The main container: down from the top, into the child with most of
-        the text; an article or main element with most of it ends the way."""
+        the text; an article or main element with most of it ends the way.
+        Without one below, only while what is left outside is noise."""
+        return self._down(True)
+
+    def _down(self, whole: bool) -> int:
         e = 0
         children: dict[int, list[int]] = {}
         for x in range(1, len(self.tag)):
             children.setdefault(self.parent[x], []).append(x)
+        heads = sorted({h for x, text, in_links in self.blocks if in_links < len(text) and not self.gone[x]
+                        and self.tag[h := self._block(x)] in HEADINGS})
+        articles = [x for x in range(1, len(self.tag)) if self.tag[x] in {"article", "main"} and not self.gone[x]]
         while self.tag[e] not in {"article", "main"}:
             inner = [x for x in children.get(e, []) if not self.gone[x] and self.tag[x] in BLOCK]
             best = max(inner, key=lambda x: (self.plain[x], -x), default=None)
             if best is None or self.plain[best] <= MOST * self.plain[e]:
                 break
-            if self.tag[best] in {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "ul", "ol", "table", "dl"}:
+            if self.tag[best] in HEADINGS or self.tag[best] in {"p", "li", "pre", "blockquote", "ul", "ol", "table", "dl"}:
                 break
+            if whole and not any(best <= x <= self.last[best] and self.plain[x] > MOST * self.plain[best] for x in articles):
+                if self.plain[best] < (1 - NOISE) * self.plain[0] or any(
+                        e <= h <= self.last_of(e) and not best <= h <= self.last[best] for h in heads):
+                    break
             e = best
         return e
 
+    def _block(self, e: int) -> int:
+        while e and self.tag[e] not in BLOCK:
+            e = self.parent[e]
+        return e
+
+    def last_of(self, e: int) -> int:
+        return self.last[e] if e else len(self.tag)
+
     def text(self, path: str | None) -> str:
         """The blocks below the elements on ``path``, or the page's own container."""
         chosen = [] if path is None else [
@@ -267,7 +289,7 @@ class Page:
         out, spans, upto = [], [], -1
         for e in chosen:
             if e > upto:
-                spans.append((e, self.last[e] if e else len(self.tag)))
+                spans.append((e, self.last_of(e)))
                 upto = spans[-1][1]
         for e, text, _ in self.blocks:
             if not self.gone[e] and any(a <= e <= b for a, b in spans):

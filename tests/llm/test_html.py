@@ -84,3 +84,25 @@ def test_marked_parts_still_go(page):
 def test_a_notice_or_footer_alone_is_no_article():
     for page in ("<div class=cookie-consent><h2>Cookies</h2><p>We use cookies here.</div>", "<footer><p>All rights reserved.</footer>"):
         assert Page(page).text(None) == ""
+
+
+HALF = "".join(f"<p>Paragraph {i} of the article, with <a href='/x'>a link</a> and\n some   words.</p>" for i in range(2))
+REST = BODY[len(HALF):]
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class=post><div class=lead>{HALF}</div><div class=body>{REST}</div></div></body>",
+    f"<body><nav>{MENU}</nav><div><div class=a><div class=lead>{HALF}</div><div class=b>{REST}</div></div></div><footer>f</footer>",
+    f"<body><div class=lead>{HALF}</div><div class=body>{REST}<article class=comment><p>me too</article></div></body>",
+    f"<table><tr><td>{MENU}</td><td class=text><div>{HALF}</div><div>{REST}</div></td></tr></table>",
+])
+def test_parts_beside_the_largest_stay(page):
+    assert Page(page).text(None) == LINES
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class=post><h1>Title</h1><div class=body>{BODY}</div></div></body>",
+    f"<body><div class=post><div><h1><b>Title</b></h1></div><div><div class=body>{BODY}</div></div></div></body>",
+])
+def test_headline_beside_the_text_stays(page):
+    assert Page(page).text(None) == "Title\n" + LINES
