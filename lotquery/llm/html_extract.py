@@ -69,7 +69,8 @@ OWN_WORDS = set("comment comments commentlist disqus replies respond cookie cook
 #: Without an article or main, a container may leave out this share of a page's text, and no heading.
 NOISE = 0.05
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-#: A list or box with links for this share of its text, and so many links, is a menu.
+#: A list or box with links for this share of its text, and so many links, is a menu, but in an article, a main
+#: or the container, from the box with most of the text on.
 LINK_SHARE, MENU_LINKS = 0.8, 3
 
 
@@ -211,27 +212,43 @@ class Page:
                 holds[at] |= holds[e] or own and self.tag[e] == "main"
             h1[at] |= h1[e] or self.tag[e] == "h1"
         scope = [clean[0]] * n  # text that stays around an element
-        gone = [False] * n
+        marked, within, menus = [False] * n, [False] * n, []
         for e in range(1, n):
             out, at = self.out[e], self.parent[e]
             scope[e] = scope[at]
             if out == 2 and (self.inside[e] or chars[e] > MOST * chars[0]):
                 out = 0
-            if out in {1, 3} and not gone[at] and self.tag[e] != "article" and (out == 1 or h1[e]) and (
+            if out in {1, 3} and not marked[at] and self.tag[e] != "article" and (out == 1 or h1[e]) and (
                     holds[e] or article[e] > scope[at] or self.tag[e] not in OUT_WHOLE
                     and plain[e] > MOST * plain[0] and scope[at] <= AROUND * plain[e]):
                 out = 0
                 scope[e] += clean[e]
-            if (self.links[e] >= MENU_LINKS and self.tag[e] in {"ul", "ol", "div", "section", "table", "p"}
+            within[e] = within[at] or self.tag[e] in {"article", "main"} and not out
+            if (self.links[e] >= MENU_LINKS and self.tag[e] in {"ul", "ol", "div", "section", "table", "p"} and not within[e]
                     and link[e] >= LINK_SHARE * chars[e] and not self.inside[e]):
-                out = 1
-            gone[e] = bool(out) or gone[at]
+                menus.append(e)
+            marked[e] = bool(out) or marked[at]
+        self._leave_out(marked, [])
+        if menus:
+            core, box = self._down(False), self._down(True)
+            if self.tag[box] in {"#", "html", "body"}:
+                box = core
+            if self.tag[box] not in {"#", "html", "body"}:  # lists in the text, or below it in its container, stay
+                menus = [e for e in menus if not core < e <= self.last[box]]
+            self._leave_out(marked, menus)
+
+    def _leave_out(self, marked: list[bool], menus: list[int]) -> None:
+        gone = marked[:]
+        for e in menus:
+            gone[e] = True
+        for e in range(1, len(gone)):
+            gone[e] = gone[e] or gone[self.parent[e]]
         self.gone = gone
-        self.plain = [0] * n  # characters that stay, without links
+        self.plain = [0] * len(gone)  # characters that stay, without links
         for e, text, in_links in self.blocks:
             if not gone[e]:
                 self.plain[e] += len(text) - in_links
-        for e in range(n - 1, 0, -1):
+        for e in range(len(gone) - 1, 0, -1):
             self.plain[self.parent[e]] += self.plain[e]
 
     def path(self, e: int) -> str:

@@ -106,3 +106,19 @@ def test_parts_beside_the_largest_stay(page):
 ])
 def test_headline_beside_the_text_stays(page):
     assert Page(page).text(None) == "Title\n" + LINES
+
+
+SOURCES = "<h2>Sources</h2><ol>" + "".join(f"<li><a href='/{i}'>Source number {i}</a></li>" for i in range(4)) + "</ol>"
+LINKS = "<p><a href=a>One long link</a>, <a href=b>another long link</a> and <a href=c>a third long link</a></p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><nav>{MENU}</nav>{MENU}<article>{BODY}{LINKS}{SOURCES}</article>{MENU}</body>",
+    f"<body><div>{MENU}</div><main><div>{BODY}{LINKS}</div><section>{SOURCES}</section></main></body>",
+    f"<body><div>{MENU}</div><div class=text>{BODY}{LINKS}{SOURCES}</div>{MENU}</body>",
+    f"<body><div>{MENU}</div><div class=post><div class=text>{BODY}{LINKS}</div><div class=refs>{SOURCES}</div></div></body>",
+    f"<body><article>{BODY}{LINKS}{SOURCES}<nav>{MENU}</nav></article><div>{MENU}</div></body>",
+])
+def test_link_lists_of_an_article_stay(page):
+    assert Page(page).text(None).split("\n") == [
+        *LINES.split("\n"), "One long link, another long link and a third long link", "Sources", *(f"Source number {i}" for i in range(4))]
