@@ -20,8 +20,13 @@ from lotquery.llm.mixing import MAX_REPETITION, mix_sources
 from lotquery.llm.near_dedup import near_dedup
 from lotquery.llm.quality import score_quality
 from lotquery.llm.sharding import shard_documents
+from lotquery.llm.token_counts import count_tokens
 from lotquery.llm.token_output import token_output
 
+#: Vocabulary of the token counts.
+COUNTED_BY = "word_bpe_49k.json"
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_session_conf(spark)
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -73,6 +78,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED_BY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
@@ -84,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
