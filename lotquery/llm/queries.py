@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -18,6 +19,7 @@ from lotquery.llm.langid import identify_languages
 from lotquery.llm.line_dedup import line_dedup
 from lotquery.llm.mixing import MAX_REPETITION, mix_sources
 from lotquery.llm.near_dedup import near_dedup
+from lotquery.llm.periodic_runs import periodic_runs, run_digests
 from lotquery.llm.quality import score_quality
 from lotquery.llm.sharding import shard_documents
 from lotquery.llm.token_counts import count_tokens
@@ -78,6 +80,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def plant_repeats(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's rewriting of a tenth of the documents: from a word on,
+    the words that follow repeat with a period; both come from the id."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * -(-(n - a) // p))[:n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), plant_repeats))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_session_conf(spark)
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED_BY))
@@ -94,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
