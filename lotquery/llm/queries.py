@@ -24,6 +24,7 @@ from lotquery.llm.quality import score_quality
 from lotquery.llm.sharding import shard_documents
 from lotquery.llm.token_counts import count_tokens
 from lotquery.llm.token_output import token_output
+from lotquery.llm.whitening import whiten
 
 #: Vocabulary of the token counts.
 COUNTED_BY = "word_bpe_49k.json"
@@ -80,6 +81,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_session_conf(spark)
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def plant_repeats(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The contract's rewriting of a tenth of the documents: from a word on,
     the words that follow repeat with a period; both come from the id."""
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
