@@ -3,11 +3,16 @@
 1. Every page's containers are scored by the plain text below them; the page
    votes for the generalised tag-class path of its main container.
 2. Spark counts the votes per host; the path with the most votes wins.
-3. Every page is extracted again below the elements on its host's winning path;
-   a page without such an element uses its own main container.
+3. Every page is extracted again below the elements on its host's winning path.
+   A page without such an element uses its own main container, and so does one
+   whose winning path holds less text than is left, if its container's path is
+   voted for more often than it stands beside a container that won its page.
 
 Left out everywhere: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments, known by tag, role, class or id.
+forms, scripts, styles and reader comments, known by tag, role, class or id;
+inside an article a class must name nothing else, and words that articles use
+too need links or controls as a second sign.  Marks hold for each piece of
+text, so a block keeps what stands around an advert in it.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +61,14 @@ OUT_ARTICLES = set("comment comments replies related promo promoted sponsor spon
 #: Words that also name wrappers of main text: out, unless a page's article is inside.
 WEAK_WORDS = set("""header masthead topbar toolbar banner notice notices alert alerts announcement widget widgets side
     social search form forms discussion feedback reply legal copyright disclaimer recommended overlay""".split())
+#: Inside an article a class counts only if all its words are such, or these, which name a part of a page.
+PARTS = set("""box block blocks list item items section wrapper wrap container content area inner outer unit slot panel
+    bar row column col group links link buttons button icons icon posts post articles article site page main top bottom
+    left right big small wide mobile desktop js is the and of for text title""".split())
+#: Of these words an article's own sections make use: out only with links or form controls for text.
+SECOND_SIGN = set("""menu menus related share sharing replies discussion feedback reply legal copyright disclaimer recommended
+    side search form forms announcement masthead topbar""".split())
+CONTROLS = set("form button select input textarea option label fieldset".split())
 #: A class with such a word tells what a wrapper holds, not what it is.
 WRAPS = set("with without has no".split())
 #: A wrapper by these tags, or one with this share of a page's text, stays.
@@ -75,54 +89,68 @@ LINK_SHARE, MENU_LINKS = 0.8, 3
 
 
 class Page:
-    """Elements of a page in document order, and its text blocks."""
+    """Elements of a page in document order, and its text in pieces."""
 
     def __init__(self, source: str):
         self.tag: list[str] = ["#"]
         self.name: list[str] = [""]
         self.parent: list[int] = [-1]
         self.last: list[int] = [0]  # the last element below
-        self.out: list[int] = [0]  # 1: left out unless it wraps a page; 2: unless it has most text; 3: as 1, OWN_WORDS
+        #: 1: left out unless it wraps a page; 2: unless it has most text; 3: as 1, OWN_WORDS; 4: if it is links or controls
+        self.out: list[int] = [0]
         self.links: list[int] = [0]
-        self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links
+        self.controls: list[int] = [0]
+        self.block: list[int] = [0]  # the nearest block element
+        self.route: list[int] = [0]  # number of the path
+        self.routes: dict[tuple[int, str], int] = {}  # from a parent's path and a name
+        self.pieces: list[tuple[int, int, str, int, bool]] = []  # block number, element, text, characters, in a link
         self._parse(source)
         self._weigh()
 
     def _parse(self, source: str) -> None:
         stack = [0]
-        text: list[str] = []
-        link_chars, in_link, inside, block_of = 0, 0, 0, 0
+        places: dict[str, list[int]] = {}  # depths of the open elements of a tag
+        blocks, fences = [0], [-1]  # depths of open block and FENCE elements
+        links, inside, number = 0, 0, 0
+        pending = False
 
         def flush():
-            nonlocal link_chars
-            if text:
-                joined = "".join(text)
-                joined = " ".join((html.unescape(joined) if "&" in joined else joined).split())
-                if joined:
-                    self.blocks.append((block_of, joined, min(link_chars, len(joined))))
-                text.clear()
-            link_chars = 0
+            nonlocal number, pending
+            number += pending
+            pending = False
+
+        def put(text: str):
+            nonlocal pending
+            size = len(" ".join(text.split()))
+            if size or pending:
+                self.pieces.append((number, stack[-1], text, size, links > 0))
+                pending = True
 
         def close(depth: int):
-            nonlocal in_link, inside
-            for e in stack[depth:]:
+            nonlocal links, inside
+            for d in range(len(stack) - 1, depth - 1, -1):
+                e = stack[d]
+                tag = self.tag[e]
                 self.last[e] = len(self.tag) - 1
-                in_link -= self.tag[e] == "a"
-                inside -= self.tag[e] in {"article", "main"}
+                links -= tag == "a"
+                inside -= tag in {"article", "main"}
+                if e:
+                    places[tag].pop()
+                for open_ones in (blocks, fences):
+                    if open_ones[-1] == d and d:
+                        open_ones.pop()
             del stack[depth:]
 
+        def deepest(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         low = None
         position, end = 0, len(source)
         while position < end:
             m = MARKUP.search(source, position)
             upto = m.start() if m else end
             if upto > position:
-                if not text:
-                    block_of = stack[-1]
-                piece = source[position:upto]
-                text.append(piece)
-                if in_link:
-                    link_chars += len(piece.strip())
+                put(source[position:upto])
             if not m:
                 break
             position = m.end()
@@ -133,31 +161,20 @@ class Page:
             if m["end"]:
                 if tag in BLOCK:
                     flush()
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == tag:
-                        close(depth)
-                        break
-                    if tag not in BLOCK and self.tag[stack[depth]] in BLOCK:
-                        break  # an inline end tag doesn't end blocks
+                depth = deepest((tag,))
+                if depth and (tag in BLOCK or depth > blocks[-1]):  # an inline end tag doesn't end blocks
+                    close(depth)
                 continue
             if tag in BLOCK:
                 flush()
             elif tag in SPACE:
-                text.append(" ")
-            if tag in NOT_IN_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == "p":
-                        close(depth)
-                        break
-                    if self.tag[stack[depth]] in BLOCK or self.tag[stack[depth]] in FENCE:
-                        break
-            if family := FAMILY.get(tag):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] in family:
-                        close(depth)
-                        break
-                    if self.tag[stack[depth]] in FENCE:
-                        break
+                put(" ")
+            if tag in NOT_IN_P and (depth := deepest("p")) and depth >= max(blocks[-1], fences[-1]):
+                close(depth)
+            if (family := FAMILY.get(tag)) and (depth := deepest(family)) and depth >= fences[-1]:
+                close(depth)
+            if tag in CONTROLS:
+                self.controls[stack[-1]] += 1
             if tag in VOID:
                 continue
             if tag in RAW:
@@ -178,32 +195,41 @@ class Page:
             self.parent.append(at)
             self.last.append(e)
             self.out.append(out)
-            self.links.append(0)
+            self.links.append(int(tag == "a"))
+            self.controls.append(0)
+            self.block.append(e if tag in BLOCK else self.block[at])
+            self.route.append(self.routes.setdefault((self.route[at], name), len(self.routes) + 1))
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            if tag in FENCE:
+                fences.append(len(stack))
             stack.append(e)
             inside += tag in {"article", "main"}
-            if tag == "a":
-                in_link += 1
-                for x in stack:
-                    self.links[x] += 1
-        flush()
+            links += tag == "a"
         close(0)
 
     def _weigh(self) -> None:
         """Text below each element, and what is left out."""
         n = len(self.tag)
-        chars, link, self.inside = [0] * n, [0] * n, [0] * n
-        for e, text, in_links in self.blocks:
-            chars[e] += len(text)
-            link[e] += in_links
+        chars, link, clean, self.inside = [0] * n, [0] * n, [0] * n, [0] * n
+        for _, e, _, size, in_link in self.pieces:
+            chars[e] += size
+            link[e] += size * in_link
+            clean[e] += size * (not in_link)
         for e in range(n - 1, 0, -1):
-            chars[self.parent[e]] += chars[e]
-            link[self.parent[e]] += link[e]
+            at = self.parent[e]
+            chars[at] += chars[e]
+            link[at] += link[e]
+            self.links[at] += self.links[e]
+            self.controls[at] += self.controls[e]
             if self.tag[e] in {"article", "main"} or self.inside[e]:
-                self.inside[self.parent[e]] = 1
+                self.inside[at] = 1
         plain = [c - k for c, k in zip(chars, link, strict=True)]
-        clean, article, holds, h1 = [0] * n, [0] * n, [0] * n, [0] * n
-        for e, text, in_links in self.blocks:
-            clean[e] += len(text) - in_links
+        article, holds, h1 = [0] * n, [0] * n, [0] * n
+        for e in range(1, n):  # a mark that needs a second sign
+            if self.out[e] == 4:
+                self.out[e] = int(not self.inside[e] and chars[e] > 0 and (link[e] >= LINK_SHARE * chars[e] or self.controls[e] > 0))
         for e in range(n - 1, 0, -1):  # below each: text that no mark leaves out, the largest article, a main, an h1
             at, own = self.parent[e], self.tag[e] in {"article", "main"} and not self.out[e]
             clean[at] += 0 if self.out[e] in {1, 3} else clean[e]
@@ -238,18 +264,26 @@ class Page:
             self._leave_out(marked, menus)
 
     def _leave_out(self, marked: list[bool], menus: list[int]) -> None:
+        n = len(marked)
         gone = marked[:]
         for e in menus:
             gone[e] = True
-        for e in range(1, len(gone)):
+        for e in range(1, n):
             gone[e] = gone[e] or gone[self.parent[e]]
         self.gone = gone
-        self.plain = [0] * len(gone)  # characters that stay, without links
-        for e, text, in_links in self.blocks:
-            if not gone[e]:
-                self.plain[e] += len(text) - in_links
-        for e in range(len(gone) - 1, 0, -1):
-            self.plain[self.parent[e]] += self.plain[e]
+        self.plain, self.heads, self.articles = [0] * n, [0] * n, [0] * n
+        for _, e, _, size, in_link in self.pieces:
+            if not gone[e] and not in_link:
+                self.plain[e] += size
+                if size and self.tag[self.block[e]] in HEADINGS:
+                    self.heads[self.block[e]] = 1
+        for e in range(n - 1, 0, -1):  # below each: characters that stay, without links; headings; the largest article
+            at = self.parent[e]
+            self.plain[at] += self.plain[e]
+            self.heads[at] += self.heads[e]
+            if self.tag[e] in {"article", "main"} and not gone[e]:
+                self.articles[e] = max(self.articles[e], self.plain[e])
+            self.articles[at] = max(self.articles[at], self.articles[e])
 
     def path(self, e: int) -> str:
         names = []
@@ -268,50 +302,74 @@ class Page:
         e = 0
         children: dict[int, list[int]] = {}
         for x in range(1, len(self.tag)):
-            children.setdefault(self.parent[x], []).append(x)
-        heads = sorted({h for x, text, in_links in self.blocks if in_links < len(text) and not self.gone[x]
-                        and self.tag[h := self._block(x)] in HEADINGS})
-        articles = [x for x in range(1, len(self.tag)) if self.tag[x] in {"article", "main"} and not self.gone[x]]
+            if not self.gone[x] and self.tag[x] in BLOCK:
+                children.setdefault(self.parent[x], []).append(x)
         while self.tag[e] not in {"article", "main"}:
-            inner = [x for x in children.get(e, []) if not self.gone[x] and self.tag[x] in BLOCK]
-            best = max(inner, key=lambda x: (self.plain[x], -x), default=None)
+            best = max(children.get(e, []), key=lambda x: (self.plain[x], -x), default=None)
             if best is None or self.plain[best] <= MOST * self.plain[e]:
                 break
             if self.tag[best] in HEADINGS or self.tag[best] in {"p", "li", "pre", "blockquote", "ul", "ol", "table", "dl"}:
                 break
-            if whole and not any(best <= x <= self.last[best] and self.plain[x] > MOST * self.plain[best] for x in articles):
-                if self.plain[best] < (1 - NOISE) * self.plain[0] or any(
-                        e <= h <= self.last_of(e) and not best <= h <= self.last[best] for h in heads):
+            if whole and self.articles[best] <= MOST * self.plain[best]:
+                if self.plain[best] < (1 - NOISE) * self.plain[0] or self.heads[e] > self.heads[best]:
                     break
             e = best
         return e
 
-    def _block(self, e: int) -> int:
-        while e and self.tag[e] not in BLOCK:
+    def places(self, e: int) -> tuple[int, list[int]]:
+        """64-bit hashes of an element's path, and of the paths of the blocks with
+        text that stand beside it or beside an element around it."""
+        hashes = [0] * len(self.tag)
+        for x in range(1, len(hashes)):
+            hashes[x] = xxhash.xxh3_64_intdigest(self.name[x].encode(), hashes[self.parent[x]])
+        chain, own = set(), hashes[e]
+        while e >= 0:
+            chain.add(e)
             e = self.parent[e]
-        return e
-
-    def last_of(self, e: int) -> int:
-        return self.last[e] if e else len(self.tag)
+        beside = {hashes[x] for x in range(1, len(hashes)) if self.parent[x] in chain and x not in chain
+                  and self.plain[x] and not self.gone[x] and self.tag[x] in BLOCK}
+        return own - (1 << 63), sorted(h - (1 << 63) for h in beside)
 
-    def text(self, path: str | None) -> str:
-        """The blocks below the elements on ``path``, or the page's own container."""
-        chosen = [] if path is None else [
-            e for e in range(1, len(self.tag)) if self.plain[e] and not self.gone[e]
-            and self.name[e] == path.rpartition(">")[2] and self.path(e) == path]
+    def _on(self, path: str) -> list[int]:
+        """The elements on a path that hold text, the outermost ones."""
         if path == "":
-            chosen = [0]
-        if not chosen:
-            chosen = [self.container()]
-        out, spans, upto = [], [], -1
+            return [0]
+        route = 0
+        for name in path.split(">"):
+            route = self.routes.get((route, name), -1)
+        found, upto = [], -1
+        for e in range(1, len(self.tag)):
+            if self.route[e] == route and e > upto and self.plain[e] and not self.gone[e]:
+                found.append(e)
+                upto = self.last[e]
+        return found
+
+    def text(self, path: str | None, own: bool = False) -> str:
+        """The blocks below the elements on ``path``, or the page's own container
+        if there are none or, with ``own``, if that holds more than twice their text."""
+        chosen = [] if path is None else self._on(path)
+        if not chosen or own:
+            box = self.container()
+            if not chosen or sum(self.plain[e] for e in chosen) < MOST * self.plain[box]:
+                chosen = [box]
+        below = [False] * len(self.tag)
         for e in chosen:
-            if e > upto:
-                spans.append((e, self.last_of(e)))
-                upto = spans[-1][1]
-        for e, text, _ in self.blocks:
-            if not self.gone[e] and any(a <= e <= b for a, b in spans):
-                out.append(text)
-        return "\n".join(out)
+            below[e] = True
+        for e in range(1, len(below)):
+            below[e] = below[e] or below[self.parent[e]]
+        blocks: dict[int, list[str]] = {}
+        for number, e, text, _, _ in self.pieces:
+            if below[e] and not self.gone[e]:
+                blocks.setdefault(number, []).append(text)
+        lines = ("".join(b) for b in blocks.values())
+        return "\n".join(x for x in (" ".join((html.unescape(b) if "&" in b else b).split()) for b in lines) if x)
+
+
+def _marks(token: str) -> set[str]:
+    """The words of a class or id inside an article, if it names a part of a page and nothing else."""
+    own = WORD.findall(CAMEL.sub(" ", token).lower())
+    known = {w for w in own if w in OUT_WORDS or w in WEAK_WORDS}
+    return known if all(w in known or w in PARTS for w in own) else set()
 
 
 def _look(tag: str, rest: str, in_article: bool) -> tuple[str, int]:
@@ -326,24 +384,24 @@ def _look(tag: str, rest: str, in_article: bool) -> tuple[str, int]:
         if key in {"class", "id"}:
             for token in html.unescape(value).split():
                 own = WORD.findall(CAMEL.sub(" ", token).lower())
-                if not WRAPS.intersection(own):
+                if in_article and tag != "article":
+                    words |= _marks(token)
+                elif not WRAPS.intersection(own):
                     words.update(own)
             if key == "class":
-                classes = sorted({x for x in (re.sub(r"\d+", "#", v) for v in value.lower().split()) if x})
+                classes = sorted({x for x in (re.sub(r"\d+", "#", v).replace(">", "") for v in value.lower().split()) if x})
         elif key == "role" and value.lower() in OUT_ROLES:
             out = 1
-        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            out = 1
-        elif key == "style" and re.search(r"display\s*:\s*none", value.lower()):
-            out = 1
     if classes:
         name = tag + "." + ".".join(classes)
-    if in_article:
-        words.discard("header")  # an article's own heading
+    if tag == "article":
+        return name, int(bool(out or words & OUT_ARTICLES))
     if not out and tag not in KEEP_TAGS:
-        out = 3 if words & OWN_WORDS else 1 if words & OUT_WORDS else 2 if words & WEAK_WORDS else 0
-    elif tag == "article" and words & OUT_ARTICLES:
-        out = 1
+        if in_article:
+            words.discard("header")  # an article's own heading
+            out = 3 if words & OWN_WORDS else 1 if words - SECOND_SIGN else 4 if words else 0
+        else:
+            out = 3 if words & OWN_WORDS else 1 if words & OUT_WORDS else 2 if words & WEAK_WORDS else 0
     return name, out
 
 
@@ -353,35 +411,62 @@ def host_of(url: F.Column) -> F.Column:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths, chars = [], []
+        paths, chars, places = [], [], []
         for source in batch.column("html").to_pylist():
             page = Page(source or "")
             e = page.container()
             paths.append(page.path(e) if page.plain[e] else None)
             chars.append(page.plain[e])
-        yield pa.record_batch([batch.column("host"), pa.array(paths, pa.string()), pa.array(chars, pa.int64())],
-                              names=["host", "path", "chars"])
+            places.append(page.places(e) if page.plain[e] else (0, []))
+        yield pa.record_batch([batch.column("host"), batch.column("page"), pa.array(paths, pa.string()), pa.array(chars, pa.int64()),
+                               pa.array([p for p, _ in places], pa.int64()), pa.array([b for _, b in places], pa.list_(pa.int64()))],
+                              names=["host", "page", "path", "chars", "place", "beside"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(source or "").text(path) for source, path in
-                 zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        texts = [Page(source or "").text(path, own) for source, path, own in
+                 zip(*(batch.column(c).to_pylist() for c in ("html", "path", "own")), strict=True)]
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                                pa.array([len(t) for t in texts], pa.int64())],
                               names=["page_id", "url", "text", "n_chars"])
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, path, votes: the path with most votes; of equal ones that with
-    most text, then the first in order."""
-    votes = map_texts(pages.select(host_of(F.col("url")).alias("host"), "html"), _vote,
-                      "host string, path string, chars long", "html").filter("path IS NOT NULL")
+def _rows(pages: DataFrame) -> DataFrame:
+    """The pages with their host and a number that equal rows share."""
+    return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"),
+                        F.xxhash64("page_id", "url", "html").alias("page"))
+
+
+def page_votes(pages: DataFrame) -> DataFrame:
+    """host, page, path of the page's main container, characters in it, the path's
+    hash and those of the blocks beside it; pages without text have no vote."""
+    return map_texts(_rows(pages).select("host", "page", "html"), _vote,
+                     "host string, page long, path string, chars long, place long, beside array<long>", "html").filter("path IS NOT NULL")
+
+
+def _won(votes: DataFrame) -> DataFrame:
     counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("chars").alias("chars"))
     return (counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("chars")).alias("c"), "path")).alias("w"))
             .select("host", "w.path", (-F.col("w.v")).alias("votes")))
 
 
+def winning_paths(pages: DataFrame) -> DataFrame:
+    """host, path, votes: the path with most votes; of equal ones that with
+    most text, then the first in order."""
+    return _won(page_votes(pages))
+
+
+def _own_pages(votes: DataFrame, winners: DataFrame) -> DataFrame:
+    """Pages (their numbers) whose container's path lost, but has more votes than
+    it stands beside the containers of other pages of the host."""
+    lost = votes.select("host", "page", "path", "place").join(winners, ["host", "path"], "left_anti")
+    said = lost.groupBy("host", "place").agg(F.count(F.lit(1)).alias("n"))
+    passed = (votes.select("host", F.explode("beside").alias("place")).groupBy("host", "place").agg(F.count(F.lit(1)).alias("m")))
+    good = said.join(passed, ["host", "place"], "left").filter(F.col("n") > F.coalesce("m", F.lit(0)))
+    return lost.join(good, ["host", "place"], "left_semi").select("page").distinct()
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html, ...): page_id, url,
     text, n_chars.
@@ -392,8 +477,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     rows vote each.  Markup that never ends runs to the end of the page.  An
     empty table gives an empty result.  Other columns are ignored.
     """
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    winners = stored(winning_paths(pages), "host-paths").select("host", "path")
-    # One row for each host: Spark broadcasts it where small, and splits a large host's pages elsewhere.
-    return map_texts(rows.join(winners, "host", "left").select("page_id", "url", "html", "path"), _extract,
+    votes = stored(page_votes(pages), "page-votes")
+    winners = stored(_won(votes), "host-paths").select("host", "path")
+    own = stored(_own_pages(votes, winners), "own-pages").withColumn("own", F.lit(True))
+    # Stored tables of known size: Spark broadcasts them where small, and splits a large host's pages elsewhere.
+    rows = _rows(pages).join(winners, "host", "left").join(own, "page", "left")
+    return map_texts(rows.select("page_id", "url", "html", "path", F.coalesce("own", F.lit(False)).alias("own")), _extract,
                      "page_id long, url string, text string, n_chars long", "html")

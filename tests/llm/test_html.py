@@ -122,3 +122,89 @@ LINKS = "<p><a href=a>One long link</a>, <a href=b>another long link</a> and <a
 def test_link_lists_of_an_article_stay(page):
     assert Page(page).text(None).split("\n") == [
         *LINES.split("\n"), "One long link, another long link and a third long link", "Sources", *(f"Source number {i}" for i in range(4))]
+
+
+def article(inner):
+    return f"<body><nav>{MENU}</nav><article>{BODY}{inner}</article><footer>foot</footer></body>"
+
+
+@pytest.mark.parametrize("inner, lines", [
+    ("<p>Before <span class='advert'>Buy now</span> after the advert text.</p>", ["Before after the advert text."]),
+    ("<p><span class='advert'>Buy now</span> after the advert text.</p>", ["after the advert text."]),
+    ("<p>Before it <button>Share this</button></p>", ["Before it"]),
+    ("<p><button>Share this</button>after it</p>", ["after it"]),
+    ("<p>A figure <svg><text>axis</text></svg> of it</p>", ["A figure of it"]),
+    ("<p>Words <span hidden>that are hidden</span> stay</p>", ["Words that are hidden stay"]),
+    ("<p>Text first. <a class='share' href=x>Share on</a></p>", ["Text first."]),
+    ("<p><a class='share' href=x>Share on</a> text last.</p>", ["text last."]),
+    ("<p>A&amp;<b>B</b>&lt;<i class=ad>x</i>C</p>", ["A&B<C"]),
+])
+def test_marks_hold_for_pieces_of_a_block(inner, lines):
+    assert Page(article(inner)).text(None).split("\n") == [*LINES.split("\n"), *lines]
+
+
+SECTION = "<h2>Head of it</h2><p>A section of the article that has a name of its own.</p>"
+
+
+@pytest.mark.parametrize("name", ["class='discussion'", "class='related-work'", "class='legal'", "class='share-price'", "class='menu'",
+                                  "class='side-effects'", "id='comments-on-method'", "class='search-results-explained'", "id=header-files",
+                                  "class='feedback'", "style='display:none'", "hidden"])
+def test_sections_of_an_article_stay_whatever_they_are_called(name):
+    page = article(f"<section {name}>{SECTION}</section>")
+    assert Page(page).text(None).split("\n")[6:] == ["Head of it", "A section of the article that has a name of its own."]
+
+
+@pytest.mark.parametrize("inner", [
+    "<div class='advert'><p>Buy now, it is cheap.</p></div>", "<div class='ad-box'>Buy</div>", "<div id=ad_slot_3>Buy</div>",
+    f"<div class='comments'><p>{'A reader says a lot here. ' * 40}</p></div>", "<div id=comment-list><p>me too</div>",
+    f"<div class='menu'>{MENU}</div>", f"<div class='related-posts'>{MENU}</div>", "<div class='share-buttons'><a href=x>One</a> <a href=y>Two</a></div>",
+    "<div class='cookie-notice'>We use cookies</div>", "<div class='newsletter'><p>Read more by mail</p><input name=m></div>",
+    "<div class='feedback'><p>Was this useful?</p><button>Yes</button></div>", "<form><p>Ask us</p><input></form>", "<aside><p>aside</p></aside>",
+])
+def test_marked_parts_of_an_article_go(inner):
+    assert Page(article(inner)).text(None) == LINES
+
+
+def test_a_second_template_of_a_host_keeps_its_text(spark):
+    """Most pages have div.text; some have a teaser in it and the article in div.story."""
+    first = "<body><div class=text>{}</div><div class=foot-line>About us all</div></body>"
+    second = "<body><div class=text><p>Short teaser.</p></div><div class=story>{}</div></body>"
+    pages = [(i, f"https://t.example/{i}", first.format(BODY)) for i in range(8)]
+    pages += [(20 + i, f"https://t.example/{i}", second.format(BODY)) for i in range(3)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: LINES for i, _, _ in pages}
+
+
+def test_pages_without_articles(spark):
+    """No page has an article element; menus, adverts and footers differ from page to page."""
+    page = ("<html><head><title>T {0}</title></head><body><div class=top><div class=logo>Site</div>{1}</div><div class='ad-{0}'>Buy {0}</div>"
+            "<div id=c{0} class='entry entry-{0}'><h1>Title {0}</h1>{2}</div><div class=footer>Foot {0}</div></body></html>")
+    pages = [(i, f"https://n.example/{i}", page.format(i, MENU, BODY)) for i in range(6)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n{LINES}" for i in range(6)}
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class=text><ul>" + "".join(f"<li>Item number {i} of the list" for i in range(20_000)) + "</ul></div></body>",
+    "<p>text " + "<a href=x>unclosed " * 8_000, "<p>text " + "<span>unclosed " * 8_000 + "</b>" * 8_000,
+    "<b>" + "<div>" + "<span>x" * 4_000 + "</b>" * 4_000, "<div><article><p>nested</p>" * 8_000,
+    "<table><tr><td>" * 4_000 + "deep", "<p>a" * 20_000, "<dl>" + "<dt>t<dd>d" * 10_000,
+])
+def test_time_grows_with_the_page(page):
+    import time
+    start = time.process_time()
+    parsed = Page(page)
+    parsed.text(parsed.path(parsed.container()))
+    parsed.places(parsed.container())
+    assert time.process_time() - start < 2.5
+
+
+def test_first_lines_of_given_pages(spark):
+    """The first line is the page's heading, the rest a document."""
+    import html
+    import re
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    heads = {r.page_id: " ".join(html.unescape(re.search(r"<h1>(.*?)</h1>", r.html, re.S)[1]).split()) for r in pages.collect()}
+    got = extract_pages(pages).collect()
+    assert len(got) == 250 and all(r.text.partition("\n")[0] == heads[r.page_id] for r in got)
