@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +31,17 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from lotquery.llm.bpe import LETTER, LONG, NUMBER, OTHER, SHORT, SPACE, Merges, byte_letters
 from lotquery.llm.common import map_texts, utf8
 
 #: The cutting pattern whose borders ``word_ends`` gives.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
 #: Tokens above which a text is over the limit.
 LIMIT = 2048
 #: Symbols of a chunk at least, symbols before it that tell its entry state, chunks of a stream at most.
 CHUNK, BEFORE, LANES = 256, 24, 4096
 #: Cells of the transition table, four bytes each.
 MAX_CELLS = 3 << 23
-SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
 class Counter:
@@ -67,83 +65,13 @@ class Counter:
             form["normalizer"] and form["normalizer"]["type"] == "Sequence") else False
         special = sorted((t["content"] for t in form["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self._compile(model)
+        vocab, end, shown = model["vocab"], model["end_of_word_suffix"], byte_letters()
+        self.merges = Merges(model, [vocab[c] for c in shown] + [vocab[c + end] for c in shown])
         self._start([])
 
     def __reduce__(self):
         return Counter, (self.definition,)
 
-    # --- the vocabulary -------------------------------------------------------
-
-    def _compile(self, model: dict) -> None:
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
-        shown = _byte_letters()
-        self.first = [vocab[shown[b]] for b in range(256)] + [vocab[shown[b] + end] for b in range(256)]
-        n = max(vocab.values()) + 1
-        self.left, self.right, made = [-1] * n, [-1] * n, [0] * n
-        self.merges: dict[int, dict[int, int]] = defaultdict(dict)
-        for rank, pair in enumerate(model["merges"], 1):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            t = vocab[a + b]
-            if made[t]:
-                raise ValueError("two merges make the same token")
-            self.left[t], self.right[t], made[t] = vocab[a], vocab[b], rank
-            self.merges[vocab[a]][vocab[b]] = rank
-        self.made = made
-        symbol = {t: s for s, t in enumerate(self.first)}
-        self.children: list[dict[int, int]] = [{}]
-        self.token = [-1]
-        spelt: dict[int, tuple[int, ...]] = {}
-        for t in sorted(range(n), key=made.__getitem__):
-            if made[t]:
-                spelt[t] = spelt[self.left[t]] + spelt[self.right[t]]
-            elif t in symbol:
-                spelt[t] = (symbol[t],)
-            else:
-                continue  # added tokens
-            node = 0
-            for s in spelt[t]:
-                if s not in self.children[node]:
-                    self.children[node][s] = len(self.children)
-                    self.children.append({})
-                    self.token.append(-1)
-                node = self.children[node][s]
-            self.token[node] = t
-        self.right_edges: dict[int, list] = {}
-        self.left_edges: dict[int, list] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
-
-    def _stands_beside(self, a: int, b: int) -> bool:
-        """True if the encoding of the two tokens' text is just these two: no
-        merge of a part at the end of ``a`` with one at the start of ``b``
-        comes while both parts are there.  Of equal merges the left one is first."""
-        known = self.beside.get((a, b))
-        if known is not None:
-            return known
-        ends = self.right_edges.get(a)
-        if ends is None:
-            ends, part, until = [], a, 1 << 60
-            while part >= 0:
-                if part in self.merges:
-                    ends.append((self.merges[part], until))
-                part, until = self.right[part], self.made[part]
-            self.right_edges[a] = ends
-        starts = self.left_edges.get(b)
-        if starts is None:
-            starts, part, until = [], b, 1 << 60
-            while part >= 0:
-                starts.append((part, until))
-                part, until = self.left[part], self.made[part]
-            self.left_edges[b] = starts
-        known = True
-        for partners, until in ends:
-            for part, also in starts:
-                rank = partners.get(part)
-                if rank is not None and rank < until and rank <= also:
-                    known = False
-        self.beside[(a, b)] = known
-        return known
-
     # --- the transducer -------------------------------------------------------
 
     def _start(self, states: list[tuple]) -> None:
@@ -154,7 +82,7 @@ class Counter:
         self.columns = np.zeros(256, np.int32)  # of bytes; 0 is that of no symbol
         self.bytes: list[int] = []
         self.wide = 48
-        self.beside.clear()
+        self.merges.beside.clear()
         self._grow(np.zeros((0, self.wide * 2), np.int32))
 
     def _grow(self, old: np.ndarray) -> None:
@@ -177,14 +105,15 @@ class Counter:
     def _step(self, state: tuple, symbol: int) -> tuple[tuple, int]:
         """The state after ``symbol`` and the tokens emitted."""
         live, emitted, last = [], None, -1
+        children, token = self.merges.children, self.merges.token
         for node, before, fewer in state:
-            child = self.children[node].get(symbol)
+            child = children[node].get(symbol)
             if child is None:
                 continue
-            t = self.token[child]
-            if t >= 0 and emitted is None and (before < 0 or self._stands_beside(before, t)):
+            t = token[child]
+            if t >= 0 and emitted is None and (before < 0 or self.merges.stand_beside(before, t)):
                 emitted, last = 1 - fewer, t
-            if self.children[child]:
+            if children[child]:
                 live.append((child, before, fewer))
         return (*((c, b, f + emitted) for c, b, f in live), (0, last, 0)), emitted
 
@@ -326,17 +255,6 @@ class Counter:
         return counts
 
 
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary:
-    printable bytes for themselves, the others by the letters from 256 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    shown, other = [], 0
-    for b in range(256):
-        shown.append(chr(b if b in plain else 256 + other))
-        other += b not in plain
-    return shown
-
-
 _COMPILED: dict[int, Counter] = {}
 
 

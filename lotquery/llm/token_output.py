@@ -17,7 +17,6 @@ Spark writes the blocks as rows of a Parquet table: (part, block, n_tokens, blob
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import map_texts, released, shuffle_parts, stored
+from lotquery.llm.bpe import Tokens
+from lotquery.llm.common import map_texts, released, shuffle_parts, stored, utf8
 from lotquery.session import scratch_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
 LANES, LANE_IDS = 4096, 256
-#: Distinct pieces of text whose ids a task remembers, about.
-PIECES_KEPT = 150_000
 MAGIC = b"LQCM\x01"
 HEADER = "<5sxxxQIIIII"  # magic, ids, documents, lanes, vocabulary, CRC of ids, CRC of the rest
 
@@ -235,61 +233,17 @@ def decode_block(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return names, lengths, ids
 
 
-def _byte_letters() -> dict[int, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others
-    for the characters from 256 on."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    moved = [b for b in range(256) if b not in kept]
-    return {b: 256 + i for i, b in enumerate(moved)}
+_COMPILED: dict[int, Tokens] = {}
 
 
-class Pieces(dict):
-    """The ids of pieces as little-endian 32-bit integers, encoded at first use."""
-
-    def __init__(self, definition: str):
+def _tokens(definition: str) -> Tokens:
+    """The compiled tokenizer, kept by the Python worker for later tasks."""
+    key = hash(definition)
+    if key not in _COMPILED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece.isascii():  # of the characters below 33, plain texts hold these only
-            letters = piece.replace(" ", "\u0120").replace("\n", "\u010a").replace("\t", "\u0109").replace("\r", "\u010d")
-        else:
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-        tokens = self.model.tokenize(letters)
-        self[piece] = ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return ids
-
-
-class Ids:
-    """Token ids of whole texts.  The byte-level pre-tokeniser cuts a text into
-    words, numbers, marks and white space, and the model encodes each of these
-    by itself.  ``WORDS`` cuts as the pre-tokeniser does in texts of plain
-    characters, so each distinct piece goes to the library's model once; texts
-    with other characters or special tokens go to the library whole."""
-
-    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-    PLAIN = bytes([9, 10, 13, *range(32, 127)])
-    OTHER_LETTERS = re.compile(f"[{LETTERS}]*")
-    WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
-
-    def __init__(self, definition: str):
-        self.known = Pieces(definition)
-        self.tokenizer = self.known.tokenizer
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def _one(self, text: str) -> bytes:
-        odd = text.encode().translate(None, self.PLAIN).decode()
-        if odd and not self.OTHER_LETTERS.fullmatch(odd) or "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > PIECES_KEPT:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, self.WORDS.findall(text)))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        return list(map(self._one, texts))
+        _COMPILED.clear()
+        _COMPILED[key] = Tokens(definition)
+    return _COMPILED[key]
 
 
 def _write(definition, end_id: int, block_ids: int):
@@ -297,23 +251,21 @@ def _write(definition, end_id: int, block_ids: int):
         made, held, size, block = None, [], 0, 0
 
         def done():
-            lengths = np.array([len(x) // 4 for _, x in held], np.int64)
-            ids = np.frombuffer(b"".join(x for _, x in held), np.uint32).astype(np.int64)
+            lengths = np.array([len(x) + 1 for _, x in held], np.int64)
+            ends = np.array([end_id], np.uint32)
+            ids = np.concatenate([y for _, x in held for y in (x, ends)]).astype(np.int64)
             blob = encode_block([d for d, _ in held], lengths, ids, max(made.size, end_id + 1))
             return pa.record_batch([pa.array([block], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())],
                                    names=["block", "n_tokens", "blob"])
 
         for batch in batches:
-            made = made or Ids(definition.value)
-            ends = np.uint32(end_id).tobytes()
-            ids = made.of([t or "" for t in batch.column("text").to_pylist()])
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                own += ends
-                if held and size + len(own) // 4 > block_ids:
+            made = made or _tokens(definition.value)
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), made.of(utf8(batch)), strict=True):
+                if held and size + len(own) + 1 > block_ids:
                     yield done()
                     held, size, block = [], 0, block + 1
                 held.append((doc_id, own))
-                size += len(own) // 4
+                size += len(own) + 1
         if held:
             yield done()
     return run

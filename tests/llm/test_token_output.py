@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from lotquery.llm import bpe
 from lotquery.llm import token_output as to
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,15 +44,37 @@ ODD = ["", " ", "  a  b\n\n c\t\td ", "x\n y", "<|endoftext|> a", "a\x1cb c", "
        "½ ² Ⅷ ª b　c  d", "naïve ſtraße ǅ 日本語 ٣٤ 🙂🙂 é", "\x85x\x00 \x7f", "a_b__c d'’s 'S 're"]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab é'sSt1_.!\n\t  ½²日é\x1f\x85<|")))
-def test_ids_are_the_library_s(text):
-    made = IDS.of([text])[0]
-    assert np.frombuffer(made, np.uint32).tolist() == IDS.tokenizer.encode(text, add_special_tokens=False).ids
+with open(PATH, encoding="utf-8") as _file:
+    DEFINITION = _file.read()
+IDS = bpe.Tokens(DEFINITION)
 
 
-with open(PATH, encoding="utf-8") as _file:
-    IDS = to.Ids(_file.read())
+def library(texts):
+    return [e.ids for e in IDS.library.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab \u00e9'sSt1_.!\n\t\u3000\u2003\u00bd\u00b2\u65e5\x1f\x85<|velmr")), max_size=4))
+def test_ids_are_the_library_s(texts):
+    assert [x.tolist() for x in IDS.of([t.encode() for t in texts])] == library(texts)
+
+
+@pytest.mark.parametrize("cells, chunk, before", [(1 << 24, 256, 24), (1 << 19, 64, 24), (1 << 24, 5, 1), (1 << 20, 16, 0)])
+def test_ids_with_full_tables_and_wrong_guesses(spark, monkeypatch, cells, chunk, before):
+    for name, value in (("MAX_CELLS", cells), ("CHUNK", chunk), ("BEFORE", before)):
+        monkeypatch.setattr(bpe, name, value)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += [*ODD, "x" * 20_000 + " " + "ab" * 9_999, "=" * 5_000 + "\n" * 3_000, "<|endoftext|>" * 3 + "\u00e9" * 2_000]
+    made = bpe.Tokens(DEFINITION).of([t.encode() for t in texts])
+    assert [x.tolist() for x in made] == library(texts)
+
+
+def test_other_kinds_go_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        other = bpe.Tokens(file.read())
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in ("Some words", "")]
+    assert not other.fits and [x.tolist() for x in other.of([b"Some words", b""])] == want
 
 
 def test_documents(spark, monkeypatch):
