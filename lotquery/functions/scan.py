@@ -22,16 +22,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLK = "_lq_blk"
-MAX_BLOCKS = 1024
+#: Accuracy of the quantiles that cut blocks, at most (the size of the sketch grows with it).
+MAX_ACCURACY = 1_000_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` for an
-    intermediate that a plan reuses several times: computed once, and a lost
-    executor re-reads it instead of recomputing the lineage."""
-    from lotquery.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store an intermediate that a plan reads several times as Parquet below the
+    shared ``spark.checkpoint.dir``: computed once, read with column pruning, and
+    a lost executor re-reads files instead of recomputing the lineage."""
+    from lotquery.session import scratch_path
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def day_block(ts: str | Column) -> Column:
@@ -45,20 +47,26 @@ BlockOf = Callable[[DataFrame], DataFrame]
 def quantile_block(df: DataFrame, value: Column, blocks: int | None = None) -> BlockOf:
     """Blocks that follow row counts, not values: a row's block is the number of
     approximate quantiles of ``value`` in ``df`` that lie below its own value.
-    About as many blocks as shuffle partitions (``MAX_BLOCKS`` at most), however
-    dense or sparse the values are; nulls are in block 0.  The quantiles are one
-    scalar subquery.  Returns a function that adds the block column."""
-    n = blocks or min(MAX_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    As many blocks as shuffle partitions, however dense or sparse the values
+    are; nulls are in block 0.  The quantiles are one scalar subquery; a row looks
+    at every w-th of them and then at the w that its value lies among, w being
+    about the root of their number.  Returns a function that adds the block column."""
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n <= 1:
         return lambda d: d.withColumn(_BLK, F.lit(0))
+    wide = max(1, round(n ** 0.5))
     parts = F.array(*[F.lit(i / n) for i in range(1, n)])
-    bounds = df.agg(F.percentile_approx(value.cast("double"), parts, 10 * n)).scalar()
+    fine = F.coalesce(F.percentile_approx(value.cast("double"), parts, min(10 * n, MAX_ACCURACY)), F.array().cast("array<double>"))
+    bounds = df.agg(fine.alias("fine")).select(F.struct(
+        "fine", F.filter("fine", lambda b, i: (i + 1) % wide == 0).alias("coarse"))).scalar()
 
     def add(d: DataFrame) -> DataFrame:
-        d = d.withColumns({"_lq_bounds": F.coalesce(bounds, F.array().cast("array<double>")),
-                           "_lq_value": value.cast("double")})
-        below = F.size(F.filter("_lq_bounds", lambda b: b < F.col("_lq_value")))
-        return d.withColumn(_BLK, F.when(F.col("_lq_value").isNull(), 0).otherwise(below)).drop("_lq_bounds", "_lq_value")
+        d = d.withColumns({"_lq_bounds": bounds, "_lq_value": value.cast("double")})
+        below = lambda array: F.size(F.filter(array, lambda b: b < F.col("_lq_value")))
+        d = d.withColumn("_lq_group", below(F.col("_lq_bounds.coarse")) * wide)
+        found = F.col("_lq_group") + below(F.slice(F.col("_lq_bounds.fine"), F.col("_lq_group") + 1, F.lit(wide)))
+        return (d.withColumn(_BLK, F.when(F.col("_lq_value").isNull(), 0).otherwise(found))
+                .drop("_lq_bounds", "_lq_value", "_lq_group"))
     return add
 
 

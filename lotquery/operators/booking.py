@@ -1,29 +1,22 @@
 """Allocation, booking and registration: J8, J9, J10, W4 and S3.
 
 J9 counts by free gaps instead of joining requests to reservations: no pair of
-a request and a slot is ever a row.  J10's interval join keeps an equi key next
-to the range condition: each reservation is split into the days it touches, the
-equi-join runs on (vehicle, day) and the exact test filters the matches.
+a request and a slot is ever a row.  J10 sweeps each vehicle's reservations and
+arrivals in time order, in two-level scans: a row for each, however long.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
 from lotquery.functions.scan import cut_lineage, ordered_scan, quantile_block
+from lotquery.sources.sinks import CommitConflict, commit_staged, newest_commit, read_committed
 
 UNAVAILABLE = ("Maintenance", "Locked")
 
 
-def _buckets(start: Column, end: Column, unit: str) -> Column:
-    """Every ``unit`` bucket start touched by [start, end) (end exclusive)."""
-    step = F.expr(f"INTERVAL 1 {unit.upper()}")
-    last = F.date_trunc(unit, F.greatest(start, end - F.expr("INTERVAL 1 MICROSECOND")))
-    return F.explode(F.sequence(F.date_trunc(unit, start), last, step))
-
-
 def assignable_slots(parking_slot: DataFrame, slot_type_map: DataFrame, vehicle_type: DataFrame) -> DataFrame:
     """Per vehicle type and zone, Empty slots of a compatible type; types
     without any such slot appear once with a null zone and 0."""
@@ -114,16 +107,28 @@ def bookable_slots(requests: DataFrame, parking_slot: DataFrame, slot_type_map:
 def arrival_booking(arrivals: DataFrame, reservation: DataFrame) -> DataFrame:
     """Each arrival with the confirmed reservation of the same vehicle
     whose window [from, to) contains the arrival time (earliest start, then
-    lowest id), else a walk-in.  The equi key is (vehicle, day bucket)."""
-    res = (reservation.filter(F.col("state") == "confirmed")
-           .select("reservation_id", "vehicle_id", "from_time", "to_time",
-                   _buckets(F.col("from_time"), F.col("to_time"), "day").alias("bucket")))
-    arr = arrivals.select("arrival_id", "vehicle_id", "arrival_time",
-                          F.date_trunc("day", "arrival_time").alias("bucket"))
-    hits = (arr.join(res, ["vehicle_id", "bucket"])
-            .filter((F.col("from_time") <= F.col("arrival_time")) & (F.col("arrival_time") < F.col("to_time")))
-            .groupBy("arrival_id")
-            .agg(F.min_by("reservation_id", F.struct("from_time", "reservation_id")).alias("reservation_id")))
+    lowest id), else a walk-in.
+
+    A sweep: in the order of starts, a reservation is the earliest open one from
+    the time when all before it have ended, until its own end; one that ends
+    before that never is.  These turns of a vehicle don't overlap, so an
+    arrival belongs to the last turn that began by its time, if that still
+    goes on.  Two ordered scans, a row for each reservation however long it is."""
+    res = (reservation.filter((F.col("state") == "confirmed") & (F.col("from_time") < F.col("to_time")) & F.col("vehicle_id").isNotNull())
+           .select("vehicle_id", "reservation_id", X.micros("from_time").alias("a"), X.micros("to_time").alias("b")))
+    turns = (ordered_scan(res, ["vehicle_id"], ["a", "reservation_id"], quantile_block(res, F.col("a")), runs=[("ended", "max", "b", False)])
+             .withColumn("turn", F.greatest("a", "ended"))  # a null is passed over
+             .filter(F.col("b") > F.col("turn")))
+    came = arrivals.select("vehicle_id", X.micros("arrival_time").alias("t"), F.lit(1).alias("kind"), F.col("arrival_id").alias("id"),
+                           F.lit(None).cast("struct<t: bigint, id: bigint, b: bigint>").alias("last"))
+    # At equal times a turn comes before an arrival.
+    events = came.filter(F.col("vehicle_id").isNotNull() & F.col("t").isNotNull()).unionByName(
+        turns.select("vehicle_id", F.col("turn").alias("t"), F.lit(0).alias("kind"), F.col("reservation_id").alias("id"),
+                     F.struct(F.col("turn").alias("t"), F.col("reservation_id").alias("id"), "b").alias("last")))
+    swept = ordered_scan(events, ["vehicle_id"], ["t", "kind", "id"], quantile_block(came, F.col("t")),
+                         runs=[("open", "max", "last", True)])
+    hits = (swept.filter((F.col("kind") == 1) & (F.col("open.b") > F.col("t")))
+            .groupBy(F.col("id").alias("arrival_id")).agg(F.min("open.id").alias("reservation_id")))
     return (arrivals.select("arrival_id", "vehicle_id", "arrival_time").join(hits, "arrival_id", "left")
             .select("arrival_id", "vehicle_id", "arrival_time", "reservation_id",
                     F.col("reservation_id").isNotNull().alias("is_booked")))
@@ -210,3 +215,28 @@ def registration_outputs(outcomes: DataFrame) -> dict[str, DataFrame]:
         "new_vehicle": ok.select("vehicle_id", "customer_id", "vehicle_type_id", "license_plate"),
         "rejects": outcomes.filter(F.col("outcome") != "registered").select("request_id", "outcome"),
     }
+
+
+def register_batch(spark: SparkSession, requests: DataFrame, customer: DataFrame, vehicle: DataFrame,
+                   vehicle_type: DataFrame, root: str, attempts: int = 20) -> dict[str, str]:
+    """S3 as a transaction: register ``requests`` on top of the base tables and
+    all batches committed under ``root``, and commit the outcome as the next batch.
+
+    Batches may run at the same time.  Each computes its keys and checks its
+    plates against the commits it has seen, n of them; only one can make commit
+    n + 1, which reserves its key range and plates.  The others see the newer
+    state and compute again, so keys and plates stay unique.  Returns the paths
+    of the committed outputs."""
+    for _ in range(attempts):
+        seen = newest_commit(spark, root)
+        held = {"new_customer": customer.select("customer_id"), "new_vehicle": vehicle.select("vehicle_id", "license_plate")}
+        for name, base in held.items():
+            new = read_committed(spark, root, name, seen)
+            if new is not None:
+                held[name] = base.unionByName(new.select(*base.columns))
+        outcomes = register_drivers(requests, held["new_customer"], held["new_vehicle"], vehicle_type)
+        try:
+            return commit_staged(spark, registration_outputs(outcomes), root, seen)
+        except CommitConflict:
+            continue
+    raise CommitConflict(f"no commit under {root} in {attempts} attempts")

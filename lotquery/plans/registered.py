@@ -887,6 +887,8 @@ from lotquery.session import scratch_path  # noqa: E402
 from lotquery.streaming import live  # noqa: E402
 
 ONCE = {"availableNow": True}
+#: Files of a source that a micro-batch takes at most.
+FILES_PER_TRIGGER = 256
 
 
 def _log_stream(spark, t, name):
@@ -936,7 +938,7 @@ FROM tr WHERE prev_id IS NOT NULL AND NOT {_LEGAL}
 def _live_transition_check(spark, sf_dir, t):
     """Illegal moves (and late events) over the event stream."""
     root = scratch_path(spark, "live_transition_check")
-    events = live.derived_stream(spark, "pk_slot_event", live.event_stream(spark, sf_dir))
+    events = live.derived_stream(spark, "pk_slot_event", live.event_stream(spark, sf_dir, FILES_PER_TRIGGER))
     live.run(live.live_transition_check(events, root, ONCE, live.default_state_partitions(spark)))
     return live.transition_alerts(spark, root)
 
@@ -944,7 +946,7 @@ def _live_transition_check(spark, sf_dir, t):
 @query("overstay_alerts", f"""
 WITH e AS (SELECT ticket_id, action_time FROM pk_parking_log WHERE action = 'entry'),
 x AS (SELECT ticket_id, action_time FROM pk_parking_log WHERE action = 'exit'),
-w AS (SELECT least((SELECT max(action_time) FROM e), (SELECT max(action_time) FROM x)) - INTERVAL 1 HOUR AS wm)
+w AS (SELECT max(action_time) - INTERVAL 1 HOUR AS wm FROM pk_parking_log)
 SELECT e.ticket_id, e.action_time AS entry_time, e.action_time + INTERVAL {MAX_STAY} MINUTE AS deadline, 'overstay' AS kind
 FROM e, w
 WHERE e.action_time + INTERVAL {MAX_STAY} MINUTE < w.wm
@@ -996,3 +998,27 @@ def _lockout_alerts(spark, sf_dir, t):
     auth = live.derived_stream(spark, "pk_auth_event", live.event_stream(spark, sf_dir))
     live.run(live.lockout_alerts(auth, root, LOCKOUT_N, LOCKOUT_MINUTES, ONCE, live.default_state_partitions(spark)))
     return live.lockout_table(spark, root)
+
+
+LOCKOUT_SLIDE = 5
+
+
+@query("lockout_bursts", f"""
+WITH f AS (SELECT staff_id, time_bucket(INTERVAL {LOCKOUT_SLIDE} MINUTE, event_time) AS last FROM pk_auth_event WHERE action = 'login_failed'),
+w AS (SELECT staff_id, window_start, window_start + INTERVAL {LOCKOUT_MINUTES} MINUTE AS window_end, COUNT(*) AS failures
+      FROM (SELECT staff_id, unnest(generate_series(last - INTERVAL {LOCKOUT_MINUTES - LOCKOUT_SLIDE} MINUTE, last, INTERVAL {LOCKOUT_SLIDE} MINUTE)) AS window_start FROM f)
+      GROUP BY ALL HAVING COUNT(*) >= {LOCKOUT_N}),
+g AS (SELECT *, CASE WHEN window_start < max(window_end) OVER (PARTITION BY staff_id ORDER BY window_start
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS first FROM w),
+h AS (SELECT *, sum(first) OVER (PARTITION BY staff_id ORDER BY window_start) AS burst FROM g)
+SELECT staff_id, min(window_start) AS burst_start, max(window_end) AS burst_end, CAST(COUNT(*) AS BIGINT) AS windows,
+       CAST(max(failures) AS BIGINT) AS most_failures
+FROM h GROUP BY staff_id, burst
+""", raw=True)
+def _lockout_bursts(spark, sf_dir, t):
+    """R6 with sliding windows, merged to one alert for each burst."""
+    root = scratch_path(spark, "lockout_bursts")
+    auth = live.derived_stream(spark, "pk_auth_event", live.event_stream(spark, sf_dir))
+    live.run(live.lockout_alerts(auth, root, LOCKOUT_N, LOCKOUT_MINUTES, ONCE, live.default_state_partitions(spark),
+                                 slide_minutes=LOCKOUT_SLIDE))
+    return live.lockout_bursts(live.lockout_table(spark, root))

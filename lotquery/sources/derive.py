@@ -118,7 +118,7 @@ FROM {events} e JOIN {pk_vehicle} v ON v.vehicle_id = e.user_id + 1 WHERE e.even
 """,
     "pk_booking_requests": """
 SELECT event_id AS request_id, CAST(event_id % 3 + 1 AS INT) AS vehicle_type_id, ts AS from_time, ts + INTERVAL '2' HOUR AS to_time
-FROM {events} WHERE event_type = 'view' AND event_id % 10 = 0
+FROM {events} WHERE event_type = 'view'
 """,
     "pk_scans": """
 SELECT event_id AS scan_id, 'QR-' || CAST(event_id * 2 AS STRING) AS qr_code, ts AS scan_time FROM {events} WHERE event_type = 'purchase'

@@ -94,7 +94,6 @@ def test_lockout_update_mode_over_batches_equals_batch_twin(spark, small_tables,
     root = tempfile.mkdtemp(prefix="lotquery-r6b-")
     auth = live.derived_stream(spark, "pk_auth_event", live.event_stream(spark, split_events, 1))
     live.run(live.lockout_alerts(auth, root, 1, 15, {"availableNow": True}))
-    assert len(live._versions(spark, f"{root}/current")) == 2
     got = sorted(map(tuple, live.lockout_table(spark, root).select(
         "staff_id", "window_start", "window_end", "failures").collect()))
     want = sorted(map(tuple, live.lockout_windows(small_tables.auth_event, 1, 15).collect()))
@@ -163,7 +162,7 @@ def test_volumes_over_batches_equal_batch_counts(spark, small_tables):
     got = sorted(map(tuple, live.volumes_table(spark, root).collect()))
     want = log.groupBy(F.date_trunc("hour", "action_time").alias("w"), "action").agg(F.count("*").alias("n"))
     assert len(days) > 2 and got == sorted(map(tuple, want.collect()))
-    assert len(live._versions(spark, f"{root}/current")) == 2
+    assert len(live._versions(spark, root)) == 1
 
 
 def test_overstay_over_batches(spark):
@@ -192,21 +191,160 @@ def test_grid_is_published_before_any_event(spark, small_tables):
 
 def test_an_unreadable_version_fails_the_batch(spark):
     root = tempfile.mkdtemp(prefix="lotquery-bad-")
-    write = live._merge_version(["id"], f"{root}/current")
-    write(spark.range(3), 0)
+    live._write_version(spark.range(3), f"{root}/current", 0)
     for name in os.listdir(f"{root}/current/batch=0"):
         if name.endswith(".parquet"):
             with open(f"{root}/current/batch=0/{name}", "wb") as file:
                 file.write(b"no parquet")
     with pytest.raises(Exception):
-        write(spark.range(5), 1)
+        live._previous(spark, f"{root}/current", 1).collect()
     assert live._previous(spark, f"{root}/nothing", 5) is None
 
 
-def test_merge_is_idempotent_and_prunes(spark):
-    root = f"{tempfile.mkdtemp(prefix='lotquery-merge-')}/current"
-    write = live._merge_version(["id"], root)
-    for batch in (0, 1, 2, 2, 3):
-        write(spark.range(batch, batch + 2).withColumn("n", F.lit(batch)), batch)
-    assert live._versions(spark, root) == [2, 3]
-    assert sorted(map(tuple, live.latest_version(spark, root).collect())) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)]
+def _hours(spark, first, last, n):
+    return spark.range(first, last).select("id", F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("t"), F.lit(n).alias("n"))
+
+
+def test_merge_rewrites_touched_periods_only(spark):
+    root = f"{tempfile.mkdtemp(prefix='lotquery-merge-')}"
+    write = live._merge_periods(["id"], "t", "day", root)
+    table = lambda: sorted((r.id, r.n) for r in live._current(spark, root, "id long, t timestamp_ntz, n int").collect())
+
+    def stored():
+        return {f: sorted(os.listdir(f"{root}/current/{f}")) for f in os.listdir(f"{root}/current") if f.startswith("period=")}
+    write(_hours(spark, 0, 24 * 10, 0), 0)
+    before = stored()
+    assert len(before) == 10
+    for _ in range(2):  # a batch that runs again gives the same
+        write(_hours(spark, 24 * 9 + 20, 24 * 10 + 5, 1), 1)
+        assert table() == [(i, int(i >= 24 * 9 + 20)) for i in range(24 * 10 + 5)]
+    after = stored()
+    assert {f for f in before if before[f] == after[f]} == set(sorted(before)[:9]) and len(after) == 11
+    assert live._versions(spark, root) == [1]
+
+
+def test_a_batch_that_failed_half_way_loses_nothing(spark):
+    """After the merged periods were stored, one of them is gone from the table."""
+    import shutil
+
+    root = f"{tempfile.mkdtemp(prefix='lotquery-merge-')}"
+    write = live._merge_periods(["id"], "t", "day", root)
+    write(_hours(spark, 0, 24, 0), 0)
+    write(_hours(spark, 20, 30, 1), 1)
+    shutil.rmtree(f"{root}/current/period=1970-01-01")
+    write(_hours(spark, 20, 30, 1), 1)
+    assert live._current(spark, root, "id long, t timestamp_ntz, n int").count() == 30
+
+
+def test_a_hot_slot_is_not_in_one_task(spark):
+    """Half of all events belong to one slot: its rows are scanned in blocks."""
+    events = spark.range(40_000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 50 + 2).alias("slot_id"),
+        F.timestamp_seconds(F.col("id") / 8).cast("timestamp_ntz").alias("event_time"),  # little more than an hour
+        F.element_at(F.array(*[F.lit(x) for x in ("Empty", "Occupied", "Locked")]), (F.col("id") % 7 % 3 + 1).cast("int")).alias("status"))
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        alerts, last = live.check_moves(events, None)
+        per_task = [r["count"] for r in alerts.groupBy(F.spark_partition_id()).count().collect()]
+        want = win.slot_transitions(events).filter(~F.col("is_legal"))
+        assert sum(per_task) == want.count() > 8_000
+        hot = want.filter("slot_id = 1").count()
+        assert max(per_task) < hot / 3
+        assert last.count() == events.select("slot_id").distinct().count()
+        got = alerts.select("event_id", "slot_id", "event_time", "from_status", "to_status")
+        assert got.exceptAll(want.drop("is_legal")).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+LOG = "log_id long, ticket_id long, staff_id long, action string, action_time timestamp_ntz"
+
+
+def _overstays(spark, base, batches, longest=60):
+    """Alerts of R4 after each batch of (ticket, action, minute) rows."""
+    import datetime as dt
+
+    t0, seen = dt.datetime(2024, 1, 1), []
+    for k, rows in enumerate(batches):
+        _write(spark, f"{base}/log", [(100 * k + i, r[0], 1, r[1], t0 + dt.timedelta(minutes=r[2])) for i, r in enumerate(rows)], LOG)
+        live.run(live.overstay_alerts(spark.readStream.schema(LOG).parquet(f"{base}/log"), f"{base}/run", longest, {"availableNow": True}))
+        seen.append(sorted(r.ticket_id for r in spark.read.parquet(f"{base}/run/out").collect()))
+    return seen
+
+
+def test_overstay_exit_that_comes_late_clears_the_session(spark):
+    """Ticket 1's exit is told after later events and after its own deadline in
+    event time, but before the watermark passed it; ticket 2's exit is told
+    before its entry; ticket 3 leaves too late; ticket 4 never leaves."""
+    base = tempfile.mkdtemp(prefix="lotquery-r4b-")
+    seen = _overstays(spark, base, [
+        [(1, "entry", 0), (2, "exit", 30), (3, "entry", 2), (9, "entry", 100), (9, "exit", 101)],
+        [(1, "exit", 50), (2, "entry", 41), (4, "entry", 70), (3, "exit", 90)],
+        [(2, "exit", 45), (8, "entry", 150), (8, "exit", 160)],
+        [(7, "entry", 1000), (7, "exit", 1001)]])
+    assert seen == [[], [], [3], [3, 4]]
+
+
+def test_overstay_state_is_empty_after_the_last_session(spark):
+    base = tempfile.mkdtemp(prefix="lotquery-r4c-")
+    _overstays(spark, base, [[(1, "entry", 0), (2, "entry", 1), (2, "exit", 5), (3, "exit", 9)], [(5, "entry", 1000), (5, "exit", 1001)]])
+    # the source's end moves the watermark past everything but ticket 5, whose two rows met in one batch
+    for name in ("rows", "timer"):
+        state = spark.read.format("statestore").option("stateVarName", name).load(f"{base}/run/_checkpoint")
+        assert state.count() == 0
+
+
+def test_expired_reservation_frees_its_slot_in_the_grid(spark):
+    """R5's expiries and the slots' own events in one stream, over batches."""
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    base = tempfile.mkdtemp(prefix="lotquery-r15-")
+    rs = "reservation_id long, slot_id long, vehicle_id long, from_time timestamp_ntz, to_time timestamp_ntz, state string"
+    ars = "arrival_id long, arrival_time timestamp_ntz, vehicle_id long, license_plate string, vehicle_type_id int"
+    slots = spark.createDataFrame([(1, 1, "A-01", "Sedan", "Empty"), (2, 1, "A-02", "Sedan", "Empty"), (3, 1, "A-03", "Sedan", "Empty"),
+                                   (4, 1, "A-04", "Sedan", "Occupied")], "slot_id long, area_id int, slot_code string, slot_type string, status string")
+    batches = [  # slot 1: expires after 40 hours; slot 2: its car comes; slot 3: occupied again after its expiry
+        ([(1, 1, 1, at(0), at(40), "confirmed"), (2, 2, 2, at(0), at(40), "confirmed"), (3, 3, 3, at(0), at(2), "confirmed")],
+         [(10, at(1), 99, "p", 1)],
+         [(1, at(0), 1, "Occupied"), (2, at(0), 2, "Occupied"), (3, at(0), 3, "Occupied")]),
+        ([(4, 9, 9, at(30), at(31), "confirmed")], [(11, at(26), 2, "p", 1)], [(4, at(30), 3, "Occupied")]),
+        ([(5, 9, 9, at(100), at(101), "confirmed")], [(12, at(100), 98, "p", 1)], [(5, at(100), 9, "Empty")]),
+    ]
+    once, grids = {"availableNow": True}, []
+    for res, arr, events in batches:
+        _write(spark, f"{base}/res", res, rs)
+        _write(spark, f"{base}/arr", arr, ars)
+        _write(spark, f"{base}/events", events, live.CHANGES_SCHEMA)
+        live.run(live.reservation_expiry(spark.readStream.schema(rs).parquet(f"{base}/res"),
+                                         spark.readStream.schema(ars).parquet(f"{base}/arr"), f"{base}/r5", 24, once))
+        live.run(live.live_expiries(spark, f"{base}/r5", f"{base}/expiries", once))
+        changes = live.status_changes(spark.readStream.schema(live.CHANGES_SCHEMA).parquet(f"{base}/events"), f"{base}/expiries")
+        live.run(live.live_slot_grid(changes, slots, f"{base}/r1", once))
+        grid = live.latest_version(spark, f"{base}/r1/grid").filter("row = 0")
+        grids.append([r.occ for r in grid.orderBy("col").collect()][:4])
+    assert grids[0] == [1, 1, 1, 1] and grids[1][0] == 1
+    assert grids[2] == [0, 1, 1, 1]
+
+
+def test_lockout_bursts_stream_equals_batch(spark, small_tables, split_events):
+    root = tempfile.mkdtemp(prefix="lotquery-r6c-")
+    auth = live.derived_stream(spark, "pk_auth_event", live.event_stream(spark, split_events, 1))
+    live.run(live.lockout_alerts(auth, root, 1, 60, {"availableNow": True}, slide_minutes=20))
+    got = sorted(map(tuple, live.lockout_bursts(live.lockout_table(spark, root)).collect()))
+    windows = live.lockout_windows(small_tables.auth_event, 1, 60, 20)
+    assert got == sorted(map(tuple, live.lockout_bursts(windows).collect()))
+    rows = sorted(map(tuple, windows.collect()))
+    want = []
+    for staff, start, end, failures in rows:  # brute force
+        if want and want[-1][0] == staff and start < want[-1][2]:
+            want[-1] = (staff, want[-1][1], max(end, want[-1][2]), want[-1][3] + 1, max(failures, want[-1][4]))
+        else:
+            want.append((staff, start, end, 1, failures))
+    assert got == want and any(r[3] > 1 for r in got)
