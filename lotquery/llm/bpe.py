@@ -1,6 +1,6 @@
-"""Byte-pair vocabularies as automata over symbols (bytes).
+"""Byte-pair vocabularies: as automata over symbols (bytes), and merged directly.
 
-The tokens of a text's prefix are known from the last of them alone: it begins
+In ``Merges``, the tokens of a text's prefix are known from the last of them alone: it begins
 where a shorter prefix ends.  Two tokens may stand beside each other if no merge
 across their border comes before those that built them, and just one token
 fits at the end of each prefix.  So a state needs, for each place from which a
@@ -15,12 +15,12 @@ from collections import defaultdict
 
 import numpy as np
 
-#: Symbols of a chunk at least, symbols before it that tell its entry state, chunks of a stream at most.
-CHUNK, BEFORE, LANES = 256, 24, 4096
-#: Cells of the table of transitions, four bytes each.
-MAX_CELLS = 1 << 24
-#: Added to the column of a byte that begins a word.
-BEGIN = 512
+from lotquery.llm.common import scramble
+
+#: Bytes of a word that is merged here; longer ones go to the library.
+LONGEST = 64
+#: Words remembered by a worker, about.
+KNOWN = 300_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: What a quote mark and these letters are by themselves.
 SHORT, LONG = ("s", "t", "m", "d"), ("re", "ve", "ll")
@@ -111,136 +111,195 @@ class Merges:
         return known
 
 
-def chunks(stream: np.ndarray, least: int, before: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stream of columns cut into chunks that run in step: the columns just
-    before each chunk, and the chunks, a lane each; column 0 fills up."""
-    size = max(least, -(-len(stream) // most))
-    n = -(-len(stream) // size)
-    padded = np.zeros(before + n * size, np.int32)
-    padded[before:before + len(stream)] = stream
-    ahead = padded[np.arange(before)[:, None] + np.arange(n) * size]
-    return ahead, np.ascontiguousarray(padded[before:].reshape(n, size).T)
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of ``size`` numbers, for all of them in a row."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+class Pairs:
+    """Rank of the merge of two tokens, for arrays of pairs: a hash table, and a
+    small second one without collisions for the pairs that collide in the first."""
+
+    BITS, MORE = 20, 18
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, left: np.ndarray, right: np.ndarray) -> None:
+        codes = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        ranks = np.arange(len(codes), dtype=np.int32)
+        self.tables = []
+        dice = np.random.default_rng(3)
+        for bits in (self.BITS, self.MORE):
+            while True:
+                factor = np.uint64(dice.integers(1 << 62) * 2 + 1)
+                slot = codes * factor >> np.uint64(64 - bits)
+                _, first = np.unique(slot, return_index=True)
+                if bits == self.BITS or len(first) == len(codes):
+                    break
+            held, rank = np.full(1 << bits, np.uint64(2**64 - 1)), np.full(1 << bits, self.NONE)
+            held[slot[first]], rank[slot[first]] = codes[first], ranks[first]
+            self.tables.append((factor, np.uint64(64 - bits), held, rank))
+            rest = np.ones(len(codes), bool)
+            rest[first] = False
+            codes, ranks = codes[rest], ranks[rest]
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        codes = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        out = np.full(len(codes), self.NONE)
+        for factor, shift, held, rank in self.tables:
+            slot = codes * factor >> shift
+            hit = held[slot] == codes
+            out[hit] = rank[slot[hit]]
+        return out
+
+
+class Known:
+    """Words of earlier batches with their tokens, by the words' hashes; a hit
+    counts only if the bytes agree.  At most about KNOWN words, the last used."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        # places in ``data`` and ``tokens``, and the batch of the last use
+        self.start, self.size, self.begin, self.count, self.used = (np.zeros(0, np.int64) for _ in range(5))
+        self.data, self.tokens, self.batch = np.zeros(0, np.uint8), np.zeros(0, np.int32), 0
+
+    def words(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of distinct words (ascending hashes) and their numbers;
+        ``make(data, start, size)`` gives those of words not known yet."""
+        self.batch += 1
+        place = np.searchsorted(self.hashes, hashes)
+        hit = np.zeros(len(hashes), bool)
+        if len(self.hashes):
+            near = np.minimum(place, len(self.hashes) - 1)
+            hit = (self.hashes[near] == hashes) & (self.size[near] == size)
+            mine = np.flatnonzero(hit)
+            if len(mine):
+                other = data[_spread(start[mine], size[mine])] != self.data[_spread(self.start[near[mine]], size[mine])]
+                wrong = np.add.reduceat(other.astype(np.int32), np.cumsum(size[mine]) - size[mine]) > 0
+                hit[mine[wrong]] = False
+        own, fresh = near[hit] if len(self.hashes) else place[:0], ~hit
+        made, counts = make(data, start[fresh], size[fresh]) if fresh.any() else (self.tokens[:0], self.count[:0])
+        self.used[own] = self.batch
+        every = np.zeros(len(hashes), np.int64)
+        every[hit], every[fresh] = self.count[own], counts
+        begin = np.cumsum(every) - every
+        out = np.empty(int(every.sum()), np.int32)
+        out[_spread(begin[hit], every[hit])] = self.tokens[_spread(self.begin[own], every[hit])]
+        out[_spread(begin[fresh], counts)] = made
+        at = place[fresh]
+        added = (start[fresh], size[fresh], counts)
+        self.hashes = np.insert(self.hashes, at, hashes[fresh])
+        self.start = np.insert(self.start, at, len(self.data) + np.cumsum(added[1]) - added[1])
+        self.size = np.insert(self.size, at, added[1])
+        self.begin = np.insert(self.begin, at, len(self.tokens) + np.cumsum(counts) - counts)
+        self.count = np.insert(self.count, at, counts)
+        self.used = np.insert(self.used, at, self.batch)
+        self.data = np.concatenate([self.data, data[_spread(added[0], added[1])]])
+        self.tokens = np.concatenate([self.tokens, made])
+        if len(self.hashes) > KNOWN:
+            keep = np.argsort(-self.used, kind="stable")[:KNOWN // 2]
+            keep.sort()
+            self.data = self.data[_spread(self.start[keep], self.size[keep])]
+            self.tokens = self.tokens[_spread(self.begin[keep], self.count[keep])]
+            self.hashes, self.size, self.count, self.used = self.hashes[keep], self.size[keep], self.count[keep], self.used[keep]
+            self.start, self.begin = np.cumsum(self.size) - self.size, np.cumsum(self.count) - self.count
+        return out, every
 
 
 class Tokens:
     """Token ids of texts by a byte-level BPE that cuts texts into words,
-    numbers, marks and white space, as ``begins`` has it."""
+    numbers, marks and white space, as ``begins`` has it.  The distinct words of a
+    batch are merged side by side, in rounds: in each word all places of its
+    lowest-ranked pair.  Words above LONGEST bytes go to the library."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
         form = json.loads(definition)
         model, pre = form["model"], form["pre_tokenizer"]
-        self.fits = (model["type"] == "BPE" and not model["end_of_word_suffix"] and not model["continuing_subword_prefix"]
-                     and not model["dropout"] and not model["ignore_merges"] and not form["normalizer"] and not form["post_processor"]
-                     and pre and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"])
+        self.fits = bool(model["type"] == "BPE" and not model["end_of_word_suffix"] and not model["continuing_subword_prefix"]
+                         and not model["dropout"] and not model["ignore_merges"] and not form["normalizer"] and not form["post_processor"]
+                         and pre and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"])
         self.library = Tokenizer.from_str(definition)
         self.special = [t["content"] for t in form["added_tokens"]]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kinds = np.full(0x110000, -1, np.int8)
         if self.fits:
-            self.merges = Merges(model, [model["vocab"][c] for c in byte_letters()])
-            self.start([])
-
-    # --- the automaton ---------------------------------------------------------
-
-    def start(self, states: list[tuple]) -> None:
-        """An empty table that knows a word's start, as state 0, and ``states``."""
-        first = ((0, -1),)
-        self.states = [first, *(s for s in states if s != first)]
-        self.number = {s: i for i, s in enumerate(self.states)}
-        self.columns = np.zeros(256, np.int32)  # of bytes; 0 is that of no symbol
-        self.bytes: list[int] = []
-        self.wide = 64
-        self.merges.beside.clear()
-        self.table = np.zeros((0, self.wide), np.int32)
-        self.grow()
-
-    def grow(self) -> None:
-        old = self.table[:len(self.states)]
-        rows = max(len(self.states) + 1, min(2 * max(512, len(self.states)), MAX_CELLS // self.wide))
-        self.table = np.full((rows, self.wide), -1, np.int32)
-        self.table[:len(old), :old.shape[1]] = old
-        self.table[:, 0] = np.arange(rows)
-        self.last = np.full(rows, -1, np.int32)  # the last token of each state's prefix
-        self.last[:len(self.states)] = [s[-1][1] for s in self.states]
-
-    def columns_of(self, seen: np.ndarray) -> None:
-        for b in seen[self.columns[seen] == 0].tolist():
-            self.bytes.append(b)
-            self.columns[b] = len(self.bytes)
-            if len(self.bytes) + 1 == self.wide:
-                self.wide += 16
-                self.grow()
-
-    def step(self, state: tuple, symbol: int) -> tuple:
-        live, last = [], -1
-        children, token, beside = self.merges.children, self.merges.token, self.merges.stand_beside
-        for node, before in state:
-            child = children[node].get(symbol)
-            if child is None:
-                continue
-            t = token[child]
-            if t >= 0 and last < 0 and (before < 0 or beside(before, t)):
-                last = t
-            if children[child]:
-                live.append((child, before))
-        return (*live, (0, last))
-
-    def learn(self, cells: np.ndarray) -> None:
-        for cell in cells.tolist():
-            state, column = divmod(cell, self.wide)
-            after = self.step(self.states[state], self.bytes[column - 1])
-            to = self.number.setdefault(after, len(self.states))
-            if to == len(self.states):
-                self.states.append(after)
-                if to >= len(self.table):
-                    self.grow()
-                self.last[to] = after[-1][1]
-            self.table[state, column] = to
-
-    def run(self, lanes: np.ndarray, state: np.ndarray, held: np.ndarray, out: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """All lanes (a column each) from their states; ``out`` gets the last
-        token after each symbol.  Returns the states after the lanes, and
-        ``held``, other states, in today's numbers."""
-        for t in range(len(lanes)):
-            begin, column = lanes[t] >= BEGIN, lanes[t] % BEGIN
-            cell = np.where(begin, column, state * self.wide + column)
-            found = self.table.ravel()[cell]
-            if found.min() < 0:
-                missing = np.unique(cell[found < 0])
-                if (len(self.states) + len(missing)) * self.wide > MAX_CELLS:
-                    used, number = np.unique(np.concatenate([state, held]), return_inverse=True)
-                    kept, bytes_ = [self.states[s] for s in used], self.bytes
-                    self.start(kept)
-                    again = np.array([self.number[k] for k in kept], np.int64)[number]
-                    state, held = again[:len(state)], again[len(state):]
-                    self.columns_of(np.array(bytes_, np.int64))  # in the same order, so lanes stay as they are
-                    cell = np.where(begin, column, state * self.wide + column)
-                    missing = np.unique(cell[self.table.ravel()[cell] < 0])
-                self.learn(missing)
-                found = self.table.ravel()[cell]
-            state = found.astype(np.int64)
-            if out is not None:
-                out[t] = self.last[state]
-        return state, held
-
-    def last_tokens(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """For each byte the last token of its word's prefix that it ends.  Chunks
-        run from the state that the bytes before them lead to; one that should
-        have begun in another state, that its predecessor ended in, runs again."""
-        self.columns_of(np.unique(data))
-        ahead, lanes = chunks(self.columns[data] + BEGIN * begins, CHUNK, BEFORE, LANES)
-        n = lanes.shape[1]
-        out = np.empty(lanes.shape, np.int32)
-        entry, _ = self.run(ahead, np.zeros(n, np.int64), np.zeros(0, np.int64), None)
-        leave, entry = self.run(lanes, entry, entry, out)
-        while len(wrong := 1 + np.flatnonzero(leave[:-1] != entry[1:])):
-            entry[wrong] = leave[wrong - 1]
-            again = np.empty((len(lanes), len(wrong)), np.int32)
-            after, held = self.run(np.ascontiguousarray(lanes[:, wrong]), entry[wrong], np.concatenate([entry, leave]), again)
-            entry, leave = held[:n], held[n:]
-            out[:, wrong], leave[wrong] = again, after
-        return out.T.reshape(-1)[:len(data)]
+            vocab = model["vocab"]
+            pairs = [tuple(p.split(" ")) if isinstance(p, str) else tuple(p) for p in model["merges"]]
+            self.letters = byte_letters()
+            self.first = np.array([vocab[c] for c in self.letters], np.int32)
+            self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)  # by rank
+            self.pairs = Pairs(*(np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1)))
+            self.known = Known()
+            self.of_bytes = self.pairs.rank(np.repeat(self.first, 256), np.tile(self.first, 256))
+
+    def merged(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of words whose bytes lie one behind the other, and how many
+        each word has."""
+        none = self.pairs.NONE
+        symbols = self.first[data]
+        inner = np.ones(len(data), bool)
+        inner[np.cumsum(sizes) - 1] = False  # a word's last symbol has no pair
+        rank = np.full(len(data), none)
+        rank[:-1] = self.of_bytes[data[:-1].astype(np.int32) << 8 | data[1:]]
+        rank[~inner] = none
+        word = np.arange(len(sizes))
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        counts, found = np.zeros(len(sizes), np.int64), []
+        while len(sizes):
+            least = np.minimum.reduceat(rank, np.cumsum(sizes) - sizes)
+            over = least == none
+            if 4 * np.count_nonzero(over) > len(over):  # words without a pair left
+                gone = over[owner]
+                counts[word[over]] = sizes[over]
+                found.append((word[over], symbols[gone]))
+                symbols, rank, inner, owner = symbols[~gone], rank[~gone], inner[~gone], owner[~gone]
+                owner = (np.cumsum(~over, dtype=np.int32) - 1)[owner]
+                word, sizes, least = word[~over], sizes[~over], least[~over]
+                if not len(sizes):
+                    break
+            hits = np.flatnonzero((rank == least[owner]) & (rank != none))
+            # of places in a row (three equal symbols) every other one, from the left
+            head = np.concatenate([[True], np.diff(hits) > 1])
+            if not head.all():
+                run = np.maximum.accumulate(np.where(head, np.arange(len(hits)), 0))
+                hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
+            symbols[hits] = self.made[rank[hits]]
+            inner[hits] = inner[hits + 1]
+            stays = np.ones(len(symbols), bool)
+            stays[hits + 1] = False
+            sizes = sizes - np.bincount(owner[hits], minlength=len(sizes))
+            symbols, rank, inner, owner = symbols[stays], rank[stays], inner[stays], owner[stays]
+            changed = hits - np.arange(len(hits))  # each hit before it took a place away
+            changed = np.concatenate([changed, changed[changed > 0] - 1])
+            rank[changed] = none
+            changed = changed[inner[changed]]
+            rank[changed] = self.pairs.rank(symbols[changed], symbols[changed + 1])
+        begin = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        for words, tokens in found:
+            out[_spread(begin[words], counts[words])] = tokens
+        return out, counts
+
+    def _words(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of words given by their places in ``data``, and their numbers."""
+        long = np.flatnonzero(size > LONGEST)
+        tokens, counts = self.merged(data[_spread(start[size <= LONGEST], size[size <= LONGEST])], size[size <= LONGEST])
+        if not len(long):
+            return tokens, counts
+        all_counts = np.zeros(len(size), np.int64)
+        all_counts[size <= LONGEST] = counts
+        own = {}
+        for k in long.tolist():
+            text = "".join(self.letters[b] for b in data[start[k]:start[k] + size[k]].tolist())
+            own[k] = np.array([t.id for t in self.library.model.tokenize(text)], np.int32)
+            all_counts[k] = len(own[k])
+        out = np.zeros(int(all_counts.sum()), np.int32)
+        begin = np.cumsum(all_counts) - all_counts
+        out[_spread(begin[size <= LONGEST], counts)] = tokens
+        for k, ids in own.items():
+            out[begin[k]:begin[k] + len(ids)] = ids
+        return out, all_counts
 
     # --- texts ------------------------------------------------------------------
 
@@ -304,18 +363,22 @@ class Tokens:
             lead = np.flatnonzero((data & 0xC0) != 0x80)  # each character's first byte
             begins = np.zeros(len(data), bool)
             begins[lead] = self.begins(points, first[lead])
-        last = self.last_tokens(data, begins)
-        long = self.merges.symbols[last]
-        word = np.maximum.accumulate(np.where(begins, np.arange(len(data)), 0))  # where each byte's word begins
-        at = np.append(np.flatnonzero(begins)[1:], len(data)) - 1  # back from each word's end, a token at a time
-        ends = np.zeros(len(data), bool)
-        while len(at):
-            ends[at] = True
-            before = at - long[at]
-            at = before[before >= word[at]]
-        places = np.flatnonzero(ends)
-        ids = last[places].astype(np.uint32)
-        upto = np.searchsorted(places, np.append(start, len(data)))
+        at = np.flatnonzero(begins)
+        long = np.diff(np.append(at, len(data)))
+        within = np.arange(len(data)) - np.repeat(at, long)
+        powers = np.cumprod(np.concatenate([[1], np.full(int(long.max()) - 1, 0x100000001B3, np.uint64)]).astype(np.uint64))
+        hashes = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[within], at)
+        hashes = scramble(hashes + long.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        same = (long[one][which] == long).all() and (data[np.repeat(at[one][which], long) + within] == data).all()
+        if same:
+            tokens, counts = self.known.words(hashes[one], data, at[one], long[one], self._words)
+        else:  # two words with one hash: all words by themselves
+            one, which = np.arange(len(at)), np.arange(len(at))
+            tokens, counts = self._words(data, at, long)
+        begin = np.cumsum(counts) - counts
+        ids = tokens[_spread(begin[which], counts[which])].astype(np.uint32)
+        upto = np.concatenate([[0], np.cumsum(counts[which])])[np.searchsorted(at, np.append(start, len(data)))]
         for k, i in enumerate(mine):
             out[i] = ids[upto[k]:upto[k + 1]]
         return out

@@ -59,14 +59,44 @@ def test_ids_are_the_library_s(texts):
     assert [x.tolist() for x in IDS.of([t.encode() for t in texts])] == library(texts)
 
 
-@pytest.mark.parametrize("cells, chunk, before", [(1 << 24, 256, 24), (1 << 19, 64, 24), (1 << 24, 5, 1), (1 << 20, 16, 0)])
-def test_ids_with_full_tables_and_wrong_guesses(spark, monkeypatch, cells, chunk, before):
-    for name, value in (("MAX_CELLS", cells), ("CHUNK", chunk), ("BEFORE", before)):
-        monkeypatch.setattr(bpe, name, value)
+@pytest.mark.parametrize("longest", [64, 1, 7])
+def test_ids_of_documents(spark, monkeypatch, longest):
+    monkeypatch.setattr(bpe, "LONGEST", longest)
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     texts += [*ODD, "x" * 20_000 + " " + "ab" * 9_999, "=" * 5_000 + "\n" * 3_000, "<|endoftext|>" * 3 + "\u00e9" * 2_000]
-    made = bpe.Tokens(DEFINITION).of([t.encode() for t in texts])
-    assert [x.tolist() for x in made] == library(texts)
+    texts += ["a" * n + " " + "ab" * n + "aab" * n for n in range(40)]
+    assert [x.tolist() for x in IDS.of([t.encode() for t in texts])] == library(texts)
+
+
+def test_known_words(monkeypatch):
+    """Words of earlier batches, some forgotten, some with another word's hash."""
+    monkeypatch.setattr(bpe, "KNOWN", 40)
+    own = bpe.Tokens(DEFINITION)
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 5))) for _ in range(30)) for _ in range(2)]
+        assert [x.tolist() for x in own.of([t.encode() for t in texts])] == library(texts)
+    assert 0 < len(own.known.hashes) <= 40
+    real = bpe.scramble
+    monkeypatch.setattr(bpe, "scramble", lambda x: real(x) % np.uint64(50_021))  # now some batches agree in hashes only
+    for _ in range(30):
+        texts = ["".join(rng.choice(list("abcdefgh"), 3)) for _ in range(3)]
+        assert [x.tolist() for x in own.of([t.encode() for t in texts])] == library(texts)
+
+
+def test_words_with_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "scramble", lambda x: x * 0)
+    texts = ["some words and some other words", "", "a b a"]
+    assert [x.tolist() for x in IDS.of([t.encode() for t in texts])] == library(texts)
+
+
+def test_pair_table():
+    rng = np.random.default_rng(5)
+    codes = rng.choice(1 << 20, 60_000, replace=False)
+    pairs = bpe.Pairs(codes >> 10, codes & 1023)
+    assert (pairs.rank(codes >> 10, codes & 1023) == np.arange(60_000)).all()
+    other = np.setdiff1d(np.arange(1 << 20), codes)
+    assert (pairs.rank(other >> 10, other & 1023) == pairs.NONE).all()
 
 
 def test_other_kinds_go_to_the_library():
