@@ -6,10 +6,12 @@ remaining capacities; a new bin opens when none does.  ``pack`` minimises the
 bins of a fixed capacity; for a fixed number of bins, ``pack_into`` searches
 the least capacity at which best fit decreasing needs no more bins.
 
-At scale the items are bounded: a group above 1/(bins * LARGE) of all bytes is
-an item of its own (there are at most bins * LARGE such groups), all other
-groups are dealt by their key's hash into bundles, each one item.  Items, never
-rows, reach the driver.
+At scale the driver sees a bounded number of items: a group above 1/(bins *
+LARGE) of all bytes is an item of its own (there are at most bins * LARGE such
+groups); the others are counted by size class, FINE classes for each doubling.
+Equal items fill the tightest bin until it holds no more, then the next, so a
+class of any number of groups is packed in a step for each bin; Spark ranks the
+groups inside their class and deals them to the bins by rank.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from lotquery.llm.common import stored
 
 LARGE = 500
-BUNDLES = 256
+#: Size classes for each doubling of the size: groups of a class are within 1.1 percent.
+FINE = 64
 ROW_BYTES = 8
 #: Rows that number their slots together, about.
 SLOT_ROWS = 50_000
@@ -78,40 +81,60 @@ class CapacityTree:
         return high
 
 
-def pack(items: list[tuple[int, object]], capacity: int) -> tuple[dict, int]:
-    """(size, name) items into bins of ``capacity``: the bin of each name, and
-    the number of bins.  An item above the capacity fills a bin alone."""
+def pack_runs(items: list[tuple[int, object, int]], capacity: int) -> tuple[dict[object, list[tuple[int, int]]], int]:
+    """(size, name, count) runs of equal items into bins of ``capacity``: for each
+    name the bins taken and how many items each, and the number of bins.  An item
+    above the capacity fills a bin alone."""
     tree, where, bins = CapacityTree(), {}, 0
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        found = tree.take_tightest(size)
-        if found is None:
-            found, bins = (max(capacity, size), bins), bins + 1
-        tree.add((found[0] - size, found[1]))
-        where[name] = found[1]
+    for size, name, count in sorted(items, key=lambda x: (-x[0], x[1])):
+        taken = where.setdefault(name, [])
+        while count:
+            found = tree.take_tightest(size)
+            if found is None:
+                found, bins = (max(capacity, size), bins), bins + 1
+            n = min(count, max(1, found[0] // size))  # while it holds them, it stays the tightest
+            tree.add((found[0] - n * size, found[1]))
+            taken.append((found[1], n))
+            count -= n
     return where, bins
 
 
-def pack_into(items: list[tuple[int, object]], bins: int) -> dict:
-    """Bins 0 to ``bins`` - 1 at the least capacity for which best fit
-    decreasing opens no more.  Items that fill a bin alone keep it and the
-    others share the rest."""
+def pack(items: list[tuple[int, object]], capacity: int) -> tuple[dict, int]:
+    """(size, name) items into bins of ``capacity``: the bin of each name, and
+    the number of bins."""
+    where, bins = pack_runs([(size, name, 1) for size, name in items], capacity)
+    return {name: taken[0][0] for name, taken in where.items()}, bins
+
+
+def pack_runs_into(items: list[tuple[int, object, int]], bins: int) -> dict[object, list[tuple[int, int]]]:
+    """Runs of equal items into bins 0 to ``bins`` - 1, at the least capacity for
+    which best fit decreasing opens no more.  Items that fill a bin alone keep it
+    and the others share the rest."""
     whole = sorted(items, key=lambda x: (-x[0], x[1]))
     alone: dict = {}
-    while whole and bins - len(alone) > 1 and whole[0][0] * (bins - len(alone)) > sum(s for s, _ in whole):
-        alone[whole.pop(0)[1]] = len(alone)
+    total = sum(s * n for s, _, n in whole)
+    while whole and whole[0][2] == 1 and bins - len(alone) > 1 and whole[0][0] * (bins - len(alone)) > total:
+        size, name, _ = whole.pop(0)
+        total -= size
+        alone[name] = [(len(alone), 1)]
     left = bins - len(alone)
-    total = sum(s for s, _ in whole)
     low = max(-(-total // left), whole[0][0] if whole else 0)
     high = 2 * low + 1  # best fit decreasing is within 11/9 of the least number of bins, plus one
-    while pack(whole, high)[1] > left:
+    while pack_runs(whole, high)[1] > left:
         high *= 2
     while low < high:
         middle = (low + high) // 2
-        if pack(whole, middle)[1] <= left:
+        if pack_runs(whole, middle)[1] <= left:
             high = middle
         else:
             low = middle + 1
-    return alone | {name: b + len(alone) for name, b in pack(whole, high)[0].items()}
+    packed = pack_runs(whole, high)[0]
+    return alone | {name: [(b + len(alone), n) for b, n in taken] for name, taken in packed.items()}
+
+
+def pack_into(items: list[tuple[int, object]], bins: int) -> dict:
+    """(size, name) items into bins 0 to ``bins`` - 1: the bin of each name."""
+    return {name: taken[0][0] for name, taken in pack_runs_into([(size, name, 1) for size, name in items], bins).items()}
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -129,36 +152,46 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.unhex(F.md5(text.cast("binary"))).alias("_group"),
-        F.pmod(F.xxhash64(text), F.lit(shards * BUNDLES)).cast("int").alias("_bundle")), "shard-rows")
+        F.unhex(F.md5(text.cast("binary"))).alias("_group")), "shard-rows")
     n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     least = total // (shards * LARGE) + 1
-    groups = stored(rows.groupBy("_group", "text_crc32", "_bundle").agg(F.sum("size").alias("bytes")), "shard-groups")
-    large = groups.filter(F.col("bytes") >= least)
-    items = [(r.bytes, (1, bytes(r._group).hex() + f"{r.text_crc32:08x}")) for r in large.toLocalIterator()]
-    items += [(r.bytes, (0, r._bundle)) for r in groups.filter(F.col("bytes") < least).groupBy("_bundle")
-              .agg(F.sum("bytes").alias("bytes")).toLocalIterator()]
-    where = pack_into(items, shards) if items else {}
+    key = ["_group", "text_crc32"]
+    groups = stored(rows.groupBy(*key).agg(F.sum("size").alias("bytes"))
+                    .withColumn("_class", F.when(F.col("bytes") < least, F.floor(F.log2("bytes") * FINE).cast("int"))), "shard-groups")
+    items = [(r.bytes, (1, bytes(r._group).hex() + f"{r.text_crc32:08x}"), 1) for r in groups.filter("_class IS NULL").toLocalIterator()]
+    counts = groups.filter("_class IS NOT NULL").groupBy("_class").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    classes = counts.collect()  # FINE rows at most for each doubling
+    items += [(-(-r.bytes // r.n), (0, r._class), r.n) for r in classes]
+    where = pack_runs_into(items, shards) if items else {}
+    own, ranges = [], []
+    for (large, name), taken in where.items():
+        upto = 0
+        for shard, n in taken:
+            own += [(name, shard)] * large
+            ranges += [(name, upto, upto + n, shard)] * (not large)
+            upto += n
     spark = docs.sparkSession
-    # At most shards * LARGE and shards * BUNDLES rows.
-    own = spark.createDataFrame([(k, b) for (kind, k), b in where.items() if kind], "_key string, _own int")
-    bundles = spark.createDataFrame([(k, b) for (kind, k), b in where.items() if not kind], "_bundle int, _shared int")
-    key = F.concat(F.lower(F.hex("_group")), F.lower(F.lpad(F.hex("text_crc32"), 8, "0")))
-    placed = (rows.withColumn("_key", key).join(F.broadcast(own), "_key", "left")
-              .join(F.broadcast(bundles), "_bundle", "left")
-              .select("doc_id", "size", "text_crc32", F.coalesce("_own", "_shared").alias("shard")))
+    # At most shards * LARGE rows, and shards rows for each class.
+    own = spark.createDataFrame(own, "_name string, shard int")
+    ranges = spark.createDataFrame(ranges, "_class int, _from long, _to long, shard int")
+    name = F.concat(F.lower(F.hex("_group")), F.lower(F.lpad(F.hex("text_crc32"), 8, "0")))
+    ranked = number_slots(groups.filter("_class IS NOT NULL"), "_class", sum(r.n for r in classes) // SLOT_ROWS + 1, key, "_rank")
+    inside = ((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    dealt = (ranked.join(F.broadcast(ranges), "_class").filter(inside).select(*key, "shard")
+             .unionByName(groups.filter("_class IS NULL").withColumn("_name", name).join(F.broadcast(own), "_name").select(*key, "shard")))
+    placed = rows.join(dealt, key).select("doc_id", "size", "text_crc32", "shard")
     return number_slots(placed, "shard", n_rows // (shards * SLOT_ROWS) + 1).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-def number_slots(rows: DataFrame, bin_column: str, blocks: int) -> DataFrame:
-    """Column slot: rows of each bin numbered from 0, in blocks by the id's
-    hash, so that no task numbers a whole bin."""
-    cut = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+def number_slots(rows: DataFrame, bin_column: str, blocks: int, by: list[str] | None = None, name: str = "slot") -> DataFrame:
+    """Column ``name``: rows of each bin numbered from 0, in blocks by the hash of
+    the columns ``by``, so that no task numbers a whole bin."""
+    by = by or ["doc_id", "size", "text_crc32"]
+    cut = rows.withColumn("_block", F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int"))
     starts = (cut.groupBy(bin_column, "_block").agg(F.count(F.lit(1)).alias("_n"))
               .selectExpr(bin_column, "_block", f"sum(_n) OVER (PARTITION BY {bin_column} ORDER BY _block) - _n AS _start"))
-    inner = cut.selectExpr("*", f"row_number() OVER (PARTITION BY {bin_column}, _block "
-                                "ORDER BY doc_id, size, text_crc32) - 1 AS _at")
+    inner = cut.selectExpr("*", f"row_number() OVER (PARTITION BY {bin_column}, _block ORDER BY {', '.join(by)}) - 1 AS _at")
     return (inner.join(starts, [bin_column, "_block"])
-            .withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).drop("_block", "_start", "_at"))
+            .withColumn(name, (F.col("_start") + F.col("_at")).cast("long")).drop("_block", "_start", "_at"))

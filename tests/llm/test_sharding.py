@@ -63,3 +63,40 @@ def test_documents(spark, monkeypatch):
     copies = 158 * sum(t == "copy " * 30 for t in texts.values())
     others = [v for s, v in load.items() if s != shard_of["copy " * 30]]
     assert load[shard_of["copy " * 30]] >= copies and max(others) - min(others) <= 0.02 * max(others) + 8
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 12)), max_size=20), st.integers(60, 200))
+def test_runs_are_packed_like_their_items(runs, capacity):
+    """A run of equal items fills the bins that best fit decreasing gives them one by one."""
+    where, bins = sharding.pack_runs([(s, i, n) for i, (s, n) in enumerate(runs)], capacity)
+    single, count = pack([(s, (i, k)) for i, (s, n) in enumerate(runs) for k in range(n)], capacity)
+    assert bins == count
+    for i, (_, n) in enumerate(runs):
+        taken = [b for b, m in where[i] for _ in range(m)]
+        assert len(taken) == n and sorted(taken) == sorted(single[i, k] for k in range(n))
+
+
+def test_small_groups_are_packed_by_size(spark, monkeypatch):
+    """No group is large: all are packed as classes, and shards are near equal."""
+    monkeypatch.setattr(sharding, "LARGE", 1)
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 500)
+    rng = random.Random(6)
+    docs = [(i, "".join(rng.choices("abcdef", k=rng.choice([5, 20, 20, rng.randint(0, 300)])))) for i in range(6_000)]
+    docs += [(10_000 + i, "the same text") for i in range(300)] + [(20_000 + i, None) for i in range(50)]
+    got = shard_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), 6).collect()
+    texts, shard_of, load = dict(docs), {}, [0] * 6
+    for r in got:
+        assert shard_of.setdefault(texts[r.doc_id] or "", r.shard) == r.shard
+        load[r.shard] += r["size"]
+    assert len(got) == len(docs) and max(load) - min(load) <= 0.01 * max(load)
+    for s in range(6):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_rows_without_an_id_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
+    docs = [(None, f"text {i}") for i in range(200)]
+    got = shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()
+    for s in (0, 1):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
