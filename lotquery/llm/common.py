@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lotquery.session import scratch_path
+from lotquery.session import ensure_session_conf, scratch_path
 
 #: Whole texts of one Arrow batch are cut into pieces of at most this many
 #: bytes (one text at least), so a worker holds the words of one piece only.
 PIECE_BYTES = 1 << 20
-#: Rows that Spark sends to a Python worker at a time.
+#: Rows that Spark sends to a Python worker at a time, in the registered queries and the pipeline.
 BATCH_ROWS = 2_000
 #: Rows of a table that is broadcast, at most; else Spark shuffles.
 SMALL = 1_000_000
@@ -28,6 +29,13 @@ NO_WORD = np.ones(256, bool)
 NO_WORD[48:58] = NO_WORD[97:123] = NO_WORD[128:] = False
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings of the registered queries and the pipeline.  The operators
+    themselves leave the session as it is."""
+    ensure_session_conf(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,11 +87,8 @@ def released(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 
 def map_texts(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str, column: str = "text") -> DataFrame:
-    """``mapInArrow`` over bounded pieces of ``df``, sent in batches of at most
-    BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
+              schema: str | StructType, column: str = "text") -> DataFrame:
+    """``mapInArrow`` over bounded pieces of ``df``'s batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401  used by pieces()
         yield from each(p for b in batches for p in pieces(b, column))
@@ -108,10 +113,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def schema_of(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def scramble(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit words."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

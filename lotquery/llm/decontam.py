@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotquery.llm.common import NO_WORD, map_texts, opened, released, schema_of, ship, stored, utf8, word_hashes
+from lotquery.llm.common import NO_WORD, map_texts, opened, released, ship, stored, utf8, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -244,15 +244,14 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterat
 
 
 def mark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with _cover (a byte for each word: 1 inside an occurrence) and
-    _items (names of the items that occur, sorted)."""
+    """``docs`` (text and columns of other names) with _cover (a byte for each
+    word: 1 inside an occurrence) and _items (names of the items that occur, sorted)."""
     spark = docs.sparkSession
-    marked = docs.drop("_cover", "_items").withColumns({"_cover": F.lit(None).cast("binary"),
-                                                        "_items": F.lit(None).cast("array<string>")})
+    marked = docs.withColumns({"_cover": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
     for i, phrases in enumerate(phrase_blocks(benchmark, window, block_words)):
         if i:
             marked = stored(marked, "benchmark-marks")
-        marked = map_texts(marked, _mark(ship(spark, phrases)), schema_of(marked))
+        marked = map_texts(marked, _mark(ship(spark, phrases)), marked.schema)
     return marked
 
 
@@ -271,7 +270,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cover, items = batch.column("_cover").to_pylist(), batch.column("_items").to_pylist()
-            hits = [sum(c) for c in cover]
+            hits = [int(np.frombuffer(c, np.uint8).sum()) for c in cover]
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array([len(c) for c in cover], pa.int64()), pa.array(hits, pa.int64()),
                 pa.array([len(x) for x in items], pa.int64()),
@@ -294,7 +293,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stay = batch.column("text").to_pylist(), []
-            chars = batch.column("n_chars").to_pylist() if counted else []
+            chars = batch.column("n_chars").to_pylist()
             for k, cover in enumerate(batch.column("_cover").to_pylist()):
                 hit = np.frombuffer(cover, np.uint8)
                 stay.append(not len(hit) or not hit.all())
@@ -307,13 +306,15 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                         parts.append(raw[at:start[a]])
                         at = stop[b - 1]
                     texts[k] = b"".join([*parts, raw[at:]]).decode()
-                    if counted:
-                        chars[k] = len(texts[k])
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns["text"] = pa.array(texts, pa.string())
-            if counted:
-                columns["n_chars"] = pa.array(chars, batch.column("n_chars").type)
-            yield pa.record_batch(list(columns.values()), names=list(columns)).filter(pa.array(stay, pa.bool_()))
-
-    marked = mark_hits(docs, benchmark, window, block_words)
-    return map_texts(marked, cut, schema_of(marked)).select(*docs.columns)
+                    chars[k] = len(texts[k])
+            yield pa.record_batch([pa.array(texts, pa.string()), pa.array(chars, pa.int64()), batch.column("row")],
+                                  names=["text", "n_chars", "row"]).filter(pa.array(stay, pa.bool_()))
+
+    # The other columns travel as one struct, so their names meet none of the marks'.
+    others = [c for c in docs.columns if c not in {"text", "n_chars"}]
+    carried = docs.select("text", (F.col("n_chars") if counted else F.lit(None)).cast("long").alias("n_chars"),
+                          F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"{i}") for i, c in enumerate(others)]).alias("row"))
+    left = map_texts(mark_hits(carried, benchmark, window, block_words), cut, carried.schema)
+    types = {f.name: f.dataType for f in docs.schema}
+    return left.select(*[F.col(c).cast(types[c]).alias(c) if c in {"text", "n_chars"} else F.col(f"row.`{others.index(c)}`").alias(c)
+                         for c in docs.columns])

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lotquery.llm.common import map_texts, opened, schema_of, share, ship, stored, utf8
+from lotquery.llm.common import map_texts, opened, share, ship, stored, utf8
 
 HELD_OUT, PARTS = 2, 4
 #: Labelled texts to learn from, of all languages together, and the longest of them.
@@ -305,7 +306,7 @@ def label_languages(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
     chain = chain or train(docs)
     sent = ship(docs.sparkSession, chain)
     rows = docs.drop("lang_pred", "lang_score", "lang_known")
-    return map_texts(rows, _predict(sent), schema_of(rows) + ", lang_pred string, lang_score double, lang_known double")
+    return map_texts(rows, _predict(sent), StructType([*rows.schema.fields]).add("lang_pred", "string").add("lang_score", "double").add("lang_known", "double"))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -72,21 +72,22 @@ def mix_sources(docs: DataFrame, entropy: float | None = None, max_repetition: f
     source's budget stand before it.  Tokens are words between ASCII white
     space; a null text has none.  Null is a source like others.  A source
     without tokens is taken once, whole.  Equal rows share their place in a
-    pass.  An empty table gives an empty result.
+    pass.  Columns of ``docs`` named like the five results are replaced, others
+    stay whatever their names.  An empty table gives an empty result.
     """
-    spark, own = docs.sparkSession, docs.columns
+    made = ["mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_key"]
+    own = [c for c in docs.columns if c not in made]
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"mix_tokens": F.regexp_count(text, F.lit(WORDS)).cast("long"),
-                             "_body": F.md5(text.cast("binary"))})
+    # The columns of docs travel as one struct, so their names meet none of those used here.
+    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORDS)).cast("long").alias("mix_tokens"),
+                       F.md5(text.cast("binary")).alias("_body"), F.struct(*[F.col(f"`{c}`").alias(f"{i}") for i, c in enumerate(own)]).alias("_row"))
     narrow = stored(rows.select("doc_id", "source", "mix_tokens", "_body"), "mix-rows")
     sources = stored(narrow.groupBy("source").agg(F.sum("mix_tokens").alias("tokens")), "mix-sources")
     exponent = fit_exponent(sources, entropy, max_repetition)
 
-    sources.createOrReplaceTempView("_mix_sources")
-    weights = spark.sql(f"""
-        SELECT source, tokens, p / (SELECT sum(power(tokens, {exponent!r}D)) FROM _mix_sources WHERE tokens > 0) AS weight
-        FROM (SELECT *, CASE WHEN tokens > 0 THEN power(tokens, {exponent!r}D) ELSE 0D END AS p FROM _mix_sources)""")
-    weights = stored(weights, "mix-weights")
+    power = F.pow(F.col("tokens"), F.lit(exponent))
+    weights = stored(sources.select("source", "tokens", (
+        F.when(F.col("tokens") > 0, power).otherwise(0.0) / sources.filter("tokens > 0").agg(F.sum(power)).scalar()).alias("weight")), "mix-weights")
     whole = F.lit(float(budget)) if budget is not None else F.lit(
         weights.filter("tokens > 0").agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 0.0)
     quotas = stored(weights.withColumn("_quota", F.round(F.col("weight") * whole).cast("long"))
@@ -112,10 +113,10 @@ def mix_sources(docs: DataFrame, entropy: float | None = None, max_repetition: f
                   .select("source", "weight", "_full", "_last"), "mix-plan")
 
     taken = (rows.join(plan, rows["source"].eqNullSafe(plan["source"]))
-             .select(*(rows[c] for c in own), "mix_tokens", "_body", F.col("weight").alias("mix_weight"), "_full",
+             .select("doc_id", "mix_tokens", "_body", "_row", F.col("weight").alias("mix_weight"), "_full",
                      (F.col("_full") + F.coalesce((_key(F.col("_full")) <= F.col("_last")).cast("long"), F.lit(0)))
                      .alias("_copies")))
     return (taken.withColumn("mix_pass", F.explode(F.expr("CASE WHEN _copies > 0 THEN sequence(0L, _copies - 1) ELSE array() END")))
             .withColumn("mix_key", _key(F.col("mix_pass")))
             .withColumn("mix_block", F.substring("mix_key", 1, BLOCK_DIGITS))
-            .select(*own, "mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_key"))
+            .select(*[F.col(f"_row.`{i}`").alias(c) for i, c in enumerate(own)], *made))

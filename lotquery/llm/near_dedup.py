@@ -9,14 +9,20 @@ link is found through the inverted lists of retained values:
 1. Equal sets become one.  Values found in many sketches come last in the order
    (any common order will do), so a passage that many documents hold makes no
    long lists; sets with much of that get their sketch from the whole set.
-2. Inverted lists of up to ``LIST_MAX`` sets give the overlaps of sketches;
-   pairs whose overlap is too small for similarity t are dropped.
-3. Pairs are verified on the full sets of whole texts: for each set its best
-   partner first, then all pairs that are not connected yet.
+2. Inverted lists of up to ``LIST_MAX`` sets give the overlaps of sketches.
+   Pairs whose overlap is too small for similarity t are dropped: a proven
+   bound.  For the others the merged sketches, up to the last value that both
+   keep, are a sketch of the union, and the share of it that is in both
+   estimates the similarity.  An estimate may be wrong, so it routes: of the
+   pairs that look similar each set's best one is verified first, all others
+   after that, if their ends aren't connected yet.
+3. Pairs are verified on the full sets of whole texts.
 4. Sets on longer lists (large groups of near copies) are ordered anew, rare
-   values first, within that group of sets.  Their lists are joined in blocks;
-   a pair's positions bound its similarity, and its full sets decide.  A block
-   gives the links that connect its sets, not all pairs.
+   values first, within that group of sets.  In rounds every set is verified
+   against one pivot of its lists; what that connects needs no more checks, so
+   a group of near copies costs a check for each copy.  On lists that still hold
+   several components, sets of different ones meet in blocks: positions bound
+   their similarity, and the full sets decide.
 """
 
 from __future__ import annotations
@@ -44,6 +50,10 @@ LIST_MAX = 256
 BLOCK = 256
 #: Counters that order the values of large groups.
 COUNTERS, COUNTER_PARTS = 1 << 20, 64
+#: Rounds of checks against pivots in large groups, at most; blocks do the rest.
+PIVOT_ROUNDS = 4
+#: A pair looks similar if its estimate is below the similarity by this at most.
+MARGIN = 0.05
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,7 +115,8 @@ def _retained(values: np.ndarray, n: int, late: np.ndarray, similarity: int) ->
 
 
 def _postings(late, similarity: int, complete: bool):
-    """Sketches -> rows (v, set_id, n), or the set_ids that need the whole set."""
+    """Sketches -> rows (v, set_id, n, at: its place in the sketch, from 1), or
+    the set_ids that need the whole set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = batch.column("head").offsets.to_numpy()
@@ -118,8 +129,9 @@ def _postings(late, similarity: int, complete: bool):
             lengths = [0 if k is None else len(k) for k in kept]
             if sum(lengths):
                 yield pa.record_batch([pa.array(np.concatenate([k for k in kept if k is not None])),
-                                       pa.array(np.repeat(ids, lengths)), pa.array(np.repeat(sizes, lengths))],
-                                      names=["v", "set_id", "n"])
+                                       pa.array(np.repeat(ids, lengths)), pa.array(np.repeat(sizes, lengths)),
+                                       pa.array(np.concatenate([np.arange(1, m + 1) for m in lengths]), pa.int32())],
+                                      names=["v", "set_id", "n", "at"])
     return run
 
 
@@ -130,13 +142,14 @@ def _postings_of_texts(late, words: int, similarity: int):
                 if len(s):
                     kept = _retained(s, len(s), late.value, similarity)
                     yield pa.record_batch([pa.array(kept), pa.array(np.full(len(kept), set_id(s))),
-                                           pa.array(np.full(len(kept), len(s)))], names=["v", "set_id", "n"])
+                                           pa.array(np.full(len(kept), len(s))), pa.array(np.arange(1, len(kept) + 1), pa.int32())],
+                                          names=["v", "set_id", "n", "at"])
     return run
 
 
 def _list_pairs(similarity: int):
-    """Rows (v, set_id, n) sorted by v, whole lists in a task -> (a, b, need)."""
-    def pairs(v: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (v, set_id, n, at) sorted by v, whole lists in a task -> (a, b, need, at_a, at_b)."""
+    def pairs(v: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         size = np.diff(np.concatenate([start, [len(v)]]))
         for m in np.unique(size[size > 1]).tolist():
@@ -150,13 +163,13 @@ def _list_pairs(similarity: int):
                 ok = (100 * least >= similarity * most) & (ids[x] != ids[y])
                 x, y, most = x[ok], y[ok], most[ok]
                 if len(x):
-                    a, b = ids[x], ids[y]
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)),
-                                           pa.array(np.minimum(SHARED, -(-similarity * most // 100)).astype(np.int32))],
-                                          names=["a", "b", "need"])
+                    x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+                    yield pa.record_batch([pa.array(ids[x]), pa.array(ids[y]),
+                                           pa.array(np.minimum(SHARED, -(-similarity * most // 100)).astype(np.int32)),
+                                           pa.array(at[x]), pa.array(at[y])], names=["a", "b", "need", "at_a", "at_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.int32)]
         for batch in batches:
             now = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
             if not len(now[0]):
@@ -245,21 +258,22 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _block_links(similarity: int):
-    """Whole block pairs (v, i, j), sorted, of rows (.., set_id, at, side, values)
-    -> links that connect their sets."""
-    def links(group: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
-        ids = np.array([g[0] for g in group])
-        at, side = np.array([g[1] for g in group]), np.array([g[2] for g in group])
-        sets = [g[3] for g in group]
+    """Whole blocks (v, i, j), sorted, of rows (.., set_id, comp, at, side, values)
+    -> links that connect their sets across components."""
+    def links(group: list[tuple[int, int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        ids, comp = np.array([g[0] for g in group]), np.array([g[1] for g in group])
+        at, side = np.array([g[2] for g in group]), np.array([g[3] for g in group])
+        sets = [g[4] for g in group]
         n = np.array([len(s) for s in sets])
         most = np.minimum((n - at)[:, None], n - at)  # values that can be shared from here on
         bound = 100 * most >= similarity * (n[:, None] + n - most)
-        pick = np.triu(bound, 1) & (ids[:, None] != ids)
+        pick = np.triu(bound, 1) & (comp[:, None] != comp)
         if side.max() > 0:
             pick &= side[:, None] != side
         x, y = np.nonzero(pick)
         order = np.argsort(-(most[x, y] / (n[x] + n[y] - most[x, y])), kind="stable")
-        above, out = list(range(len(ids))), []
+        first: dict[int, int] = {}
+        above, out = [first.setdefault(c, k) for k, c in enumerate(comp.tolist())], []
 
         def root(k):
             while above[k] != k:
@@ -283,11 +297,11 @@ def _block_links(similarity: int):
                 yield pa.record_batch([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["a", "b"])
 
         for batch in batches:
-            for v, i, j, s, at, side, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for v, i, j, s, comp, at, side, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (v, i, j) != key:
                     yield from done()
                     key, group = (v, i, j), []
-                group.append((s, at, side, np.frombuffer(values, np.int64)))
+                group.append((s, comp, at, side, np.frombuffer(values, np.int64)))
         yield from done()
     return run
 
@@ -344,17 +358,79 @@ def _group_links(texts: DataFrame, words: int, similarity: int) -> DataFrame:
         counters[row.part * wide:(row.part + 1) * wide] = np.frombuffer(row.times, np.int64)
     sent = spark.sparkContext.broadcast(counters)
     heads = stored(map_texts(texts, order, "v long, set_id long, at long"), "group-heads")
-    blocks = (heads.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-              .select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
-    dealt = (heads.select("v", "set_id", "at").join(small(stored(blocks, "group-blocks")), "v")
-             .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "at",
-                     F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side")))
+    links, pieces = _pivot_links(heads, texts, words, similarity)
+    dealt = _dealt(pieces)
     full = map_texts(texts, whole, "set_id long, values binary")
-    ready = (dealt.join(full, "set_id").select("v", "i", "j", "set_id", "at", "side", "values")
+    ready = (dealt.join(full, "set_id").select("v", "i", "j", "set_id", "comp", "at", "side", "values")
              .repartition(shuffle_parts(spark), "v", "i", "j").sortWithinPartitions("v", "i", "j"))
-    return stored(ready.mapInArrow(released(_block_links(similarity)), "a long, b long").distinct(), "group-links")
+    across = ready.mapInArrow(released(_block_links(similarity)), "a long, b long")
+    return stored(links.union(across).distinct(), "group-links")
+
+
+def _open_lists(heads: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows (v, set_id, at, comp) of the lists that hold sets of several components."""
+    if roots is None:
+        named = heads.withColumn("comp", F.col("set_id"))
+    else:
+        named = (heads.join(small(roots.select(F.col("node").alias("set_id"), "root")), "set_id", "left")
+                 .select("v", "set_id", "at", F.coalesce("root", "set_id").alias("comp")))
+    several = named.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("v")
+    return named.join(several, "v", "left_semi")
+
+
+def _pivot_links(heads: DataFrame, texts: DataFrame, words: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Links found by checking each set against a pivot, in rounds, and the rows
+    of the lists on which several components are left.
+
+    A list's pivot is its set that comes first in the round's hashed order; a set
+    takes the pivot that most of its lists have, if that is of another component."""
+    spark = heads.sparkSession
+    links, roots = spark.createDataFrame([], "a long, b long"), None
+    pieces = stored(_open_lists(heads, roots), "group-open")
+    for turn in range(PIVOT_ROUNDS):
+        first = pieces.groupBy("v").agg(F.min_by(F.struct("set_id", "comp"), F.xxhash64("set_id", F.lit(turn))).alias("p"))
+        tried = stored(pieces.join(first, "v").filter(F.col("comp") != F.col("p.comp"))
+                       .groupBy(F.col("set_id").alias("a"), F.col("p.set_id").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+                       .groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b")), "group-tried")
+        found = _checked(tried, texts, words, similarity)
+        if found.isEmpty():
+            break
+        links = stored(links.union(found), "group-found")
+        roots = stored(connected(links), "group-roots")
+        pieces = stored(_open_lists(heads, roots), "group-open")
+        if pieces.isEmpty():
+            break
+    return links, pieces
+
+
+def _dealt(pieces: DataFrame) -> DataFrame:
+    """Rows (v, i, j, set_id, comp, at, side) of the blocks in which sets of
+    different components meet.  The sets of a list's largest component are cut
+    into parts, and each part meets all other sets (i = -1, j the part); these meet
+    each other in pairs of parts (i, j)."""
+    counts = pieces.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("m"))
+    lists = stored(counts.groupBy("v").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("all"))
+                   .select("v", F.col("most.comp").alias("main"), F.ceil(F.col("most.m") / BLOCK).cast("int").alias("main_parts"),
+                           F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.m")) / BLOCK)).cast("int").alias("parts")), "group-blocks")
+    rows = pieces.join(small(lists), "v")
+    hashed = F.xxhash64("set_id")
+    main, rest = rows.filter("comp = main"), rows.filter("comp <> main")
+    of_main = main.select("v", F.lit(-1).alias("i"), F.pmod(hashed, F.col("main_parts")).cast("int").alias("j"), "set_id", "comp", "at",
+                          F.lit(1).alias("side"))
+    to_main = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("main_parts") - 1))).select(
+        "v", F.lit(-1).alias("i"), "j", "set_id", "comp", "at", F.lit(2).alias("side"))
+    own = F.pmod(hashed, F.col("parts")).cast("int")
+    others = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "comp", "at",
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    return of_main.unionByName(to_main).unionByName(others)
+
+
+def union_estimate(shared, at_a, at_b) -> F.Column:
+    """The similarity of two sets by the sketch of their union: merged, the
+    sketches up to their last common value (places ``at_a`` and ``at_b``) are the
+    union's at_a + at_b - shared least values, ``shared`` of them in both sets."""
+    return shared / (at_a + at_b - shared)
 
 
 def near_links(docs: DataFrame, sketches: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -369,20 +445,22 @@ def near_links(docs: DataFrame, sketches: DataFrame, words: int, similarity: int
 
     columns = sketches.select("set_id", "n", "head")
     lacking = stored(columns.mapInArrow(released(_postings(sent, similarity, False)), "set_id long"), "lacking")
-    postings = columns.mapInArrow(released(_postings(sent, similarity, True)), "v long, set_id long, n long").unionByName(
-        map_texts(_texts(docs, sketches, lacking, words), _postings_of_texts(sent, words, similarity),
-                  "v long, set_id long, n long"))
+    row = "v long, set_id long, n long, at int"
+    postings = stored(columns.mapInArrow(released(_postings(sent, similarity, True)), row).unionByName(
+        map_texts(_texts(docs, sketches, lacking, words), _postings_of_texts(sent, words, similarity), row)), "postings")
     lists = stored(postings.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LIST_MAX), "long-lists")
     short = postings.join(small(lists), "v", "left_anti")
     in_lists = (short.repartition(shuffle_parts(spark), "v").sortWithinPartitions("v")
-                .mapInArrow(released(_list_pairs(similarity)), "a long, b long, need int"))
-    pairs = stored(in_lists.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("need").alias("need"))
-                   .filter("m >= need").select("a", "b", "m"), "pairs")
+                .mapInArrow(released(_list_pairs(similarity)), "a long, b long, need int, at_a int, at_b int"))
+    pairs = stored(in_lists.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("need").alias("need"),
+                                                  F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+                   .filter("m >= need").select("a", "b", union_estimate(F.col("m"), F.col("at_a"), F.col("at_b")).alias("like")), "pairs")
     grouped = stored(postings.join(small(lists), "v", "left_semi").select("set_id").distinct(), "grouped")
     texts = _texts(docs, sketches, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(grouped), words)
 
-    best = (pairs.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
-            .union(pairs.groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b")).distinct())
+    likely = pairs.filter(F.col("like") >= similarity / 100 - MARGIN)
+    best = (likely.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
+            .union(likely.groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b")).distinct())
     links = _checked(best, texts, words, similarity)
     of_groups = _group_links(texts.join(small(grouped), "set_id", "left_semi"), words, similarity)
     links = links.union(of_groups)
@@ -436,12 +514,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int =
     least doc_id.  Of rows that repeat a doc_id and text any one stays; all
     rows with a null doc_id stay."""
     found = stored(_components(docs, words, similarity).select("doc_id", "mark", _kept().alias("kept")), "near-verdicts")
-    gone = stored(found.filter("NOT kept").select("doc_id", F.col("mark").alias("_mark")).distinct(), "near-gone")
-    again = stored(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id", F.col("mark").alias("_mark"))
-                   .agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id", "_mark"), "near-again")
-    key = ["doc_id", "_mark"]
-    stay = docs.withColumn("_mark", F.xxhash64("text")).join(small(gone), key, "left_anti")
-    if again.isEmpty():
-        return stay.select(*docs.columns)
-    once = stay.join(small(again), key, "left_semi").dropDuplicates(key)
-    return stay.join(small(again), key, "left_anti").unionByName(once).select(*docs.columns)
+    gone = stored(found.filter("NOT kept").select("doc_id", "mark").distinct(), "near-gone")
+    again = stored(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id", "mark")
+                   .agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id", "mark"), "near-again")
+    key = ["doc_id", "mark"]  # beside the user's columns, which are one struct
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.struct(*[F.col(f"`{c}`").alias(f"{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    stay = rows.join(small(gone), key, "left_anti")
+    if not again.isEmpty():
+        once = stay.join(small(again), key, "left_semi").dropDuplicates(key)
+        stay = stay.join(small(again), key, "left_anti").unionByName(once)
+    return stay.select(*[F.col(f"row.`{i}`").alias(c) for i, c in enumerate(docs.columns)])

@@ -10,8 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotquery.session import ensure_session_conf
-from lotquery.llm.common import table
+from lotquery.llm.common import prepare, table
 from lotquery.llm.decontam import find_contamination
 from lotquery.llm.exact_dedup import exact_dedup
 from lotquery.llm.html_extract import extract_pages
@@ -31,58 +30,58 @@ COUNTED_BY = "word_bpe_49k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return line_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(corpus_pipeline.TOKENIZER))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), "mix_pass", "mix_block", "mix_key")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
@@ -99,12 +98,12 @@ def plant_repeats(doc_id: int | None, words: list[bytes]) -> list[bytes]:
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return run_digests(periodic_runs(table(spark, sf_dir, "documents"), plant_repeats))
 
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_session_conf(spark)
+    prepare(spark)
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED_BY))
 
 

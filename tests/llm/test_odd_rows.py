@@ -147,3 +147,22 @@ def test_html(spark):
     got = {r["page_id"]: r["text"] for r in rows(extract_pages(pages))}
     assert got == {1: "One & two three\nfour", 2: "", None: "", 3: "a", 4: "deep\nt é &bogus; <", 5: "", 6: ""}
     assert rows(extract_pages(spark.createDataFrame([], schema))) == []
+
+
+CLASHING = "_cover _items _body _mark mark weight _full _last _copies _quota _row row v set_id n lang_known page path mix x tokens".split()
+
+
+def test_values_of_clashing_columns_stay(spark, benchmark, odd_docs):
+    """Columns named like those the operators use come back with their values."""
+    from pyspark.sql import functions as F
+    docs = odd_docs.select("doc_id", "text", "source", "n_chars", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING],
+                           F.lit(1).alias("a.b c"))
+    before, settings = {r["doc_id"]: r for r in rows(docs)}, dict(spark.conf.getAll)
+    tables = spark.catalog.listTables()
+    for left in (remove_contamination(docs, benchmark), mix_sources(docs).select(*[f"`{c}`" for c in docs.columns]), drop_near_duplicates(docs)):
+        assert left.columns == docs.columns
+        kept = rows(left)
+        assert len(kept) >= 8
+        for r in kept:
+            assert all(r[c] == before[r["doc_id"]][c] for c in [*CLASHING, "source", "a.b c"])
+    assert dict(spark.conf.getAll) == settings and spark.catalog.listTables() == tables

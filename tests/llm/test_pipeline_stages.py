@@ -1,7 +1,6 @@
 """Single stages of the pipeline against plain versions of them."""
 
 import random
-from itertools import combinations
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -10,22 +9,11 @@ from lotquery.llm.common import share, table
 
 from . import test_registered
 from .conftest import rows
+from .test_near_dedup import brute as components
 
 STAGES = dict(corpus_pipeline.STAGES)
 
 
-def components(texts: dict[int, str]) -> dict[int, int]:
-    """The least id that links at 80 percent lead to, over all pairs."""
-    split = {i: text.encode().lower().split() for i, text in texts.items()}
-    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in split.items()}
-    least = {i: i for i in texts}
-    for a, b in combinations(sorted(texts), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and least[a] != least[b]:
-            low, high = sorted((least[a], least[b]))
-            least = {i: low if x == high else x for i, x in least.items()}
-    return least
-
-
 def test_near_copies_from_80_percent_go(spark):
     def text(group: int, shared: int, own: int) -> str:  # of shared + own shingles
         return " ".join([f"w{group}x{k}" for k in range(shared + 4)] + [f"own{group}y{own}z{k}" for k in range(own)])
@@ -35,13 +23,7 @@ def test_near_copies_from_80_percent_go(spark):
         texts |= {10 * group + 1: text(group, 100, 0), 10 * group + 2: text(group, 100, own)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     kept = {r["doc_id"] for r in rows(STAGES["near_dedup"](spark, docs, ""))}
-    assert kept == set(components(texts).values()) == {*range(1, 80, 10), 2}
-
-
-def test_pipeline_links_at_80_percent(spark, monkeypatch):
-    """The given tables, which hold pairs between 0.80 and 0.85, stage by stage."""
-    monkeypatch.setattr(test_registered, "components", components)
-    test_registered.test_pipeline(spark)
+    assert kept == set(components(texts, 80).values()) == {*range(1, 80, 10), 2}
 
 
 OTHERS = [

@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14))
     assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix", "tokens"]
 
@@ -49,7 +49,7 @@ def test_pipeline(spark):
 
     before = {r["doc_id"]: r["text"] for r in rows(left)}
     left = stored(stages["near_dedup"](spark, left, SF), "test-near")
-    assert left.columns == docs.columns and {r["doc_id"] for r in rows(left)} == set(components(before).values())
+    assert left.columns == docs.columns and {r["doc_id"] for r in rows(left)} == set(components(before, corpus_pipeline.SIMILARITY).values())
 
     items = [(r["item_id"], r["text"]) for r in rows(table(spark, SF, "benchmark"))]
     before = {r["doc_id"]: r for r in rows(left)}
