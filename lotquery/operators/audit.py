@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
@@ -88,6 +89,38 @@ def search(vehicle: DataFrame, parking_slot: DataFrame, term: str) -> DataFrame:
     return plates.unionByName(slots)
 
 
+GRAM = 3
+SEARCH_BUCKETS = 256
+
+
+def build_search_index(vehicle: DataFrame, parking_slot: DataFrame, path: str, buckets: int = SEARCH_BUCKETS) -> None:
+    """P6's index: inverted lists of the three-letter grams of all labels (lower
+    case), rows (gram, kind, id, label) in folders by the gram's hash, sorted by
+    gram within files."""
+    labels = search(vehicle, parking_slot, "").withColumn("text", F.lower("label"))
+    starts = F.sequence(F.lit(1), F.length("text") - GRAM + 1)
+    grams = (labels.filter(F.length("text") >= GRAM)
+             .withColumn("gram", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("text", i, F.lit(GRAM)))))))
+    (grams.withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % buckets).cast("int"))
+     .select("gram", "kind", "id", "label", "bucket").repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+     .sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+
+def search_indexed(spark: SparkSession, path: str, term: str, buckets: int = SEARCH_BUCKETS) -> DataFrame:
+    """P6 by the index at ``path``: the labels on the lists of all of the term's
+    grams, then verified.  Only the grams' folders are read.  A term of less than
+    three letters has no gram; search the tables for it (``search``)."""
+    needle = term.lower()
+    grams = sorted({needle[i:i + GRAM] for i in range(len(needle) - GRAM + 1)})
+    if not grams:
+        raise ValueError(f"the index answers terms of {GRAM} letters or more")
+    folders = sorted({zlib.crc32(g.encode()) % buckets for g in grams})
+    lists = (spark.read.schema("gram string, kind string, id long, label string, bucket int").parquet(path)
+             .filter(F.col("bucket").isin(folders) & F.col("gram").isin(grams) & F.lower("label").contains(needle)))
+    return (lists.groupBy("kind", "id", "label").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") == len(grams)).select("kind", "id", "label"))
+
+
 def retention_filter(df: DataFrame, ts_col: str, days: int, as_of: str | dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Split rows into (keep, expired) by age; null times are kept.  The
     cut-off is a literal, so the predicate prunes date-partitioned tables."""

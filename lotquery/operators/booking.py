@@ -7,7 +7,11 @@ arrivals in time order, in two-level scans: a row for each, however long.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from bisect import insort
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotquery.functions import exprs as X
@@ -48,26 +52,28 @@ def free_gaps(reservation: DataFrame, slots: DataFrame) -> DataFrame:
     return inner.unionByName(last).join(slots, "slot_id")
 
 
-def bookable_slots(requests: DataFrame, parking_slot: DataFrame, slot_type_map: DataFrame,
-                   reservation: DataFrame) -> DataFrame:
-    """For each booking request (type, from < to): how many compatible slots
-    (not Maintenance / Locked) exist, how many are blocked by an overlapping
-    confirmed reservation, how many are bookable, and the lowest bookable
-    slot_id.
+def _compatible(parking_slot: DataFrame, slot_type_map: DataFrame) -> DataFrame:
+    return cut_lineage(parking_slot.filter(~F.col("status").isin(*UNAVAILABLE)).select("slot_id", "slot_type")
+                       .join(slot_type_map, "slot_type").select("slot_id", "vehicle_type_id"))
 
-    A slot is bookable exactly when one of its free gaps contains the request:
-    gap_from <= from and gap_to >= to.  Gap ends and request ends are ranked
-    together per type; a gap with the higher rank meets the request in exactly
-    one node of a binary tree over ranks, that of the highest bit in which the
-    ranks differ.  In each node a running count and minimum over gap starts
-    answers all its requests.  Gaps without an end need the starts only.  Work
-    is (gaps + requests) x log(ranks), in two-level scans."""
-    compat = cut_lineage(parking_slot.filter(~F.col("status").isin(*UNAVAILABLE)).select("slot_id", "slot_type")
-                         .join(slot_type_map, "slot_type").select("slot_id", "vehicle_type_id"))
-    gaps = cut_lineage(free_gaps(reservation, compat))
-    asked = requests.select("request_id", "vehicle_type_id", X.micros("from_time").alias("start"),
-                            X.micros("to_time").alias("stop"))
-    columns = ["vehicle_type_id", "id", "kind", "start", "stop"]  # kind 0: gap, 1: request
+
+def _asked(requests: DataFrame) -> DataFrame:
+    return requests.select("request_id", "vehicle_type_id", X.micros("from_time").alias("start"), X.micros("to_time").alias("stop"))
+
+
+NODE = ["vehicle_type_id", "level", "node"]
+
+
+def _meetings(asked: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (vehicle_type_id, level, node, id, kind, start, stop) of gaps (kind
+    0, id a slot) and requests (kind 1): a gap contains a request exactly if they
+    meet in one node and the gap starts no later; and all rows by themselves.
+
+    Gap ends and request ends are ranked together per type; a gap with the higher
+    rank meets the request in one node of a binary tree over ranks, that of the
+    highest bit in which the ranks differ.  Gaps without an end need the starts
+    only, and have a node of their own (level -1)."""
+    columns = ["vehicle_type_id", "id", "kind", "start", "stop"]
     both = (gaps.select("vehicle_type_id", F.col("slot_id").alias("id"), F.lit(0).alias("kind"),
                         F.col("gap_from").alias("start"), F.col("gap_to").alias("stop"))
             .unionByName(asked.select("vehicle_type_id", F.col("request_id").alias("id"), F.lit(1).alias("kind"), "start", "stop")))
@@ -83,10 +89,26 @@ def bookable_slots(requests: DataFrame, parking_slot: DataFrame, slot_type_map:
         *columns, "level", (F.expr("shiftright(rank, level)") + F.col("kind")).alias("node"))
     open_ended = both.filter((F.col("kind") == 1) | (F.col("stop") == FAR_FUTURE)).select(
         *columns, F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node"))
-    every = nodes.unionByName(open_ended).withColumns({
-        "gap": 1 - F.col("kind"), "slot": F.when(F.col("kind") == 0, F.col("id"))})
-    answered = (ordered_scan(every, ["vehicle_type_id", "level", "node"], ["start", "kind", "id", "stop"],
-                             quantile_block(both, F.col("start")),
+    return nodes.unionByName(open_ended), both
+
+
+def bookable_slots(requests: DataFrame, parking_slot: DataFrame, slot_type_map: DataFrame,
+                   reservation: DataFrame) -> DataFrame:
+    """For each booking request (type, from < to): how many compatible slots
+    (not Maintenance / Locked) exist, how many are blocked by an overlapping
+    confirmed reservation, how many are bookable, and the lowest bookable
+    slot_id.
+
+    A slot is bookable exactly when one of its free gaps contains the request:
+    gap_from <= from and gap_to >= to.  In each node in which they meet, a
+    running count and minimum over gap starts answers all its requests.  Work is
+    (gaps + requests) x log(ranks), in two-level scans."""
+    compat = _compatible(parking_slot, slot_type_map)
+    gaps = cut_lineage(free_gaps(reservation, compat))
+    asked = _asked(requests)
+    rows, both = _meetings(asked, gaps)
+    every = rows.withColumns({"gap": 1 - F.col("kind"), "slot": F.when(F.col("kind") == 0, F.col("id"))})
+    answered = (ordered_scan(every, NODE, ["start", "kind", "id", "stop"], quantile_block(both, F.col("start")),
                              runs=[("free", "sum", "gap", True), ("first", "min", "slot", True)])
                 .filter(F.col("kind") == 1).groupBy(F.col("id").alias("request_id"))
                 .agg(F.sum("free").alias("free"), F.min("first").alias("first")))
@@ -104,6 +126,67 @@ def bookable_slots(requests: DataFrame, parking_slot: DataFrame, slot_type_map:
                       F.least("first", "s0").alias("first_slot_id"))
 
 
+def _lowest(rows: DataFrame, keys: list[str], slot: str, k: int) -> DataFrame:
+    """The ``k`` lowest distinct slots of each key, as a sorted list: ranks up to
+    ``k`` are cut off in each task before the shuffle."""
+    order = Window.partitionBy(*keys).orderBy(slot)
+    low = rows.select(*keys, slot).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    return low.groupBy(*keys).agg(F.array_sort(F.collect_list(slot)).alias("low"))  # k at most
+
+
+def _lowest_so_far(k: int):
+    """Rows (request or gap, in order within their block) -> (request_id, slots):
+    the ``k`` lowest slots among the gaps before each request in its block and
+    those of the blocks before, ``low``.  A list of ``k`` slots is the state."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best = None, []
+        for batch in batches:
+            ids, slots = [], []
+            columns = [batch.column(c).to_pylist() for c in (*NODE, "_lq_blk", "kind", "id", "low")]
+            for *now, kind, i, low in zip(*columns, strict=True):
+                if now != key:
+                    key, best = now, list(low or ())
+                if kind:
+                    ids.append(i)
+                    slots.append(list(best))
+                elif i not in best and (len(best) < k or i < best[-1]):
+                    insort(best, i)
+                    del best[k:]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], names=["request_id", "slots"])
+    return run
+
+
+def bookable_slot_list(requests: DataFrame, parking_slot: DataFrame, slot_type_map: DataFrame,
+                       reservation: DataFrame, k: int = 3) -> DataFrame:
+    """J9 as (request_id, choice, slot_id): the ``k`` lowest bookable slots of
+    each request (choice 1 is the lowest); requests without one have no row.
+
+    The meetings of ``bookable_slots``, but a node's running state is the list of
+    the k lowest slots instead of a count and a minimum.  Lists merge: those of
+    a node's blocks are cut to k, the blocks before a block give its first state,
+    and inside a block one ordered pass carries it.  No row is a pair of a
+    request and a slot but the result's k."""
+    compat = _compatible(parking_slot, slot_type_map)
+    gaps = cut_lineage(free_gaps(reservation, compat))
+    asked = _asked(requests)
+    rows, both = _meetings(asked, gaps)
+    blocked = cut_lineage(quantile_block(both, F.col("start"))(rows))
+    lists = _lowest(blocked.filter("kind = 0").withColumnRenamed("id", "slot"), [*NODE, "_lq_blk"], "slot", k)
+    blocks = blocked.select(*NODE, "_lq_blk").distinct().join(lists, [*NODE, "_lq_blk"], "left")
+    # k slots for each block of a node, as many blocks as shuffle partitions
+    before = Window.partitionBy(*NODE).orderBy("_lq_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.withColumn("low", F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("low").over(before)))), 1, k))
+    ready = (blocked.join(carried, [*NODE, "_lq_blk"]).repartition(*NODE, "_lq_blk")
+             .sortWithinPartitions(*NODE, "_lq_blk", "start", "kind", "id")
+             .select(*NODE, "_lq_blk", "kind", "id", "low"))
+    found = ready.mapInArrow(_lowest_so_far(k), "request_id long, slots array<long>").filter(F.size("slots") > 0)
+    never = _lowest(compat.join(gaps.select("slot_id").distinct(), "slot_id", "left_anti"), ["vehicle_type_id"], "slot_id", k)
+    found = found.unionByName(asked.join(never, "vehicle_type_id").select("request_id", F.col("low").alias("slots")))
+    lowest = _lowest(found.select("request_id", F.explode("slots").alias("slot_id")), ["request_id"], "slot_id", k)
+    return (lowest.select("request_id", F.posexplode("low").alias("at", "slot_id"))
+            .select("request_id", (F.col("at") + 1).alias("choice"), "slot_id"))
+
+
 def arrival_booking(arrivals: DataFrame, reservation: DataFrame) -> DataFrame:
     """Each arrival with the confirmed reservation of the same vehicle
     whose window [from, to) contains the arrival time (earliest start, then

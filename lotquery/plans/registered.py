@@ -8,6 +8,7 @@ counts as BIGINT, so values hash identically in both engines.
 
 from __future__ import annotations
 
+from lotquery.session import scratch_path
 from lotquery.operators import dashboard as dash
 from lotquery.plans.catalog import query
 from lotquery.sources.derive import PAY_DAY
@@ -212,6 +213,8 @@ def _domain_audit(t):
 
 
 SEARCH_TERM = "A-00"
+#: A term of three letters or more, and the folders of its index at fixture scale.
+SEARCH_PLATE, SEARCH_INDEX_BUCKETS = "a-0", 16
 
 
 @query("search", f"""
@@ -223,6 +226,18 @@ def _search(t):
     return audit.search(t.vehicle, t.parking_slot, SEARCH_TERM)
 
 
+@query("search_indexed", f"""
+SELECT 'vehicle' AS kind, vehicle_id AS id, license_plate AS label FROM pk_vehicle WHERE contains(lower(license_plate), lower('{SEARCH_PLATE}'))
+UNION ALL
+SELECT 'slot', slot_id, slot_code FROM pk_parking_slot WHERE contains(lower(slot_code), lower('{SEARCH_PLATE}'))
+""", raw=True)
+def _search_indexed(spark, sf_dir, t):
+    """P6 by the trigram index, built from the tables."""
+    path = scratch_path(spark, "search-index")
+    audit.build_search_index(t.vehicle, t.parking_slot, path, SEARCH_INDEX_BUCKETS)
+    return audit.search_indexed(spark, path, SEARCH_PLATE, SEARCH_INDEX_BUCKETS)
+
+
 RETENTION_DAYS = 1825
 
 
@@ -827,6 +842,24 @@ def _bookable_slots(t):
     return booking.bookable_slots(t.booking_requests, t.parking_slot, t.slot_type_map, t.reservation)
 
 
+BOOKABLE_K = 3
+
+
+@query("bookable_slot_list", f"""
+WITH compat AS (SELECT s.slot_id, m.vehicle_type_id FROM pk_parking_slot s JOIN pk_slot_type_map m ON m.slot_type = s.slot_type
+                WHERE s.status NOT IN ('Maintenance', 'Locked')),
+blk AS (SELECT DISTINCT q.request_id, l.slot_id FROM pk_booking_requests q
+        JOIN pk_reservation l ON l.state = 'confirmed' AND q.from_time < l.to_time AND l.from_time < q.to_time)
+SELECT q.request_id, CAST(row_number() OVER (PARTITION BY q.request_id ORDER BY c.slot_id) AS INTEGER) AS choice, c.slot_id
+FROM pk_booking_requests q JOIN compat c ON c.vehicle_type_id = q.vehicle_type_id
+ANTI JOIN blk ON blk.request_id = q.request_id AND blk.slot_id = c.slot_id
+QUALIFY choice <= {BOOKABLE_K}
+""")
+def _bookable_slot_list(t):
+    """J9 as pairs: each request's lowest bookable slots."""
+    return booking.bookable_slot_list(t.booking_requests, t.parking_slot, t.slot_type_map, t.reservation, BOOKABLE_K)
+
+
 @query("arrival_booking", """
 WITH h AS (SELECT a.arrival_id, r.reservation_id FROM pk_arrivals a JOIN pk_reservation r
              ON r.vehicle_id = a.vehicle_id AND r.state = 'confirmed' AND r.from_time <= a.arrival_time AND a.arrival_time < r.to_time
@@ -883,7 +916,6 @@ def _register_drivers(t):
 
 # ---------------------------------------------------------------- streaming (availableNow runs)
 
-from lotquery.session import scratch_path  # noqa: E402
 from lotquery.streaming import live  # noqa: E402
 
 ONCE = {"availableNow": True}

@@ -167,3 +167,58 @@ def test_blocks_follow_quantiles(spark):
         bounds = rows.agg(F.percentile_approx(F.col("v").cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0]
         assert all(r["_lq_blk"] == (0 if r["v"] is None else sum(b < r["v"] for b in bounds)) for r in got)
         assert max(r["_lq_blk"] for r in got) == n - 1
+
+
+def test_lowest_bookable_slots_against_brute_force(spark):
+    dice, t0 = random.Random(8), dt.datetime(2024, 1, 1)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    slots = [(i, 1, f"A-{i}", ("Sedan", "SUV")[i % 2], "Maintenance" if i % 11 == 0 else "Empty") for i in range(1, 40)]
+    res, asked = [], []
+    for i in range(500):
+        a = dice.randrange(200)
+        res.append((i, dice.randrange(1, 30), 1, at(a), at(a + dice.choice((0, 1, 3, 20))), dice.choice(("confirmed", "confirmed", "canceled"))))
+        a = dice.randrange(210)
+        asked.append((i, 1 + i % 3, at(a), at(a + dice.choice((1, 2, 30)))))
+    frames = (spark.createDataFrame(asked, "request_id long, vehicle_type_id int, from_time timestamp_ntz, to_time timestamp_ntz"),
+              spark.createDataFrame(slots, "slot_id long, area_id int, slot_code string, slot_type string, status string"),
+              spark.createDataFrame([("Sedan", 1), ("SUV", 2)], "slot_type string, vehicle_type_id int"),
+              spark.createDataFrame(res, "reservation_id long, slot_id long, vehicle_id long, from_time timestamp_ntz, to_time timestamp_ntz, state string"))
+    kind = {"Sedan": 1, "SUV": 2}
+    want = set()
+    for i, v, a, b in asked:
+        free = [s[0] for s in slots if kind[s[3]] == v and s[4] == "Empty"
+                and not any(r[1] == s[0] and r[5] == "confirmed" and r[3] < r[4] and a < r[4] and r[3] < b for r in res)]
+        want |= {(i, c, x) for c, x in enumerate(sorted(free)[:4], 1)}
+    got = {(r.request_id, r.choice, r.slot_id) for r in booking.bookable_slot_list(*frames, k=4).collect()}
+    assert got == want
+    first = {r.request_id: r.first_slot_id for r in booking.bookable_slots(*frames).collect()}
+    assert {(i, s) for i, c, s in got if c == 1} == {(i, s) for i, s in first.items() if s is not None}
+
+
+def test_search_index_reads_the_term_s_folders(spark, small_tables, tmp_path):
+    from lotquery.operators import audit
+    path = str(tmp_path / "index")
+    audit.build_search_index(small_tables.vehicle, small_tables.parking_slot, path, 32)
+    for term in ("A-0", "12a", "7.2", "10A-000.00", "zzz", "000"):
+        want = sorted(map(tuple, audit.search(small_tables.vehicle, small_tables.parking_slot, term).collect()))
+        found = audit.search_indexed(spark, path, term, 32)
+        assert sorted(map(tuple, found.collect())) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert "bucket" in filters and "PushedFilters: [In(gram" in plan.replace("IsNotNull(gram), ", "").replace("EqualTo(gram", "In(gram")
+    with pytest.raises(ValueError):
+        audit.search_indexed(spark, path, "A-", 32)
+
+
+def test_queries_without_an_optional_library(monkeypatch):
+    """A library that only the further operators need is missing: all others stay."""
+    import sys
+
+    import __spark_entry__ as entry
+    before = set(entry.queries())
+    for name in [m for m in sys.modules if m.startswith("lotquery.") and "llm" in m or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    left = set(entry.queries())
+    assert left and not any(n.startswith("op") and n[2].isdigit() for n in left) and left <= before
+    assert set(entry.oracle_sql()) <= left
