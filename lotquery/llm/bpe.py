@@ -357,7 +357,7 @@ class Tokens:
         first = np.zeros(len(data), bool)
         first[start] = True
         if joined.isascii():
-            begins = self.begins(data.astype(np.int64), first)
+            begins = self.begins(data, first)
         else:
             points = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
             lead = np.flatnonzero((data & 0xC0) != 0x80)  # each character's first byte
@@ -369,7 +369,10 @@ class Tokens:
         powers = np.cumprod(np.concatenate([[1], np.full(int(long.max()) - 1, 0x100000001B3, np.uint64)]).astype(np.uint64))
         hashes = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[within], at)
         hashes = scramble(hashes + long.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)  # of equal words any one stands for all
+        fresh = np.concatenate([[True], np.diff(hashes[order]) != 0])
+        one, which = order[fresh], np.empty(len(at), np.int64)
+        which[order] = np.cumsum(fresh) - 1
         same = (long[one][which] == long).all() and (data[np.repeat(at[one][which], long) + within] == data).all()
         if same:
             tokens, counts = self.known.words(hashes[one], data, at[one], long[one], self._words)
