@@ -51,7 +51,7 @@ BLOCK = 256
 #: Counters that order the values of large groups.
 COUNTERS, COUNTER_PARTS = 1 << 20, 64
 #: Rounds of checks against pivots in large groups, at most; blocks do the rest.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 #: A pair looks similar if its estimate is below the similarity by this at most.
 MARGIN = 0.05
 
@@ -338,12 +338,15 @@ def _group_links(texts: DataFrame, words: int, similarity: int) -> DataFrame:
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, values in zip(batch.column("set_id").to_pylist(), shingle_sets(utf8(batch), words), strict=True):
+            heads, places = [], []
+            for values in shingle_sets(utf8(batch), words):
                 times = sent.value[_counter(values)]
                 first = np.lexsort((values, times))[:first_shared(len(values), similarity)]
                 at = np.flatnonzero(times[first] > 1)
-                yield pa.record_batch([pa.array(values[first[at]]), pa.array(np.full(len(at), i)), pa.array(at)],
-                                      names=["v", "set_id", "at"])
+                heads.append(values[first[at]])
+                places.append(at)
+            yield pa.record_batch([batch.column("set_id"), pa.array(heads, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))],
+                                  names=["set_id", "vs", "ats"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,7 +360,7 @@ def _group_links(texts: DataFrame, words: int, similarity: int) -> DataFrame:
     for row in counted.collect():  # COUNTER_PARTS rows, COUNTERS numbers
         counters[row.part * wide:(row.part + 1) * wide] = np.frombuffer(row.times, np.int64)
     sent = spark.sparkContext.broadcast(counters)
-    heads = stored(map_texts(texts, order, "v long, set_id long, at long"), "group-heads")
+    heads = stored(map_texts(texts, order, "set_id long, vs array<long>, ats array<long>"), "group-heads")
     links, pieces = _pivot_links(heads, texts, words, similarity)
     dealt = _dealt(pieces)
     full = map_texts(texts, whole, "set_id long, values binary")
@@ -368,14 +371,17 @@ def _group_links(texts: DataFrame, words: int, similarity: int) -> DataFrame:
 
 
 def _open_lists(heads: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows (v, set_id, at, comp) of the lists that hold sets of several components."""
+    """Rows (v, set_id, at, comp) of the lists that hold sets of several
+    components.  ``heads``: a row for each set, its values and their places."""
     if roots is None:
         named = heads.withColumn("comp", F.col("set_id"))
     else:
         named = (heads.join(small(roots.select(F.col("node").alias("set_id"), "root")), "set_id", "left")
-                 .select("v", "set_id", "at", F.coalesce("root", "set_id").alias("comp")))
-    several = named.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("v")
-    return named.join(several, "v", "left_semi")
+                 .withColumn("comp", F.coalesce("root", "set_id")))
+    rows = (named.select("set_id", "comp", F.explode(F.arrays_zip("vs", "ats")).alias("head"))
+            .select(F.col("head.vs").alias("v"), "set_id", F.col("head.ats").alias("at"), "comp"))
+    several = rows.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("v")
+    return rows.join(several, "v", "left_semi")
 
 
 def _pivot_links(heads: DataFrame, texts: DataFrame, words: int, similarity: int) -> tuple[DataFrame, DataFrame]:
