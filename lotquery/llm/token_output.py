@@ -44,6 +44,10 @@ TABLE_BITS = 18
 U = np.uint64
 
 
+#: What an entry gains for its confidence, after misses and after hits; a miss without confidence brings a new id.
+GAINS = np.array([-(c + 1 >> 1) for c in range(8)] + [c < 7 for c in range(8)], np.int64).astype(np.uint32)
+
+
 class Model:
     """The mixed prediction of a block, for all lanes at a step."""
 
@@ -58,6 +62,7 @@ class Model:
         self.tries = np.full(128, 4, np.int64)
         self.hits2 = np.ones(128, np.int64)
         self.hits1 = np.ones(128, np.int64)
+        self.outcomes = np.zeros(512, np.int64)  # since they were last counted: context, hit of order 2, hit of order 1
         self.steps, self.due, self.held = 0, 8, []
         self._count()
         self._weigh()
@@ -75,69 +80,95 @@ class Model:
         most = TOTAL - COUNTS  # order 0 keeps one part of COUNTS for each of its counts
         w2 = self.hits2 * most // self.tries
         w1 = self.hits1 * most // self.tries
-        self.weight2, self.weight1 = w2.astype(np.uint64), w1.astype(np.uint64)
+        w1[1::2] = 0  # where both orders agree
+        self.weight2, self.weight21 = w2.astype(np.uint64), (w2 + w1).astype(np.uint64)
 
     def look(self, lanes: int) -> None:
         """Predictions for the next id of the first ``lanes`` lanes."""
         one, two = self.before1[:lanes], self.before2[:lanes]
         self.place = (one * 0x9E3779B1 + two * 0x85EBCA6B >> 7) & ((1 << TABLE_BITS) - 1)
-        entry2, entry1 = self.order2[self.place], self.order1[one]
-        self.entry2, self.entry1 = entry2, entry1
-        self.id2, self.id1 = (entry2 >> 3).astype(np.int64), (entry1 >> 3).astype(np.int64)
-        agree = self.id1 == self.id2
-        self.context = ((entry2 & 7) << 4 | (entry1 & 7) << 1 | agree).astype(np.int64)
-        self.w2 = self.weight2[self.context]
-        self.w1 = self.weight1[self.context]
-        self.w1[agree] = 0
-        self.w21 = self.w2 + self.w1
+        self.entry2, self.entry1 = self.order2[self.place], self.order1[one]
+        self.sure2, self.sure1 = self.entry2 & 7, self.entry1 & 7
+        self.id2, self.id1 = self.entry2 >> 3, self.entry1 >> 3
+        context = self.sure2 << 4
+        context |= self.sure1 << 1
+        context |= self.id1 == self.id2
+        self.context = context.astype(np.int64)
+        self.w2, self.w21 = self.weight2[self.context], self.weight21[self.context]
         self.w0 = U(TOTAL) - self.w21
 
     def _order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self.below[ids] * self.w0 >> U(COUNT_BITS)
-        return low, (self.below[ids + 1] * self.w0 >> U(COUNT_BITS)) - low
+        low, top = self.below[ids], self.below[ids + 1]
+        low *= self.w0
+        low >>= U(COUNT_BITS)
+        top *= self.w0
+        top >>= U(COUNT_BITS)
+        top -= low
+        return low, top
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each id's part: order 2 lies first, then order 1,
         then order 0 (where a predicted id's part stays unused)."""
-        by2, by1 = (self.id2 == ids) & (self.w2 > 0), (self.id1 == ids) & (self.w1 > 0)
+        now = ids.astype(np.uint32)
         low, size = self._order0(ids)
         low += self.w21
-        low[by1], size[by1] = self.w2[by1], self.w1[by1]
-        low[by2], size[by2] = 0, self.w2[by2]
+        by1 = np.flatnonzero(self.id1 == now)
+        w2, w21 = self.w2[by1], self.w21[by1]
+        some = w21 > w2
+        if not some.all():
+            by1, w2, w21 = by1[some], w2[some], w21[some]
+        low[by1], size[by1] = w2, w21 - w2
+        by2 = np.flatnonzero(self.id2 == now)
+        w2 = self.w2[by2]
+        some = w2 > 0
+        if not some.all():
+            by2, w2 = by2[some], w2[some]
+        low[by2], size[by2] = 0, w2
         return low, size
 
     def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids whose parts hold ``at``, and the parts."""
         if self.slot is None:
-            self.slot = np.repeat(np.arange(self.size, dtype=np.uint32), np.diff(self.below.astype(np.int64)))
-        by2, by21 = at < self.w2, at < self.w21
-        rest = at - self.w21
+            kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+            self.slot = np.repeat(np.arange(self.size, dtype=kind), np.diff(self.below.astype(np.int64)))
+        by21 = np.flatnonzero(at < self.w21)
+        rest = (at - self.w21).astype(np.int64)
         rest[by21] = 0
-        ids = self.slot[((rest + U(1) << U(COUNT_BITS)) - U(1)) // self.w0].astype(np.int64)
+        # Below 2^45 by below 2^25: the double nearest to the quotient has its whole part.
+        rest += 1
+        rest <<= COUNT_BITS
+        rest -= 1
+        ids = self.slot[(rest / self.w0.astype(np.int64)).astype(np.int64)].astype(np.int64)
         low, size = self._order0(ids)
         low += self.w21
-        by1 = by21 & ~by2
-        ids[by1], low[by1], size[by1] = self.id1[by1], self.w2[by1], self.w1[by1]
-        ids[by2], low[by2], size[by2] = self.id2[by2], 0, self.w2[by2]
+        w2 = self.w2[by21]
+        first = at[by21] < w2
+        ids[by21] = np.where(first, self.id2[by21], self.id1[by21])
+        low[by21] = np.where(first, U(0), w2)
+        size[by21] = np.where(first, w2, self.w21[by21] - w2)
         return ids, low, size
 
     def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = self.id2 == ids, self.id1 == ids
-        fresh = (ids << 3).astype(np.uint32)
-        for table, place, entry, hit in ((self.order2, self.place, self.entry2, hit2), (self.order1, self.before1[:len(ids)], self.entry1, hit1)):
-            confidence = entry & 7
-            kept = np.where(hit, entry + (confidence < 7), entry - (confidence + 1 >> 1))
-            table[place] = np.where(hit | (confidence > 0), kept, fresh | 1)
-        self.before2[:len(ids)] = self.before1[:len(ids)]
-        self.before1[:len(ids)] = ids
-        self.held.append((ids, self.context, hit2, hit1))
+        now = ids.astype(np.uint32)
+        hit2, hit1 = self.id2 == now, self.id1 == now
+        fresh = now << 3 | 1
+        n = len(ids)
+        for table, place, entry, sure, hit in ((self.order2, self.place, self.entry2, self.sure2, hit2),
+                                               (self.order1, self.before1[:n], self.entry1, self.sure1, hit1)):
+            kept = entry + GAINS[hit.view(np.uint8) << 3 | sure.astype(np.uint8)]
+            table[place] = np.where(sure > 0, kept, fresh)
+        self.before2 = np.concatenate([self.before1[:n], self.before2[n:]])
+        self.before1 = np.concatenate([ids, self.before1[n:]])
+        self.held.append(ids)
+        self.outcomes += np.bincount(self.context << 2 | (hit2.view(np.uint8) << 1 | hit1), minlength=512)
         self.steps += 1
         if self.steps == self.due:
-            ids, context, hit2, hit1 = (np.concatenate(x) for x in zip(*self.held, strict=True))
-            self.seen += np.bincount(ids, minlength=self.size)
-            self.tries += np.bincount(context, minlength=128)
-            self.hits2 += np.bincount(context[hit2], minlength=128)
-            self.hits1 += np.bincount(context[hit1 & ~hit2], minlength=128)
+            self.seen += np.bincount(np.concatenate(self.held), minlength=self.size)
+            neither, only1, only2, both = self.outcomes.reshape(128, 4).T
+            self.tries += neither + only1 + only2 + both
+            self.hits2 += only2 + both
+            self.hits1 += only1
+            self.outcomes[:] = 0
             self._count()
             self._weigh()
             self.held, self.due = [], self.due + min(128, self.due)
@@ -155,33 +186,36 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> bytes:
     start = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     lanes, steps = len(lengths), int(lengths[0]) if len(ids) else 0
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words = np.zeros((lanes, steps + 4), np.uint64)  # the first takes a carry that never comes
-    flat, put = words.reshape(-1), np.arange(lanes) * (steps + 4) + 1
-    base = put.copy()
+    words = np.zeros((steps + 4, lanes), np.uint64)  # a column for each lane; the first row takes a carry that never comes
+    flat, put = words.reshape(-1), np.arange(lanes, 2 * lanes)
     model = Model(vocabulary, lanes)
     for t in range(steps):
-        n = lanes if t < lengths[-1] else int(np.count_nonzero(lengths > t))
+        n = lanes if t < lengths[-1] else int(np.count_nonzero(lengths > t))  # fewer in the last step only
         now = ids[start[:n] + t]
         model.look(n)
         cum, freq = model.interval(now)
         model.learn(now)
         part = span[:n] >> U(TOTAL_BITS)
-        added = low[:n] + part * cum
-        flat[put[:n] - 1] += added < low[:n]
-        size = part * freq
-        out = size < TOP
-        flat[put[:n]] = added >> U(32)
-        put[:n] += out
-        low[:n] = np.where(out, added << U(32), added)
-        span[:n] = np.where(out, size << U(32), size)
+        cum *= part
+        cum += low[:n]
+        over = np.flatnonzero(cum < low[:n])
+        flat[put[over] - lanes] += U(1)
+        freq *= part
+        out = np.flatnonzero(freq < TOP)
+        at, added = put[out], cum[out]
+        flat[at] = added >> U(32)
+        put[out] = at + lanes
+        cum[out] = added << U(32)
+        freq[out] <<= U(32)
+        low[:n], span[:n] = cum, freq
     for shift in (U(32), U(0)):
         flat[put] = low >> shift & U(0xFFFFFFFF)
-        put += 1
-    for k in range(words.shape[1] - 1, 0, -1):
-        words[:, k - 1] += words[:, k] >> U(32)
-    counts = put - base
-    kept = np.arange(words.shape[1] - 1) < counts[:, None]
-    return counts.astype("<u4").tobytes() + (words[:, 1:][kept] & U(0xFFFFFFFF)).astype("<u4").tobytes()
+        put += lanes
+    for k in range(len(words) - 1, 0, -1):
+        words[k - 1] += words[k] >> U(32)
+    counts = put // lanes - 1
+    kept = np.arange(len(words) - 1) < counts[:, None]
+    return counts.astype("<u4").tobytes() + words[1:].astype("<u4").T[kept].tobytes()
 
 
 def decode_ids(data: bytes, n: int, vocabulary: int) -> np.ndarray:
@@ -189,9 +223,9 @@ def decode_ids(data: bytes, n: int, vocabulary: int) -> np.ndarray:
     start = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     lanes, steps = len(lengths), int(lengths[0]) if n else 0
     counts = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(data, "<u4", offset=4 * lanes), np.zeros(4, np.uint32)]).astype(np.uint64)
+    words = np.concatenate([np.frombuffer(data, "<u4", offset=4 * lanes), np.zeros(4, np.uint32)])
     take = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    code = words[take] << U(32) | words[take + 1]
+    code = words[take].astype(np.uint64) << U(32) | words[take + 1]
     take = take + 2
     span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     ids = np.zeros(n, np.int64)
@@ -203,11 +237,15 @@ def decode_ids(data: bytes, n: int, vocabulary: int) -> np.ndarray:
         now, cum, freq = model.find(np.minimum(code[:k] // part, U(TOTAL - 1)))
         model.learn(now)
         ids[start[:k] + t] = now
-        rest, size = code[:k] - part * cum, part * freq
-        out = size < TOP
-        code[:k] = np.where(out, rest << U(32) | words[np.minimum(take[:k], len(words) - 1)], rest)
-        span[:k] = np.where(out, size << U(32), size)
-        take[:k] += out
+        cum *= part
+        rest = code[:k] - cum
+        freq *= part
+        out = np.flatnonzero(freq < TOP)
+        at = take[out]
+        rest[out] = rest[out] << U(32) | words[np.minimum(at, len(words) - 1)]
+        freq[out] <<= U(32)
+        take[out] = at + 1
+        code[:k], span[:k] = rest, freq
     return ids
 
 

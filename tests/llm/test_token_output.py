@@ -84,6 +84,58 @@ def test_known_words(monkeypatch):
         assert [x.tolist() for x in own.of([t.encode() for t in texts])] == library(texts)
 
 
+def test_words_known_are_neither_sorted_nor_merged(monkeypatch):
+    """A batch whose words are all known costs a table's look-ups."""
+    own = bpe.Tokens(DEFINITION)
+    texts = ["Some words, some others and unquestionableness 12", "", "words' last 's é"]
+    want = [x.tolist() for x in own.of([t.encode() for t in texts])]
+
+    def never(*_, **__):
+        raise AssertionError("known words are looked up")
+
+    monkeypatch.setattr(bpe.Tokens, "merged", never)
+    monkeypatch.setattr(bpe.np, "argsort", never)
+    assert [x.tolist() for x in own.of([t.encode() for t in texts])] == want == library(texts)
+
+
+def test_words_that_differ_late(monkeypatch):
+    """Words of one hash and size that differ from byte 8, 16, ... on only, up to LONGEST and beyond."""
+    monkeypatch.setattr(bpe, "scramble", lambda x: x * 0)
+    own = bpe.Tokens(DEFINITION)
+    rng = np.random.default_rng(2)
+    for size in [*range(6, 20), 32, 33, 63, 64, 65, 90] * 2:
+        texts = ["x" * (size - 1) + c for c in "yzaxy"] + ["x" * 8 + "".join(rng.choice(list("abc"), size)) + "\x00" * k for k in range(3)]
+        for batch in (texts, texts[:1], texts[1:2]):
+            assert [x.tolist() for x in own.of([t.encode() for t in batch])] == library(batch)
+
+
+def test_special_strings_across_texts():
+    texts = ["<|endof", "text|>", "a <|endoftext|>", "'", "s it'", "ll"]
+    assert [x.tolist() for x in IDS.of([t.encode() for t in texts])] == library(texts)
+
+
+def test_format_stays():
+    """Bytes as first written, so that older files stay readable."""
+    ids = np.arange(30_000) ** 2 // 7 % 299
+    assert zlib.crc32(to.encode_ids(ids, 300)) == 1269631402
+
+
+def test_predictions_without_weight(monkeypatch):
+    """Of orders 2 and 1, as in a block whose tries outnumber the parts."""
+    weigh = to.Model._weigh
+
+    def some(self):
+        weigh(self)
+        order1 = self.weight21 - self.weight2
+        self.weight2[::3] = 0
+        order1[::4] = 0
+        self.weight21 = self.weight2 + order1
+
+    monkeypatch.setattr(to.Model, "_weigh", some)
+    ids = np.random.default_rng(1).integers(0, 4, 30_001) * np.tile([1, 1, 0], 10_001)[:30_001]
+    assert (to.decode_ids(to.encode_ids(ids, 300), len(ids), 300) == ids).all()
+
+
 def test_words_with_one_hash_stay_apart(monkeypatch):
     monkeypatch.setattr(bpe, "scramble", lambda x: x * 0)
     texts = ["some words and some other words", "", "a b a"]
